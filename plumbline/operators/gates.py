@@ -40,7 +40,7 @@ def check_population(df: DataFrame, expected: int, flag: str | None = None, expe
 def check_unique(df: DataFrame, keys: Sequence[str], expected: int | None = None) -> DataFrame:
     label = ",".join(keys)
     per_key = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    row = per_key.agg(F.count_if("n > 1").alias("d"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    row = per_key.agg(F.count_if(F.expr("n > 1")).alias("d"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     entries = {f"unique:{label}": (F.col("d") == 0, F.col("d"), 0)}
     if expected is not None:
         entries[f"rows:{label}"] = (F.col("n") == expected, F.col("n"), expected)
@@ -146,8 +146,8 @@ def check_roles(manifest: DataFrame, contract: DataFrame) -> DataFrame:
     """Every contract column appears in the manifest with the same role, and no other x column does."""
     both = manifest.select("column", F.col("role").alias("have")).join(
         contract.select("column", F.col("role").alias("want")), "column", "full_outer")
-    row = both.agg(F.count_if("have is null").alias("missing"), F.count_if("want is null").alias("extra"),
-                   F.count_if("have <> want").alias("changed"))
+    row = both.agg(F.count_if(F.expr("have is null")).alias("missing"), F.count_if(F.expr("want is null")).alias("extra"),
+                   F.count_if(F.expr("have <> want")).alias("changed"))
     return checks(row, {f"roles:{x}": (F.col(x) == 0, F.col(x), 0) for x in ("missing", "extra", "changed")})
 
 

@@ -52,7 +52,7 @@ def blank_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
 def exact_duplicates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Groups of identical rows (nulls equal) and rows in them; copies combine map-side."""
     groups = df.groupBy(*(cols or df.columns)).agg(F.count("*").alias("_n"))
-    return groups.agg(F.count("*").alias("distinct_rows"), F.count_if("_n > 1").alias("duplicate_groups"),
+    return groups.agg(F.count("*").alias("distinct_rows"), F.count_if(F.expr("_n > 1")).alias("duplicate_groups"),
                       F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias("rows_in_duplicate_groups"))
 
 
@@ -63,7 +63,7 @@ def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def key_profile(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Unique keys, duplicate groups and rows in them."""
     return key_counts(df, keys).agg(
-        F.count("*").alias("unique_keys"), F.count_if("n > 1").alias("duplicate_groups"),
+        F.count("*").alias("unique_keys"), F.count_if(F.expr("n > 1")).alias("duplicate_groups"),
         F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("rows_in_duplicate_groups"),
         F.coalesce(F.max("n"), F.lit(0)).alias("max_multiplicity"))
 

@@ -44,8 +44,8 @@ def union_all(dfs: Sequence[DataFrame]) -> DataFrame:
 def overlap(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Number of distinct values on both sides and on one side only."""
     return _sides(a, b, cols).agg(
-        F.count_if("_a > 0 and _b > 0").alias("n_overlap"), F.count_if("_a > 0 and _b = 0").alias("n_only_a"),
-        F.count_if("_a = 0 and _b > 0").alias("n_only_b"))
+        F.count_if(F.expr("_a > 0 and _b > 0")).alias("n_overlap"), F.count_if(F.expr("_a > 0 and _b = 0")).alias("n_only_a"),
+        F.count_if(F.expr("_a = 0 and _b > 0")).alias("n_only_b"))
 
 
 def assert_disjoint(a: DataFrame, b: DataFrame, col: str | Sequence[str]) -> None:
@@ -60,8 +60,8 @@ def support(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
     s = _sides(a, b, key)
     out = s.agg(
         F.coalesce(F.sum("_a"), F.lit(0)).alias("rows_a"), F.coalesce(F.sum("_b"), F.lit(0)).alias("rows_b"),
-        F.count_if("_a > 0 and _b = 0").alias("n_only_a"), F.count_if("_a = 0 and _b > 0").alias("n_only_b"),
-        F.count_if("_a > 1 or _b > 1").alias("n_repeated"))
+        F.count_if(F.expr("_a > 0 and _b = 0")).alias("n_only_a"), F.count_if(F.expr("_a = 0 and _b > 0")).alias("n_only_b"),
+        F.count_if(F.expr("_a > 1 or _b > 1")).alias("n_repeated"))
     return out.withColumn("same_support", (F.col("n_only_a") + F.col("n_only_b") + F.col("n_repeated")) == 0)
 
 
