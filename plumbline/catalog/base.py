@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from plumbline.catalog.registry import table
 from plumbline.operators.joins import attach_folds, join_many_to_one
-from plumbline.operators.splits import group_folds, oof_mean
+from plumbline.operators.splits import group_folds, oof_mean, oof_means
+from plumbline.session import cut_lineage
 
 SEED = 7
 FOLDS = 5
@@ -37,7 +38,8 @@ def folds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def folded_runs(spark: SparkSession, d: str) -> DataFrame:
-    return attach_folds(runs(spark, d), folds(spark, d), "model")
+    """Run table with folds, written once: its joins and line aggregation are not repeated by later passes."""
+    return cut_lineage(attach_folds(runs(spark, d), folds(spark, d), "model"))
 
 
 def oof(spark: SparkSession, d: str, strategy: str = "total_raw") -> DataFrame:
@@ -47,10 +49,7 @@ def oof(spark: SparkSession, d: str, strategy: str = "total_raw") -> DataFrame:
 
 def oof_long(spark: SparkSession, d: str) -> DataFrame:
     """All strategies: one row per (strategy, run_key); the strategies' fold means come from one pass."""
-    base = folded_runs(spark, d)
-    out = base
-    for name, (unit, transform) in STRATEGIES.items():
-        out = oof_mean(out, "y", "fold", unit, transform, name=f"p_{name}")
+    out = oof_means(folded_runs(spark, d), "y", "fold", {f"p_{name}": s for name, s in STRATEGIES.items()})
     packed = F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(f"p_{n}").alias("prediction")) for n in STRATEGIES])
     return out.select("run_key", "model", "task", "hw", "y", "units", "fold", F.inline(packed)).withColumn(
         "residual", F.col("prediction") - F.col("y"))

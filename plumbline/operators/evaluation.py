@@ -15,8 +15,8 @@ from plumbline.functions.numeric import EPS
 from plumbline.operators.joins import join_many_to_one
 from plumbline.operators.ordering import hash_index, quantile_table, scalar_quantiles
 from plumbline.operators.profile import _null_safe_join
-from plumbline.operators.ranking import first_per_group, qcut, value_ranks
-from plumbline.session import BROADCAST_BYTES, input_bytes
+from plumbline.operators.ranking import bin_of, first_per_group, value_ranks
+from plumbline.session import BROADCAST_BYTES, SMALL_BYTES, input_bytes, is_small
 
 
 def residual(y: str, p: str) -> Column:
@@ -66,8 +66,13 @@ def _grouped(df: DataFrame, by: Sequence[str], metrics: Mapping[str, Column]) ->
     return df.groupBy(*by).agg(*[v.alias(k) for k, v in metrics.items()])
 
 
-def _with_medians(df: DataFrame, out: DataFrame, by: Sequence[str], medians: Mapping[str, Column], **kw: object) -> DataFrame:
-    """Join medians of the given row expressions to an aggregate, one quantile pass for all of them."""
+def _with_medians(df: DataFrame, metrics: Mapping[str, Column], by: Sequence[str], medians: Mapping[str, Column],
+                  small_bytes: int | None = None) -> DataFrame:
+    """Aggregates plus medians of row expressions: one aggregation for small inputs, a quantile pass beyond."""
+    if is_small(df, SMALL_BYTES if small_bytes is None else small_bytes):
+        return _grouped(df, by, {**metrics, **{k: F.percentile(v, F.lit(0.5)) for k, v in medians.items()}})
+    out = _grouped(df, by, metrics)
+    kw = {"small_bytes": small_bytes}
     values = df.select(*by, *[v.alias(k) for k, v in medians.items()])
     table = quantile_table(values, list(medians), [0.5], by, **kw)
     if not by:
@@ -79,8 +84,7 @@ def _with_medians(df: DataFrame, out: DataFrame, by: Sequence[str], medians: Map
 
 def regression_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = (), eps: float = EPS, **kw: object) -> DataFrame:
     """mae, rmse, r2, mdape %, smape %, signed bias per group (or for the whole table)."""
-    out = _grouped(df, by, mean_metrics(y, p, eps))
-    return _with_medians(df, out, by, {"mdape": absolute_percentage_error(y, p, eps)}, **kw)
+    return _with_medians(df, mean_metrics(y, p, eps), by, {"mdape": absolute_percentage_error(y, p, eps)}, **kw)
 
 
 def metrics_per_unit(df: DataFrame, y: str, p: str, units: str, by: Sequence[str] = ()) -> DataFrame:
@@ -95,15 +99,17 @@ def slice_rows(df: DataFrame, y: str, dims: Mapping[str, str], quantiles: Mappin
                n_bins: int | None = 4, by: Sequence[str] = (), bin_name: str = "target_quartile", **kw: object) -> DataFrame:
     """Each row once per slice it belongs to, as (slice_type, slice_value).
 
-    Thresholds and bin edges are exact quantiles of the target per ``by`` group.
+    Thresholds and bin edges are exact quantiles of the target per ``by`` group,
+    all found in one pass.
     """
-    probs = list(quantiles.values())
-    if by:
+    probs = [*quantiles.values(), *([i / n_bins for i in range(n_bins + 1)] if n_bins else [])]
+    limits: list[Column] = []
+    if probs and by:
         table = quantile_table(df, [y], probs, by, **kw).select(*by, F.col("q").alias("_thr"))
         df = join_many_to_one(df, table, by)
         limits = [F.col("_thr")[i] for i in range(len(probs))]
-    else:
-        limits = scalar_quantiles(df, y, probs, **kw) if probs else []
+    elif probs:
+        limits = scalar_quantiles(df, y, probs, **kw)
     entries = [F.struct(F.lit("overall").alias("slice_type"), F.lit("all").alias("slice_value"))]
     for kind, column in dims.items():
         entries.append(F.when(F.col(column).isNotNull(), F.struct(
@@ -111,12 +117,11 @@ def slice_rows(df: DataFrame, y: str, dims: Mapping[str, str], quantiles: Mappin
     for kind, limit in zip(quantiles, limits):
         entries.append(F.when(F.col(y) >= limit, F.struct(F.lit(kind).alias("slice_type"), F.lit("tail").alias("slice_value"))))
     if n_bins:
-        df = qcut(df, y, n_bins, by, name="_bin", **kw)
-        entries.append(F.struct(F.lit(bin_name).alias("slice_type"),
-                                F.concat(F.lit("Q"), F.col("_bin").cast("string")).alias("slice_value")))
+        label = F.concat(F.lit("Q"), bin_of(F.col(y), limits[len(quantiles):]).cast("string"))
+        entries.append(F.struct(F.lit(bin_name).alias("slice_type"), label.alias("slice_value")))
     rows = df.withColumn("_s", F.explode(F.array_compact(F.array(*entries))))
     return rows.withColumns({"slice_type": F.col("_s.slice_type"), "slice_value": F.col("_s.slice_value")}).drop(
-        "_s", "_thr", "_bin")
+        "_s", "_thr")
 
 
 def error_slices(df: DataFrame, y: str, p: str, units: str, cluster: str, dims: Mapping[str, str],
@@ -126,10 +131,10 @@ def error_slices(df: DataFrame, y: str, p: str, units: str, cluster: str, dims:
     keep = list(dict.fromkeys([*by, y, p, units, cluster, *dims.values()]))
     rows = slice_rows(df.select(*keep), y, dims, quantiles, n_bins, by, **kw)
     keys = [*by, "slice_type", "slice_value"]
-    out = _grouped(rows, keys, {**mean_metrics(y, p, eps), **per_unit_metrics(y, p, units), **calibration_line(y, p)})
-    sizes = rows.select(*keys, cluster).distinct().groupBy(*keys).agg(F.count(cluster).alias("n_clusters"))
-    out = _null_safe_join(out, sizes, keys)
-    return _with_medians(rows, out, keys, {"mdape": absolute_percentage_error(y, p, eps), "residual_median": residual(y, p)}, **kw)
+    metrics = {**mean_metrics(y, p, eps), **per_unit_metrics(y, p, units), **calibration_line(y, p)}
+    out = _with_medians(rows, metrics, keys, {"mdape": absolute_percentage_error(y, p, eps), "residual_median": residual(y, p)}, **kw)
+    sizes = rows.groupBy(*keys).agg(F.countDistinct(cluster).alias("n_clusters"))
+    return _null_safe_join(out, sizes, keys)
 
 
 def holdout_metrics(df: DataFrame, y: str, p: str, dims: Mapping[str, str], **kw: object) -> DataFrame:

@@ -9,29 +9,23 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.joins import join_many_to_one
 from plumbline.operators.ordering import hash_text, quantile_table, running_total, scalar_quantiles
+from plumbline.session import cut_lineage
 
 
-def _bin_of(value: Column, edges: Column) -> Column:
-    """1-based right-closed bin over an array of inner edges; ties never split, repeated edges count once."""
-    inner = F.array_distinct(edges)
-    return (F.size(F.filter(inner, lambda e: e < value)) + 1).cast("int")
+def bin_of(value: Column, edges: Sequence[Column]) -> Column:
+    """1-based right-closed bin: one more for every distinct inner edge below the value; ties never split."""
+    steps = [F.when((inner > below) & (value > inner), 1).otherwise(0) for below, inner in zip(edges, edges[1:-1])]
+    return F.when(value.isNotNull(), sum(steps, F.lit(1))).cast("int")
 
 
 def qcut(df: DataFrame, col: str, n: int, by: Sequence[str] = (), name: str = "bin", **kw: object) -> DataFrame:
     """Bins by exact linear quantile edges: right-closed, lowest value included, duplicate edges dropped."""
     probs = [i / n for i in range(n + 1)]
     if not by:
-        q = quantile_table(df, [col], probs, **kw).select("q").scalar()
-        return df.withColumn(name, F.when(F.col(col).isNotNull(), _bin_of(F.col(col), _inner_edges(q))))
+        return df.withColumn(name, bin_of(F.col(col), scalar_quantiles(df, col, probs, **kw)))
     edges = quantile_table(df, [col], probs, by, **kw).select(*by, F.col("q").alias("_q"))
     joined = join_many_to_one(df, edges, by)
-    return joined.withColumn(name, F.when(F.col(col).isNotNull(), _bin_of(F.col(col), _inner_edges(F.col("_q"))))).drop("_q")
-
-
-def _inner_edges(q: Column) -> Column:
-    """Distinct edges without the lowest and the highest one."""
-    distinct = F.array_distinct(q)
-    return F.slice(distinct, F.lit(2), F.greatest(F.size(distinct) - 2, F.lit(0)))
+    return joined.withColumn(name, bin_of(F.col(col), [F.col("_q")[i] for i in range(n + 1)])).drop("_q")
 
 
 def first_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -127,7 +121,6 @@ def representative_sample(df: DataFrame, facets: dict[str, Column], key: Sequenc
     rows with the smallest keys fill up to ``minimum``.
     Result: key columns, round, gained (new facets, sorted).
     """
-    from plumbline.session import cut_lineage
     minimum = min(minimum, limit)
     names = list(facets)
     combos = cut_lineage(facet_table(df, facets, key))
@@ -161,7 +154,3 @@ def cover_manifest(df: DataFrame, selected: DataFrame, facets: dict[str, Column]
     covered = facet_rows(selected).distinct().withColumn("covered", F.lit(True))
     return available.join(covered, "facet", "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
 
-
-__all__ = ["avg_rank", "bias_by_bin", "bounded_examples", "cover_manifest", "cumulative", "curves", "facet_table",
-           "first_per_group", "hash_pick", "ordered", "qcut", "representative_sample", "sample_n", "scalar_quantiles",
-           "top_per_group", "value_ranks"]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping
+
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,16 +106,25 @@ def assert_isolated(df: DataFrame, group: str, fold: str) -> None:
 
 def oof_mean(df: DataFrame, y: str, fold: str, unit: str | None = None, transform: str = "raw",
              name: str = "prediction") -> DataFrame:
-    """Out-of-fold mean baseline: (S - S_f) / (N - N_f) of the (transformed, per-unit) target.
+    """Out-of-fold mean baseline: (S - S_f) / (N - N_f) of the (transformed, per-unit) target."""
+    return oof_means(df, y, fold, {name: (unit, transform)})
+
+
+def oof_means(df: DataFrame, y: str, fold: str, strategies: Mapping[str, tuple[str | None, str]]) -> DataFrame:
+    """Mean baselines for several (unit, transform) strategies, one prediction column each.
 
-    One aggregation by fold replaces a fit per fold; the k fold rows are broadcast.
+    One aggregation by fold replaces a fit per fold and strategy; the k fold rows
+    are broadcast.
     """
-    u = F.col(unit) if unit else None
-    target = transform_target(F.col(y), transform, u)
-    folds = df.groupBy(fold).agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
+    parts = {name: (F.col(unit) if unit else None, transform) for name, (unit, transform) in strategies.items()}
+    targets = [transform_target(F.col(y), transform, u) for u, transform in parts.values()]
+    folds = df.groupBy(fold).agg(*[x for i, t in enumerate(targets) for x in (F.sum(t).alias(f"_s{i}"), F.count(t).alias(f"_n{i}"))])
     every = Window.partitionBy(F.lit(0))  # one row per fold
-    means = folds.select(fold, ((F.sum("_s").over(every) - F.col("_s"))
-                                / F.nullif(F.sum("_n").over(every) - F.col("_n"), F.lit(0))).alias("_m"))
-    return df.join(F.broadcast(means), fold).withColumn(name, restore_target(F.col("_m"), transform, u)).drop("_m")
+    means = folds.select(fold, *[
+        ((F.sum(f"_s{i}").over(every) - F.col(f"_s{i}")) / F.nullif(F.sum(f"_n{i}").over(every) - F.col(f"_n{i}"), F.lit(0))).alias(f"_m{i}")
+        for i in range(len(parts))])
+    joined = df.join(F.broadcast(means), fold)
+    restored = {name: restore_target(F.col(f"_m{i}"), transform, u) for i, (name, (u, transform)) in enumerate(parts.items())}
+    return joined.withColumns(restored).drop(*[f"_m{i}" for i in range(len(parts))])
 
 
