@@ -325,7 +325,7 @@ PRECISION_PEAK = {"bfloat16": "peak16", "fp8": "peak8", "mxfp4": "peak4"}
 HW_SQL = f"""WITH {B.RUNS_SQL}, p AS (SELECT * FROM (VALUES ('F', 989.5, 1979.0, NULL, 3350.0, 80.0, 700.0), ('O', 2250.0, 4500.0, 9000.0, 8000.0, 180.0, 1000.0), ('P', 312.0, NULL, NULL, 2039.0, 80.0, 400.0)) v(hw, peak16, peak8, peak4, bw, cap, rated)),
 j AS (SELECT run_key, units, y, qty, CASE substr(task, 1, 1) WHEN '1' THEN peak16 WHEN '2' THEN peak16 WHEN '3' THEN peak8 WHEN '4' THEN peak4 END::DOUBLE AS peak, bw::DOUBLE AS bw, cap::DOUBLE AS cap, rated::DOUBLE AS rated, CASE WHEN qty > 0 THEN qty * 1e13 END AS work FROM runs JOIN p USING (hw)),
 t AS (SELECT *, work / (peak * 1e12 * units) AS compute_time, (20e9 + y * 98765.4321::DOUBLE / units) / (bw * 1e9) AS memory_time FROM j)
-SELECT run_key, compute_time, memory_time, 20e9 / (cap * 1e9) AS weight_capacity_ratio, y * 98765.4321::DOUBLE / units / (cap * 1e9) AS kv_capacity_ratio_mean, y * 198765.4321::DOUBLE / units / (cap * 1e9) AS kv_capacity_ratio_max, compute_time / memory_time AS pressure_ratio, rated * units AS aggregate_rated_power, y / 100 / (rated * units) AS power_fraction FROM t"""
+SELECT run_key, compute_time, memory_time, 20e9 / (cap * 1e9) AS weight_capacity_ratio, y * 98765.4321::DOUBLE / units / (cap * 1e9) AS kv_capacity_ratio_mean, y * 198765.4321::DOUBLE / units / (cap * 1e9) AS kv_capacity_ratio_max, compute_time / memory_time AS pressure_ratio, rated * units AS aggregate_rated_power, y * 0.0123456789::DOUBLE / (rated * units) AS power_fraction FROM t"""
 HW_COLS = ["compute_time", "memory_time", "weight_capacity_ratio", "kv_capacity_ratio_mean", "kv_capacity_ratio_max", "pressure_ratio", "aggregate_rated_power", "power_fraction"]
 
 
@@ -335,7 +335,7 @@ def hardware_proxies(spark, d):
     precision = R.map_values(F.substring("task", 1, 1), {"1": "bfloat16", "2": "BFLOAT16", "3": "fp8", "4": "mxfp4", "5": "int3"})
     rows = runs.withColumns({
         "precision": precision, "parallel_units": F.lit(None).cast("double"), "tensor_parallel": F.col("units"), "work": F.col("qty") * 1e13,
-        "weight_bytes_per_unit": F.lit(20e9), "kv_mean_bytes": F.col("y") * 98765.4321, "kv_max_bytes": F.col("y") * 198765.4321, "observed_power": F.col("y") / 100})
+        "weight_bytes_per_unit": F.lit(20e9), "kv_mean_bytes": F.col("y") * 98765.4321, "kv_max_bytes": F.col("y") * 198765.4321, "observed_power": F.col("y") * 0.0123456789})
     return rounded(X.hardware_proxies(rows, PRECISION_PEAK).select("run_key", *HW_COLS), 9)
 
 

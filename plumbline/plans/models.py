@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.ml.feature import OneHotEncoder, PCA, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, PCA, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,7 @@ from plumbline.operators.joins import attach_folds, join_many_to_one
 from plumbline.operators.ordering import hash_index, quantile_table
 from plumbline.operators.profile import value_counts
 from plumbline.operators.splits import group_folds, random_splits
+from plumbline.session import cut_lineage
 
 INDICATOR = "__missing"
 
@@ -59,12 +60,13 @@ class Preprocessor:
         self.scale, self.indicators, self.max_categories = scale, indicators, max_categories
 
     def fit(self, train: DataFrame) -> Preprocessor:
-        medians = {r["column"]: (r["q"] or [None])[0] for r in quantile_table(train, self.numeric, [0.5]).collect()} if self.numeric else {}
-        counts = train.agg(F.count("*").alias("n"), *[F.count(c).alias(c) for c in self.numeric]).first()
+        # the constant column makes the row count come with the medians, in the same pass
+        table = quantile_table(train.select(*self.numeric, F.lit(1).alias("__rows")), [*self.numeric, "__rows"], [0.5])
+        found = {r["column"]: (r["n"], r["q"][0] if r["q"] else None) for r in table.collect()}
         # a column without any value is kept as zeros
-        self.medians = {c: medians.get(c) if medians.get(c) is not None else 0.0 for c in self.numeric}
-        self.flagged = [c for c in self.numeric if self.indicators and counts[c] < counts["n"]]
-        self.modes = self._modes(train)
+        self.medians = {c: found[c][1] if found[c][1] is not None else 0.0 for c in self.numeric}
+        self.flagged = [c for c in self.numeric if self.indicators and found[c][0] < found["__rows"][0]]
+        self.labels = self._categories(train)
         filled = self._fill(train)
         inputs = [*self.numeric, *[c + INDICATOR for c in self.flagged]]
         self.moments: dict[str, tuple[float, float]] = {}
@@ -74,24 +76,29 @@ class Preprocessor:
         self.stages = []
         if self.categorical:
             index, hot = [f"{c}__i" for c in self.categorical], [f"{c}__h" for c in self.categorical]
-            indexer = StringIndexer(inputCols=self.categorical, outputCols=index, handleInvalid="keep",
-                                    stringOrderType="alphabetAsc").fit(filled)
-            encoder = OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True).fit(indexer.transform(filled))
-            self.stages = [indexer, encoder]
+            indexers = [StringIndexerModel.from_labels(self.labels[c], c, i, "keep") for c, i in zip(self.categorical, index)]
+            indexed = reduce(lambda rows, stage: stage.transform(rows), indexers, filled)
+            # sizes come from the labels, so this reads no rows; the last slot is "unknown" and is dropped
+            encoder = OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True).fit(indexed)
+            self.stages = [*indexers, encoder]
             inputs = [*inputs, *hot]
         self.assembler = VectorAssembler(inputCols=inputs, outputCol="features")
         return self
 
-    def _modes(self, train: DataFrame) -> dict[str, str]:
+    def _categories(self, train: DataFrame) -> dict[str, list[str]]:
+        """Sorted category names per column (and the modes); more than ``max_categories`` names in all is refused."""
+        self.modes: dict[str, str] = {}
         if not self.categorical:
             return {}
         counts = value_counts(train, self.categorical).where(F.col("value").isNotNull())
-        order = F.struct(-F.col("n"), F.col("value"))  # most frequent, then first by name
-        best = counts.groupBy("column").agg(F.min_by("value", order).alias("mode"), F.count("*").alias("k")).collect()
-        wide = [r["column"] for r in best if r["k"] > self.max_categories]
-        if wide:
-            raise ValueError(f"too many categories to encode: {wide}")
-        return {r["column"]: r["mode"] for r in best}
+        rows = counts.limit(self.max_categories + 1).collect()
+        if len(rows) > self.max_categories:
+            raise ValueError(f"too many categories to encode in {self.categorical}")
+        labels: dict[str, list[str]] = {c: [] for c in self.categorical}
+        for r in sorted(rows, key=lambda r: (-r["n"], r["value"])):  # most frequent, then first by name
+            self.modes.setdefault(r["column"], r["value"])
+            labels[r["column"]].append(r["value"])
+        return {c: sorted(v) for c, v in labels.items()}
 
     def _fill(self, df: DataFrame) -> DataFrame:
         cols = {c + INDICATOR: F.col(c).isNull().cast("double") for c in self.flagged}
@@ -208,17 +215,19 @@ class Selection:
     selected: int
     scores: list[float | None]
     failures: list[str | None]
-    inner: DataFrame | None
 
 
 def select_by_group_cv(train: DataFrame, group: str, spec: Spec, candidates: Sequence[Mapping[str, object]],
                        inner_k: int = 3) -> Selection:
     """Row-weighted validation MAE on restored totals over inner group folds; lowest score, then lowest index."""
-    inner = group_folds(train, group, inner_k, seed=spec.seed, name="_inner").persist()
-    folds = fold_values(inner, "_inner")
-    if len(candidates) == 1 or len(folds) < 2:
-        return Selection(0, [None] * len(candidates), [None] * len(candidates), inner)
-    rows = attach_folds(train, inner, group, "_inner").persist()
+    if len(candidates) == 1:
+        return Selection(0, [None], [None])
+    inner = group_folds(train, group, inner_k, seed=spec.seed, name="_inner")
+    needed = list(dict.fromkeys([group, spec.target, *([spec.unit] if spec.unit else []), *spec.columns]))
+    rows = cut_lineage(attach_folds(train.select(*needed), inner, group, "_inner"))
+    folds = fold_values(rows, "_inner")
+    if len(folds) < 2:
+        return Selection(0, [None] * len(candidates), [None] * len(candidates))
     scores: list[float | None] = []
     failures: list[str | None] = []
     for params in candidates:
@@ -234,11 +243,10 @@ def select_by_group_cv(train: DataFrame, group: str, spec: Spec, candidates: Seq
         except Exception as error:  # a failed candidate loses; it does not end the search
             scores.append(None)
             failures.append(f"{type(error).__name__}: {error}"[:300])
-    rows.unpersist()
     ranked = [(s, i) for i, s in enumerate(scores) if s is not None]
     if not ranked:
         raise ValueError(f"all candidates failed: {failures}")
-    return Selection(min(ranked)[1], scores, failures, inner)
+    return Selection(min(ranked)[1], scores, failures)
 
 
 def nested_cv(df: DataFrame, fold: str, group: str, spec: Spec, candidates: Sequence[Mapping[str, object]],
@@ -248,24 +256,23 @@ def nested_cv(df: DataFrame, fold: str, group: str, spec: Spec, candidates: Sequ
     Metadata rows (fold, selected, scores, train_rows, test_rows, train_groups, failures) describe each search.
     """
     parts, meta = [], []
-    for k in fold_values(df, fold):
+    sizes = {r[fold]: r for r in df.groupBy(fold).agg(F.count("*").alias("n"), F.countDistinct(group).alias("g")).collect()}
+    rows, groups = sum(r["n"] for r in sizes.values()), sum(r["g"] for r in sizes.values())  # groups never cross folds
+    for k in sorted(sizes):
         train, test = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
         choice = select_by_group_cv(train, group, spec, candidates, inner_k)
         model = fit(train, spec, candidates[choice.selected])
         parts.append(model.predict(test).withColumn("selected_candidate", F.lit(choice.selected)))
-        size = df.groupBy().agg(F.count_if(F.col(fold) != k).alias("train"), F.count_if(F.col(fold) == k).alias("test"),
-                                F.countDistinct(F.when(F.col(fold) != k, F.col(group))).alias("groups")).first()
-        meta.append((k, choice.selected, choice.scores, size["train"], size["test"], size["groups"], choice.failures))
-        if choice.inner is not None:
-            choice.inner.unpersist()
+        size = sizes[k]
+        meta.append((k, choice.selected, choice.scores, rows - size["n"], size["n"], groups - size["g"], choice.failures))
     schema = "fold int, selected int, scores array<double>, train_rows long, test_rows long, train_groups long, failures array<string>"
     return _labelled(reduce(DataFrame.unionByName, parts), spec), df.sparkSession.createDataFrame(meta, schema)
 
 
 def oof_full(df: DataFrame, group: str, spec: Spec, candidates: Sequence[Mapping[str, object]], k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(predictions, fold manifest) of nested CV over every row."""
-    folds = group_folds(df, group, k, seed=spec.seed)
-    predictions, _ = nested_cv(attach_folds(df, folds, group), "fold", group, spec, candidates)
+    folds = cut_lineage(group_folds(df, group, k, seed=spec.seed))
+    predictions, _ = nested_cv(cut_lineage(attach_folds(df, folds, group)), "fold", group, spec, candidates)
     return predictions, folds
 
 
@@ -295,7 +302,7 @@ def compare_bundles(df: DataFrame, group: str, spec: Spec, bundles: Mapping[str,
     """Same complete-case rows and same folds for every bundle; one metrics row per bundle."""
     support = list(dict.fromkeys(c for b in bundles.values() for c in b["columns"]))
     rows = complete_cases(df, support)
-    rows = attach_folds(rows, group_folds(rows, group, k, seed=spec.seed), group)
+    rows = cut_lineage(attach_folds(rows, group_folds(rows, group, k, seed=spec.seed), group))
     parts = [oof_fixed(rows, "fold", replace(spec, numeric=b["numeric"], categorical=b["categorical"], labels={"bundle": name}), params)
              for name, b in bundles.items()]
     return summarise_cells(reduce(DataFrame.unionByName, parts), spec.target, "prediction", ["bundle"])
@@ -318,7 +325,7 @@ def run_strategies(df: DataFrame, fold: str, spec: Spec, strategies: Sequence[Ma
 def stress(df: DataFrame, manifest: DataFrame, on: Sequence[str], spec: Spec, params: Mapping[str, object], scheme: str,
            slice_col: str | None = None) -> DataFrame:
     """Fixed parameters refitted per held-out group (inside each slice when given); rows carry a post-hoc flag."""
-    rows = join_many_to_one(df, manifest.select(*on, "fold"), list(on), "inner").persist()
+    rows = cut_lineage(join_many_to_one(df, manifest.select(*on, "fold"), list(on), "inner"))
     parts = []
     slices = sorted(r[0] for r in rows.select(slice_col).distinct().collect()) if slice_col else [None]
     for s in slices:
@@ -337,14 +344,14 @@ def ladder(df: DataFrame, key: str, config: str, group: str, family: str, spec:
            repeats: int = 3, test: float = 0.2, k: int = 5) -> DataFrame:
     """Metrics of one fixed model under ever harder splits: random, configuration, group, family."""
     parts = []
-    splits = random_splits(df, key, test, repeats, spec.seed)
+    splits = cut_lineage(random_splits(df, key, test, repeats, spec.seed))
     for r in range(repeats):
-        marked = join_many_to_one(df, splits.where(F.col("repeat") == r).select(key, "is_test"), key, "inner")
+        marked = cut_lineage(join_many_to_one(df, splits.where(F.col("repeat") == r).select(key, "is_test"), key, "inner"))
         model = fit(marked.where(~F.col("is_test")), spec, params)
         scored = model.predict(marked.where(F.col("is_test")))
         parts.append(scored.select(F.lit("random").alias("scheme"), F.lit(r).alias("repeat"), spec.target, "prediction"))
     for scheme, column in (("configuration", config), ("group", group), ("family", family)):
-        rows = attach_folds(df, group_folds(df, column, k, seed=spec.seed), column)
+        rows = cut_lineage(attach_folds(df, group_folds(df, column, k, seed=spec.seed), column))
         parts.append(oof_fixed(rows, "fold", spec, params).select(
             F.lit(scheme).alias("scheme"), F.lit(0).alias("repeat"), spec.target, "prediction"))
     per_repeat = regression_metrics(reduce(DataFrame.unionByName, parts), spec.target, "prediction", ["scheme", "repeat"])
