@@ -31,15 +31,14 @@ def read_nested(spark: SparkSession, paths: Sequence[str], array_col: str = "con
     if schema is not None:
         reader = reader.schema(schema)
     docs = reader.json(list(paths)).withColumn("_file", F.input_file_name())
-    has_list = F.when(F.col(array_col).isNotNull(), F.lit(True)).otherwise(
+    rows = F.when(F.col(array_col).isNotNull(), F.col(array_col)).otherwise(
         F.raise_error(F.concat(F.col("_file"), F.lit(f" has no {array_col} list"))))
-    docs = docs.where(has_list)
     if expected is not None:
         stem = F.regexp_extract("_file", r"([^/]+)\.[^./]+$", 1)
         want = F.create_map(*[F.lit(x) for kv in expected.items() for x in kv])[stem]
         docs = docs.where(F.when(F.col(tag_col).eqNullSafe(want), F.lit(True)).otherwise(
             F.raise_error(F.concat(F.col("_file"), F.lit(f" declares an unexpected {tag_col}")))))
-    return docs.select(F.explode(array_col).alias("_r"), F.col(tag_col).alias("_tag")).select("_r.*", F.col("_tag").alias(tag_col))
+    return docs.select(F.explode(rows).alias("_r"), F.col(tag_col).alias("_tag")).select("_r.*", F.col("_tag").alias(tag_col))
 
 
 def read_runs(spark: SparkSession, path: str, column: str | None = None, values: Sequence[object] | None = None) -> DataFrame:
@@ -63,7 +62,7 @@ def resolve_source(spark: SparkSession, paths: Sequence[str]) -> str:
 
 def read_documents(spark: SparkSession, paths: Sequence[str] | str, forbidden: Sequence[str] = ()) -> DataFrame:
     """Many small JSON files as (path, text): one row per file; a forbidden top-level key fails the query."""
-    docs = spark.read.option("wholetext", True).text(paths if isinstance(paths, str) else list(paths))
+    docs = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True)
     docs = docs.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     for key in forbidden:
         found = F.array_contains(F.json_object_keys("text"), key)
