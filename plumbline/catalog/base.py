@@ -47,9 +47,14 @@ def oof(spark: SparkSession, d: str, strategy: str = "total_raw") -> DataFrame:
     return oof_mean(folded_runs(spark, d), "y", "fold", unit, transform)
 
 
+def oof_wide(spark: SparkSession, d: str, *names: str) -> DataFrame:
+    """One prediction column ``p_<strategy>`` per named strategy, over one stored run table."""
+    return oof_means(folded_runs(spark, d), "y", "fold", {f"p_{n}": STRATEGIES[n] for n in names})
+
+
 def oof_long(spark: SparkSession, d: str) -> DataFrame:
     """All strategies: one row per (strategy, run_key); the strategies' fold means come from one pass."""
-    out = oof_means(folded_runs(spark, d), "y", "fold", {f"p_{name}": s for name, s in STRATEGIES.items()})
+    out = oof_wide(spark, d, *STRATEGIES)
     packed = F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(f"p_{n}").alias("prediction")) for n in STRATEGIES])
     return out.select("run_key", "model", "task", "hw", "y", "units", "fold", F.inline(packed)).withColumn(
         "residual", F.col("prediction") - F.col("y"))

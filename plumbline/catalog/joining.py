@@ -103,7 +103,9 @@ paired AS (SELECT a.run_key, a.model, a.y, a.prediction AS prediction_before, b.
 
 
 def paired(spark, d):
-    return J.pair_predictions(B.oof(spark, d, "total_raw"), B.oof(spark, d, "unit_raw"), "run_key", "prediction", ["model", "y"])
+    rows = B.oof_wide(spark, d, "total_raw", "unit_raw")
+    before, after = (rows.select("run_key", "model", "y", F.col(f"p_{n}").alias("prediction")) for n in ("total_raw", "unit_raw"))
+    return J.pair_predictions(before, after, "run_key", "prediction", ["model", "y"])
 
 
 @query("pair_predictions", rsql(f"WITH {PAIRED_SQL} SELECT * FROM paired", "run_key, model, y", prediction_before=3, prediction_after=3))

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import EPS
 from plumbline.operators.joins import join_many_to_one
-from plumbline.operators.ordering import hash_index, quantile_table, scalar_quantiles
+from plumbline.operators.ordering import agg_with_medians, hash_index, quantile_table, scalar_quantiles
 from plumbline.operators.profile import _null_safe_join
 from plumbline.operators.ranking import bin_of, first_per_group, value_ranks
-from plumbline.session import BROADCAST_BYTES, SMALL_BYTES, input_bytes, is_small
+from plumbline.session import BROADCAST_BYTES, input_bytes, spread_if_small
 
 
 def residual(y: str, p: str) -> Column:
@@ -66,25 +66,9 @@ def _grouped(df: DataFrame, by: Sequence[str], metrics: Mapping[str, Column]) ->
     return df.groupBy(*by).agg(*[v.alias(k) for k, v in metrics.items()])
 
 
-def _with_medians(df: DataFrame, metrics: Mapping[str, Column], by: Sequence[str], medians: Mapping[str, Column],
-                  small_bytes: int | None = None) -> DataFrame:
-    """Aggregates plus medians of row expressions: one aggregation for small inputs, a quantile pass beyond."""
-    if is_small(df, SMALL_BYTES if small_bytes is None else small_bytes):
-        return _grouped(df, by, {**metrics, **{k: F.percentile(v, F.lit(0.5)) for k, v in medians.items()}})
-    out = _grouped(df, by, metrics)
-    kw = {"small_bytes": small_bytes}
-    values = df.select(*by, *[v.alias(k) for k, v in medians.items()])
-    table = quantile_table(values, list(medians), [0.5], by, **kw)
-    if not by:
-        lookup = table.agg(F.map_from_entries(F.collect_list(F.struct("column", F.col("q")[0].alias("m")))).alias("m")).scalar()
-        return out.withColumns({k: F.element_at(lookup, F.lit(k)) for k in medians})
-    wide = table.groupBy(*by).agg(*[F.max(F.when(F.col("column") == k, F.col("q")[0])).alias(k) for k in medians])
-    return _null_safe_join(out, wide, by)
-
-
 def regression_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = (), eps: float = EPS, **kw: object) -> DataFrame:
     """mae, rmse, r2, mdape %, smape %, signed bias per group (or for the whole table)."""
-    return _with_medians(df, mean_metrics(y, p, eps), by, {"mdape": absolute_percentage_error(y, p, eps)}, **kw)
+    return agg_with_medians(df, mean_metrics(y, p, eps), by, {"mdape": absolute_percentage_error(y, p, eps)}, **kw)
 
 
 def metrics_per_unit(df: DataFrame, y: str, p: str, units: str, by: Sequence[str] = ()) -> DataFrame:
@@ -119,9 +103,9 @@ def slice_rows(df: DataFrame, y: str, dims: Mapping[str, str], quantiles: Mappin
     if n_bins:
         label = F.concat(F.lit("Q"), bin_of(F.col(y), limits[len(quantiles):]).cast("string"))
         entries.append(F.struct(F.lit(bin_name).alias("slice_type"), label.alias("slice_value")))
-    rows = df.withColumn("_s", F.explode(F.array_compact(F.array(*entries))))
-    return rows.withColumns({"slice_type": F.col("_s.slice_type"), "slice_value": F.col("_s.slice_value")}).drop(
-        "_s", "_thr")
+    # rows outside a slice give a null struct; inline stays in generated code where array_compact would not
+    keep = [c for c in df.columns if c != "_thr"]
+    return spread_if_small(df).select(*keep, F.inline(F.array(*entries))).where(F.col("slice_type").isNotNull())
 
 
 def error_slices(df: DataFrame, y: str, p: str, units: str, cluster: str, dims: Mapping[str, str],
@@ -132,7 +116,7 @@ def error_slices(df: DataFrame, y: str, p: str, units: str, cluster: str, dims:
     rows = slice_rows(df.select(*keep), y, dims, quantiles, n_bins, by, **kw)
     keys = [*by, "slice_type", "slice_value"]
     metrics = {**mean_metrics(y, p, eps), **per_unit_metrics(y, p, units), **calibration_line(y, p)}
-    out = _with_medians(rows, metrics, keys, {"mdape": absolute_percentage_error(y, p, eps), "residual_median": residual(y, p)}, **kw)
+    out = agg_with_medians(rows, metrics, keys, {"mdape": absolute_percentage_error(y, p, eps), "residual_median": residual(y, p)}, **kw)
     sizes = rows.groupBy(*keys).agg(F.countDistinct(cluster).alias("n_clusters"))
     return _null_safe_join(out, sizes, keys)
 

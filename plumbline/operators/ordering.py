@@ -9,17 +9,12 @@ each partition is ordered on its own.  Both ways give the same exact result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import SMALL_BYTES, cut_lineage, is_small
-
-
-def _same(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
+from plumbline.session import SMALL_BYTES, cut_lineage, is_small, spread_if_small
 
 
 def running_total(df: DataFrame, order: Sequence[str], value: Column, by: Sequence[str] = (),
@@ -38,8 +33,8 @@ def running_total(df: DataFrame, order: Sequence[str], value: Column, by: Sequen
         out = df.withColumn(before, F.coalesce(F.sum(value).over(earlier), zero))
         return out.withColumn(total, F.sum(value).over(group)) if total else out
     ranged = cut_lineage(
-        df.withColumn("_v", value).repartitionByRange(*by, *order).withColumn("_bucket", F.spark_partition_id())
-    )
+        df.withColumn("_v", value).repartitionByRange(*by, *order).withColumn("_bucket", F.spark_partition_id()),
+        spread=False)
     sums = ranged.groupBy(*by, "_bucket").agg(F.sum("_v").alias("_sum"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     # at most one row per range partition and group
@@ -117,7 +112,7 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], b
             seen = F.when(value.isNotNull(), freq)
             q = F.percentile(value, share, freq) if weight else F.percentile(value, share)
             aggs += [q.alias(f"_q{i}"), F.coalesce(F.sum(seen), F.lit(0)).alias(f"_n{i}")]
-        wide = df.groupBy(*by).agg(*aggs)
+        wide = spread_if_small(df.select(*dict.fromkeys([*by, *cols, *([weight] if weight else [])]))).groupBy(*by).agg(*aggs)
         packed = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_n{i}").alias("n"), F.col(f"_q{i}").alias("q"))
                            for i, c in enumerate(cols)])
         return wide.select(*by, F.inline(packed))
@@ -157,6 +152,26 @@ def _with_empty_groups(df: DataFrame, found: DataFrame, cols: Sequence[str], by:
         F.coalesce(F.col("r.n"), F.lit(0)).alias("n"), F.col("r.q").alias("q"))
 
 
+def agg_with_medians(df: DataFrame, metrics: Mapping[str, Column], by: Sequence[str], medians: Mapping[str, Column],
+                     small_bytes: int | None = None) -> DataFrame:
+    """Aggregates plus medians of row expressions: one aggregation for small inputs, a quantile pass beyond."""
+    def aggregated(extra: Mapping[str, Column]) -> DataFrame:
+        return df.groupBy(*by).agg(*[v.alias(k) for k, v in {**metrics, **extra}.items()])
+    if is_small(df, SMALL_BYTES if small_bytes is None else small_bytes):
+        return aggregated({k: F.percentile(v, F.lit(0.5)) for k, v in medians.items()})
+    out = aggregated({})
+    table = quantile_table(df.select(*by, *[v.alias(k) for k, v in medians.items()]), list(medians), [0.5], by, small_bytes=small_bytes)
+    if not by:
+        lookup = table.agg(F.map_from_entries(F.collect_list(F.struct("column", F.col("q")[0].alias("m")))).alias("m")).scalar()
+        return out.withColumns({k: F.element_at(lookup, F.lit(k)) for k in medians})
+    wide = table.groupBy(*by).agg(*[F.max(F.when(F.col("column") == k, F.col("q")[0])).alias(k) for k in medians])
+    left, right = out.alias("l"), wide.alias("r")
+    cond = F.lit(True)
+    for c in by:
+        cond = cond & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return left.join(right, cond).select("l.*", *[F.col(f"r.{k}").alias(k) for k in medians])
+
+
 def quantile_columns(df: DataFrame, cols: Sequence[str], names: dict[str, float], by: Sequence[str] = (),
                      **kw: object) -> DataFrame:
     """``quantile_table`` with the quantiles spread into named columns."""

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from plumbline.functions.numeric import finite, relative_error
 from plumbline.operators.joins import join_many_to_one
-from plumbline.operators.ordering import quantile_columns, quantile_table
+from plumbline.operators.ordering import agg_with_medians, quantile_columns, quantile_table
+from plumbline.session import spread_if_small
 
 
 def _string_cols(df: DataFrame) -> list[str]:
@@ -236,12 +237,48 @@ def composition_json(df: DataFrame, group: str, col: str, max_values: int = 10_0
 
 # ---- numeric profiles ------------------------------------------------------------------------
 
+PROFILE_PROBS = {"minimum": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "maximum": 1.0}
+
+
 def numeric_profile(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), iqr_factor: float = 1.5,
                     **kw: object) -> DataFrame:
     """count, minimum, q1, median, q3, maximum, non-positive and IQR outliers per column."""
-    q = quantile_columns(df, cols, {"minimum": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "maximum": 1.0}, by, **kw)
-    outliers = iqr_outliers(df, cols, iqr_factor, by, _table=q, **kw)
-    return q.drop("n").join(outliers, [*by, "column"]) if not by else _null_safe_join(q.drop("n"), outliers, [*by, "column"])
+    return _outlier_profile(df, cols, by, PROFILE_PROBS, iqr_factor, False, **kw)
+
+
+def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5, by: Sequence[str] = (), high_only: bool = False,
+                 **kw: object) -> DataFrame:
+    """count, non-positive and values strictly outside q1 - k*iqr .. q3 + k*iqr (or only above)."""
+    out = _outlier_profile(df, cols, by, {"q1": 0.25, "q3": 0.75}, k, high_only, **kw)
+    return out.drop("q1", "q3")
+
+
+def _outlier_profile(df: DataFrame, cols: Sequence[str], by: Sequence[str], probs: Mapping[str, float], k: float,
+                     high_only: bool, **kw: object) -> DataFrame:
+    """Quantiles once, then one pass that counts against the limits they give."""
+    table = quantile_columns(df, cols, dict(probs), by, **kw).drop("n")
+
+    def outside(v: Column, q1: Column, q3: Column) -> Column:
+        high = v > q3 + k * (q3 - q1)
+        return high if high_only else high | (v < q1 - k * (q3 - q1))
+    if not by:
+        # one entry per profiled column
+        lookup = table.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct(*probs)))).alias("m")).scalar()
+        aggs, entries = [], []
+        for i, x in enumerate(cols):
+            v, q = F.col(x).cast("double"), F.element_at(lookup, F.lit(x))
+            aggs += [F.count(v).alias(f"_c{i}"), F.count_if(v <= 0).alias(f"_z{i}"),
+                     F.count_if(outside(v, q["q1"], q["q3"])).alias(f"_o{i}")]
+            entries.append((x, {**{p: q[p] for p in probs}, "count": F.col(f"_c{i}"), "non_positive": F.col(f"_z{i}"),
+                                "outliers": F.col(f"_o{i}")}))
+        return _unpivot(df.agg(*aggs), entries)
+    group = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}).alias("_g")  # null-safe join key
+    packed = F.array(*[F.struct(F.lit(x).alias("column"), F.col(x).cast("double").alias("v")) for x in cols])
+    joined = join_many_to_one(df.select(group, F.inline(packed)), table.select(group, *by, "column", *probs), ["_g", "column"], "inner")
+    v = F.col("v")
+    return joined.groupBy(*by, "column", *probs).agg(
+        F.count(v).alias("count"), F.count_if(v <= 0).alias("non_positive"),
+        F.count_if(outside(v, F.col("q1"), F.col("q3"))).alias("outliers"))
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -252,33 +289,6 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return l.join(r, cond, how).select("l.*", *[F.col(f"r.{x}").alias(x) for x in right.columns if x not in keys])
 
 
-def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5, by: Sequence[str] = (), high_only: bool = False,
-                 _table: DataFrame | None = None, **kw: object) -> DataFrame:
-    """Values strictly outside q1 - k*iqr .. q3 + k*iqr (or only above), with the limits used."""
-    table = _table if _table is not None else quantile_columns(df, cols, {"q1": 0.25, "q3": 0.75}, by, **kw)
-    limits = table.select(*by, "column", (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("lower_limit"),
-                          (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("upper_limit"))
-    if by:
-        packed = F.array(*[F.struct(F.lit(x).alias("column"), F.col(x).cast("double").alias("v")) for x in cols])
-        long = df.select(*by, F.inline(packed)).where(F.col("v").isNotNull())
-        joined = _null_safe_join(long, limits, [*by, "column"])
-        v, lo, hi = F.col("v"), F.col("lower_limit"), F.col("upper_limit")
-        out = (v > hi) if high_only else ((v < lo) | (v > hi))
-        counted = joined.groupBy(*by, "column").agg(F.count("*").alias("count"), F.count_if(v <= 0).alias("non_positive"),
-                                                   F.count_if(out).alias("outliers"))
-        return counted
-    wide = df
-    aggs = []
-    lookup = limits.agg(F.map_from_entries(F.collect_list(F.struct(
-        "column", F.struct("lower_limit", "upper_limit")))).alias("m")).scalar()  # one entry per profiled column
-    for i, x in enumerate(cols):
-        v, limit = F.col(x).cast("double"), F.element_at(lookup, F.lit(x))
-        out = (v > limit["upper_limit"]) if high_only else ((v < limit["lower_limit"]) | (v > limit["upper_limit"]))
-        aggs += [F.count(v).alias(f"_c{i}"), F.count_if(v <= 0).alias(f"_z{i}"), F.count_if(out).alias(f"_o{i}")]
-    return _unpivot(wide.agg(*aggs), [(x, {"count": F.col(f"_c{i}"), "non_positive": F.col(f"_z{i}"),
-                                           "outliers": F.col(f"_o{i}")}) for i, x in enumerate(cols)])
-
-
 def distribution(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), **kw: object) -> DataFrame:
     """n, nunique, min, p5, p25, median, p75, p95, max, mean, population std, cv, p95/p5 and log10 range."""
     packed = F.array(*[F.struct(F.lit(x).alias("column"), finite(F.col(x)).alias("v")) for x in cols])
@@ -316,10 +326,9 @@ def identity_check(df: DataFrame, observed: Column, expected: Column, tol: float
     For a ratio identity pass ``try_divide``: a zero denominator is skipped too.
     """
     errors = identity_errors(df, observed, expected, [])
-    ends = errors.agg(F.count("*").alias("checked"), F.count_if(F.col("relative_error") > tol).alias("failed"),
-                      F.max("relative_error").alias("max_relative_error"))
-    median = quantile_table(errors, ["relative_error"], [0.5], **kw).select(F.col("q")[0]).scalar()
-    return ends.withColumn("median_relative_error", median)
+    e = F.col("relative_error")
+    metrics = {"checked": F.count("*"), "failed": F.count_if(e > tol), "max_relative_error": F.max(e)}
+    return agg_with_medians(spread_if_small(errors), metrics, [], {"median_relative_error": e}, **kw)
 
 
 def identity_failures(df: DataFrame, observed: Column, expected: Column, keys: Sequence[str], tol: float = 1e-9,
@@ -343,9 +352,9 @@ def utilisation(df: DataFrame, num: str, den: str, floor: float = 0.85, by: Sequ
     """num / den where den is not zero: rows, min, median, max and rows below the floor."""
     ratio = df.select(*by, F.try_divide(F.col(num).cast("double"), F.col(den).cast("double")).alias("ratio"))
     ratio = ratio.where(F.col("ratio").isNotNull())
-    q = quantile_columns(ratio, ["ratio"], {"minimum": 0.0, "median": 0.5, "maximum": 1.0}, by, **kw).drop("column")
-    low = ratio.groupBy(*by).agg(F.count_if(F.col("ratio") < floor).alias("below_floor"))
-    return _null_safe_join(q, low, by) if by else q.withColumn("below_floor", low.select("below_floor").scalar())
+    r = F.col("ratio")
+    metrics = {"n": F.count("*"), "minimum": F.min(r), "maximum": F.max(r), "below_floor": F.count_if(r < floor)}
+    return agg_with_medians(ratio, metrics, by, {"median": r}, **kw)
 
 
 # ---- field values, expectations, lengths, differences ----------------------------------------

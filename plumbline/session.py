@@ -59,6 +59,15 @@ def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
     return F.broadcast(df) if is_small(df, BROADCAST_BYTES if limit is None else limit) else df
 
 
+def spread_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Spread a small input over all cores before costly row work.
+
+    A small file is one scan task however many cores there are; a large input
+    already has a task per split and is left alone.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df, limit) else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only for local runs without it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -71,15 +80,15 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def cut_lineage(df: DataFrame, spread: bool = True) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back (small tables in as many files as there are cores).
 
     The result survives executor loss, is not recomputed by later passes, keeps
     column pruning, and has a known size.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid4().hex}"
-    df.write.parquet(path)
+    (spread_if_small(df) if spread else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
