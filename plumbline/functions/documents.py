@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,35 +11,31 @@ from pyspark.sql import functions as F
 def flatten_json(df: DataFrame, col: str, keep: Sequence[str], depth: int = 8) -> DataFrame:
     """Rows (keep…, path, kind, value, length): one per leaf of the JSON document.
 
-    Objects are opened level by level with ``variant_explode``; a list is a leaf
-    that reports its length.  Objects still nested below ``depth`` raise, so no
-    leaf is lost silently.
+    Objects are opened level by level while leaves pass through, so the source is
+    read once whatever the depth; a list is a leaf that reports its length.  An
+    object still nested below ``depth`` fails the query, so no leaf is lost silently.
     """
     spark = df.sparkSession
     level = df.select(*keep, F.lit("").alias("_path"), F.parse_json(F.col(col)).alias("_v"))
-    leaves: list[DataFrame] = []
-    for step in range(depth + 1):
-        kind = F.schema_of_variant("_v")
-        is_object = kind.startswith("OBJECT")
-        leaf = level if step == 0 else level.where(~is_object)
-        if step:
-            is_list = kind.startswith("ARRAY")
-            leaves.append(leaf.select(
-                *keep, F.col("_path").alias("path"),
-                F.when(is_list, "list").when(kind == "VOID", "null").otherwise(F.lower(kind)).alias("kind"),
-                F.when(~is_list, F.try_variant_get("_v", "$", "string")).alias("value"),
-                F.when(is_list, F.size(F.try_variant_get("_v", "$", "array<variant>"))).alias("length")))
-        opened = level.where(is_object)
-        if step == depth:
-            leaves.append(opened.select(
-                *keep, F.col("_path").alias("path"),
-                F.raise_error(F.concat(F.lit("object nested too deep at "), F.col("_path"))).cast("string").alias("kind"),
-                F.lit(None).cast("string").alias("value"), F.lit(None).cast("int").alias("length")))
-            break
-        joined = opened.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
+
+    def is_object() -> Column:
+        return F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
+    for _ in range(depth):
+        level = level.withColumn("_o", is_object())
+        opened = level.lateralJoin(spark.tvf.variant_explode_outer(F.when(F.col("_o"), F.col("_v")).outer()))
         name = F.when(F.col("_path") == "", F.col("key")).otherwise(F.concat_ws(".", "_path", "key"))
-        level = joined.select(*keep, name.alias("_path"), F.col("value").alias("_v"))
-    return reduce(DataFrame.unionByName, leaves)
+        # an empty object has no leaves
+        level = opened.where(~F.col("_o") | F.col("key").isNotNull()).select(
+            *keep, F.when(F.col("_o"), name).otherwise(F.col("_path")).alias("_path"),
+            F.when(F.col("_o"), F.col("value")).otherwise(F.col("_v")).alias("_v"))
+    kind = F.schema_of_variant("_v")
+    is_list = kind.startswith("ARRAY")
+    too_deep = F.raise_error(F.concat(F.lit("object nested too deep at "), F.col("_path"))).cast("string")
+    return level.where(F.col("_v").isNotNull()).select(
+        *keep, F.col("_path").alias("path"),
+        F.when(is_object(), too_deep).when(is_list, "list").when(kind == "VOID", "null").otherwise(F.lower(kind)).alias("kind"),
+        F.when(~is_list, F.try_variant_get("_v", "$", "string")).alias("value"),
+        F.when(is_list, F.size(F.try_variant_get("_v", "$", "array<variant>"))).alias("length"))
 
 
 def flatten_json_fixed(df: DataFrame, col: str, keep: Sequence[str], fields: Mapping[str, str]) -> DataFrame:
