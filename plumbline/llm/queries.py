@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import sharding
+from plumbline.llm import mixing, sharding, tokens
 from plumbline.llm.common import stored
 
 SHARDS = 40
@@ -30,3 +31,14 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored(sharding.shard_documents(documents(spark, sf_dir), SHARDS, keep=["doc_id"]))
     return sharding.number_slots(rows, "shard", ["doc_id", "text_crc32", "size"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(documents(spark, sf_dir), keep=["doc_id"]).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+@query
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])

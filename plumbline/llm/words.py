@@ -13,7 +13,7 @@ import numpy as np
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_PERIOD = 1 << 16
+_PERIOD = 1 << 12
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
