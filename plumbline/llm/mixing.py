@@ -85,11 +85,9 @@ def _draws(n: int, *key: object) -> np.ndarray:
 def _group_rounder(seed: int, level: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["size", "tie"], ascending=[False, True], ignore_index=True)
-        draws = _draws(len(p) + 1, seed, level, p["place"][0], int(p["group"][0]))
+        draws = _draws(len(p), seed, level, p["place"][0], int(p["group"][0]))
         done = pivot(p["fraction"].to_numpy(), p["size"].to_numpy(), draws)
-        if last:  # what is left of a whole source
-            done = np.where((done > 0) & (done < 1), (draws[-1] < done).astype(float), done)
-        return p.assign(fraction=done)
+        return p.assign(fraction=np.round(done) if last else done)  # at last one document of the source is left: the nearer
     return run
 
 

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import mixing, sharding, tokens
-from plumbline.llm.common import stored
+from plumbline.llm import language, mixing, sharding, tokens
+from plumbline.llm.common import fold, stored
 
 SHARDS = 40
 
@@ -42,3 +42,10 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
+
+
+@query
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", fold("doc_id", 4) == 2)
+    model = language.fit(docs.where(~F.col("held_out")))
+    return language.predict(docs, model, keep=["doc_id", "held_out"])
