@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import stored
 from plumbline.llm.words import mix
 
-GROUP_ROWS = 20_000
+GROUP_ROWS = 2_000
 WEIGHTS = (5, 2, 1)
 TOP = 3
 WORD = r"[^\x20\x09-\x0D]+"
