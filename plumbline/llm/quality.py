@@ -2,28 +2,31 @@
 
 Two zstandard dictionaries are built from labelled text.  A text is compressed with both, in pieces of ``PIECE`` bytes so that it is the dictionary
 that explains them and not the text itself.  The difference of the two sizes over the length, shrunk a little for short
-texts, becomes a probability by a logistic curve fitted on labelled rows that the dictionaries have not seen.
+texts, becomes a probability by a rising curve fitted on labelled rows, measured with dictionaries that have not seen them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import blocks, with_columns
+from plumbline.llm.common import blocks, stored, with_columns
 
-#: labelled rows per class that build the dictionaries, about; as many more fit the curve
-SAMPLE_ROWS = 3_000
+#: labelled rows per class in each of the two halves of the sample, about
+SAMPLE_ROWS = 2_000
 #: a sampled text gives the dictionary this many excerpts of EXCERPT characters, evenly spread
 EXCERPTS, EXCERPT = 8, 1_024
 DICTIONARY_BYTES = 112 << 10
 PIECE, LEVEL = 256, 3
+LEVEL_ROWS = 8
 SHRINK = 64
 
 
@@ -32,8 +35,8 @@ class Model:
     good: bytes
     bad: bytes
     raw: bool  # the dictionaries are plain text
-    offset: float
-    slope: float
+    at: np.ndarray  # knots of the curve: difference
+    share: np.ndarray  # and probability
 
 
 def _build(samples: list[bytes]) -> bytes:
@@ -60,67 +63,84 @@ class Sizes:
         return sum(len(self.bad(p)) - len(self.good(p)) for p in pieces) / (len(text) + SHRINK)
 
 
-def _differences(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns and ``__d``, the difference of the column ``__text``."""
+def _differences(docs: DataFrame, model: Model, keep: list[str], name: str, then: Callable[[np.ndarray], np.ndarray] = lambda d: d) -> DataFrame:
+    """``keep`` columns and ``name``, what ``then`` makes of the differences of the column ``__text``."""
     made: list[Sizes] = []
 
     def run(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         if not model.good or not model.bad:
-            return {"__d": np.zeros(batch.num_rows)}
+            return {name: then(np.zeros(batch.num_rows))}
         if not made:
             made.append(Sizes(model))
         out = []
         for _, data, at in blocks(batch.column(batch.num_columns - 1)):
             whole = memoryview(data.tobytes())
             out += [made[0].difference(whole[a:b]) for a, b in zip(at[:-1], at[1:])]
-        return {"__d": np.array(out, float)}
+        return {name: then(np.array(out, float))}
 
-    return with_columns(docs, {"__d": T.DoubleType()}, run, keep, ["__text"])
+    return with_columns(docs, {name: T.DoubleType()}, run, keep, ["__text"])
 
 
-def fit_curve(d: np.ndarray, good: np.ndarray) -> tuple[float, float]:
-    """Offset and slope of the logistic curve with least loss (Newton steps, a slight ridge, targets smoothed as by Platt)."""
-    n1, n0 = good.sum(), (~good).sum()
-    y = np.where(good, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    scale = max(float(d.std()), 1e-6)
-    x = np.stack([np.ones(len(d)), d / scale], axis=1)
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (y - p) - 1e-3 * w)
-        w += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(w[0]), float(w[1] / scale)
+def fit_curve(d: np.ndarray, good: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the rising curve nearest to the labels (pool adjacent violators), from the mean of each level to the next.
+
+    Every level's share is drawn a little to one half, so no score is sure; a level has ``LEVEL_ROWS`` rows at least.
+    """
+    order = np.argsort(d, kind="stable")
+    levels: list[list[float]] = []  # weight, weight of good, sum of weight x d, rows
+    for x, w, y in zip(d[order], weight[order], good[order]):
+        levels.append([w, w * y, w * x, 1])
+        while len(levels) > 1 and (levels[-2][1] * levels[-1][0] >= levels[-1][1] * levels[-2][0] or levels[-2][3] < LEVEL_ROWS):
+            last = levels.pop()
+            levels[-1] = [a + b for a, b in zip(levels[-1], last)]
+    unit = float(weight.mean())
+    return np.array([s / w for w, _, s, _ in levels]), np.array([(g + unit / 2) / (w + unit) for w, g, _, _ in levels])
+
+
+def probability(d: np.ndarray, model: Model) -> np.ndarray:
+    """The curve at ``d``; a fiftieth of it is a plain sigmoid, so that a larger difference always scores higher."""
+    width = max(float(np.ptp(model.at)) / 4, 1e-6)
+    slope = 1 / (1 + np.exp(-np.clip((d - model.at.mean()) / width, -30, 30)))
+    return 0.98 * np.interp(d, model.at, model.share) + 0.02 * slope
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from the rows of ``docs`` that ``labels`` marks 1 (good) or 0.
 
-    Of each class about ``sample_rows`` rows, by hash of the id, build the dictionary, and as many fit the curve.  An id labelled
+    Of each class about twice ``sample_rows`` rows, by hash of the id, build the dictionaries; for the curve, each half of them is measured with dictionaries of the other.  An id labelled
     more than once counts as its lowest label; null ids and labels teach nothing.  With one class only, or none, the model gives every text the share of good labels.
     """
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.min(label).alias("__label"))
     size = {r["__label"]: r["count"] for r in marked.groupBy("__label").count().collect()}
     share = F.when(F.col("__label") == 1, min(1.0, 2 * sample_rows / size.get(1, 1))).otherwise(min(1.0, 2 * sample_rows / size.get(0, 1)))
     draw = F.crc32(F.concat(F.lit("quality-"), F.col("__id").cast("string")).cast("binary")) / float(1 << 32)
-    chosen = marked.where(draw < share).select("__id", "__label", (draw < share / 2).alias("__build"))
+    chosen = marked.where(draw < share).select("__id", "__label", (draw < share / 2).alias("__half"))
     # about 4 x sample_rows rows of three numbers
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__id")
+    rows = stored(docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__id"))
     step = F.greatest(F.ceil(F.length("__text") / EXCERPTS), F.lit(EXCERPT))
     excerpts = F.transform(F.sequence(F.lit(0), F.lit(EXCERPTS - 1)), lambda i: F.substr("__text", (i * step + 1).cast("int"), F.lit(EXCERPT)))
-    sample: dict[int, list[bytes]] = {0: [], 1: []}
-    for r in rows.where("__build").select("__id", "__label", excerpts.alias("parts")).orderBy("__id", "parts").toLocalIterator():
-        sample[r["__label"]] += [p.encode() for p in r["parts"] if p]
-    if not sample[0] or not sample[1]:
-        n1, n0 = size.get(1, 0), size.get(0, 0)
-        return Model(b"", b"", True, float(np.log((n1 + 1) / (n0 + 1))), 0.0)
-    model = Model(*_dictionaries(sample[1], sample[0]), 0.0, 0.0)
-    held = _differences(rows.where("not __build"), model, ["__label"]).toPandas()
-    # the two classes were sampled at different rates; the curve is for their true shares
-    rate = {c: min(1.0, 2 * sample_rows / n) for c, n in size.items()}
-    offset, slope = fit_curve(held["__d"].to_numpy(float), held["__label"].to_numpy() == 1) if len(held) else (0.0, 0.0)
-    return Model(model.good, model.bad, model.raw, offset + float(np.log(rate[0] / rate[1])), slope)
+    sample: dict[tuple[bool, int], list[bytes]] = {(half, c): [] for half in (False, True) for c in (0, 1)}
+    for r in rows.select("__id", "__label", "__half", excerpts.alias("parts")).orderBy("__id", "parts").toLocalIterator():
+        sample[r["__half"], r["__label"]] += [p.encode() for p in r["parts"] if p]
+    good, bad = (sample[False, c] + sample[True, c] for c in (1, 0))
+    prior = np.zeros(1), np.array([(size.get(1, 0) + 1) / (size.get(1, 0) + size.get(0, 0) + 2)])
+    if not good or not bad:
+        return Model(b"", b"", True, *prior)
+    model = Model(*_dictionaries(sample[False, 1] or good, sample[False, 0] or bad), *prior)  # as large as those that the curve is fitted with
+    seen = []  # each half is measured with the dictionaries of the other
+    for half in (False, True):
+        if sample[half, 0] and sample[half, 1]:
+            other = Model(*_dictionaries(sample[half, 1], sample[half, 0]), *prior)
+            seen.append(_differences(rows.where(F.col("__half") != half), other, ["__label"], "__d").toPandas())
+    if not sum(map(len, seen)):
+        return model
+    held = pd.concat(seen)
+    good = held["__label"].to_numpy() == 1
+    # the two classes were sampled at different rates; weights restore their true shares
+    weight = np.where(good, *(max(1.0, size[c] / (2 * sample_rows)) for c in (1, 0)))
+    order = np.lexsort([good, held["__d"]])
+    at, shares = fit_curve(held["__d"].to_numpy(float)[order], good[order], weight[order])
+    return Model(model.good, model.bad, model.raw, at, shares)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
@@ -130,6 +150,5 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     named like the new ones are replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    out = _differences(docs.select(*keep, F.col(text).cast("string").alias("__text")), model, keep)
-    p = 1 / (1 + F.exp(-(F.lit(model.offset) + F.col("__d") * model.slope)))
-    return out.withColumn("score", p).withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("__d")
+    out = _differences(docs.select(*keep, F.col(text).cast("string").alias("__text")), model, keep, "score", lambda d: probability(d, model))
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
