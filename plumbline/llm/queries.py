@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language, mixing, quality, rules, sharding, tokens
+from plumbline.llm import language, lines, mixing, quality, rules, sharding, tokens
 from plumbline.llm.common import fold, stored
 
 SHARDS = 40
@@ -66,3 +66,23 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("held_out", fold("doc_id", 5) == 0)
     model = quality.fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
     return quality.score(docs, model, keep=["doc_id", "held_out"])
+
+
+@query
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_repeated(documents(spark, sf_dir), keep=["doc_id"])
+
+
+ORACLES["op5_lines"] = r"""
+WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+line AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) - 1 AS i FROM split),
+worded AS (SELECT * FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+win AS (SELECT * FROM (SELECT doc_id, i AS a, lead(i, 2) OVER d AS z, l AS l1, lead(l) OVER d AS l2, lead(l, 2) OVER d AS l3
+  FROM worded WINDOW d AS (PARTITION BY doc_id ORDER BY i)) WHERE z IS NOT NULL),
+later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id, a) AS k FROM win) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS i FROM later),
+cleaned AS (SELECT doc_id, count(gone.i) AS n_removed, string_agg(l, chr(10) ORDER BY i) FILTER (WHERE gone.i IS NULL) AS text
+  FROM line LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(len(ls), 0)::INT AS n_lines, coalesce(n_removed, 0)::INT AS n_removed,
+  CASE WHEN split.text IS NOT NULL THEN coalesce(cleaned.text, '') END AS text
+FROM split LEFT JOIN cleaned USING (doc_id)"""
