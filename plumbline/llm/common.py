@@ -6,7 +6,7 @@ executors and is not computed again by later passes.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from uuid import uuid4
 
 import numpy as np
@@ -46,7 +46,7 @@ def with_columns(df: DataFrame, schema: dict[str, T.DataType], fn: Callable[[pa.
             if not batch.num_rows:
                 continue
             made = fn(batch)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(made[n]) for n in schema)], names=[*keep, *schema])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(made[n] if isinstance(made[n], pa.Array) else pa.array(made[n]) for n in schema)], names=[*keep, *schema])
 
     return df.select(*names).mapInArrow(run, out)
 
@@ -70,11 +70,3 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[slice,
         yield slice(start, end), data[at[start]:at[end]], at[start:end + 1] - at[start]
         start = end
 
-
-def rows_to_batch(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
-
-
-def concat(parts: Iterable[np.ndarray], dtype: object) -> np.ndarray:
-    parts = list(parts)
-    return np.concatenate(parts) if parts else np.zeros(0, dtype)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language, lines, mixing, quality, rules, sharding, tokens
+from plumbline.llm import decontamination, language, lines, mixing, quality, rules, sharding, tokens
 from plumbline.llm.common import fold, stored
 
 SHARDS = 40
@@ -86,3 +86,9 @@ cleaned AS (SELECT doc_id, count(gone.i) AS n_removed, string_agg(l, chr(10) ORD
 SELECT doc_id, coalesce(len(ls), 0)::INT AS n_lines, coalesce(n_removed, 0)::INT AS n_removed,
   CASE WHEN split.text IS NOT NULL THEN coalesce(cleaned.text, '') END AS text
 FROM split LEFT JOIN cleaned USING (doc_id)"""
+
+
+@query
+def op9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", F.inline("leaks"))
