@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, language, lines, mixing, quality, rules, sharding, tokens
+from plumbline.llm import decontamination, language, lines, mixing, neardup, quality, rules, sharding, tokens
 from plumbline.llm.common import fold, stored
 
 SHARDS = 40
@@ -92,3 +92,8 @@ FROM split LEFT JOIN cleaned USING (doc_id)"""
 def op9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", F.inline("leaks"))
+
+
+@query
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classify(documents(spark, sf_dir), keep=["doc_id"]).select("doc_id", "class_id")
