@@ -190,12 +190,13 @@ def _candidates(buckets: DataFrame, roots: DataFrame | None, round_: int) -> Dat
 
 
 def classify(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` (columns ``keep``, default all) with ``class_id``, the lowest id in the row's class, and ``class_key``, never null.
+    """Rows of ``docs`` (columns ``keep``, default all) with ``class_id``, the lowest id in the row's class; ``class_key``, a number of the class that is never
+    null; ``text_key``, equal for equal texts; and ``class_first``, true for the text with the lowest id of the class (for every row equal in id and text).
 
     Equal texts are one class, so null texts are too; texts without a word are only alike if equal.  Ids may repeat or be null: ``class_id`` is the lowest that is not,
     null if none is.  Case of A-Z and white space do not count in shingles.  Columns of ``docs`` named like the new ones are replaced.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("class_id", "class_key")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("class_id", "class_key", "text_key", "class_first")]
     own = F.col(text).cast("string")
     key = F.coalesce(F.xxhash64(own), F.lit(0))
     rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), own.alias("text"))
@@ -217,9 +218,10 @@ def classify(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep:
         if round_ == 0 or not new.isEmpty():
             roots = components(links)
     classes = texts.join(roots, "key", "left").select("key", "id", F.coalesce("root", "key").alias("class_key"))
-    lowest = classes.groupBy("class_key").agg(F.min("id").alias("class_id"))
-    classes = stored(classes.select("key", "class_key").join(lowest, "class_key"))
-    return docs.select(F.struct(*keep).alias("kept"), key.alias("key")).join(classes, "key").select("kept.*", "class_id", "class_key")
+    lowest = classes.groupBy("class_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
+    classes = stored(classes.select("key", "class_key").join(lowest, "class_key").select("key", "class_key", "first.id", F.col("first.key").alias("first_key")))
+    return docs.select(F.struct(*keep).alias("kept"), F.col(id_col).alias("own_id"), key.alias("key")).join(classes, "key").select(
+        "kept.*", F.col("id").alias("class_id"), "class_key", F.col("key").alias("text_key"), (F.col("own_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("first_key"))).alias("class_first"))
 
 
 def _verify(pairs: DataFrame, rows: DataFrame, texts: DataFrame, weights: np.ndarray) -> DataFrame:
