@@ -22,10 +22,10 @@ from plumbline.session import shared_folder
 BLOCK_BYTES = 4 << 20
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """Write ``df`` to the shared folder, partitioned ``by`` columns, and read it back."""
     path = f"{shared_folder(df.sparkSession)}/llm-{uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, language, lines, mixing, neardup, quality, rules, sharding, tokens
+from plumbline.llm import decontamination, katz, language, lines, mixing, neardup, quality, rules, sharding, tokens
 from plumbline.llm.common import fold, stored
 
 SHARDS = 40
@@ -97,3 +97,9 @@ def op9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classify(documents(spark, sf_dir), keep=["doc_id"]).select("doc_id", "class_id")
+
+
+@query
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", fold("doc_id", 7) == 2)
+    return katz.score(docs, ~F.col("held_out"), keep=["doc_id", "held_out"])
