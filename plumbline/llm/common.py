@@ -34,6 +34,14 @@ def fold(id_col: str, k: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % k, F.lit(-1))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no column called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_columns(df: DataFrame, schema: dict[str, T.DataType], fn: Callable[[pa.RecordBatch], dict[str, object]],
                  keep: list[str], use: list[str]) -> DataFrame:
     """``keep`` columns of ``df`` plus the columns ``fn`` makes of each Arrow batch of ``use``; rows stay as they are."""

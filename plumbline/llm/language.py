@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import blocks, with_columns
+from plumbline.llm.common import blocks, free, with_columns
 
 BUCKETS = 1 << 14
 ORDERS = (2, 3, 4)
@@ -40,7 +40,7 @@ def codewords(n: int) -> np.ndarray:
     """Codewords of -1 and 1: all distinct splits for up to five classes, else rows of a Hadamard matrix (half of all bits differ)."""
     if n <= 5:
         columns = [[1 if (s >> i) & 1 else -1 for i in range(n)] for s in range(1, 1 << (n - 1))] if n > 1 else []
-        return np.array(columns, np.int8).reshape(-1, n).T
+        return np.array(columns, np.int8).reshape(len(columns), n).T
     matrix = np.ones((1, 1), np.int8)
     while len(matrix) <= n:
         matrix = np.block([[matrix, matrix], [matrix, -matrix]])
@@ -158,6 +158,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
         names = [model.languages[b] if k else "und" for b, k in zip(best, known)]
         return {"lang_pred": names, "score": np.where(known, score, 0.0)}
 
-    named = docs.select(*keep, letters(F.col(text).cast("string")).alias("__letters"))
-    out = with_columns(named, {"lang_pred": T.StringType(), "score": T.DoubleType()}, run, keep, ["__letters"])
+    own = free(docs, "letters")
+    named = docs.select(*keep, letters(F.col(text).cast("string")).alias(own))
+    out = with_columns(named, {"lang_pred": T.StringType(), "score": T.DoubleType()}, run, keep, [own])
     return out.withColumn("ambiguous", F.col("score") < clear)

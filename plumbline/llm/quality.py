@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import blocks, stored, with_columns
+from plumbline.llm.common import blocks, free, stored, with_columns
 
 #: labelled rows per class in each of the two halves of the sample, about
 SAMPLE_ROWS = 2_000
@@ -63,8 +63,8 @@ class Sizes:
         return sum(len(self.bad(p)) - len(self.good(p)) for p in pieces) / (len(text) + SHRINK)
 
 
-def _differences(docs: DataFrame, model: Model, keep: list[str], name: str, then: Callable[[np.ndarray], np.ndarray] = lambda d: d) -> DataFrame:
-    """``keep`` columns and ``name``, what ``then`` makes of the differences of the column ``__text``."""
+def _differences(docs: DataFrame, model: Model, keep: list[str], text: str, name: str, then: Callable[[np.ndarray], np.ndarray] = lambda d: d) -> DataFrame:
+    """``keep`` columns and ``name``, what ``then`` makes of the differences of the column ``text``."""
     made: list[Sizes] = []
 
     def run(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -78,7 +78,7 @@ def _differences(docs: DataFrame, model: Model, keep: list[str], name: str, then
             out += [made[0].difference(whole[a:b]) for a, b in zip(at[:-1], at[1:])]
         return {name: then(np.array(out, float))}
 
-    return with_columns(docs, {name: T.DoubleType()}, run, keep, ["__text"])
+    return with_columns(docs, {name: T.DoubleType()}, run, keep, [text])
 
 
 def fit_curve(d: np.ndarray, good: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     for half in (False, True):
         if sample[half, 0] and sample[half, 1]:
             other = Model(*_dictionaries(sample[half, 1], sample[half, 0]), *prior)
-            seen.append(_differences(rows.where(F.col("__half") != half), other, ["__label"], "__d").toPandas())
+            seen.append(_differences(rows.where(F.col("__half") != half), other, ["__label"], "__text", "__d").toPandas())
     if not sum(map(len, seen)):
         return model
     held = pd.concat(seen)
@@ -150,5 +150,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     named like the new ones are replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    out = _differences(docs.select(*keep, F.col(text).cast("string").alias("__text")), model, keep, "score", lambda d: probability(d, model))
+    own = free(docs, "own_text")
+    out = _differences(docs.select(*keep, F.col(text).cast("string").alias(own)), model, keep, own, "score", lambda d: probability(d, model))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import blocks, stored, with_columns
+from plumbline.llm.common import blocks, free, stored, with_columns
 from plumbline.llm.words import find_words, mix, span_hashes, windows
 
 SYMBOLS = np.zeros(256, bool)
@@ -77,7 +77,8 @@ def text_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = No
         parts = [count_block(data, at) for _, data, at in blocks(batch.column(batch.num_columns - 1))]
         return {c: np.concatenate([p[c] for p in parts]) for c in COUNTS}
 
-    return with_columns(docs.select(*keep, F.col(text).cast("string").alias("__text")), {c: T.LongType() for c in COUNTS}, run, keep, ["__text"])
+    own = free(docs, "own_text")
+    return with_columns(docs.select(*keep, F.col(text).cast("string").alias(own)), {c: T.LongType() for c in COUNTS}, run, keep, [own])
 
 
 def base_failed() -> Column:

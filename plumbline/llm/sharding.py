@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stored
+from plumbline.llm.common import free, stored
 
 BUCKET_GROUPS = 50_000
 ROW_BYTES = 16
@@ -101,12 +101,13 @@ def number_slots(df: DataFrame, shard: str, order: list[str], slot_rows: int = S
     """``df`` with ``slot``: rows of a shard numbered from 0 without gaps, by parts of about ``slot_rows`` rows."""
     n = df.count()
     parts = max(1, -(-n // slot_rows))
-    dealt = df.withColumn("__part", F.pmod(F.xxhash64(F.lit(2), *order), F.lit(parts)))
-    before = dealt.groupBy(shard, "__part").agg(F.count("*").alias("__n")).withColumn(
-        "__before", F.sum("__n").over(Window.partitionBy(shard).orderBy("__part")) - F.col("__n")).drop("__n")
-    own = F.row_number().over(Window.partitionBy(shard, "__part").orderBy(*order)) - 1
-    return dealt.withColumn("__own", own).join(before, [shard, "__part"]).withColumn(
-        "slot", (F.col("__own") + F.col("__before")).cast("long")).drop("__part", "__own", "__before")
+    part, own, before_ = free(df, "own_part"), free(df, "own_number"), free(df, "own_before")
+    dealt = df.withColumn(part, F.pmod(F.xxhash64(F.lit(2), *order), F.lit(parts)))
+    before = dealt.groupBy(shard, part).agg(F.count("*").alias(own)).select(
+        shard, part, (F.sum(own).over(Window.partitionBy(shard).orderBy(part)) - F.col(own)).alias(before_))
+    number = F.row_number().over(Window.partitionBy(shard, part).orderBy(*order)) - 1
+    return dealt.withColumn(own, number).join(before, [shard, part]).withColumn(
+        "slot", (F.col(own) + F.col(before_)).cast("long")).drop(part, own, before_)
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, text: str = "text", bucket_groups: int = BUCKET_GROUPS,
@@ -118,8 +119,9 @@ def shard_documents(docs: DataFrame, shards: int = 40, text: str = "text", bucke
     ``docs`` named like the new ones are replaced.  A group larger than an even share makes its shard larger: it is indivisible.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("size", "text_crc32", "shard")]
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    whole, own = F.coalesce(F.col(text).cast("string"), F.lit("")), free(docs, "own_key")
     rows = docs.select(*keep, (F.octet_length(whole) + ROW_BYTES).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"),
-                       F.xxhash64(whole).alias("__key"))
-    groups = stored(rows.groupBy("__key").agg(F.sum("size").alias("bytes")))
-    return rows.join(assign_shards(groups, shards, key="__key", bucket_groups=bucket_groups), "__key").drop("__key")
+                       F.xxhash64(whole).alias(own))
+    groups = stored(rows.groupBy(F.col(own).alias("key")).agg(F.sum("size").alias("bytes")))
+    placed = assign_shards(groups, shards, bucket_groups=bucket_groups).withColumnRenamed("key", own)
+    return rows.join(placed, own).drop(own)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import blocks, with_columns
+from plumbline.llm.common import blocks, free, with_columns
 
 #: fixed value: how byte-level vocabularies split a text before the merges
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -161,7 +161,8 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 10
         tokens = [counters[0].count([t or "" for t in column[rows].to_pylist()]) for rows, _, _ in blocks(column)]
         return {"n_tokens": np.concatenate(tokens)}
 
-    named = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    out = with_columns(named.withColumn("n_bytes", F.coalesce(F.octet_length("__text"), F.lit(0)).cast("long")), {"n_tokens": T.LongType()},
-                       run, [*keep, "n_bytes"], ["__text"])
+    own = free(docs, "own_text")
+    named = docs.select(*keep, F.col(text).cast("string").alias(own))
+    out = with_columns(named.withColumn("n_bytes", F.coalesce(F.octet_length(own), F.lit(0)).cast("long")), {"n_tokens": T.LongType()},
+                       run, [*keep, "n_bytes"], [own])
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
