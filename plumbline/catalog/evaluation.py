@@ -139,9 +139,9 @@ def paired_effect(spark, d):
     return rounded(E.paired_effect(paired(spark, d), "y", "prediction_before", "prediction_after", "model"), 3)
 
 
-DRAWS, BOOT_SEED = 200, 13
+DRAWS, BOOT_SEED = 2000, 13
 DRAW_SQL = f"""{CLUSTERS}, ix AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY md5('{BOOT_SEED}|' || model::VARCHAR), model) - 1 AS i FROM cl),
-g AS MATERIALIZED (SELECT draw, ('0x' || substr(md5('{BOOT_SEED}|' || draw::VARCHAR || '|' || i::VARCHAR), 1, 8))::BIGINT % k AS i FROM range({DRAWS}) dr(draw), (SELECT i, count(*) OVER () AS k FROM ix)),
+g AS MATERIALIZED (SELECT draw, ('0x' || substr(md5('{BOOT_SEED}|' || draw::VARCHAR || '|' || i::VARCHAR), 1, 15))::BIGINT % k AS i FROM range({DRAWS}) dr(draw), (SELECT i, count(*) OVER () AS k FROM ix)),
 draws AS (SELECT draw, sum(s) / sum(c) AS row_weighted_delta, avg(m) AS equal_cluster_delta FROM g JOIN ix USING (i) GROUP BY 1)"""
 
 
@@ -165,10 +165,10 @@ def bootstrap_ci(spark, d):
     return rounded(E.bootstrap_ci(draws, ["row_weighted_delta"]), 3)
 
 
-BM_DRAWS = 10
+BM_DRAWS = 100
 BM_SQL = f"""WITH {B.OOF_SQL}, one AS (SELECT * FROM oof WHERE strategy = 'unit_raw'), cl AS (SELECT DISTINCT model FROM one),
 ix AS MATERIALIZED (SELECT model, row_number() OVER (ORDER BY md5('{BOOT_SEED}|' || model::VARCHAR), model) - 1 AS i FROM cl),
-g AS MATERIALIZED (SELECT draw, ('0x' || substr(md5('{BOOT_SEED}|' || draw::VARCHAR || '|' || i::VARCHAR), 1, 8))::BIGINT % k AS i FROM range({BM_DRAWS}) dr(draw), (SELECT i, count(*) OVER () AS k FROM ix)),
+g AS MATERIALIZED (SELECT draw, ('0x' || substr(md5('{BOOT_SEED}|' || draw::VARCHAR || '|' || i::VARCHAR), 1, 15))::BIGINT % k AS i FROM range({BM_DRAWS}) dr(draw), (SELECT i, count(*) OVER () AS k FROM ix)),
 mu AS (SELECT model, draw FROM g JOIN ix USING (i))
 SELECT draw, {METRICS} FROM mu JOIN one USING (model) GROUP BY 1"""
 

@@ -282,7 +282,7 @@ def composition(spark, d):
     return P.composition(table(spark, d, "orders"), "o_orderpriority", "o_orderstatus")
 
 
-@query("composition_json", "SELECT o_orderpriority, '{' || string_agg('\"' || o_orderstatus || '\":' || n::VARCHAR, ',' ORDER BY o_orderstatus) || '}' AS composition FROM (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) GROUP BY 1")
+@query("composition_json", "SELECT o_orderpriority, '{' || string_agg('\"' || o_orderstatus || '\":' || n::VARCHAR, ',' ORDER BY o_orderstatus) || '}' AS composition, 0::BIGINT AS missing FROM (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) GROUP BY 1")
 def composition_json(spark, d):
     return P.composition_json(table(spark, d, "orders"), "o_orderpriority", "o_orderstatus")
 

@@ -32,7 +32,7 @@ def canonical_json(spark, d):
     return labelled_documents(spark, d).select("doc_id", K.canonical_json(["source", "quality", "lang", "doc_id"]).alias("doc"))
 
 
-DIGEST = "sum(('0x' || substr(md5(to_json({o_custkey: o_custkey::VARCHAR, o_orderkey: o_orderkey::VARCHAR, o_orderpriority: o_orderpriority, o_totalprice: o_totalprice::DECIMAL(38,6)::VARCHAR})::VARCHAR), 1, 15))::BIGINT::HUGEINT)::VARCHAR"
+DIGEST = "sum(('0x' || substr(md5(to_json({o_custkey: o_custkey::VARCHAR, o_orderkey: o_orderkey::VARCHAR, o_orderpriority: o_orderpriority, o_totalprice: o_totalprice::VARCHAR})::VARCHAR), 1, 15))::BIGINT::HUGEINT)::VARCHAR"
 DIGEST_COLS = ["o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice"]
 
 

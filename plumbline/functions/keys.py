@@ -22,13 +22,13 @@ def canonical_json(cols: Sequence[str]) -> Column:
     return F.to_json(F.struct(*sorted(cols)), KEEP_NULLS)
 
 
-def digest_text(schema: T.StructType, cols: Sequence[str], scale: int = 6) -> Column:
-    """Canonical row text with doubles written at a fixed scale (engines print doubles differently)."""
+def digest_text(schema: T.StructType, cols: Sequence[str]) -> Column:
+    """Canonical row text; doubles are written so that different ones differ (shortest exact form, one zero, one NaN)."""
     parts = []
     for c in sorted(cols):
         kind = schema[c].dataType
         if isinstance(kind, (T.DoubleType, T.FloatType)):
-            parts.append(F.col(c).cast(T.DecimalType(38, scale)).cast("string").alias(c))
+            parts.append((F.col(c).cast("double") + F.lit(0.0)).cast("string").alias(c))
         else:
             parts.append(F.col(c).cast("string").alias(c))
     return F.to_json(F.struct(*parts), KEEP_NULLS)
@@ -39,20 +39,20 @@ def row_number_of_text(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
 
 
-def table_digest(df: DataFrame, cols: Sequence[str] | None = None, scale: int = 6) -> DataFrame:
+def table_digest(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Order-free digest: (rows, digest, schema).  A sum of row hashes needs no sort and one tiny shuffle."""
     cols = list(cols or df.columns)
     schema = ",".join(f"{c}:{df.schema[c].dataType.simpleString()}" for c in sorted(cols))
     return df.agg(
         F.count("*").alias("n_rows"),
-        F.coalesce(F.sum(row_number_of_text(digest_text(df.schema, cols, scale))), F.lit(0)).cast("string").alias("digest"),
+        F.coalesce(F.sum(row_number_of_text(digest_text(df.schema, cols))), F.lit(0)).cast("string").alias("digest"),
     ).withColumn("schema", F.lit(schema))
 
 
-def grouped_digest(df: DataFrame, by: Sequence[str], cols: Sequence[str], scale: int = 6) -> DataFrame:
+def grouped_digest(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(
         F.count("*").alias("n_rows"),
-        F.sum(row_number_of_text(digest_text(df.schema, cols, scale))).cast("string").alias("digest"))
+        F.sum(row_number_of_text(digest_text(df.schema, cols))).cast("string").alias("digest"))
 
 
 def fingerprint(*parts: Column) -> Column:

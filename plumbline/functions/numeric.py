@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.joins import join_many_to_one
 from plumbline.operators.ordering import quantile_table
 
 EPS = 1e-12
@@ -38,7 +39,8 @@ def transform_target(y: Column, transform: str = "raw", unit: Column | None = No
     if transform == "raw":
         return value
     if transform == "log1p":
-        return F.when(value >= 0, F.log1p(value))
+        negative = F.raise_error(F.concat(F.lit("negative target under log1p: "), value.cast("string")))
+        return F.when(value < 0, negative.cast("double")).otherwise(F.log1p(value))
     raise ValueError(f"unknown transform: {transform}")
 
 
@@ -56,7 +58,7 @@ def high_value_weights(df: DataFrame, y: str, by: Sequence[str] = (), name: str
     """clip(sqrt(y / median), low, high), the median taken inside each training partition ``by``."""
     medians = quantile_table(df, [y], [0.5], by).select(*by, F.col("q")[0].alias("_median"))
     if by:
-        joined = df.join(F.broadcast(medians), list(by))  # one row per fold
+        joined = join_many_to_one(df, medians, list(by), "inner", null_safe=True)
     else:
         joined = df.withColumn("_median", medians.select("_median").scalar())
     ratio = F.sqrt(F.col(y) / F.col("_median"))

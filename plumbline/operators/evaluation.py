@@ -16,7 +16,7 @@ from plumbline.operators.joins import join_many_to_one
 from plumbline.operators.ordering import agg_with_medians, hash_index, quantile_table, scalar_quantiles
 from plumbline.operators.profile import _null_safe_join
 from plumbline.operators.ranking import bin_of, first_per_group, value_ranks
-from plumbline.session import BROADCAST_BYTES, input_bytes, spread_if_small
+from plumbline.session import spread_if_small
 
 
 def residual(y: str, p: str) -> Column:
@@ -90,7 +90,7 @@ def slice_rows(df: DataFrame, y: str, dims: Mapping[str, str], quantiles: Mappin
     limits: list[Column] = []
     if probs and by:
         table = quantile_table(df, [y], probs, by, **kw).select(*by, F.col("q").alias("_thr"))
-        df = join_many_to_one(df, table, by)
+        df = join_many_to_one(df, table, by, null_safe=True)
         limits = [F.col("_thr")[i] for i in range(len(probs))]
     elif probs:
         limits = scalar_quantiles(df, y, probs, **kw)
@@ -148,33 +148,30 @@ def paired_effect(paired: DataFrame, y: str, before: str, after: str, cluster: s
 def hash_position(seed: object, draw: Column, position: Column, n: Column) -> Column:
     """Uniform index in [0, n) from md5(seed|draw|position)."""
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), draw.cast("string"), position.cast("string")))
-    return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), n)
+    return F.pmod(F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint"), n)
 
 
 def draw_positions(clusters: DataFrame, cluster: str, draws: int, seed: object) -> tuple[DataFrame, DataFrame]:
     """Indexed clusters, and one row per (draw, position) with the index it resamples.
 
-    Positions are generated on the executors and the resampled index is uniform,
-    so the join with the cluster table is balanced.
+    Each cluster row brings its own position and expands into its draws where it is, spread over all cores;
+    the resampled index is uniform, so the join with the cluster table is balanced.
     """
     indexed = hash_index(clusters, [cluster], seed, name="_idx")
     n = clusters.agg(F.count("*").alias("n")).scalar()
-    grid = clusters.sparkSession.range(draws).select(F.col("id").alias("draw"))
-    grid = grid.repartition(min(draws, 200), "draw").select("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("position"))
+    spread = 4 * clusters.sparkSession.sparkContext.defaultParallelism
+    grid = indexed.select(F.col("_idx").alias("position")).repartition(spread, "position").select(
+        "position", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(draws - 1).cast("bigint"))).alias("draw"))
     return indexed, grid.withColumn("_idx", hash_position(seed, F.col("draw"), F.col("position"), n))
 
 
-def _sized(df: DataFrame, like: DataFrame) -> DataFrame:
-    return F.broadcast(df) if input_bytes(like) <= BROADCAST_BYTES else df
-
-
 def bootstrap_draws(clusters: DataFrame, cluster: str, draws: int, seed: object) -> DataFrame:
     """(draw, row_weighted_delta, equal_cluster_delta): clusters resampled with replacement.
 
     Only cluster sums take part: the shuffle carries one partial sum per draw.
     """
     indexed, grid = draw_positions(clusters, cluster, draws, seed)
-    picked = grid.join(_sized(indexed.select("_idx", "sum", "count", "mean"), clusters), "_idx")
+    picked = grid.join(indexed.select("_idx", "sum", "count", "mean"), "_idx")
     return picked.groupBy("draw").agg((F.sum("sum") / F.sum("count")).alias("row_weighted_delta"),
                                       F.avg("mean").alias("equal_cluster_delta"))
 
@@ -200,7 +197,7 @@ def cluster_multiplicities(df: DataFrame, cluster: str, draws: int, seed: object
     clusters = df.select(cluster).distinct()
     indexed, grid = draw_positions(clusters, cluster, draws, seed)
     counts = grid.groupBy("draw", "_idx").agg(F.count("*").alias("m"))
-    return counts.join(_sized(indexed, df), "_idx").select(cluster, "draw", "m")
+    return counts.join(indexed, "_idx").select(cluster, "draw", "m")
 
 
 def bootstrap_metrics(df: DataFrame, y: str, p: str, cluster: str, draws: int, seed: object, eps: float = EPS,
@@ -221,7 +218,7 @@ def bootstrap_metrics(df: DataFrame, y: str, p: str, cluster: str, draws: int, s
         F.count("*").alias("n"), F.sum(F.abs(r)).alias("a"), F.sum(r * r).alias("s"), F.sum(r).alias("b"),
         F.sum(_smape(y, p, eps)).alias("sm"), F.sum(yc).alias("y1"), F.sum(yc * yc).alias("y2"))
     w = lambda x: F.sum(F.col("m") * F.col(x))
-    joined = m.join(_sized(sums, df), cluster)
+    joined = m.join(sums, cluster)
     sst = w("y2") - w("y1") * w("y1") / w("n")
     means = joined.groupBy("draw").agg(
         w("n").alias("n_rows"), (w("a") / w("n")).alias("mae"), F.sqrt(w("s") / w("n")).alias("rmse"),

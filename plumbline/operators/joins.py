@@ -8,8 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import BROADCAST_BYTES, is_small
-
 
 def _keys(on: str | Sequence[str]) -> list[str]:
     return [on] if isinstance(on, str) else list(on)
@@ -30,37 +28,24 @@ def unique_guard(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     return checked.where(F.col("_n") == 1).select(*keys, *[F.col(f"_row.{x}").alias(x) for x in rest])
 
 
-def join_many_to_one(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "left",
-                     broadcast_bytes: int | None = None, hot_share: float = 0.001) -> DataFrame:
-    """Join a fact side to a side that is unique on ``on``; safe for hot keys.
+def join_many_to_one(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "left", null_safe: bool = False) -> DataFrame:
+    """Join a fact side to a side that is unique on ``on``; each side is read once.
 
-    A right side of known small size is broadcast.  Otherwise keys holding more
-    than ``hot_share`` of the left rows (at most 1/hot_share of them) are joined
-    against a broadcast of just their right rows, null keys are passed through,
-    and only the remaining, evenly spread keys are shuffled.
+    Whether the right side is broadcast is decided while the query runs, from its measured size, and partitions that a hot key (null
+    too) makes large are split by adaptive execution.  ``null_safe`` lets null keys match: right where the right side is an aggregate of the left.
     """
     keys = _keys(on)
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
-    limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
-    if is_small(right, limit):
-        return left.join(F.broadcast(right), keys, how)
-    present = left.dropna(subset=keys)
-    counts = present.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = left.agg(F.count("*").alias("n")).scalar()
-    hot = counts.where(F.col("_n") > total * F.lit(hot_share)).select(*keys)
-    hot_right = right.join(F.broadcast(hot), keys, "left_semi")
-    hot_rows = present.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(hot_right), keys, how)
-    cold_rows = present.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how)
-    out = hot_rows.unionByName(cold_rows)
-    if how == "left":
-        any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-        out = out.unionByName(left.where(any_null), allowMissingColumns=True)
-    return out
+    if not null_safe:
+        return left.join(right, keys, how)
+    l, r = left.alias("l"), right.alias("r")
+    same = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
+    return l.join(r, same, how).select("l.*", *[F.col(f"r.{x}").alias(x) for x in right.columns if x not in keys])
 
 
 def join_validated(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "left",
-                   cardinality: str = "many_to_one", broadcast_bytes: int | None = None) -> DataFrame:
+                   cardinality: str = "many_to_one") -> DataFrame:
     """Join that fails when the declared 'one' side repeats a key."""
     keys = _keys(on)
     if cardinality not in ("one_to_one", "many_to_one"):
@@ -68,19 +53,17 @@ def join_validated(left: DataFrame, right: DataFrame, on: str | Sequence[str], h
     right = unique_guard(right, keys, "right side")
     if cardinality == "one_to_one":
         left = unique_guard(left, keys, "left side")
-    return join_many_to_one(left, right, keys, how, broadcast_bytes)
+    return join_many_to_one(left, right, keys, how)
 
 
 def only_keys(df: DataFrame, keys_df: DataFrame, on: str | Sequence[str]) -> DataFrame:
     keys = _keys(on)
-    side = keys_df.select(*keys)
-    return df.join(F.broadcast(side) if is_small(side, BROADCAST_BYTES) else side, keys, "left_semi")
+    return df.join(keys_df.select(*keys).distinct(), keys, "left_semi")
 
 
 def except_keys(df: DataFrame, keys_df: DataFrame, on: str | Sequence[str]) -> DataFrame:
     keys = _keys(on)
-    side = keys_df.select(*keys)
-    return df.join(F.broadcast(side) if is_small(side, BROADCAST_BYTES) else side, keys, "left_anti")
+    return df.join(keys_df.select(*keys).distinct(), keys, "left_anti")
 
 
 def enrich(df: DataFrame, dim: DataFrame, key: str, required: Sequence[str] = ()) -> DataFrame:
@@ -191,8 +174,8 @@ def residual_features(pred: DataFrame, feats: DataFrame, key: str | Sequence[str
 
 def expand_pairs(runs: DataFrame, stats: DataFrame, on: Sequence[str], repeats: str,
                  additive: Sequence[str]) -> DataFrame:
-    """Statistics computed once per pair, fanned out to runs; additive ones are multiplied by repeats."""
-    joined = join_many_to_one(runs, stats, on)
+    """Statistics computed once per pair, fanned out to runs; additive ones are multiplied by repeats.  A repeated pair fails."""
+    joined = join_many_to_one(runs, unique_guard(stats, list(on), "pair statistics"), on)
     return joined.withColumns({x: F.col(x) * F.col(repeats) for x in additive})
 
 
@@ -220,19 +203,10 @@ def cross_plan(spark, **dims: Sequence[object]) -> DataFrame:
     return plan
 
 
-def data_plan(df: DataFrame, dims: Sequence[str], max_values: int = 10_000) -> DataFrame:
-    """Every combination of the values the data holds for low-cardinality dimensions.
-
-    The value lists are kept as arrays on a single row, so their length is checked:
-    a dimension with more than ``max_values`` values fails rather than flood one row.
-    """
-    sets = []
+def data_plan(df: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """Every combination of the values the data holds for the dimensions, as distributed joins of their distinct values."""
+    plan = None
     for d in dims:
         values = df.select(d).where(F.col(d).isNotNull()).distinct()
-        checked = values.limit(max_values + 1).agg(F.array_sort(F.collect_list(d)).alias("v"))
-        sets.append(checked.select(F.when(F.size("v") <= max_values, F.col("v")).otherwise(
-            F.raise_error(F.lit(f"too many values in {d}")))).scalar())
-    plan = df.sparkSession.range(1).select(*[s.alias(f"_{d}") for d, s in zip(dims, sets)])
-    for d in dims:
-        plan = plan.select("*", F.explode(f"_{d}").alias(d)).drop(f"_{d}")
+        plan = values if plan is None else plan.crossJoin(values)
     return plan

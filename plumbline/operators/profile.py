@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.numeric import finite, relative_error
-from plumbline.operators.joins import join_many_to_one
+from plumbline.operators.joins import join_many_to_one, unique_guard
 from plumbline.operators.ordering import agg_with_medians, quantile_columns, quantile_table
 from plumbline.session import spread_if_small
 
@@ -27,10 +27,16 @@ def _unpivot(row: DataFrame, entries: Sequence[tuple[str, Mapping[str, Column]]]
 
 # ---- nulls, blanks, duplicates, keys ---------------------------------------------------------
 
+def _present(df: DataFrame, name: str) -> Column:
+    """The column with NaN as null: missing has one meaning."""
+    floating = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+    return F.when(~F.isnan(name), F.col(name)) if floating else F.col(name)
+
+
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """(by…, column, null_count, null_rate, n_rows) from one aggregate over one scan."""
     cols = [x for x in (cols or df.columns) if x not in by]
-    wide = df.groupBy(*by).agg(F.count("*").alias("_n"), *[F.count(x).alias(f"_c{i}") for i, x in enumerate(cols)])
+    wide = df.groupBy(*by).agg(F.count("*").alias("_n"), *[F.count(_present(df, x)).alias(f"_c{i}") for i, x in enumerate(cols)])
     missing = [F.col("_n") - F.col(f"_c{i}") for i in range(len(cols))]
     return _unpivot(wide, [(x, {"null_count": m, "null_rate": F.coalesce(F.try_divide(m, F.col("_n")), F.lit(0.0)),
                                 "n_rows": F.col("_n")}) for x, m in zip(cols, missing)], by)
@@ -86,7 +92,7 @@ def duplicated(df: DataFrame, keys: Sequence[str], name: str = "is_duplicated")
     window partition.
     """
     repeated = key_counts(df, keys).where("n > 1").select(*keys, F.lit(True).alias(name))
-    return join_many_to_one(df, repeated, keys).withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+    return join_many_to_one(df, repeated, keys, null_safe=True).withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
 # ---- coverage --------------------------------------------------------------------------------
@@ -221,18 +227,17 @@ def composition(df: DataFrame, group: str, col: str) -> DataFrame:
     return df.groupBy(group, F.col(col).cast("string").alias("value")).agg(F.count("*").alias("n"))
 
 
-def composition_json(df: DataFrame, group: str, col: str, max_values: int = 10_000) -> DataFrame:
-    """Value -> count map as JSON text for a category column; rows are counted before they are collected.
+def composition_json(df: DataFrame, group: str, col: str) -> DataFrame:
+    """Value -> count as one JSON text per group, for category columns; rows are counted before they are collected.
 
-    A group with more than ``max_values`` distinct values fails: use ``composition``.
+    Nulls are counted in the column ``missing``, apart from a value spelled 'null'.
     """
     counts = composition(df, group, col)
-    entry = F.struct(F.coalesce(F.col("value"), F.lit("null")).alias("key"), F.col("n").alias("value"))
-    sizes = counts.groupBy(group).agg(F.count("*").alias("_k"))
-    bounded = join_many_to_one(counts, sizes, group).where(
-        F.when(F.col("_k") <= max_values, F.lit(True)).otherwise(F.raise_error(F.lit(f"too many values of {col}"))))
-    return bounded.groupBy(group).agg(
-        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("composition"))
+    entry = F.struct(F.col("value").alias("key"), F.col("n").alias("value"))
+    known = F.collect_list(F.when(F.col("value").isNotNull(), entry))
+    return counts.groupBy(group).agg(
+        F.to_json(F.map_from_entries(F.array_sort(known))).alias("composition"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"))
 
 
 # ---- numeric profiles ------------------------------------------------------------------------
@@ -368,7 +373,7 @@ def summarise_values(long: DataFrame, path: str = "path", value: str = "value",
     totals = counts.groupBy(path).agg(F.sum("n").alias("present"), F.count("*").alias("unique"))
     w = Window.partitionBy(path).orderBy(F.col("n").desc(), F.col(value).asc_nulls_last())
     best = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    return join_many_to_one(best, totals, path)
+    return join_many_to_one(best, totals, path, null_safe=True)
 
 
 def availability(long: DataFrame, path: str, group: str, ident: str) -> DataFrame:
@@ -378,7 +383,7 @@ def availability(long: DataFrame, path: str, group: str, ident: str) -> DataFram
 
 def check_expected(long: DataFrame, spec: DataFrame, group: str, path: str = "path", value: str = "value") -> DataFrame:
     """Checked and mismatching values per (group, path) against expected ones; absent fields are not checked."""
-    joined = join_many_to_one(long, spec, [group, path], "inner")
+    joined = join_many_to_one(long, unique_guard(spec, [group, path], "expected values"), [group, path], "inner")
     return joined.groupBy(group, path).agg(
         F.count("*").alias("checked"), F.count_if(~F.col(value).eqNullSafe(F.col("expected"))).alias("mismatches"))
 

@@ -24,7 +24,7 @@ def qcut(df: DataFrame, col: str, n: int, by: Sequence[str] = (), name: str = "b
     if not by:
         return df.withColumn(name, bin_of(F.col(col), scalar_quantiles(df, col, probs, **kw)))
     edges = quantile_table(df, [col], probs, by, **kw).select(*by, F.col("q").alias("_q"))
-    joined = join_many_to_one(df, edges, by)
+    joined = join_many_to_one(df, edges, by, null_safe=True)
     return joined.withColumn(name, bin_of(F.col(col), [F.col("_q")[i] for i in range(n + 1)])).drop("_q")
 
 
@@ -65,7 +65,7 @@ def value_ranks(df: DataFrame, col: str, by: Sequence[str] = (), **kw: object) -
 def avg_rank(df: DataFrame, col: str, by: Sequence[str] = (), name: str = "avg_rank", **kw: object) -> DataFrame:
     """Average rank of each row (ties share the mean of their positions)."""
     ranks = value_ranks(df, col, by, **kw).select(*by, col, F.col("avg_rank").alias(name))
-    return join_many_to_one(df, ranks, [*by, col])
+    return join_many_to_one(df, ranks, [*by, col], null_safe=True)
 
 
 def bias_by_bin(df: DataFrame, y: str, residual: str, n: int = 10, **kw: object) -> DataFrame:

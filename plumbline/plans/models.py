@@ -147,6 +147,18 @@ class FittedModel:
             "features", "_raw_prediction")
 
 
+#: features up to which the normal equations can be solved
+NORMAL_FEATURES = 4096
+
+
+def _solver(ready: DataFrame) -> dict[str, object]:
+    """The closed form where MLlib has one, else iterations to nearly the same minimum."""
+    first = ready.select("features").first()
+    if first is None or first["features"].size <= NORMAL_FEATURES:
+        return {"solver": "normal"}
+    return {"solver": "l-bfgs", "tol": 1e-10, "maxIter": 1000}
+
+
 def fit(train: DataFrame, spec: Spec, params: Mapping[str, object]) -> FittedModel:
     unit = F.col(spec.unit) if spec.unit else None
     rows = train.withColumn("_y", transform_target(F.col(spec.target), spec.transform, unit))
@@ -164,7 +176,7 @@ def fit(train: DataFrame, spec: Spec, params: Mapping[str, object]) -> FittedMod
             stats = ready.agg(F.count("*").alias("n"), F.stddev_pop("_y").alias("s")).first()
             reg, mix = linear_penalty(float(params.get("alpha", 1.0)), float(params.get("l1_ratio", 0.5)),
                                       stats["s"] or 1.0, stats["n"], spec.algorithm == "ridge")
-            estimator = LinearRegression(regParam=reg, elasticNetParam=mix, standardization=False, solver="normal", **common)
+            estimator = LinearRegression(regParam=reg, elasticNetParam=mix, standardization=False, **_solver(ready), **common)
         elif spec.algorithm == "forest":
             estimator = RandomForestRegressor(seed=spec.seed, **common, **params)
         elif spec.algorithm == "boosted":

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.predicates import path_allowed
+from plumbline.operators.joins import join_many_to_one, unique_guard
 from plumbline.session import local_frame
 
 
@@ -42,8 +43,8 @@ def read_nested(spark: SparkSession, paths: Sequence[str], array_col: str = "con
 
 
 def read_runs(spark: SparkSession, path: str, column: str | None = None, values: Sequence[object] | None = None) -> DataFrame:
-    """Parquet run table with an optional IN filter that reaches the scan."""
-    df = spark.read.parquet(path)
+    """Parquet run table with an optional IN filter that reaches the scan; NaN is read as null."""
+    df = normalise_nan(spark.read.parquet(path))
     return df.where(F.col(column).isin(list(values))) if column and values is not None else df
 
 
@@ -71,11 +72,20 @@ def read_documents(spark: SparkSession, paths: Sequence[str] | str, forbidden: S
     return docs
 
 
-def documents_of(manifest: DataFrame, docs: DataFrame, path_col: str) -> DataFrame:
-    """Documents joined to the manifest row that names their path (matched on the path's end)."""
-    name = F.element_at(F.split(F.col(path_col), "/"), -1)
-    stem = F.element_at(F.split(F.col("path"), "/"), -1)
-    return manifest.withColumn("_f", name).join(docs.withColumn("_f", stem), "_f").drop("_f")
+def documents_of(manifest: DataFrame, docs: DataFrame, path_col: str, root: str) -> DataFrame:
+    """Manifest rows with the document that each names by its path below ``root``.
+
+    Repeated paths on either side and a row without a document fail the query.
+    """
+    def relative(path: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(path, "^[a-z0-9]+:/+", "/"), r"/(\./|/)*", "/")
+    top = "/" + root.split(":", 1)[-1].strip("/") + "/" if ":" in root or root.startswith("/") else root.strip("/") + "/"
+    named = unique_guard(manifest.withColumn("_f", F.ltrim(relative(F.col(path_col)), F.lit("./"))), ["_f"], "manifest")
+    below = F.when(F.startswith(relative(F.col("path")), F.lit(top)), F.substr(relative(F.col("path")), F.lit(len(top) + 1)))
+    found = unique_guard(docs.withColumn("_f", below).where(F.col("_f").isNotNull()), ["_f"], "documents")
+    joined = join_many_to_one(named, found.withColumn("_known", F.lit(True)), "_f")
+    missing = F.raise_error(F.concat(F.lit("no document for "), F.col("_f")))
+    return joined.where(F.when(F.col("_known"), F.lit(True)).otherwise(missing)).drop("_f", "_known")
 
 
 def read_manifest(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

@@ -30,9 +30,15 @@ def test_headers_join_their_manifest(spark, tmp_path):
     for i in (1, 2):
         (tmp_path / f"run_{i}.json").write_text(json.dumps({"n": i, "steady": {"gpu_energy": {"0": i}}}, indent=2))
     docs = R.read_documents(spark, str(tmp_path / "run_*.json"), forbidden=["timeline"])
-    manifest = spark.createDataFrame([("a", "x/run_1.json"), ("b", "x/run_2.json")], "key string, file string")
-    got = R.documents_of(manifest, docs, "file").select("key", F.get_json_object("text", "$.n").alias("n")).collect()
-    assert sorted((r["key"], r["n"]) for r in got) == [("a", "1"), ("b", "2")]
+    for i in range(3):
+        (tmp_path / f"sub_{i}").mkdir()
+        (tmp_path / f"sub_{i}" / "metadata.json").write_text(json.dumps({"n": i}))
+    docs = R.read_documents(spark, str(tmp_path / "sub_*" / "metadata.json"))
+    manifest = spark.createDataFrame([("a", "sub_1/metadata.json"), ("b", "./sub_2/metadata.json"), ("c", "sub_0/metadata.json")], "key string, file string")
+    got = R.documents_of(manifest, docs, "file", str(tmp_path)).select("key", F.get_json_object("text", "$.n").alias("n")).collect()
+    assert sorted((r["key"], r["n"]) for r in got) == [("a", "1"), ("b", "2"), ("c", "0")]
+    with pytest.raises(Exception, match="no document for sub_9"):
+        R.documents_of(spark.createDataFrame([("a", "sub_9/metadata.json")], "key string, file string"), docs, "file", str(tmp_path)).collect()
     (tmp_path / "run_3.json").write_text('{"timeline": []}')
     with pytest.raises(Exception, match="forbidden key timeline"):
         R.read_documents(spark, str(tmp_path / "run_*.json"), forbidden=["timeline"]).collect()
