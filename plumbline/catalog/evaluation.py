@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.catalog import base as B
 from plumbline.catalog.joining import PAIRED_SQL, _gate_sql, paired
 from plumbline.catalog.registry import query, rounded, rsql, table
+from plumbline.functions import keys as K
 from plumbline.functions.predicates import prediction_frame
 from plumbline.operators import evaluation as E
 from plumbline.operators import gates as G
@@ -220,16 +221,26 @@ def association(spark, d):
 
 # ---- gates over evaluation tables ------------------------------------------------------------
 
-@query("gates_metrics", _gate_sql("(SELECT 1)", [("metrics:keys", "0", "0"), *[(f"metrics:{c}", "0", "0") for c in ("mae", "rmse", "r2", "mdape", "smape", "signed_bias")]]))
+_METRIC_NAMES = ("mae", "rmse", "r2", "mdape", "smape", "signed_bias")
+
+
+@query("gates_metrics", f"WITH {B.OOF_SQL}, cells AS (SELECT DISTINCT strategy, task FROM oof), o AS (SELECT count(*) FILTER (task = '5-LOW') AS lost, count(*) FILTER (task = '1-URGENT') AS wrong FROM cells) " + _gate_sql(
+    "o", [("metrics:keys", "lost", "0"), *[(f"metrics:{c}", "lost + wrong" if c == "mae" else "lost", "0") for c in _METRIC_NAMES]]))
 def gates_metrics(spark, d):
+    """The reported table lacks one task and has a wrong mae for another."""
     rows = B.oof_long(spark, d)
-    return G.check_metrics(rows, E.regression_metrics(rows, "y", "prediction", ["strategy"]), "y", "prediction", ["strategy"])
+    reported = E.regression_metrics(rows, "y", "prediction", ["strategy", "task"]).where("task <> '5-LOW'").withColumn(
+        "mae", F.when(F.col("task") == "1-URGENT", F.col("mae") * 1.001).otherwise(F.col("mae")))
+    return G.check_metrics(rows, reported, "y", "prediction", ["strategy", "task"])
 
 
-@query("gates_intervals", _gate_sql("(SELECT 1)", [("interval:keys", "0", "0"), ("interval:ci_low", "0", "0"), ("interval:ci_high", "0", "0")]))
+@query("gates_intervals", f"WITH {DRAW_SQL}, o AS (SELECT (quantile_cont(row_weighted_delta, 0.025) < quantile_cont(row_weighted_delta, 0.975))::INT + (quantile_cont(equal_cluster_delta, 0.025) < quantile_cont(equal_cluster_delta, 0.975))::INT AS n FROM draws) "
+       + _gate_sql("o", [("interval:keys", "0 * n", "0"), ("interval:ci_low", "0 * n", "0"), ("interval:ci_high", "n", "0")]))
 def gates_intervals(spark, d):
-    draws = cut_lineage(E.bootstrap_draws(clusters(spark, d), "model", DRAWS, BOOT_SEED))
-    return G.check_intervals(draws, E.bootstrap_ci(draws, ["row_weighted_delta"]), ["row_weighted_delta"], [])
+    """Reported upper ends are the lower ones: wrong wherever an interval has a width."""
+    draws, kinds = cut_lineage(E.bootstrap_draws(clusters(spark, d), "model", DRAWS, BOOT_SEED)), ["row_weighted_delta", "equal_cluster_delta"]
+    reported = E.bootstrap_ci(draws, kinds).withColumn("ci_high", F.col("ci_low"))
+    return G.check_intervals(draws, reported, kinds, [], tol=1e-12)
 
 
 @query("gates_coverage", f"WITH {B.FOLDED_SQL}, o AS (SELECT (SELECT count(*) FROM folded) - (SELECT count(*) FROM runs) AS a, (SELECT count(*) FROM (SELECT model FROM folded GROUP BY 1 HAVING count(DISTINCT fold) > 1)) AS b, (SELECT count(DISTINCT fold) FROM folded) AS k) " + _gate_sql("o", [("manifest:same_support", "a", "0"), ("manifest:isolated", "b", "0"), ("manifest:folds", "k", "5")]))
@@ -237,10 +248,12 @@ def gates_coverage(spark, d):
     return G.check_coverage(B.folded_runs(spark, d), B.runs(spark, d), ["run_key"], "model", "fold", 5)
 
 
-@query("gates_paired_totals", _gate_sql("(SELECT 1)", [("paired_totals:keys", "0", "0"), ("paired_totals:n_rows", "0", "0")]))
+@query("gates_paired_totals", _gate_sql("(SELECT DISTINCT o_orderstatus AS hw FROM orders)", [("paired_totals:keys", "0 * count(*)", "0"), ("paired_totals:n_rows", "count(*) FILTER (hw <> 'O')", "0")]))
 def gates_paired_totals(spark, d):
+    """The paired table has one row too many for every group but one."""
     pairs = paired(spark, d).join(B.runs(spark, d).select("run_key", "hw"), "run_key")
     effects = E.paired_effect(pairs, "y", "prediction_before", "prediction_after", "model", ["hw"])
+    effects = effects.withColumn("n_rows", F.col("n_rows") + (F.col("hw") != "O").cast("int"))
     return G.check_paired_totals(effects, B.oof(spark, d), ["hw"])
 
 
@@ -257,9 +270,20 @@ def gates_interpretation(spark, d):
     return G.check_interpretation(B.folded_runs(spark, d), "hw", "fold", "task", 5, 5)
 
 
-@query("gates_digest", "SELECT 'n_rows' AS name, CASE WHEN count(*) = 15000 THEN 'pass' ELSE 'fail' END AS status, count(*)::VARCHAR AS observed, '15000' AS expected FROM orders")
+def _orders_digest(price: str) -> str:
+    row = f"to_json({{o_orderkey: o_orderkey::VARCHAR, o_totalprice: ({price})::VARCHAR}})::VARCHAR"
+    return f"sum(('0x' || substr(md5({row}), 1, 15))::BIGINT::HUGEINT)::VARCHAR"
+
+
+@query("gates_digest", f"""WITH o AS (SELECT count(*)::VARCHAR AS n, {_orders_digest('o_totalprice')} AS now, {_orders_digest("CASE WHEN o_orderkey % 100 = 0 THEN 1.5 ELSE o_totalprice END")} AS then_ FROM orders)
+SELECT 'n_rows' AS name, 'pass' AS status, n AS observed, n AS expected FROM o
+UNION ALL SELECT 'digest', CASE WHEN now = then_ THEN 'pass' ELSE 'fail' END, now, then_ FROM o
+UNION ALL SELECT 'schema', 'pass', 'o_orderkey:bigint,o_totalprice:double', 'o_orderkey:bigint,o_totalprice:double'""")
 def gates_digest(spark, d):
-    return G.check_digest(table(spark, d, "orders"), {"n_rows": "15000"}, ["o_orderkey", "o_totalprice"])
+    """Frozen from rows of which some have another price: count and schema agree, the digest does not."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    changed = o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 100 == 0, 1.5).otherwise(F.col("o_totalprice")))
+    return G.check_digest(o, K.table_digest(changed).first().asDict())
 
 
 @query("gates_receipt", _gate_sql("nation", [("row_count", "count(*)", "25")]) + " UNION ALL " + _gate_sql("region", [("unique:r_regionkey", "count(*) - count(DISTINCT r_regionkey)", "0")]) + " UNION ALL " + _gate_sql("orders", [("positive:o_totalprice", "count(*) FILTER (NOT coalesce(o_totalprice > 0, false))", "0")]))

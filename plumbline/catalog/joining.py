@@ -334,10 +334,13 @@ def gates_formula(spark, d):
     return G.check_formula(table(spark, d, "lineitem").withColumn("net", F.round(exact, 2)), {"net": exact}, 1e-6)
 
 
-@query("gates_summary", _gate_sql("(SELECT 1)", [("summary:keys", "0", "0"), ("summary:n", "0", "0")]))
+@query("gates_summary", _gate_sql(f"(SELECT DISTINCT reconciliation_status AS s FROM ({RECON_SQL}))", [
+    ("summary:keys", "count(*) FILTER (s = 'exact')", "0"), ("summary:n", "count(*) FILTER (s = 'exact' OR s LIKE 'not%')", "0")]))
 def gates_summary(spark, d):
-    detail = reconcile(spark, d)
-    return G.check_summary(detail, reconcile_summary(spark, d), ["reconciliation_status"])
+    """The stored summary lacks one status and counts the incomparable ones wrong."""
+    stored = reconcile_summary(spark, d).where("reconciliation_status <> 'exact'").withColumn(
+        "n", F.col("n") + F.col("reconciliation_status").startswith("not").cast("int"))
+    return G.check_summary(reconcile(spark, d), stored, ["reconciliation_status"])
 
 
 @query("gates_roles", _gate_sql("(SELECT 1)", [("roles:missing", "0", "0"), ("roles:extra", "2", "0"), ("roles:changed", "0", "0")]))
@@ -354,9 +357,9 @@ def gates_boundary(spark, d):
 
 
 @query("gates_revisions", _gate_sql("(SELECT md5(o_orderkey::VARCHAR) || CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE '00000000' END AS rev, o_orderstatus AS acc, o_orderkey FROM orders)", [
-    ("revisions:count", "count(DISTINCT o_orderkey)", "15000"), ("revisions:hex40", "count(*) FILTER (NOT regexp_full_match(rev, '[0-9a-f]{40}'))", "0"),
-    ("revisions:access", "count(*) FILTER (acc NOT IN ('F', 'O'))", "0"), ("revisions:static_only", "sum(0)", "0")]))
+    ("revisions:hex40", "count(*) FILTER (NOT regexp_full_match(rev, '[0-9a-f]{40}'))", "0"),
+    ("revisions:access", "count(*) FILTER (acc NOT IN ('F', 'O'))", "0"), ("revisions:static_only", "sum(0)", "0")]) + " UNION ALL SELECT 'revisions:count', 'pass', count(DISTINCT o_orderkey)::VARCHAR, count(*)::VARCHAR FROM orders")
 def gates_revisions(spark, d):
     o = table(spark, d, "orders")
     rev = F.concat(F.md5(F.col("o_orderkey").cast("string")), F.when(F.col("o_orderkey") % 10 == 0, "").otherwise("00000000"))
-    return G.check_revisions(o.withColumns({"rev": rev, "sta": F.lit(True)}), "o_orderkey", "rev", "o_orderstatus", ["F", "O"], "sta", 15000)
+    return G.check_revisions(o.withColumns({"rev": rev, "sta": F.lit(True)}), "o_orderkey", "rev", "o_orderstatus", ["F", "O"], "sta", o.count())

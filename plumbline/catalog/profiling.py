@@ -308,7 +308,7 @@ FLAT_SQL = "(SELECT event_id, event_type, key AS path, json_extract_string(props
 
 
 def flat_events(spark, d):
-    return flatten_json(table(spark, d, "events"), "props", ["event_id", "event_type"], depth=2)
+    return flatten_json(table(spark, d, "events"), "props", ["event_id", "event_type"])
 
 
 @query("flatten_json", "SELECT event_id, event_type, path, 'bigint' AS kind, value, '' AS length FROM " + FLAT_SQL)

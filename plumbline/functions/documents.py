@@ -8,14 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def flatten_json(df: DataFrame, col: str, keep: Sequence[str], depth: int = 8) -> DataFrame:
+def json_depth(df: DataFrame, col: str) -> int:
+    """An upper bound of how deep objects are nested: the largest number of braces open at once, strings left out."""
+    bare = F.regexp_replace(F.regexp_replace(F.col(col), r'"(?:[^"\\]++|\\.)*+"', ""), r"[^{}]+", "")
+    steps = F.transform(F.split(bare, ""), lambda c: F.when(c == "{", 1).when(c == "}", -1).otherwise(0))
+    walked = F.aggregate(steps, F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")), lambda a, s: F.struct(
+        (a["now"] + s).alias("now"), F.greatest(a["top"], a["now"] + s).alias("top")))
+    return df.agg(F.max(walked["top"])).first()[0] or 1
+
+
+def flatten_json(df: DataFrame, col: str, keep: Sequence[str], depth: int | None = None) -> DataFrame:
     """Rows (keep…, path, kind, value, length): one per leaf of the JSON document.
 
-    Objects are opened level by level while leaves pass through, so the source is
-    read once whatever the depth; a list is a leaf that reports its length.  An
-    object still nested below ``depth`` fails the query, so no leaf is lost silently.
+    Objects are opened level by level while leaves pass through; a list is a leaf that reports its length.
+    Without ``depth`` the documents are read once more before, to count the levels that they have.  With it, an
+    object still nested below fails the query, so no leaf is lost silently.
     """
     spark = df.sparkSession
+    depth = json_depth(df, col) if depth is None else depth
     level = df.select(*keep, F.lit("").alias("_path"), F.parse_json(F.col(col)).alias("_v"))
 
     def is_object() -> Column:

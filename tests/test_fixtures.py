@@ -208,6 +208,8 @@ def test_flatten_json(spark):
     assert got["a.c"][0] == "list" and got["a.c"][2] == 3 and got["a.b"][1] == "1" and got["d"] == ("string", "x", None)
     with pytest.raises(Exception, match="nested too deep"):
         D.flatten_json(df, "j", ["id"], depth=1).collect()
+    deep = spark.createDataFrame([(1, '{"a":' * 12 + '"{{\\"{"' + "}" * 12), (2, "{}"), (3, None)], "id int, j string")
+    assert [(r["path"], r["value"]) for r in D.flatten_json(deep, "j", ["id"]).collect()] == [(".".join("a" * 12), '{{"{')]
     assert df.select(D.has_key(F.col("j"), "g")).first()[0] and not df.select(D.has_key(F.col("j"), "x")).first()[0]
 
 
