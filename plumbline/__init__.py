@@ -1,5 +1,5 @@
 """plumbline: run-table audit, feature and evaluation operators for Spark DataFrames."""
 
-from plumbline.session import broadcast_if_small, build_session, cut_lineage, is_small
+from plumbline.session import build_session, cut_lineage, drop_tables
 
-__all__ = ["broadcast_if_small", "build_session", "cut_lineage", "is_small"]
+__all__ = ["build_session", "cut_lineage", "drop_tables"]

@@ -37,12 +37,6 @@ def metrics_overall(spark, d):
     return rounded(E.regression_metrics(B.oof(spark, d), "y", "prediction"), **_spec(M_DIGITS))
 
 
-@query("metrics_large", rsql(f"WITH {B.OOF_SQL} SELECT strategy, {METRICS} FROM oof GROUP BY 1", "strategy, n_rows", **M_DIGITS))
-def metrics_large(spark, d):
-    """The same metrics with medians by the way taken for inputs too large for one task."""
-    return rounded(E.regression_metrics(B.oof_long(spark, d), "y", "prediction", ["strategy"], small_bytes=0), **_spec(M_DIGITS))
-
-
 @query("metrics_per_unit", rsql(f"WITH {B.OOF_SQL} SELECT strategy, count(*) AS n_rows, {UNIT} FROM oof GROUP BY 1", "strategy, n_rows, negative_predictions", **U_DIGITS))
 def metrics_per_unit(spark, d):
     return rounded(E.metrics_per_unit(B.oof_long(spark, d), "y", "prediction", "units", ["strategy"]), **_spec(U_DIGITS))

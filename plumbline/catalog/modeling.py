@@ -15,7 +15,7 @@ from plumbline.operators.joins import attach_folds, join_many_to_one
 from plumbline.operators.splits import group_folds, leave_group_out, leave_group_within
 from plumbline.plans import models as P
 from plumbline.plans.bundles import resolve_bundles
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, table_path
 
 SPEC = P.Spec(numeric=["qty", "avg_discount", "units"], categorical=["task", "hw"], target="y", unit="units")
 K = 3
@@ -116,15 +116,17 @@ def oof_full_folds(spark, d):
 @query("fit_final")
 def fit_final(spark, d):
     rows = model_rows(spark, d)
-    model, info = P.fit_final(rows, "model", SPEC, GRID)
+    fitted, info = P.fit_final(rows, "model", SPEC, GRID)
+    path = table_path(spark)
+    fitted.save(path)
+    model = P.FittedModel.load(spark, path)
     return scored(model.predict(rows).withColumn("selected", F.lit(info["selected"])), "selected")
 
 
 @query("importance")
 def importance(spark, d):
     rows = model_rows(spark, d)
-    model = P.fit(rows, replace(SPEC, algorithm="ridge"), {"alpha": 1.0})
-    return rounded(P.permutation_importance(model, rows, ["run_key"], repeats=2), 3)
+    return rounded(P.fold_importance(rows, "fold", replace(SPEC, algorithm="ridge"), {"alpha": 1.0}, ["run_key"]), 3)
 
 
 @query("pdp")

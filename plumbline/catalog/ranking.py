@@ -19,12 +19,6 @@ def qcut(spark, d):
     return W.qcut(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 4).select("o_orderkey", "bin")
 
 
-@query("qcut_large", QCUT)
-def qcut_large(spark, d):
-    """The same bins by the way taken for inputs too large for one task."""
-    return W.qcut(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 4, small_bytes=0).select("o_orderkey", "bin")
-
-
 @query("qcut_by_group", "SELECT o_orderkey, (1 + (o_totalprice > e1)::INT + (o_totalprice > e2)::INT)::INT AS bin FROM orders JOIN (SELECT o_orderstatus, quantile_cont(o_totalprice, 1/3) AS e1, quantile_cont(o_totalprice, 2/3) AS e2 FROM orders GROUP BY 1) USING (o_orderstatus)")
 def qcut_by_group(spark, d):
     return W.qcut(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), "o_totalprice", 3, ["o_orderstatus"]).select("o_orderkey", "bin")
@@ -66,11 +60,6 @@ def value_ranks(spark, d):
     return rounded(W.value_ranks(table(spark, d, "lineitem"), "l_quantity"), 1, l_quantity=6)
 
 
-@query("value_ranks_large", rsql(RANK, "l_quantity, n", avg_rank=1))
-def value_ranks_large(spark, d):
-    return rounded(W.value_ranks(table(spark, d, "lineitem"), "l_quantity", small_bytes=0), 1, l_quantity=6)
-
-
 @query("avg_rank", rsql("SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_orderstatus, o_totalprice) - 1) / 2.0 AS avg_rank FROM orders", "o_orderkey", avg_rank=1))
 def avg_rank(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")

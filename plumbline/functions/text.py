@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import spread_if_small
 
 # Credential shapes to look for.
 SECRET_PATTERNS = {
@@ -37,7 +36,7 @@ def secret_scan(df: DataFrame, text: str, keep: Sequence[str],
                 patterns: Mapping[str, str] = SECRET_PATTERNS) -> DataFrame:
     """(keep…, category) for every pattern the text contains; text itself is never emitted."""
     found = F.array_compact(F.array(*[F.when(F.col(text).rlike(p), F.lit(n)) for n, p in patterns.items()]))
-    return spread_if_small(df.select(*keep, text)).select(*keep, F.explode(found).alias("category"))
+    return df.select(*keep, text).select(*keep, F.explode(found).alias("category"))
 
 
 def resolve_identity(hits: DataFrame, key: str, name: str) -> DataFrame:

@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import EPS
 from plumbline.operators.joins import join_many_to_one
-from plumbline.operators.ordering import agg_with_medians, hash_index, quantile_table, scalar_quantiles
+from plumbline.operators.ordering import agg_with_medians, hash_index, quantile_table
 from plumbline.operators.profile import _null_safe_join
 from plumbline.operators.ranking import bin_of, first_per_group, value_ranks
-from plumbline.session import spread_if_small
 
 
 def residual(y: str, p: str) -> Column:
@@ -88,12 +87,10 @@ def slice_rows(df: DataFrame, y: str, dims: Mapping[str, str], quantiles: Mappin
     """
     probs = [*quantiles.values(), *([i / n_bins for i in range(n_bins + 1)] if n_bins else [])]
     limits: list[Column] = []
-    if probs and by:
+    if probs:
         table = quantile_table(df, [y], probs, by, **kw).select(*by, F.col("q").alias("_thr"))
-        df = join_many_to_one(df, table, by, null_safe=True)
+        df = join_many_to_one(df, table, by, null_safe=True) if by else df.withColumn("_thr", table.scalar())
         limits = [F.col("_thr")[i] for i in range(len(probs))]
-    elif probs:
-        limits = scalar_quantiles(df, y, probs, **kw)
     entries = [F.struct(F.lit("overall").alias("slice_type"), F.lit("all").alias("slice_value"))]
     for kind, column in dims.items():
         entries.append(F.when(F.col(column).isNotNull(), F.struct(
@@ -105,7 +102,7 @@ def slice_rows(df: DataFrame, y: str, dims: Mapping[str, str], quantiles: Mappin
         entries.append(F.struct(F.lit(bin_name).alias("slice_type"), label.alias("slice_value")))
     # rows outside a slice give a null struct; inline stays in generated code where array_compact would not
     keep = [c for c in df.columns if c != "_thr"]
-    return spread_if_small(df).select(*keep, F.inline(F.array(*entries))).where(F.col("slice_type").isNotNull())
+    return df.select(*keep, F.inline(F.array(*entries))).where(F.col("slice_type").isNotNull())
 
 
 def error_slices(df: DataFrame, y: str, p: str, units: str, cluster: str, dims: Mapping[str, str],

@@ -1,40 +1,39 @@
 """Distributed order statistics: running totals, ranks and exact quantiles.
 
 A window without PARTITION BY, or ``percentile`` over a group that holds a large
-share of the data, runs in one task.  The functions here take that short way
-only when the input is known to be small; otherwise the rows are range-partitioned,
-the per-partition totals (one row per partition and group) become offsets, and
-each partition is ordered on its own.  Both ways give the same exact result.
+share of the data, runs in one task.  The functions here never do that, whatever the size of the input:
+rows are counted in buckets that keep their order, the bucket counts become offsets, and only rows that share a bucket are
+ordered together.  The results are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import SMALL_BYTES, cut_lineage, is_small, spread_if_small
+from plumbline.session import cut_lineage
+
+#: value buckets per power of two; a quantile sorts the distinct values of the one bucket that holds it
+OCTAVE = 1 << 14
+#: leading hex digits of md5 that make a bucket: at most 65 536 of them
+HASH_DIGITS = 4
 
 
 def running_total(df: DataFrame, order: Sequence[str], value: Column, by: Sequence[str] = (),
-                  before: str = "before", total: str | None = None,
-                  small_bytes: int | None = None) -> DataFrame:
+                  before: str = "before", total: str | None = None) -> DataFrame:
     """Add the sum of ``value`` over all earlier rows of the group (0 for the first).
 
     ``order`` must be unique within ``by``.  ``total`` optionally names a column
-    for the group's overall sum.
+    for the group's overall sum.  Rows are range-partitioned and written once; the sums of the
+    partitions become offsets, and each partition is ordered on its own.
     """
     by, order = list(by), list(order)
     zero = F.lit(0).cast("bigint")
-    if is_small(df, SMALL_BYTES if small_bytes is None else small_bytes):
-        group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-        earlier = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        out = df.withColumn(before, F.coalesce(F.sum(value).over(earlier), zero))
-        return out.withColumn(total, F.sum(value).over(group)) if total else out
     ranged = cut_lineage(
-        df.withColumn("_v", value).repartitionByRange(*by, *order).withColumn("_bucket", F.spark_partition_id()),
-        spread=False)
+        df.withColumn("_v", value).repartitionByRange(*by, *order).withColumn("_bucket", F.spark_partition_id()))
     sums = ranged.groupBy(*by, "_bucket").agg(F.sum("_v").alias("_sum"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     # at most one row per range partition and group
@@ -56,10 +55,9 @@ def running_total(df: DataFrame, order: Sequence[str], value: Column, by: Sequen
     return out.select(*df.columns, before, *([total] if total else []))
 
 
-def row_index(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "index",
-              small_bytes: int | None = None) -> DataFrame:
+def row_index(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "index") -> DataFrame:
     """0-based position of each row in ``order`` (ascending, unique) within ``by``."""
-    return running_total(df, order, F.lit(1).cast("bigint"), by, before=name, small_bytes=small_bytes)
+    return running_total(df, order, F.lit(1).cast("bigint"), by, before=name)
 
 
 def hash_text(seed: object, *parts: str) -> Column:
@@ -68,7 +66,7 @@ def hash_text(seed: object, *parts: str) -> Column:
 
 
 def hash_index(df: DataFrame, keys: Sequence[str], seed: object, by: Sequence[str] = (),
-               name: str = "index", digits: int | None = None) -> DataFrame:
+               name: str = "index", digits: int = HASH_DIGITS) -> DataFrame:
     """0-based position in md5 order.
 
     The hash is uniform, so its leading hex digits are balanced buckets known in
@@ -76,7 +74,6 @@ def hash_index(df: DataFrame, keys: Sequence[str], seed: object, by: Sequence[st
     sorted together.  No sampling, no checkpoint, no group-sized task.
     """
     by, keys = list(by), list(keys)
-    digits = digits or (2 if is_small(df) else 5)
     hashed = df.withColumn("_h", hash_text(seed, *keys)).withColumn("_b", F.substring("_h", 1, digits))
     sums = hashed.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -95,81 +92,80 @@ def hash_index(df: DataFrame, keys: Sequence[str], seed: object, by: Sequence[st
     return ranked.select(*df.columns, F.col(name).cast("bigint").alias(name))
 
 
+def value_bucket(v: Column) -> Column:
+    """A whole number that never falls as ``v`` rises: sign, power of two and leading bits of the fraction.
+
+    Where the logarithm rounds up to the next power the fraction is just below 0, which is the last bucket of the power before.
+    """
+    size = F.abs(v)
+    power = F.greatest(F.floor(F.log2(size)), F.lit(-1022)).cast("double")
+    inside = F.floor((power + 1100) * OCTAVE + (size / F.pow(F.lit(2.0), power) - 1) * OCTAVE)
+    inside = F.when(size == float("inf"), F.lit(1 << 62)).otherwise(inside)
+    return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, inside).when(v < 0, -inside)
+
+
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-                   weight: str | None = None, small_bytes: int | None = None) -> DataFrame:
+                   weight: str | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles: one row per group and column.
 
     Result: ``by…, column, n, q`` with ``q`` an array in the order of ``probs``.
-    Nulls are skipped.  ``weight`` is an integer multiplicity column.
+    Nulls and NaN are skipped; a group without values has n = 0.  ``weight`` is an integer multiplicity column.
+
+    One pass counts values per bucket, with map-side sums; a second one reads only the values of the buckets that hold a wanted rank.
     """
     by, cols, probs = list(by), list(cols), [float(p) for p in probs]
     freq = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    if is_small(df, SMALL_BYTES if small_bytes is None else small_bytes):
-        share = F.array(*[F.lit(p) for p in probs])
-        aggs = []
-        for i, c in enumerate(cols):
-            value = F.col(c).cast("double")
-            seen = F.when(value.isNotNull(), freq)
-            q = F.percentile(value, share, freq) if weight else F.percentile(value, share)
-            aggs += [q.alias(f"_q{i}"), F.coalesce(F.sum(seen), F.lit(0)).alias(f"_n{i}")]
-        wide = spread_if_small(df.select(*dict.fromkeys([*by, *cols, *([weight] if weight else [])]))).groupBy(*by).agg(*aggs)
-        packed = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_n{i}").alias("n"), F.col(f"_q{i}").alias("q"))
-                           for i, c in enumerate(cols)])
-        return wide.select(*by, F.inline(packed))
+    value = F.col("v") + F.lit(0.0)  # one zero
     packed = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])
-    counts = (df.select(*by, freq.alias("_w"), F.inline(packed)).where(F.col("v").isNotNull())
-              .groupBy(*by, "column", "v").agg(F.sum("_w").alias("_c")).where("_c > 0"))
-    placed = running_total(counts, ["v"], F.col("_c"), [*by, "column"], before="_before", total="_n", small_bytes=0)
+    long = df.select(*by, freq.alias("_w"), F.inline(packed)).withColumn("v", F.when(~F.isnan("v"), value)).withColumn("_b", value_bucket(F.col("v")))
+    groups = [*by, "column"]
+    counts = long.groupBy(*groups, "_b").agg(F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("_w"))), F.lit(0)).alias("_c"))
+    group = Window.partitionBy(*groups)
+    placed = counts.withColumn("_n", F.sum("_c").over(group)).withColumn(
+        "_start", F.sum("_c").over(group.orderBy(F.col("_b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"))
+
+    def ranks(n: Column) -> list[tuple[Column, Column, Column]]:
+        positions = [(n - 1) * F.lit(p) for p in probs]
+        return [(F.floor(x), F.ceil(x), x - F.floor(x)) for x in positions]
+    sides = [side for low, high, _ in ranks(F.col("_n")) for side in (low, high)]
+    held = reduce(lambda a, b: a | b, [(F.col("_start") <= r) & (r < F.col("_start") + F.col("_c")) for r in sides])
+    wanted = placed.where(held | (F.col("_n") == 0)).select(*groups, "_b", "_start", "_n")
+    if by:
+        wanted = cut_lineage(wanted)  # its size is then known to the planner
+    else:
+        wanted = F.broadcast(wanted)  # two buckets per column and probability at most
+    inside = _same(long.where(F.col("v").isNotNull()).alias("l"), wanted.alias("r"), [*groups, "_b"], "inner").select("l.*", "r._start", "r._n")
+    values = inside.groupBy(*groups, "_b", "_start", "_n", "v").agg(F.sum("_w").alias("_c")).where("_c > 0")
+    earlier = Window.partitionBy(*groups, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = values.withColumn("_start", F.col("_start") + F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
     picks = []
-    for i, p in enumerate(probs):
-        position = (F.col("_n") - 1) * F.lit(p)
-        for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            hit = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c"))
+    for i, (low, high, _) in enumerate(ranks(F.col("_n"))):
+        for side, rank in (("lo", low), ("hi", high)):
+            hit = (F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_c"))
             picks.append(F.max(F.when(hit, F.col("v"))).alias(f"_{side}{i}"))
-    wide = placed.groupBy(*by, "column").agg(F.max("_n").alias("n"), *picks)
-    quantiles = []
-    for i, p in enumerate(probs):
-        position = (F.col("n") - 1) * F.lit(p)
-        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        quantiles.append(low + (high - low) * (position - F.floor(position)))
-    found = wide.select(*by, "column", "n", F.array(*quantiles).alias("q"))
-    return _with_empty_groups(df, found, cols, by)
-
-
-def _with_empty_groups(df: DataFrame, found: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Groups whose values are all null keep a row with n = 0, as the short way gives."""
-    names = F.explode(F.array(*[F.lit(c) for c in cols])).alias("column")
+    wide = ordered.groupBy(*groups).agg(F.max("_n").alias("n"), *picks)
+    quantiles = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part for i, (_, _, part) in enumerate(ranks(F.col("n")))]
+    found = wide.select(*groups, "n", F.array(*quantiles).alias("q"))
     if by:
-        every = df.select(*by).distinct().select(*by, names)
-    else:
-        every = df.sparkSession.range(1).select(names)
-    left, right = every.alias("l"), found.alias("r")
-    cond = F.col("l.column") == F.col("r.column")
-    for c in by:
-        cond = cond & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-    return left.join(right, cond, "left").select(
-        *[F.col(f"l.{c}").alias(c) for c in by], F.col("l.column").alias("column"),
-        F.coalesce(F.col("r.n"), F.lit(0)).alias("n"), F.col("r.q").alias("q"))
-
-
-def agg_with_medians(df: DataFrame, metrics: Mapping[str, Column], by: Sequence[str], medians: Mapping[str, Column],
-                     small_bytes: int | None = None) -> DataFrame:
-    """Aggregates plus medians of row expressions: one aggregation for small inputs, a quantile pass beyond."""
-    def aggregated(extra: Mapping[str, Column]) -> DataFrame:
-        return df.groupBy(*by).agg(*[v.alias(k) for k, v in {**metrics, **extra}.items()])
-    if is_small(df, SMALL_BYTES if small_bytes is None else small_bytes):
-        return aggregated({k: F.percentile(v, F.lit(0.5)) for k, v in medians.items()})
-    out = aggregated({})
-    table = quantile_table(df.select(*by, *[v.alias(k) for k, v in medians.items()]), list(medians), [0.5], by, small_bytes=small_bytes)
+        return found.unionByName(wanted.where("_n = 0").select(*groups, F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("array<double>").alias("q")))
+    every = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("column"))
+    return every.join(found, "column", "left").select("column", F.coalesce("n", F.lit(0)).alias("n"), "q")
+
+
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Null-safe join of the sides aliased l and r."""
+    return left.join(right, reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]), how)
+
+
+def agg_with_medians(df: DataFrame, metrics: Mapping[str, Column], by: Sequence[str], medians: Mapping[str, Column]) -> DataFrame:
+    """Aggregates plus medians of row expressions."""
+    out = df.groupBy(*by).agg(*[v.alias(k) for k, v in metrics.items()])
+    table = quantile_table(df.select(*by, *[v.alias(k) for k, v in medians.items()]), list(medians), [0.5], by)
     if not by:
         lookup = table.agg(F.map_from_entries(F.collect_list(F.struct("column", F.col("q")[0].alias("m")))).alias("m")).scalar()
         return out.withColumns({k: F.element_at(lookup, F.lit(k)) for k in medians})
     wide = table.groupBy(*by).agg(*[F.max(F.when(F.col("column") == k, F.col("q")[0])).alias(k) for k in medians])
-    left, right = out.alias("l"), wide.alias("r")
-    cond = F.lit(True)
-    for c in by:
-        cond = cond & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-    return left.join(right, cond).select("l.*", *[F.col(f"r.{k}").alias(k) for k in medians])
+    return _same(out.alias("l"), wide.alias("r"), list(by), "inner").select("l.*", *[F.col(f"r.{k}").alias(k) for k in medians])
 
 
 def quantile_columns(df: DataFrame, cols: Sequence[str], names: dict[str, float], by: Sequence[str] = (),

@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from plumbline.functions.numeric import finite, relative_error
 from plumbline.operators.joins import join_many_to_one, unique_guard
 from plumbline.operators.ordering import agg_with_medians, quantile_columns, quantile_table
-from plumbline.session import spread_if_small
 
 
 def _string_cols(df: DataFrame) -> list[str]:
@@ -269,14 +268,14 @@ def _outlier_profile(df: DataFrame, cols: Sequence[str], by: Sequence[str], prob
     if not by:
         # one entry per profiled column
         lookup = table.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct(*probs)))).alias("m")).scalar()
-        aggs, entries = [], []
+        aggs, entries = [F.any_value("_limits").alias("_limits")], []
         for i, x in enumerate(cols):
-            v, q = F.col(x).cast("double"), F.element_at(lookup, F.lit(x))
+            v, q = F.col(x).cast("double"), F.element_at("_limits", F.lit(x))
             aggs += [F.count(v).alias(f"_c{i}"), F.count_if(v <= 0).alias(f"_z{i}"),
                      F.count_if(outside(v, q["q1"], q["q3"])).alias(f"_o{i}")]
             entries.append((x, {**{p: q[p] for p in probs}, "count": F.col(f"_c{i}"), "non_positive": F.col(f"_z{i}"),
                                 "outliers": F.col(f"_o{i}")}))
-        return _unpivot(df.agg(*aggs), entries)
+        return _unpivot(df.select(*cols, lookup.alias("_limits")).agg(*aggs), entries)
     group = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}).alias("_g")  # null-safe join key
     packed = F.array(*[F.struct(F.lit(x).alias("column"), F.col(x).cast("double").alias("v")) for x in cols])
     joined = join_many_to_one(df.select(group, F.inline(packed)), table.select(group, *by, "column", *probs), ["_g", "column"], "inner")
@@ -333,7 +332,7 @@ def identity_check(df: DataFrame, observed: Column, expected: Column, tol: float
     errors = identity_errors(df, observed, expected, [])
     e = F.col("relative_error")
     metrics = {"checked": F.count("*"), "failed": F.count_if(e > tol), "max_relative_error": F.max(e)}
-    return agg_with_medians(spread_if_small(errors), metrics, [], {"median_relative_error": e}, **kw)
+    return agg_with_medians(errors, metrics, [], {"median_relative_error": e}, **kw)
 
 
 def identity_failures(df: DataFrame, observed: Column, expected: Column, keys: Sequence[str], tol: float = 1e-9,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.joins import join_many_to_one
-from plumbline.operators.ordering import hash_text, quantile_table, running_total, scalar_quantiles
+from plumbline.operators.ordering import hash_text, quantile_table, running_total
 from plumbline.session import cut_lineage
 
 
@@ -21,10 +21,8 @@ def bin_of(value: Column, edges: Sequence[Column]) -> Column:
 def qcut(df: DataFrame, col: str, n: int, by: Sequence[str] = (), name: str = "bin", **kw: object) -> DataFrame:
     """Bins by exact linear quantile edges: right-closed, lowest value included, duplicate edges dropped."""
     probs = [i / n for i in range(n + 1)]
-    if not by:
-        return df.withColumn(name, bin_of(F.col(col), scalar_quantiles(df, col, probs, **kw)))
     edges = quantile_table(df, [col], probs, by, **kw).select(*by, F.col("q").alias("_q"))
-    joined = join_many_to_one(df, edges, by, null_safe=True)
+    joined = join_many_to_one(df, edges, by, null_safe=True) if by else df.withColumn("_q", edges.scalar())
     return joined.withColumn(name, bin_of(F.col(col), [F.col("_q")[i] for i in range(n + 1)])).drop("_q")
 
 

@@ -7,13 +7,15 @@ names and scores.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import OneHotEncoder, PCA, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import high_value_weights, restore_target, transform_target
@@ -130,6 +132,10 @@ def linear_penalty(alpha: float, l1_ratio: float, sigma: float, n: int, ridge: b
     return total, (alpha * l1_ratio / total if total else 0.0)
 
 
+_SETTINGS = ("numeric", "categorical", "scale", "indicators", "max_categories")
+_LEARNED = ("medians", "flagged", "labels", "modes", "moments")
+
+
 class FittedModel:
     """Preprocessing and estimator with the target strategy needed to restore predictions."""
 
@@ -146,6 +152,26 @@ class FittedModel:
         return scored.withColumn(name, restore_target(F.col("_raw_prediction"), spec.transform, unit)).drop(
             "features", "_raw_prediction")
 
+    def save(self, path: str) -> None:
+        """Write the model below ``path``, which must not exist yet."""
+        prep = self.prep
+        state = {"spec": asdict(self.spec), "mean": None if prep else self.model, "prep": prep and {k: getattr(prep, k) for k in (*_SETTINGS, *_LEARNED)}}
+        SparkSession.active().createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.text(f"{path}/state")
+        if prep:
+            PipelineModel([*prep.stages, prep.assembler, self.model]).write().save(f"{path}/stages")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> FittedModel:
+        state = json.loads(spark.read.text(f"{path}/state").first()[0])
+        spec, kept = Spec(**state["spec"]), state["prep"]
+        if kept is None:
+            return FittedModel(spec, None, state["mean"])
+        prep = Preprocessor(*[kept[k] for k in _SETTINGS])
+        for name in _LEARNED:
+            setattr(prep, name, kept[name])
+        *prep.stages, prep.assembler, model = PipelineModel.load(f"{path}/stages").stages
+        return FittedModel(spec, prep, model)
+
 
 #: features up to which the normal equations can be solved
 NORMAL_FEATURES = 4096
@@ -408,6 +434,16 @@ def permutation_importance(model: FittedModel, df: DataFrame, key: Sequence[str]
                                             F.stddev_samp("increase").alias("importance_std"), F.count("*").alias("repeats"))
 
 
+def fold_importance(df: DataFrame, fold: str, spec: Spec, params: Mapping[str, object], key: Sequence[str], repeats: int = 10, seed: int = 42) -> DataFrame:
+    """``permutation_importance`` per outer fold: fitted without the fold, permuted and scored on its rows alone."""
+    parts = []
+    for k in fold_values(df, fold):
+        model = fit(df.where(F.col(fold) != k), spec, params)
+        found = permutation_importance(model, df.where(F.col(fold) == k), key, repeats=repeats, seed=seed)
+        parts.append(cut_lineage(found).withColumn(fold, F.lit(k)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def partial_dependence(model: FittedModel, train: DataFrame, df: DataFrame, features: Sequence[str], points: int = 9,
                        low: float = 0.05, high: float = 0.95) -> DataFrame:
     """(feature, grid_value, mean, std): predictions with the feature set to distinct training quantiles.

@@ -1,12 +1,4 @@
-"""Session set-up and the size checks every operator relies on.
-
-Two questions decide most physical choices in this package: "is this side small
-enough to broadcast?" and "is this group small enough to be held by one task?".
-Both are answered from the bytes of the files the plan reads, known at planning
-time without running a job.  The plans built here never multiply rows by more
-than a constant (every join is many-to-one), so input bytes bound the data that
-reaches an operator.
-"""
+"""Session set-up, the shared folder for intermediate tables, and small literal tables."""
 
 from __future__ import annotations
 
@@ -16,13 +8,6 @@ from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: input size up to which one task may hold a whole ordered group
-SMALL_BYTES = 64 << 20
-#: input size up to which a join side may be broadcast
-BROADCAST_BYTES = 16 << 20
-
 
 def build_session(app: str = "plumbline", master: str | None = None, **conf: object) -> SparkSession:
     """A session with the settings the operators assume (UTC, AQE, skew joins)."""
@@ -44,30 +29,6 @@ def build_session(app: str = "plumbline", master: str | None = None, **conf: obj
     return builder.getOrCreate()
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of all relations the plan reads, as the optimizer knows them."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    return input_bytes(df) <= (SMALL_BYTES if limit is None else limit)
-
-
-def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Hint a broadcast only for a side whose input size is known to be small."""
-    return F.broadcast(df) if is_small(df, BROADCAST_BYTES if limit is None else limit) else df
-
-
-def spread_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Spread a small input over all cores before costly row work.
-
-    A small file is one scan task however many cores there are; a large input
-    already has a task per split and is left alone.
-    """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df, limit) else df
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only for local runs without it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -80,15 +41,32 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame, spread: bool = True) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back (small tables in as many files as there are cores).
+_written: list[str] = []
+
+
+def table_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, remembered for ``drop_tables``."""
+    _written.append(f"{shared_folder(spark)}/table-{uuid4().hex}")
+    return _written[-1]
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far; call it when no DataFrame that reads them is needed any more."""
+    removed = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        removed += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return removed
+
+
+def cut_lineage(df: DataFrame, *by: str) -> DataFrame:
+    """Write ``df`` to the shared folder, partitioned ``by`` columns, and read it back.
 
     The result survives executor loss, is not recomputed by later passes, keeps
-    column pruning, and has a known size.
+    column pruning, and has a known size.  ``drop_tables`` removes it.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid4().hex}"
-    (spread_if_small(df) if spread else df).write.parquet(path)
+    spark, path = df.sparkSession, table_path(df.sparkSession)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -122,3 +122,10 @@ def test_matrix_resumes(spark, tmp_path):
     assert M.valid_checkpoint(one, spark.range(4).withColumnRenamed("id", "run_key"), ["run_key"], fp).first()["valid"]
     assert not M.valid_checkpoint(one, spark.range(5).withColumnRenamed("id", "run_key"), ["run_key"], fp).first()["valid"]
     assert not M.valid_checkpoint(one, spark.range(4).withColumnRenamed("id", "run_key"), ["run_key"], "other").first()["valid"]
+
+
+def test_intermediate_tables_are_dropped(spark):
+    from plumbline.session import cut_lineage, drop_tables
+    drop_tables(spark)
+    kept = cut_lineage(spark.range(5))
+    assert kept.count() == 5 and drop_tables(spark) == 1 and drop_tables(spark) == 0

@@ -131,3 +131,13 @@ def test_one_shot_evaluation(spark, data, tmp_path):
         P.evaluate_once(train, test, SPEC, {"alpha": 2.0}, path, ["run_key"], "g")
     with pytest.raises(ValueError, match="both sides"):
         P.evaluate_once(train, data, SPEC, {"alpha": 1.0}, str(tmp_path / "other"), ["run_key"], "g")
+
+
+@pytest.mark.parametrize("algorithm, params", [("ridge", {"alpha": 1.0}), ("mean", {}), ("forest", {"numTrees": 3})])
+def test_saved_model_predicts_the_same(spark, data, tmp_path, algorithm, params):
+    model = P.fit(data, replace(SPEC, algorithm=algorithm), params)
+    model.save(str(tmp_path / "m"))
+    again = P.FittedModel.load(spark, str(tmp_path / "m"))
+    assert again.spec == replace(model.spec, numeric=list(SPEC.numeric), categorical=list(SPEC.categorical))
+    want = {r["run_key"]: r["prediction"] for r in model.predict(data).collect()}
+    assert {r["run_key"]: r["prediction"] for r in again.predict(data).collect()} == want
