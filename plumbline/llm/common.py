@@ -7,7 +7,6 @@ executors and is not computed again by later passes.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -16,17 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.session import shared_folder
+from plumbline.session import cut_lineage
 
 #: bytes of text that numpy code works on at once
 BLOCK_BYTES = 4 << 20
 
 
-def stored(df: DataFrame, *by: str) -> DataFrame:
-    """Write ``df`` to the shared folder, partitioned ``by`` columns, and read it back."""
-    path = f"{shared_folder(df.sparkSession)}/llm-{uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: written to the shared folder and read back; ``plumbline.session.drop_tables`` removes these tables
+stored = cut_lineage
 
 
 def fold(id_col: str, k: int) -> Column:
