@@ -55,9 +55,16 @@ def blank_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     return _unpivot(wide, [(x, {"blank_count": F.col(f"_b{i}")}) for i, x in enumerate(cols)])
 
 
+def row_hash(df: DataFrame, cols: Sequence[str]) -> list[Column]:
+    """128 bits of a row, nulls told apart from absent text and both zeros alike."""
+    floating = (T.DoubleType, T.FloatType)
+    parts = [x for c in cols for x in (F.col(c) + F.lit(0.0) if isinstance(df.schema[c].dataType, floating) else F.col(c), F.col(c).isNull())]
+    return [F.xxhash64(*parts).alias("_h1"), F.xxhash64(F.lit(1), *parts).alias("_h2")]
+
+
 def exact_duplicates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Groups of identical rows (nulls equal) and rows in them; copies combine map-side."""
-    groups = df.groupBy(*(cols or df.columns)).agg(F.count("*").alias("_n"))
+    """Groups of identical rows (nulls equal) and rows in them; what is shuffled are hashes, not rows, and copies combine map-side."""
+    groups = df.groupBy(*row_hash(df, cols or df.columns)).agg(F.count("*").alias("_n"))
     return groups.agg(F.count("*").alias("distinct_rows"), F.count_if(F.expr("_n > 1")).alias("duplicate_groups"),
                       F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias("rows_in_duplicate_groups"))
 
