@@ -3,7 +3,8 @@
 A text is a weighted set of five-word shingles: how often each occurs, times a damped inverse document frequency.  ``SAMPLES`` consistent weighted samples make up
 ``BANDS`` band keys; texts that share one are candidates.  In each bucket every text is compared with the bucket's representative, never with
 all others; links are pairs whose weighted Jaccard similarity, computed from the whole texts, reaches the threshold.  Buckets that still hold several
-classes are split by one more sample and compared again around other representatives.  Classes are the connected components.
+classes are split by one more sample and compared again around other representatives.  What then still shares a bucket in different classes is compared
+whole: a bucket's texts are dealt to salted cells, and each pair of cells compares all its pairs across classes at once.  Classes are the connected components.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ SLOTS = 1 << 18
 #: a shingle found everywhere weighs 1, a unique one 1 + DAMPING: a large group's common shingles keep their say
 DAMPING = 0.25
 BLOCK = 1 << 20
+#: texts and bytes of one cell of a bucket that still holds several classes
+CELL_ROWS, CELL_BYTES = 512, 8 << 20
+_COLUMNS = 4096
 
 
 def _gamma_quantiles(n: int) -> np.ndarray:
@@ -217,6 +221,7 @@ def classify(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep:
         tested = scored.select("a", "b") if tested is None else tested.unionByName(scored.select("a", "b"))
         if round_ == 0 or not new.isEmpty():
             roots = components(links)
+    roots = components(links.unionByName(_rest(buckets, roots, rows, texts, weights, threshold)))
     classes = texts.join(roots, "key", "left").select("key", "id", F.coalesce("root", "key").alias("class_key"))
     lowest = classes.groupBy("class_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
     classes = stored(classes.select("key", "class_key").join(lowest, "class_key").select("key", "class_key", "first.id", F.col("first.key").alias("first_key")))
@@ -224,11 +229,82 @@ def classify(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep:
         "kept.*", F.col("id").alias("class_id"), "class_key", F.col("key").alias("text_key"), (F.col("own_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("first_key"))).alias("class_first"))
 
 
+def _texts(wanted: DataFrame, rows: DataFrame) -> DataFrame:
+    """(key, text) of each row of ``wanted`` (key, id)."""
+    one = F.col("r.key").eqNullSafe(F.col("w.key")) & F.col("r.id").eqNullSafe(F.col("w.id"))  # copies are told apart by id, so a hot text is not one task's
+    return stored(rows.alias("r").join(wanted.alias("w"), one).select("r.key", "r.text").groupBy("key").agg(F.first("text").alias("text")))
+
+
+def _rest(buckets: DataFrame, roots: DataFrame, rows: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+    """Links (a, b) between different classes of one bucket, from all pairs of its texts that the rounds left in different classes."""
+    placed = buckets.select("bucket", "key").distinct().join(roots, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("bucket")
+    open_ = stored(placed.join(mixed, "bucket"))
+    whole = _texts(open_.select("key").distinct().join(texts.select("key", "id"), "key"), rows)
+    sizes = open_.join(whole.select("key", F.octet_length("text").cast("long").alias("bytes")), "key")
+    cells = sizes.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / CELL_ROWS), F.ceil(F.sum("bytes") / CELL_BYTES), F.lit(1)).cast("int").alias("cells"))
+    own = F.pmod(F.xxhash64("key", F.lit(9)), F.col("cells")).cast("int")
+    dealt = open_.join(cells, "bucket").withColumn("cell", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    dealt = dealt.select(F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "bucket", "key", "root", "cell").join(whole, "key")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        key, root, cell = (table.column(c).to_numpy() for c in ("key", "root", "cell"))
+        a, b = cross_links(table.column("text").combine_chunks(), root, cell, weights, threshold)
+        return pa.table({"a": np.maximum(key[a], key[b]), "b": np.minimum(key[a], key[b])})
+
+    return stored(dealt.select("bucket", "i", "j", "key", "root", "cell", "text").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long"))
+
+
+def cross_links(text: pa.Array, root: np.ndarray, cell: np.ndarray, weights: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a spanning set of the pairs that reach the threshold, are of different roots and, if there are two cells, of different cells."""
+    text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
+    n = len(text)
+    own = [(owner + part.start, value, count) for part, d, a in blocks(text, BLOCK) for owner, value, count in [shingles(d, a)]]
+    owner, value, count = (np.concatenate(x) for x in zip(*own))
+    total = np.bincount(owner, weigh(value, count, weights), n)
+    # the least of two counts is the number of levels that both reach
+    level = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    owner, value = np.repeat(owner, count), np.repeat(value, count)
+    order = np.lexsort([level, value])
+    owner, value, level = owner[order], value[order], level[order]
+    start = np.flatnonzero(np.concatenate([[True], (np.diff(level) != 0) | (value[1:] != value[:-1])])) if len(value) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(value)))
+    shared_by = size > 1
+    column, owner = np.repeat(np.cumsum(shared_by) - 1, size)[np.repeat(shared_by, size)], owner[np.repeat(shared_by, size)]
+    weight = weigh(value[start[shared_by]], np.ones(int(shared_by.sum()), np.int64), weights).astype(float)
+    shared = np.zeros((n, n))
+    for first in range(0, len(weight), _COLUMNS):
+        low, high = np.searchsorted(column, [first, first + _COLUMNS])
+        w = weight[first:first + _COLUMNS]
+        has = np.zeros((n, len(w)))
+        has[owner[low:high], column[low:high] - first] = np.sqrt(w)[column[low:high] - first]
+        shared += has @ has.T
+    every = total[:, None] + total - shared
+    near = (shared >= (threshold - 1e-9) * every) & (every > 0) & (root[:, None] != root)
+    if len(np.unique(cell)) > 1:
+        near &= cell[:, None] != cell
+    top = {}
+
+    def find(x: int) -> int:
+        while top.get(x, x) != x:
+            x = top[x]
+        return x
+
+    links = []
+    for a, b in np.argwhere(np.triu(near, 1)).tolist():
+        x, y = find(int(root[a])), find(int(root[b]))
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            links.append((a, b))
+    out = np.array(links, np.int64).reshape(-1, 2)
+    return out[:, 0], out[:, 1]
+
+
 def _verify(pairs: DataFrame, rows: DataFrame, texts: DataFrame, weights: np.ndarray) -> DataFrame:
     """``pairs`` with the weighted Jaccard similarity of the two texts, read once for each key that occurs."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key", "id"), "key")
-    one = F.col("r.key").eqNullSafe(F.col("w.key")) & F.col("r.id").eqNullSafe(F.col("w.id"))  # copies are told apart by id, so a hot text is not one task's
-    whole = stored(rows.alias("r").join(wanted.alias("w"), one).select("r.key", "r.text").groupBy("key").agg(F.first("text").alias("text")))
+    whole = _texts(wanted, rows)
     both = pairs.join(whole.select(F.col("key").alias("b"), F.col("text").alias("right")), "b").join(whole.select(F.col("key").alias("a"), F.col("text").alias("left")), "a")
 
     def run(batch: pa.RecordBatch) -> dict[str, np.ndarray]:

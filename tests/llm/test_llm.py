@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from plumbline.llm import decontamination, katz, language, lines, mixing, neardup, quality, rules, sharding, tokens, words
+from plumbline.llm.common import stored
 from plumbline.llm.queries import ORACLES, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -142,6 +143,36 @@ def test_near_duplicates_in_a_large_group(spark):
     assert out[:300].class_key.nunique() == 1 and out.class_key.nunique() == 51
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_near_duplicates_within_a_family(spark, monkeypatch, small):
+    """Pairs above the threshold inside a family that is below it, all in one bucket, against brute force."""
+    if small:  # several cells in a bucket
+        monkeypatch.setattr(neardup, "CELL_ROWS", 20)
+    rng = random.Random(12)
+    base, texts = prose(rng, 400).split(), []
+    for i in range(60):
+        own = [*base, *prose(rng, 60).split(), *(f"own{i}x{k}" for k in range(30))]
+        texts.append(" ".join(own))
+        texts.append(" ".join([*own[:-14], *(f"twin{i}x{k}" for k in range(14))]))
+    docs = frame(spark, texts).limit(len(texts)).select(F.col("doc_id"), "text")
+    keys = docs.select(F.xxhash64("text").alias("key"), F.col("doc_id").alias("id"), "text")
+    one = stored(keys.select(F.lit(1).cast("long").alias("bucket"), "key"))
+    weights = np.ones(neardup.SLOTS, np.float32)
+    none = spark.createDataFrame([], "key long, root long")
+    sets = shingle_sets(texts)
+    links = [(r.a, r.b) for r in neardup._rest(one, none, keys, keys, weights, 0.8).collect()]
+    rows = keys.collect()
+    got = {r.text: r.key for r in rows}
+    for a, b in links:
+        got = {t: got[x] if k == got[y] else k for t, k in got.items() for x, y in [[next(r.text for r in rows if r.key == z) for z in (a, b)]]}
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sum((sets[i] & sets[j]).values()) >= 0.8 * sum((sets[i] | sets[j]).values()):
+                want = [want[j] if x == want[i] else x for x in want]
+    assert links and len(set(want)) > 1 and len(set(want)) == len(set(got.values())) == len({(w, got[t]) for w, t in zip(want, texts)})
+
+
 def test_weighted_samples_agree_as_similarity():
     rng = np.random.default_rng(1)
     value = words.mix(np.arange(400, dtype=np.uint64))
