@@ -3,12 +3,13 @@
 Test items are few beside the corpus; they are taken in blocks of bounded size, each against all texts.  Of every ``SPREAD`` neighbouring
 word n-grams of an item the one rarest in the corpus is a seed, so any run of ``GRAM + SPREAD - 1`` unchanged words holds one.  Around a seed the item is aligned
 to the text by Smith-Waterman over words; the score is the share of what a verbatim copy reaches, so changed, lost and added words lower it gradually.
+Characters of scripts without spaces are words of their own, two of them as long as one word.  Shorter items are found where a text holds them whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from plumbline.llm.common import blocks, with_columns
-from plumbline.llm.words import find_words, span_hashes, windows
+from plumbline.llm.words import Words, find_words, span_hashes, windows
 
 GRAM, SPREAD = 3, 2
-#: items of fewer words are too short to tell a copy from chance and have no seeds
+#: items of fewer words are too short to align: only a whole copy tells from chance
 LEAST_WORDS = 8
 MATCH, MISS, GAP = 2, -1, 1
 THRESHOLD = 0.5
@@ -29,6 +30,25 @@ THRESHOLD = 0.5
 ITEM_BYTES = 8 << 20
 _FILTER = 1 << 20
 _CELLS = 1 << 21
+#: first two bytes of characters of scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, CJK and its later planes
+_SINGLE = np.zeros(1 << 16, bool)
+for _low, _high in ((0xE0B8, 0xE0BB), (0xE180, 0xE182), (0xE19E, 0xE19F), (0xE2BA, 0xE384), (0xE386, 0xE9BF), (0xEFA4, 0xEFAB), (0xEFBD, 0xEFBE), (0xF0A0, 0xF0B3)):
+    _SINGLE[_low:_high + 1] = True
+
+
+def find_units(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Words, of which characters of scripts without spaces are split off; the number of the word each lies in; whether it is such a character."""
+    w = find_words(data, offsets)
+    lead = np.flatnonzero(data[:-1] >= 0xE0)
+    lead = lead[_SINGLE[data[lead].astype(np.int64) << 8 | data[lead + 1]]]
+    if not len(lead):
+        return w, np.arange(len(w)), np.zeros(len(w), bool)
+    after = lead + np.where(data[lead] >= 0xF0, 4, 3)
+    after = after[after < w.end[np.searchsorted(w.start, lead, "right") - 1]]
+    start = np.unique(np.concatenate([w.start, lead, after]))
+    word = np.searchsorted(w.start, start, "right") - 1
+    end = np.minimum(np.append(start[1:], len(data)), w.end[word])
+    return Words(start, end, np.searchsorted(start, offsets)), word, np.isin(start, lead)
 
 
 @dataclass
@@ -39,23 +59,33 @@ class Items:
     gram: np.ndarray  # sorted hashes of n-grams, with the item and the word each starts at
     item: np.ndarray
     place: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # by length: sorted hashes of whole items, and the items
 
     def __post_init__(self) -> None:
         self.filter = np.zeros(_FILTER, bool)
         self.filter[self.gram & np.uint64(_FILTER - 1)] = True
 
     @staticmethod
-    def index(names: list[object], texts: list[str]) -> "Items":
+    def index(names: list[object], texts: list[str], short: bool = False) -> "Items":
         raw = [t.encode() for t in texts]
         data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)]).astype(np.int64)
-        w = find_words(data, offsets)
+        w, _, single = find_units(data, offsets)
         hashes = span_hashes(data, w.start, w.end, fold_case=True)
         gram, first = windows(hashes, w.at, GRAM)
         item = w.owner()[first] if len(first) else first
-        enough = w.counts()[item] >= LEAST_WORDS
+        large = 2 * w.counts() - np.bincount(w.owner(), single, len(texts)) >= 2 * LEAST_WORDS
+        enough = large[item]
         gram, first, item = gram[enough], first[enough], item[enough]
         order = np.argsort(gram, kind="stable")
-        return Items(names, hashes, w.at, gram[order], item[order], (first - w.at[item])[order])
+        whole = {}
+        for n in np.unique(w.counts()[~large]).tolist() if short else []:
+            if n:
+                value, at = windows(hashes, w.at, n)
+                own = w.owner()[at]
+                fits = (w.counts()[own] == n) & ~large[own]
+                by = np.argsort(value[fits], kind="stable")
+                whole[n] = value[fits][by], own[fits][by]
+        return Items(names, hashes, w.at, gram[order], item[order], (first - w.at[item])[order], whole)
 
     def seeds(self, seen: np.ndarray) -> "Items":
         """Only the n-gram seen least of each ``SPREAD`` neighbours (the first of equals); ``seen`` counts each of ``gram``."""
@@ -70,15 +100,34 @@ class Items:
                 stay[start + int(np.argmin(count[start:end]))] = True
         kept = np.zeros(len(order), bool)
         kept[order[stay]] = True
-        return Items(self.names, self.words, self.at, self.gram[kept], self.item[kept], self.place[kept])
+        return Items(self.names, self.words, self.at, self.gram[kept], self.item[kept], self.place[kept], self.short)
 
     def hits(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (position in ``gram``, entry of the index) of equal n-grams."""
         at = np.flatnonzero(self.filter[gram & np.uint64(_FILTER - 1)])
-        low, high = np.searchsorted(self.gram, gram[at], "left"), np.searchsorted(self.gram, gram[at], "right")
-        n = high - low
-        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(at, n), np.repeat(low, n) + within
+        found, entry = _equal(gram[at], self.gram)
+        return at[found], entry
+
+    def whole(self, words: np.ndarray, w: Words) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first and last word) of the first whole copy of each short item in each text."""
+        for n, (value, item) in self.short.items():
+            run, first = windows(words, w.at, n)
+            found, entry = _equal(run, value)
+            text, which, at = w.owner()[first[found]], item[entry], first[found]
+            order = np.lexsort([at, which, text])
+            text, which, at = text[order], which[order], at[order]
+            new = np.ones(len(text), bool)
+            new[1:] = (np.diff(text) != 0) | (np.diff(which) != 0)
+            for t, i, b in zip(text[new].tolist(), which[new].tolist(), at[new].tolist()):
+                yield t, i, b, b + n - 1
+
+
+def _equal(values: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (position in ``values``, position in the sorted ``index``) of equal numbers."""
+    low, high = np.searchsorted(index, values, "left"), np.searchsorted(index, values, "right")
+    n = high - low
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(np.arange(len(values)), n), np.repeat(low, n) + within
 
 
 def align(items: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,12 +161,19 @@ def _padded(words: np.ndarray, start: np.ndarray, length: np.ndarray, fill: int,
 
 def find(data: np.ndarray, offsets: np.ndarray, items: Items, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
     """(text, item, score, first and last word in the text) of the best place of each item in each text."""
-    w = find_words(data, offsets)
+    w, word, _ = find_units(data, offsets)
     words = span_hashes(data, w.start, w.end, fold_case=True)
+    best: dict[tuple[int, int], tuple[float, int, int]] = {(t, i): (1.0, b, e) for t, i, b, e in items.whole(words, w)}
     gram, first = windows(words, w.at, GRAM)
     at, entry = items.hits(gram)
-    if not len(at):
-        return
+    if len(at):
+        best |= _aligned(w, words, first, at, entry, items, threshold)
+    for (t, i), (s, b, e) in sorted(best.items()):
+        yield t, i, s, int(word[b] - word[w.at[t]]), int(word[e] - word[w.at[t]])
+
+
+def _aligned(w: Words, words: np.ndarray, first: np.ndarray, at: np.ndarray, entry: np.ndarray, items: Items, threshold: float) -> dict[tuple[int, int], tuple[float, int, int]]:
+    """Score and place of the best alignment of each item that has a seed in a text, by (text, item)."""
     text, item = w.owner()[first[at]], items.item[entry]
     size = np.diff(items.at)[item]
     begin = first[at] - items.place[entry]  # where the item would begin
@@ -148,9 +204,8 @@ def find(data: np.ndarray, offsets: np.ndarray, items: Items, threshold: float)
         for r, s, e, b in zip(rows, share, end, end - back):
             key = int(text[r]), int(item[r])
             if key not in best or s > best[key][0]:
-                best[key] = float(s), int(b - w.at[key[0]]), int(e - w.at[key[0]])
-    for (t, i), (s, b, e) in sorted(best.items()):
-        yield t, i, s, b, e
+                best[key] = float(s), int(b), int(e)
+    return best
 
 
 def _count_seen(docs: DataFrame, items: Items) -> np.ndarray:
@@ -160,7 +215,7 @@ def _count_seen(docs: DataFrame, items: Items) -> np.ndarray:
         total = np.zeros(len(items.gram), np.int64)
         for batch in batches:
             for _, data, at in blocks(batch.column(0)):
-                w = find_words(data, at)
+                w = find_units(data, at)[0]
                 _, entry = items.hits(windows(span_hashes(data, w.start, w.end, fold_case=True), w.at, GRAM)[0])
                 total += np.bincount(entry, minlength=len(total))
         seen = np.flatnonzero(total)
@@ -173,11 +228,11 @@ def _count_seen(docs: DataFrame, items: Items) -> np.ndarray:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None,
-          threshold: float = THRESHOLD, item_bytes: int = ITEM_BYTES) -> DataFrame:
+          threshold: float = THRESHOLD, item_bytes: int = ITEM_BYTES, short: bool = False) -> DataFrame:
     """Rows of ``docs`` (columns ``keep``, default all) with ``leaks``: the items the text holds, an array of (item_id, score, first_word, last_word).
 
-    Null and empty texts hold nothing; null items, null ids of items and items under ``LEAST_WORDS`` words are never found; repeated rows and items are
-    treated one by one.  Whole texts are searched.  A column of ``docs`` named ``leaks`` is replaced.
+    Null and empty texts hold nothing; null items, items without a word and null ids of items are never found; items under ``LEAST_WORDS`` words are found if ``short``,
+    where a text holds all of their words in a row; repeated rows and items are treated one by one.  Whole texts are searched.  A column of ``docs`` named ``leaks`` is replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != "leaks"]
     out = docs.select(F.struct(*keep).alias("kept"), F.col(text).cast("string").alias("__text"))
@@ -189,7 +244,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
     names = []
     for part in range(parts):
         mine = tests.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part).orderBy("id", "text").collect()
-        items = Items.index([r[0] for r in mine], [r[1] for r in mine])
+        items = Items.index([r[0] for r in mine], [r[1] for r in mine], short)
         items = items.seeds(_count_seen(out, items))
         names.append(f"__leaks{part}")
         out = with_columns(out, {names[-1]: found}, _searcher(items, threshold, found, names[-1]), out.columns, ["__text"])

@@ -90,7 +90,7 @@ FROM split LEFT JOIN cleaned USING (doc_id)"""
 
 @query
 def op9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    found = decontamination.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), keep=["doc_id"], short=True)
     return found.select("doc_id", F.inline("leaks"))
 
 

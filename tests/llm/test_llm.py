@@ -363,6 +363,16 @@ def test_leaks(spark, docs, empty):
     assert decontamination.leaks(empty, bench).count() == 0 and decontamination.leaks(docs, bench.limit(0), keep=["doc_id"]).where("size(leaks) > 0").count() == 0
 
 
+def test_short_and_unspaced_leaks(spark, sf):
+    items = ["Alpha beta gamma", "omega", "the quick brown fox jumps over it", "日本の首都は東京です", "春はあけぼのやうやう白くなりゆく山ぎはすこしあかりて", "กรุงเทพเป็นเมืองหลวง", "a b c d e f g h i j"]
+    bench = spark.createDataFrame([*enumerate(items), (90, ""), (91, " \n")], "item_id long, text string")
+    fuzzy = items[4].replace("白", "黒").replace("すこし", "少し")
+    texts = ["x ALPHA beta\ngamma y omega", "alpha beta delta gamma", "omegas", items[2], f"これは{items[3]}。次", "日本の首都は大阪です", f"前文 {fuzzy}後文", f"x {items[5]}มาก", f"q {items[6]}", ""]
+    found = decontamination.leaks(frame(spark, texts), bench, keep=["text"], short=True).collect()
+    got = {r.text: [(x.item_id, x.first_word, x.last_word) for x in r.leaks] for r in found}
+    assert [got[t] for t in texts] == [[(0, 1, 3), (1, 5, 5)], [], [], [(2, 0, 6)], [(3, 0, 0)], [], [(4, 1, 1)], [(5, 1, 1)], [(6, 1, 10)], []]
+
+
 def brute_alignment(a, b):
     h, best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
     for i, x in enumerate(a, 1):
