@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, katz, language, lines, mixing, neardup, quality, rules, sharding, tokens
+from plumbline.llm import decontamination, katz, language, lines, merkle, mixing, neardup, quality, rules, sharding, tokens
 from plumbline.llm.common import fold, stored
 
 SHARDS = 40
@@ -103,3 +103,34 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("held_out", fold("doc_id", 7) == 2)
     return katz.score(docs, ~F.col("held_out"), keep=["doc_id", "held_out"])
+
+
+@query
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+_SIZED = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_HEAD = " || ".join(_SIZED.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+ORACLES["op13_manifest"] = f"""
+WITH RECURSIVE crc_table AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+crcs AS (SELECT doc_id, list_reduce([4294967295] || list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: ascii((doc_id::VARCHAR)[i])::BIGINT),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])) AS c FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), crc_table),
+hashed AS (SELECT doc_id, coalesce('=' || lang, '-') AS tree, sha256({_HEAD} || {_SIZED.format('text')}) AS leaf,
+  CASE WHEN xor(c, 4294967295) % 3 = 0 THEN sha256({_HEAD} || {_SIZED.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS changed
+  FROM documents LEFT JOIN crcs USING (doc_id)),
+d AS (SELECT doc_id, tree, leaf, coalesce(changed, leaf) AS shown, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS slot, count(*) OVER (PARTITION BY tree) AS n FROM hashed),
+nodes AS (SELECT tree, 0 AS level, slot, leaf AS digest, n FROM d
+  UNION ALL SELECT tree, level + 1, slot // 8, sha256(string_agg(digest, '' ORDER BY slot)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY tree, level, slot // 8, n),
+subroots AS (SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS slot, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS level, slot, digest, n FROM subroots
+  UNION ALL SELECT level + 1, slot // 8, sha256(string_agg(digest, '' ORDER BY slot)), (n + 7) // 8 FROM tops WHERE n > 1 GROUP BY level, slot // 8, n),
+near AS (SELECT d.tree, d.slot, 0 AS part, a.level, a.slot AS pos, d.slot >> (3 * a.level) AS own, a.digest FROM d JOIN nodes a ON a.tree = d.tree AND a.n > 1 AND (a.slot >> 3) = (d.slot >> (3 * a.level + 3))
+  UNION ALL SELECT d.tree, d.slot, 1, a.level, a.slot, s.slot >> (3 * a.level), a.digest FROM d JOIN subroots s USING (tree) JOIN tops a ON a.n > 1 AND (a.slot >> 3) = (s.slot >> (3 * a.level + 3))),
+steps AS (SELECT tree, slot, part, level, coalesce(string_agg(digest, '' ORDER BY pos) FILTER (pos < own), '') AS l, coalesce(string_agg(digest, '' ORDER BY pos) FILTER (pos > own), '') AS r FROM near GROUP BY ALL),
+paths AS (SELECT tree, slot, string_agg(l || r, '' ORDER BY part, level) AS siblings, list(l || '|' || r ORDER BY part, level) AS sides FROM steps GROUP BY 1, 2),
+folded AS (SELECT d.*, sha256(coalesce(siblings, '')) AS proof_sha256, list_reduce([shown] || coalesce(sides, []), lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded_root
+  FROM d LEFT JOIN paths USING (tree, slot))
+SELECT doc_id, leaf, s.digest AS subroot, t.digest AS root, proof_sha256, folded_root, folded_root = t.digest AS verified
+FROM folded JOIN subroots s USING (tree), tops t WHERE t.n = 1"""
