@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, katz, language, lines, merkle, mixing, neardup, quality, rules, sharding, tokens
+from plumbline.llm import decontamination, katz, language, lines, merkle, mixing, neardup, quality, rules, sharding, tokens, whitening
 from plumbline.llm.common import fold, stored
 
 SHARDS = 40
@@ -105,6 +105,11 @@ def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(docs, ~F.col("held_out"), keep=["doc_id", "held_out"])
 
 
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+
+
 @query
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(documents(spark, sf_dir)).select(
