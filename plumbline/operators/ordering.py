@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 
 from plumbline.session import cut_lineage
 
-#: value buckets per power of two; a quantile sorts the distinct values of the one bucket that holds it
-OCTAVE = 1 << 14
+#: bits of a value's 64 that the first count leaves out: 2^10 buckets per power of two
+LEADING = 42
+#: cells into which a bucket with too many values is cut
+CELLS = 1 << 16
+#: distinct values that are ordered together, at most
+LEAF = 1 << 16
 #: leading hex digits of md5 that make a bucket: at most 65 536 of them
 HASH_DIGITS = 4
 
@@ -92,16 +96,49 @@ def hash_index(df: DataFrame, keys: Sequence[str], seed: object, by: Sequence[st
     return ranked.select(*df.columns, F.col(name).cast("bigint").alias(name))
 
 
-def value_bucket(v: Column) -> Column:
-    """A whole number that never falls as ``v`` rises: sign, power of two and leading bits of the fraction.
+def sort_key(v: Column) -> Column:
+    """A double as the 64-bit integer that orders it: the bits of its size, negated below zero; both zeros give 0."""
+    size = F.abs(v)
+    guess = F.greatest(F.floor(F.log2(size)), F.lit(-1022)).cast("double")
+    two = F.lit(2.0)
+    # the logarithm may round across a power of two
+    power = F.when(F.pow(two, guess) > size, F.greatest(guess - 1, F.lit(-1022.0))).when(F.pow(two, guess + 1) <= size, guess + 1).otherwise(guess)
+    # below 2^-1022 the fraction is less than 1, which is how such numbers are stored
+    bits = (size / F.pow(two, power) * float(1 << 52)).cast("bigint") + (power.cast("bigint") + 1022) * F.lit(1 << 52)
+    bits = F.when(size == float("inf"), F.lit(2047 << 52)).otherwise(bits)
+    return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, bits).when(v < 0, -bits)
+
+
+def _wanted_ranks(n: Column, probs: Sequence[float]) -> list[tuple[Column, Column, Column]]:
+    """Lower rank, upper rank and the part between them, for each probability among ``n`` values."""
+    positions = [(n - 1) * F.lit(p) for p in probs]
+    return [(F.floor(x), F.ceil(x), x - F.floor(x)) for x in positions]
+
+
+def _holders(placed: DataFrame, probs: Sequence[float]) -> Column:
+    """Whether the rows from rank ``_start`` on, ``_c`` of them, hold a wanted rank."""
+    sides = [side for low, high, _ in _wanted_ranks(F.col("_n"), probs) for side in (low, high)]
+    return reduce(lambda a, b: a | b, [(F.col("_start") <= r) & (r < F.col("_start") + F.col("_c")) for r in sides])
 
-    Where the logarithm rounds up to the next power the fraction is just below 0, which is the last bucket of the power before.
+
+def _refine(values: DataFrame, groups: list[str], probs: Sequence[float]) -> DataFrame:
+    """Cut each bucket of ``values`` into ``CELLS`` cells of equal width between its ends and keep the cells that hold a wanted rank.
+
+    ``values`` (groups, ``_b``, ``_start``, ``_n``, ``_k``, ``v``, ``_c``) has one row per distinct value; a cell becomes the bucket of the next step.
     """
-    size = F.abs(v)
-    power = F.greatest(F.floor(F.log2(size)), F.lit(-1022)).cast("double")
-    inside = F.floor((power + 1100) * OCTAVE + (size / F.pow(F.lit(2.0), power) - 1) * OCTAVE)
-    inside = F.when(size == float("inf"), F.lit(1 << 62)).otherwise(inside)
-    return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, inside).when(v < 0, -inside)
+    bucket = [*groups, "_b"]
+    ends = values.groupBy(*bucket).agg(F.min("_k").alias("_low"), F.max("_k").alias("_high"))
+    # both ends lie in one bucket, so their difference does not overflow
+    width = F.floor((F.col("_high") - F.col("_low")) / CELLS) + 1
+    celled = _same(values.alias("l"), ends.select(*bucket, "_low", width.alias("_width")).alias("r"), bucket, "inner").select(
+        "l.*", F.expr("(l._k - r._low) div r._width").alias("_cell"))
+    counts = celled.groupBy(*bucket, "_start", "_n", "_cell").agg(F.sum("_c").alias("_c"), F.min("_k").alias("_first"))
+    earlier = Window.partitionBy(*bucket).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("_start", F.col("_start") + F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
+    kept = placed.where(_holders(placed, probs)).select(*bucket, "_cell", "_start", "_first")
+    # a cell is known by its first value, which no other cell of the group has
+    return _same(celled.alias("l"), kept.alias("r"), [*bucket, "_cell"], "inner").select(
+        *[F.col(f"l.{g}").alias(g) for g in groups], F.col("r._first").alias("_b"), F.col("r._start").alias("_start"), "l._n", "l._k", "l.v", "l._c")
 
 
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
@@ -111,40 +148,39 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], b
     Result: ``by…, column, n, q`` with ``q`` an array in the order of ``probs``.
     Nulls and NaN are skipped; a group without values has n = 0.  ``weight`` is an integer multiplicity column.
 
-    One pass counts values per bucket, with map-side sums; a second one reads only the values of the buckets that hold a wanted rank.
+    Radix search over the values as 64-bit integers: one pass counts them by their leading bits, with map-side sums; a second one counts the
+    distinct values of the buckets that hold a wanted rank.  While a bucket has more than ``LEAF`` of them it is cut again, so no task orders more than that, however
+    close together the values lie.
     """
     by, cols, probs = list(by), list(cols), [float(p) for p in probs]
     freq = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     value = F.col("v") + F.lit(0.0)  # one zero
     packed = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])
-    long = df.select(*by, freq.alias("_w"), F.inline(packed)).withColumn("v", F.when(~F.isnan("v"), value)).withColumn("_b", value_bucket(F.col("v")))
+    long = df.select(*by, freq.alias("_w"), F.inline(packed)).withColumn("v", F.when(~F.isnan("v"), value)).withColumn("_k", sort_key(F.col("v")))
+    long = long.withColumn("_b", F.shiftright("_k", LEADING))
     groups = [*by, "column"]
     counts = long.groupBy(*groups, "_b").agg(F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("_w"))), F.lit(0)).alias("_c"))
     group = Window.partitionBy(*groups)
     placed = counts.withColumn("_n", F.sum("_c").over(group)).withColumn(
         "_start", F.sum("_c").over(group.orderBy(F.col("_b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"))
-
-    def ranks(n: Column) -> list[tuple[Column, Column, Column]]:
-        positions = [(n - 1) * F.lit(p) for p in probs]
-        return [(F.floor(x), F.ceil(x), x - F.floor(x)) for x in positions]
-    sides = [side for low, high, _ in ranks(F.col("_n")) for side in (low, high)]
-    held = reduce(lambda a, b: a | b, [(F.col("_start") <= r) & (r < F.col("_start") + F.col("_c")) for r in sides])
-    wanted = placed.where(held | (F.col("_n") == 0)).select(*groups, "_b", "_start", "_n")
+    wanted = placed.where(_holders(placed, probs) | (F.col("_n") == 0)).select(*groups, "_b", "_start", "_n")
     if by:
         wanted = cut_lineage(wanted)  # its size is then known to the planner
     else:
         wanted = F.broadcast(wanted)  # two buckets per column and probability at most
     inside = _same(long.where(F.col("v").isNotNull()).alias("l"), wanted.alias("r"), [*groups, "_b"], "inner").select("l.*", "r._start", "r._n")
-    values = inside.groupBy(*groups, "_b", "_start", "_n", "v").agg(F.sum("_w").alias("_c")).where("_c > 0")
-    earlier = Window.partitionBy(*groups, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    values = cut_lineage(inside.groupBy(*groups, "_b", "_start", "_n", "_k", "v").agg(F.sum("_w").alias("_c")).where("_c > 0"))
+    while (values.groupBy(*groups, "_b").agg(F.count("*").alias("m")).agg(F.max("m")).first()[0] or 0) > LEAF:
+        values = cut_lineage(_refine(values, groups, probs))
+    earlier = Window.partitionBy(*groups, "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
     ordered = values.withColumn("_start", F.col("_start") + F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
     picks = []
-    for i, (low, high, _) in enumerate(ranks(F.col("_n"))):
+    for i, (low, high, _) in enumerate(_wanted_ranks(F.col("_n"), probs)):
         for side, rank in (("lo", low), ("hi", high)):
             hit = (F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_c"))
             picks.append(F.max(F.when(hit, F.col("v"))).alias(f"_{side}{i}"))
     wide = ordered.groupBy(*groups).agg(F.max("_n").alias("n"), *picks)
-    quantiles = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part for i, (_, _, part) in enumerate(ranks(F.col("n")))]
+    quantiles = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part for i, (_, _, part) in enumerate(_wanted_ranks(F.col("n"), probs))]
     found = wide.select(*groups, "n", F.array(*quantiles).alias("q"))
     if by:
         return found.unionByName(wanted.where("_n = 0").select(*groups, F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("array<double>").alias("q")))

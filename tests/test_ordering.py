@@ -104,13 +104,40 @@ def test_sample_n_fails_when_short(spark):
         W.sample_n(df, ["id"], 6, 1).collect()
 
 
-def test_value_buckets_keep_the_order(spark):
+def test_sort_keys_are_the_bits_of_doubles(spark):
     rng = np.random.default_rng(3)
-    values = np.concatenate([rng.normal(size=500) * 10.0 ** rng.integers(-300, 300, 500), 2.0 ** np.arange(-1074, 1024), np.nextafter(2.0 ** np.arange(-1000, 1024), 0),
-                             [0.0, -0.0, 1e308, -1e308, 5e-324, -5e-324, float("inf"), float("-inf")]])
-    values = np.concatenate([values, -values])
-    rows = spark.createDataFrame(pd.DataFrame({"v": values})).select("v", O.value_bucket(F.col("v")).alias("b")).toPandas().sort_values("v")
-    assert rows.b.is_monotonic_increasing and rows.b.notna().all() and rows.b.nunique() > 4000
+    values = np.concatenate([np.abs(rng.normal(size=500)) * 10.0 ** rng.integers(-300, 300, 500), 2.0 ** np.arange(-1074, 1024), np.nextafter(2.0 ** np.arange(-1000, 1024), 0),
+                             np.nextafter(2.0 ** np.arange(-1000, 1023), np.inf), [0.0, 1.7976931348623157e308, 5e-324, 2.2250738585072009e-308, float("inf")]])
+    want = values.view(np.int64)
+    rows = spark.createDataFrame(pd.DataFrame({"v": np.concatenate([values, -values]), "b": np.concatenate([want, -want])}))
+    assert rows.where(O.sort_key(F.col("v")) != F.col("b")).count() == 0
+    assert rows.where(O.sort_key(F.col("v")).isNull()).count() == 0
+
+
+@pytest.mark.parametrize("leaf,cells", [(1 << 16, 1 << 16), (1, 1 << 16), (3, 4)])
+def test_quantiles_of_values_close_together(spark, monkeypatch, leaf, cells):
+    """Microsecond stamps, a few doubles apart, ties and a far value: cut again until a bucket is small, with the same result."""
+    monkeypatch.setattr(O, "LEAF", leaf)
+    monkeypatch.setattr(O, "CELLS", cells)
+    rng = np.random.default_rng(5)
+    a = np.concatenate([1.7e15 + rng.integers(0, 2000, 1500), np.full(400, 1.7e15 + 7), [1e300, -1e300]])
+    b = np.concatenate([1 + rng.integers(0, 900, 1500) * 2.0 ** -52, -rng.random(400), [0.0, 0.0]])
+    df = spark.createDataFrame(pd.DataFrame({"g": rng.integers(0, 3, 1902), "a": a, "b": b}))
+    probs = [0.0, 0.01, 0.5, 0.77, 1.0]
+    for by in ([], ["g"]):
+        pdf = df.toPandas()
+        for r in O.quantile_table(df, ["a", "b"], probs, by).collect():
+            own = pdf[pdf.g == r["g"]] if by else pdf
+            assert np.allclose(r["q"], np.quantile(own[r["column"]], probs), rtol=1e-15)
+
+
+def test_no_task_orders_many_values(spark):
+    """Stamps within one second of each other: what is left to order is a small part of them."""
+    df = spark.range(300_000).select((F.lit(1.7e15) + F.col("id")).alias("v"))
+    placed = df.select(O.sort_key(F.col("v")).alias("_k"), "v").select(F.lit("v").alias("column"), F.shiftright("_k", O.LEADING).alias("_b"), F.lit(0).cast("long").alias("_start"),
+                                                                       F.lit(300_000).cast("long").alias("_n"), "_k", "v", F.lit(1).cast("long").alias("_c"))
+    assert placed.select("_b").distinct().count() == 1
+    assert O._refine(placed, ["column"], [0.1, 0.5]).count() < 300_000 * 0.01
 
 
 def test_quantiles_of_one_exploded_group(spark):
