@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import functions as F
 
 from plumbline.catalog import base as B
@@ -134,11 +136,36 @@ def paired_effect(spark, d):
     return rounded(E.paired_effect(paired(spark, d), "y", "prediction_before", "prediction_after", "model"), 3)
 
 
-DRAWS, BOOT_SEED = 2000, 13
-DRAW_SQL = f"""{CLUSTERS}, ix AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY md5('{BOOT_SEED}|' || model::VARCHAR), model) - 1 AS i FROM cl),
-g AS MATERIALIZED (SELECT draw, ('0x' || substr(md5('{BOOT_SEED}|' || draw::VARCHAR || '|' || i::VARCHAR), 1, 15))::BIGINT % k AS i FROM range({DRAWS}) dr(draw), (SELECT i, count(*) OVER () AS k FROM ix)),
-draws AS (SELECT draw, sum(s) / sum(c) AS row_weighted_delta, avg(m) AS equal_cluster_delta FROM g JOIN ix USING (i) GROUP BY 1)"""
+DRAWS, BOOT_SEED, BOOT_LEAF = 2000, 13, 128
+
+
+def _mix_sql(source: str, x: str, out: str) -> str:
+    """``source`` with ``out``: the 32-bit hash of ``x``."""
+    return (f"SELECT * EXCLUDE (m1, m2), xor(m2, m2 >> 16) AS {out} FROM (SELECT *, (xor(m1, m1 >> 16) * 73244475) & 4294967295 AS m2 "
+            f"FROM (SELECT *, (xor({x}, ({x}) >> 16) * 73244475) & 4294967295 AS m1 FROM ({source})))")
+
+
+def picks_sql(clusters: str) -> str:
+    """CTEs ``ix`` (clusters in hash order, with block and place in it) and ``picks`` (draw, block, i: one row per cluster that a draw takes)."""
+    hashed = "SELECT draw, block, size, unnest(range(taken)) AS j FROM leaves"
+    for x, out in ((f"({crc32(str(BOOT_SEED).encode())} + draw) & 4294967295", "h0"), ("(h0 + block) & 4294967295", "h1"), ("xor(h1, 1540483477)", "h2"),
+                   ("(h1 + j) & 4294967295", "h3"), ("xor(h3, h2)", "h4"), ("(h3 + h2) & 4294967295", "h5")):
+        hashed = _mix_sql(hashed, x, out)
+    return f"""size AS (SELECT n, min(b) AS blocks FROM (SELECT count(*) AS n FROM {clusters}), (SELECT 1::BIGINT << i AS b FROM range(13) r(i)) WHERE b * {BOOT_LEAF} >= n OR b = 4096 GROUP BY n),
+ix AS MATERIALIZED (SELECT c.* EXCLUDE (i), (i * blocks) // n AS block, i - ((i * blocks) // n * n + blocks - 1) // blocks AS i FROM (SELECT *, row_number() OVER (ORDER BY md5('{BOOT_SEED}|' || model::VARCHAR), model) - 1 AS i FROM {clusters}) c, size),
+tree AS (SELECT draw, 1::BIGINT AS node, 0::BIGINT AS lo, blocks AS hi, n AS taken, n, blocks FROM size, range({DRAWS}) dr(draw)
+  UNION ALL SELECT draw, 2 * node + s, CASE WHEN s = 0 THEN lo ELSE (lo + hi) // 2 END, CASE WHEN s = 0 THEN (lo + hi) // 2 ELSE hi END, CASE WHEN s = 0 THEN k ELSE taken - k END, n, blocks
+  FROM (SELECT draw, node, lo, hi, taken, n, blocks, count(*) FILTER (reached < u) AS k FROM (
+    SELECT *, sum(exp(lgamma(taken + 1) - lgamma(k + 1.0) - lgamma(taken - k + 1.0) + k * ln(p) + (taken - k) * ln(1 - p))) OVER (PARTITION BY draw, node ORDER BY k) AS reached FROM (
+      SELECT *, (((lo + hi) // 2 * n + blocks - 1) // blocks - (lo * n + blocks - 1) // blocks)::DOUBLE / ((hi * n + blocks - 1) // blocks - (lo * n + blocks - 1) // blocks) AS p,
+        ('0x' || substr(md5('{BOOT_SEED}|' || draw::VARCHAR || '|' || node::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u, unnest(range(taken + 1)) AS k FROM tree WHERE hi - lo > 1))
+    GROUP BY ALL), range(2) sides(s)),
+leaves AS MATERIALIZED (SELECT draw, lo AS block, taken, (hi * n + blocks - 1) // blocks - (lo * n + blocks - 1) // blocks AS size FROM tree WHERE hi - lo = 1),
+picks AS MATERIALIZED (SELECT draw, block, (h4 * 1048576 + (h5 >> 12)) % size AS i FROM ({hashed}))"""
+
 
+DRAW_SQL = f"""RECURSIVE {CLUSTERS}, {picks_sql('cl')},
+draws AS (SELECT draw, sum(s) / sum(c) AS row_weighted_delta, avg(m) AS equal_cluster_delta FROM picks JOIN ix USING (block, i) GROUP BY 1)"""
 
 def clusters(spark, d):
     return cut_lineage(E.cluster_sums(E.error_delta(paired(spark, d), "y", "prediction_before", "prediction_after"), "model", "error_delta"))
@@ -146,32 +173,29 @@ def clusters(spark, d):
 
 @query("bootstrap_draws", rsql(f"WITH {DRAW_SQL} SELECT * FROM draws", "draw", row_weighted_delta=3, equal_cluster_delta=3))
 def bootstrap_draws(spark, d):
-    return rounded(E.bootstrap_draws(clusters(spark, d), "model", DRAWS, BOOT_SEED), 3)
+    return rounded(E.bootstrap_draws(clusters(spark, d), "model", DRAWS, BOOT_SEED, BOOT_LEAF), 3)
 
 
 @query("cluster_bootstrap", rsql(f"WITH {DRAW_SQL} SELECT 'row_weighted_delta' AS \"column\", (SELECT sum(s) / sum(c) FROM cl) AS estimate, count(*) AS n_draws, quantile_cont(row_weighted_delta, 0.025) AS ci_low, quantile_cont(row_weighted_delta, 0.975) AS ci_high FROM draws UNION ALL SELECT 'equal_cluster_delta', (SELECT avg(m) FROM cl), count(*), quantile_cont(equal_cluster_delta, 0.025), quantile_cont(equal_cluster_delta, 0.975) FROM draws", '"column", n_draws', estimate=3, ci_low=3, ci_high=3))
 def cluster_bootstrap(spark, d):
-    return rounded(E.cluster_bootstrap(clusters(spark, d), "model", DRAWS, BOOT_SEED), 3)
+    return rounded(E.cluster_bootstrap(clusters(spark, d), "model", DRAWS, BOOT_SEED, BOOT_LEAF), 3)
 
 
 @query("bootstrap_ci", rsql(f"WITH {DRAW_SQL} SELECT 'row_weighted_delta' AS \"column\", count(*) AS n_draws, quantile_cont(row_weighted_delta, 0.025) AS ci_low, quantile_cont(row_weighted_delta, 0.975) AS ci_high FROM draws", '"column", n_draws', ci_low=3, ci_high=3))
 def bootstrap_ci(spark, d):
-    draws = cut_lineage(E.bootstrap_draws(clusters(spark, d), "model", DRAWS, BOOT_SEED))
+    draws = cut_lineage(E.bootstrap_draws(clusters(spark, d), "model", DRAWS, BOOT_SEED, BOOT_LEAF))
     return rounded(E.bootstrap_ci(draws, ["row_weighted_delta"]), 3)
 
 
-BM_DRAWS = 100
-BM_SQL = f"""WITH {B.OOF_SQL}, one AS (SELECT * FROM oof WHERE strategy = 'unit_raw'), cl AS (SELECT DISTINCT model FROM one),
-ix AS MATERIALIZED (SELECT model, row_number() OVER (ORDER BY md5('{BOOT_SEED}|' || model::VARCHAR), model) - 1 AS i FROM cl),
-g AS MATERIALIZED (SELECT draw, ('0x' || substr(md5('{BOOT_SEED}|' || draw::VARCHAR || '|' || i::VARCHAR), 1, 15))::BIGINT % k AS i FROM range({BM_DRAWS}) dr(draw), (SELECT i, count(*) OVER () AS k FROM ix)),
-mu AS (SELECT model, draw FROM g JOIN ix USING (i))
+BM_SQL = f"""WITH RECURSIVE {B.OOF_SQL}, one AS MATERIALIZED (SELECT * FROM oof WHERE strategy = 'unit_raw'), cl AS (SELECT DISTINCT model FROM one), {picks_sql('cl')},
+mu AS (SELECT model, draw FROM picks JOIN ix USING (block, i))
 SELECT draw, {METRICS} FROM mu JOIN one USING (model) GROUP BY 1"""
 
 
 @query("bootstrap_metrics", rsql(BM_SQL, "draw, n_rows", **M_DIGITS))
 def bootstrap_metrics(spark, d):
     rows = cut_lineage(B.oof(spark, d, "unit_raw").select("model", "y", "prediction"))
-    return rounded(E.bootstrap_metrics(rows, "y", "prediction", "model", BM_DRAWS, BOOT_SEED), **_spec(M_DIGITS))
+    return rounded(E.bootstrap_metrics(rows, "y", "prediction", "model", DRAWS, BOOT_SEED, leaf=BOOT_LEAF), **_spec(M_DIGITS))
 
 
 TALLY = f"""{B.OOF_SQL}, w AS (SELECT run_key, hw, task, max(residual) FILTER (strategy = 'total_raw') AS a, max(residual) FILTER (strategy = 'unit_raw') AS b FROM oof GROUP BY ALL),
@@ -232,7 +256,7 @@ def gates_metrics(spark, d):
        + _gate_sql("o", [("interval:keys", "0 * n", "0"), ("interval:ci_low", "0 * n", "0"), ("interval:ci_high", "n", "0")]))
 def gates_intervals(spark, d):
     """Reported upper ends are the lower ones: wrong wherever an interval has a width."""
-    draws, kinds = cut_lineage(E.bootstrap_draws(clusters(spark, d), "model", DRAWS, BOOT_SEED)), ["row_weighted_delta", "equal_cluster_delta"]
+    draws, kinds = cut_lineage(E.bootstrap_draws(clusters(spark, d), "model", DRAWS, BOOT_SEED, BOOT_LEAF)), ["row_weighted_delta", "equal_cluster_delta"]
     reported = E.bootstrap_ci(draws, kinds).withColumn("ci_high", F.col("ci_low"))
     return G.check_intervals(draws, reported, kinds, [], tol=1e-12)
 

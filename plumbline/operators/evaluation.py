@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import EPS
+from plumbline.operators import resample
 from plumbline.operators.joins import join_many_to_one
-from plumbline.operators.ordering import agg_with_medians, hash_index, quantile_table
+from plumbline.operators.ordering import agg_with_medians, quantile_table
 from plumbline.operators.profile import _null_safe_join
 from plumbline.operators.ranking import bin_of, first_per_group, value_ranks
+from plumbline.session import cut_lineage
 
 
 def residual(y: str, p: str) -> Column:
@@ -142,35 +144,17 @@ def paired_effect(paired: DataFrame, y: str, before: str, after: str, cluster: s
         (F.sum("sum") / F.sum("count")).alias("row_weighted_delta_mae"), F.avg("mean").alias("equal_cluster_delta_mae"))
 
 
-def hash_position(seed: object, draw: Column, position: Column, n: Column) -> Column:
-    """Uniform index in [0, n) from md5(seed|draw|position)."""
-    h = F.md5(F.concat_ws("|", F.lit(str(seed)), draw.cast("string"), position.cast("string")))
-    return F.pmod(F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint"), n)
-
-
-def draw_positions(clusters: DataFrame, cluster: str, draws: int, seed: object) -> tuple[DataFrame, DataFrame]:
-    """Indexed clusters, and one row per (draw, position) with the index it resamples.
-
-    Each cluster row brings its own position and expands into its draws where it is, spread over all cores;
-    the resampled index is uniform, so the join with the cluster table is balanced.
-    """
-    indexed = hash_index(clusters, [cluster], seed, name="_idx")
-    n = clusters.agg(F.count("*").alias("n")).scalar()
-    spread = 4 * clusters.sparkSession.sparkContext.defaultParallelism
-    grid = indexed.select(F.col("_idx").alias("position")).repartition(spread, "position").select(
-        "position", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(draws - 1).cast("bigint"))).alias("draw"))
-    return indexed, grid.withColumn("_idx", hash_position(seed, F.col("draw"), F.col("position"), n))
-
-
-def bootstrap_draws(clusters: DataFrame, cluster: str, draws: int, seed: object) -> DataFrame:
+def bootstrap_draws(clusters: DataFrame, cluster: str, draws: int, seed: object, leaf: int = resample.LEAF) -> DataFrame:
     """(draw, row_weighted_delta, equal_cluster_delta): clusters resampled with replacement.
 
-    Only cluster sums take part: the shuffle carries one partial sum per draw.
+    Only cluster sums take part: each block of ``leaf`` clusters ships one row of sums a draw.
     """
-    indexed, grid = draw_positions(clusters, cluster, draws, seed)
-    picked = grid.join(indexed.select("_idx", "sum", "count", "mean"), "_idx")
-    return picked.groupBy("draw").agg((F.sum("sum") / F.sum("count")).alias("row_weighted_delta"),
-                                      F.avg("mean").alias("equal_cluster_delta"))
+    zero = F.lit(0.0)
+    values = F.array(F.coalesce("sum", zero), F.col("count").cast("double"), F.coalesce("mean", zero), F.col("mean").isNotNull().cast("double"))
+    placed, n, blocks = resample.place_clusters(clusters.select(cluster, values.alias("values")), cluster, seed, leaf)
+    total = F.col("total")
+    return resample.resampled_sums(placed, n, blocks, 4, draws, seed).select(
+        "draw", F.try_divide(total[0], total[1]).alias("row_weighted_delta"), F.try_divide(total[2], total[3]).alias("equal_cluster_delta"))
 
 
 def bootstrap_ci(draws: DataFrame, cols: Sequence[str], by: Sequence[str] = (), level: float = 0.95) -> DataFrame:
@@ -180,52 +164,75 @@ def bootstrap_ci(draws: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
     return q.select(*by, "column", F.col("n").alias("n_draws"), F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
 
 
-def cluster_bootstrap(clusters: DataFrame, cluster: str, draws: int, seed: object) -> DataFrame:
+def cluster_bootstrap(clusters: DataFrame, cluster: str, draws: int, seed: object, leaf: int = resample.LEAF) -> DataFrame:
     """Point estimates with percentile intervals, one row per kind of delta."""
-    table = bootstrap_draws(clusters, cluster, draws, seed)
+    table = cut_lineage(bootstrap_draws(clusters, cluster, draws, seed, leaf))  # quantiles read it twice
     point = clusters.agg((F.sum("sum") / F.sum("count")).alias("row_weighted_delta"), F.avg("mean").alias("equal_cluster_delta"))
     packed = F.array(*[F.struct(F.lit(x).alias("column"), F.col(x).alias("estimate"))
                        for x in ("row_weighted_delta", "equal_cluster_delta")])
     return point.select(F.inline(packed)).join(bootstrap_ci(table, ["row_weighted_delta", "equal_cluster_delta"]), "column")
 
 
-def cluster_multiplicities(df: DataFrame, cluster: str, draws: int, seed: object) -> DataFrame:
-    """(cluster, draw, m): how often each draw takes each cluster."""
-    clusters = df.select(cluster).distinct()
-    indexed, grid = draw_positions(clusters, cluster, draws, seed)
-    counts = grid.groupBy("draw", "_idx").agg(F.count("*").alias("m"))
-    return counts.join(indexed, "_idx").select(cluster, "draw", "m")
-
-
-def bootstrap_metrics(df: DataFrame, y: str, p: str, cluster: str, draws: int, seed: object, eps: float = EPS,
-                      **kw: object) -> DataFrame:
-    """M1 rebuilt per draw: means from weighted cluster sums, mdape from a frequency-weighted median.
-
-    The row-level part needs each row once per draw it appears in; a cluster's
-    draws are kept as one array (at most ``draws`` entries), so a large cluster
-    joins many-to-one and is expanded where its rows are.
+#: cells between the quantiles where medians of draws are expected; two more take what lies outside
+MEDIAN_CELLS = 64
+#: rows of one block that are expanded together
+BLOCK_ROWS = 200_000
+
+
+def _draw_medians(rows: DataFrame, cluster: str, placed: DataFrame, n: int, blocks: int, draws: int, seed: object, totals: DataFrame, first: int) -> DataFrame:
+    """(draw, mdape) by the counts per cell in ``totals``; only rows of the cells that hold a draw's median are read again, for those draws alone."""
+    cells = MEDIAN_CELLS + 2
+    counts = totals.select("draw", F.posexplode(F.slice("total", first + 1, cells)).alias("cell", "_c"))
+    w = Window.partitionBy("draw")
+    counts = counts.withColumns({"_n": F.sum("_c").over(w), "_start": F.sum("_c").over(w.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")})
+    low, high = F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)
+    def holds(rank: Column) -> Column:
+        return (F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_c"))
+    held = counts.where((holds(low) | holds(high)) & (F.col("_n") > 0)).select("draw", "cell", "_start", "_n")
+    table = cut_lineage(held)
+    by_draw: list[list[int]] = [[] for _ in range(draws)]
+    for r in table.collect():  # at most two cells a draw
+        by_draw[r["draw"]].append(r["cell"])
+    wanted = sorted({c for own in by_draw for c in own})
+    values = rows.where(F.col("cell").isin(wanted)).groupBy(cluster, "cell", "v").agg(F.count("*").alias("c"))
+    joined = cut_lineage(_null_safe_join(values, placed.select(cluster, "_block", "_idx"), [cluster]))
+    parts = joined.groupBy("_block").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts"))  # at most MOST_BLOCKS rows
+    dealt = joined.join(F.broadcast(parts), "_block").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
+    found = resample.resampled_values(dealt, n, blocks, draws, seed, by_draw).groupBy("draw", "cell", "v").agg(F.sum("m").alias("m")).join(table, ["draw", "cell"])
+    earlier = Window.partitionBy("draw", "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = found.withColumn("_start", F.col("_start") + F.coalesce(F.sum("m").over(earlier), F.lit(0))).withColumn("_c", F.col("m"))
+    return ranked.groupBy("draw").agg(((F.max(F.when(holds(low), F.col("v"))) + F.max(F.when(holds(high), F.col("v")))) / 2).alias("mdape"))
+
+
+def bootstrap_metrics(df: DataFrame, y: str, p: str, cluster: str, draws: int, seed: object, eps: float = EPS, leaf: int = resample.LEAF) -> DataFrame:
+    """M1 rebuilt per draw: means from weighted cluster sums, mdape from weighted cluster histograms.
+
+    Every cluster carries its sums and how many of its values lie in each of ``MEDIAN_CELLS`` cells around the median, and one resampling adds up both.  That tells the cell of
+    each draw's median; its rows alone are weighted one by one.  A median outside the expected cells only costs more.
     """
-    m = cluster_multiplicities(df, cluster, draws, seed)
     r = residual(y, p)
     # deviations from the grand mean keep the rebuilt total sum of squares accurate
-    centre = df.agg(F.avg(y).alias("c")).scalar()
-    yc = F.col(y) - F.col("_centre")
-    centred = df.withColumn("_centre", centre)
-    sums = centred.groupBy(cluster).agg(
-        F.count("*").alias("n"), F.sum(F.abs(r)).alias("a"), F.sum(r * r).alias("s"), F.sum(r).alias("b"),
-        F.sum(_smape(y, p, eps)).alias("sm"), F.sum(yc).alias("y1"), F.sum(yc * yc).alias("y2"))
-    w = lambda x: F.sum(F.col("m") * F.col(x))
-    joined = m.join(sums, cluster)
-    sst = w("y2") - w("y1") * w("y1") / w("n")
-    means = joined.groupBy("draw").agg(
-        w("n").alias("n_rows"), (w("a") / w("n")).alias("mae"), F.sqrt(w("s") / w("n")).alias("rmse"),
-        F.when(sst > 0, 1 - w("s") / F.nullif(sst, F.lit(0.0))).alias("r2"), (w("sm") / w("n")).alias("smape"),
-        (w("b") / w("n")).alias("signed_bias"))
-    arrays = m.groupBy(cluster).agg(F.collect_list(F.struct("draw", "m")).alias("_draws"))
-    rows = join_many_to_one(df.select(cluster, absolute_percentage_error(y, p, eps).alias("mdape")), arrays, cluster, "inner")
-    expanded = rows.select("mdape", F.inline("_draws"))
-    medians = quantile_table(expanded, ["mdape"], [0.5], ["draw"], weight="m", **kw).select("draw", F.col("q")[0].alias("mdape"))
-    return means.join(medians, "draw")
+    rows = df.select(cluster, F.col(y).cast("double").alias("_y"), r.alias("_r"), _smape(y, p, eps).alias("_s"), absolute_percentage_error(y, p, eps).alias("v"))
+    n_clusters = df.select(cluster).distinct().count()
+    reach = min(0.5, 3 / max(1, n_clusters) ** 0.5)
+    probs = [0.5 + reach * (2 * i / MEDIAN_CELLS - 1) for i in range(MEDIAN_CELLS + 1)]
+    edges = quantile_table(rows, ["v"], probs).select("q").scalar()
+    centred = rows.withColumns({"_centre": df.agg(F.avg(y)).scalar(), "_edges": edges}).withColumn("_y", F.col("_y") - F.col("_centre"))
+    cell = sum([F.when(F.col("v") > F.col("_edges")[i], 1).otherwise(0) for i in range(len(probs))], F.lit(0))
+    placed_rows = cut_lineage(centred.withColumn("cell", F.when(F.col("v").isNotNull(), cell)).drop("_edges", "_centre"))
+    sums = {"n": F.count("*"), "a": F.sum(F.abs("_r")), "s": F.sum(F.col("_r") * F.col("_r")), "b": F.sum("_r"), "c": F.count("_r"),
+            "sm": F.sum("_s"), "y1": F.sum("_y"), "y2": F.sum(F.col("_y") * F.col("_y")), "yc": F.count("_y")}
+    counted = [*sums.values(), *[F.count_if(F.col("cell") == i) for i in range(MEDIAN_CELLS + 2)]]
+    clusters = placed_rows.groupBy(cluster).agg(F.array(*[F.coalesce(x.cast("double"), F.lit(0.0)) for x in counted]).alias("values"))
+    placed, n, blocks = resample.place_clusters(clusters, cluster, seed, leaf)
+    totals = cut_lineage(resample.resampled_sums(placed, n, blocks, len(counted), draws, seed))
+    t = {k: F.col("total")[i] for i, k in enumerate(sums)}
+    sst = t["y2"] - F.try_divide(t["y1"] * t["y1"], t["yc"])
+    means = totals.select(
+        "draw", t["n"].cast("bigint").alias("n_rows"), F.try_divide(t["a"], t["c"]).alias("mae"), F.sqrt(F.try_divide(t["s"], t["c"])).alias("rmse"),
+        F.when(sst > 0, 1 - F.try_divide(t["s"], sst)).alias("r2"), F.try_divide(t["sm"], t["c"]).alias("smape"), F.try_divide(t["b"], t["c"]).alias("signed_bias"))
+    medians = _draw_medians(placed_rows.where(F.col("cell").isNotNull()).select(cluster, "cell", "v"), cluster, placed, n, blocks, draws, seed, totals, len(sums))
+    return means.join(medians, "draw", "left")
 
 
 # ---- validity, cells, choices ----------------------------------------------------------------

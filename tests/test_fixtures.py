@@ -336,20 +336,90 @@ def test_digest_sees_small_and_large_doubles(spark):
     assert one(K.table_digest(spark.createDataFrame([(-0.0,)], "v double"))) == one(K.table_digest(spark.createDataFrame([(0.0,)], "v double")))
 
 
-def test_bootstrap_equals_brute_force(spark):
+def brute_picks(n, leaf, draws, seed):
+    """Per draw the places in hash order that it takes: the tree in plain Python, binomials from exact sums."""
     import hashlib
-    rows = [(f"m{i % 5}", float(i)) for i in range(23)]
-    clusters = E.cluster_sums(spark.createDataFrame(rows, "m string, e double"), "m", "e")
-    order = sorted({m for m, _ in rows}, key=lambda m: (hashlib.md5(f"3|{m}".encode()).hexdigest(), m))
-    sums = {m: [e for g, e in rows if g == m] for m in order}
-    want = {}
-    for d in range(20):
-        pick = [order[int(hashlib.md5(f"3|{d}|{i}".encode()).hexdigest()[:15], 16) % 5] for i in range(5)]
-        want[d] = (sum(sum(sums[m]) for m in pick) / sum(len(sums[m]) for m in pick), np.mean([np.mean(sums[m]) for m in pick]))
-    got = {r["draw"]: (r["row_weighted_delta"], r["equal_cluster_delta"]) for r in E.bootstrap_draws(clusters, "m", 20, 3).collect()}
-    assert set(got) == set(want)
-    for d in want:
-        assert got[d] == pytest.approx(want[d])
+    import math
+    import zlib
+    from fractions import Fraction
+    blocks = 1
+    while blocks * leaf < n:
+        blocks *= 2
+    start = [-(-b * n // blocks) for b in range(blocks + 1)]
+
+    def mix(x):
+        for _ in range(2):
+            x = ((x ^ (x >> 16)) * 0x45D9F3B) & 0xFFFFFFFF
+        return x ^ (x >> 16)
+
+    def walk(d, node, low, high, taken):
+        if high - low == 1:
+            base = mix((mix((zlib.crc32(str(seed).encode()) + d) & 0xFFFFFFFF) + low) & 0xFFFFFFFF)
+            other = mix(base ^ 0x5BD1E995)
+            for j in range(taken):
+                first = mix((base + j) & 0xFFFFFFFF)
+                yield start[low] + (mix(first ^ other) * (1 << 20) + (mix((first + other) & 0xFFFFFFFF) >> 12)) % (start[low + 1] - start[low])
+            return
+        mid = (low + high) // 2
+        p = Fraction(start[mid] - start[low], start[high] - start[low])
+        u, reached, k = Fraction(int(hashlib.md5(f"{seed}|{d}|{node}".encode()).hexdigest()[:13], 16), 1 << 52), 0, -1
+        while reached < u or k < 0:
+            k += 1
+            reached += math.comb(taken, k) * p ** k * (1 - p) ** (taken - k)
+        yield from walk(d, 2 * node, low, mid, k)
+        yield from walk(d, 2 * node + 1, mid, high, taken - k)
+    return [list(walk(d, 1, 0, blocks, n)) for d in range(draws)]
+
+
+@pytest.mark.parametrize("leaf", [1024, 3])
+def test_bootstrap_equals_brute_force(spark, leaf):
+    import hashlib
+    rng = np.random.default_rng(4)
+    rows = [(f"m{i % 23}" if i % 3 else "hot", float(rng.normal()), float(rng.normal())) for i in range(400)] + [("nothing", None, None)]
+    df = spark.createDataFrame(rows, "m string, y double, p double")
+    clusters = E.cluster_sums(E.error_delta(df.withColumn("z", F.lit(0.0)), "y", "z", "p", "e"), "m", "e")
+    groups = {m: [(y, p) for g, y, p in rows if g == m and y is not None] for m in {r[0] for r in rows}}
+    order = sorted(groups, key=lambda m: (hashlib.md5(f"3|{m}".encode()).hexdigest(), m))
+    picks = brute_picks(len(order), leaf, 30, 3)
+    assert all(len(p) == len(order) for p in picks)
+    delta = {m: [abs(p - y) - abs(y) for y, p in g] for m, g in groups.items()}
+    got = {r["draw"]: r for r in E.bootstrap_draws(clusters, "m", 30, 3, leaf).collect()}
+    again = {r["draw"]: r for r in E.bootstrap_metrics(df.repartition(3), "y", "p", "m", 30, 3, leaf=leaf).collect()}
+    assert set(got) == set(again) == set(range(30))
+    for d, own in enumerate(picks):
+        taken = [delta[order[i]] for i in own]
+        assert got[d]["row_weighted_delta"] == pytest.approx(sum(map(sum, taken)) / sum(map(len, taken)))
+        assert got[d]["equal_cluster_delta"] == pytest.approx(np.mean([np.mean(x) for x in taken if x]))
+        y, p = np.array([x for i in own for x in groups[order[i]]]).T
+        r, total = p - y, ((y - y.mean()) ** 2).sum()
+        want = [np.abs(r).mean(), np.sqrt((r * r).mean()), 1 - (r * r).sum() / total, np.median(np.abs(r) / np.abs(y) * 100), (200 * np.abs(r) / (np.abs(y) + np.abs(p))).mean(), r.mean()]
+        assert [again[d][k] for k in ("mae", "rmse", "r2", "mdape", "smape", "signed_bias")] == pytest.approx(want)
+
+
+def test_draws_take_clusters_as_often_as_they_should():
+    from plumbline.operators import resample
+    n, blocks, draws = 3000, resample.block_count(3000, 500), 400
+    parts = [np.concatenate([m for _, m in resample.multiplicities(b, n, blocks, draws, 9)]) for b in range(blocks)]
+    counts = np.concatenate(parts, axis=1)
+    assert counts.shape == (draws, n) and (counts.sum(axis=1) == n).all()
+    assert abs(counts.var() - 1) < 0.02 and np.abs(counts.mean(axis=0) - 1).max() < 0.3
+    assert abs(np.corrcoef(counts[:, 0], counts[:, 1])[0, 1]) < 0.2 and abs(np.corrcoef(counts[0], counts[1])[0, 1]) < 0.1
+
+
+def test_binomials_reach_their_distribution():
+    import math
+    from plumbline.operators import resample
+    u, exact = np.linspace(0, 1, 401)[:-1] + 1e-9, []
+    for x in u:
+        reached, k = 0.0, -1
+        while reached < x:
+            k += 1
+            reached += math.comb(60, k) * 0.3 ** k * 0.7 ** (60 - k)
+        exact.append(k)
+    assert resample.binomial(u, np.full(400, 60), 0.3).tolist() == exact
+    big = resample.binomial(u, np.full(400, 10**8), 0.5)
+    assert abs(big.mean() - 5e7) < 500 and abs(big.std() / 5000 - 1) < 0.05
+    assert resample.binomial(u[:3], np.array([0, 5, 7]), 1.0).tolist() == [0, 5, 7] and resample.binomial(u[:1], np.array([0]), 0.5).tolist() == [0]
 
 
 def test_candidate_choices(spark):
