@@ -136,7 +136,7 @@ def paired_effect(spark, d):
     return rounded(E.paired_effect(paired(spark, d), "y", "prediction_before", "prediction_after", "model"), 3)
 
 
-DRAWS, BOOT_SEED, BOOT_LEAF = 2000, 13, 128
+DRAWS, BOOT_SEED, BOOT_LEAF = 2000, 13, 256
 
 
 def _mix_sql(source: str, x: str, out: str) -> str:

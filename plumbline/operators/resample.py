@@ -56,18 +56,22 @@ def binomial(u: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
     if p >= 1 or p <= 0:
         return n * int(p >= 1)
     out = np.zeros(len(n), np.int64)
-    spread = REACH * np.sqrt(n * p * (1 - p)) + STEPS
-    low, high = np.maximum(0, np.floor(n * p - spread)).astype(np.int64), np.minimum(n, np.ceil(n * p + spread)).astype(np.int64)
+    order = np.argsort(n, kind="stable")
+    trials, first = np.unique(n[order], return_index=True)  # draws with the same number of trials share a table
+    spread = REACH * np.sqrt(trials * p * (1 - p)) + STEPS
+    low, high = np.maximum(0, np.floor(trials * p - spread)).astype(np.int64), np.minimum(trials, np.ceil(trials * p + spread)).astype(np.int64)
     width = int((high - low).max(initial=0)) + 1
-    for start in range(0, len(n), max(1, CELLS // width)):
-        at = slice(start, start + max(1, CELLS // width))
+    step, ends = max(1, CELLS // width), np.append(first, len(n))
+    for start in range(0, len(trials), step):
+        at = slice(start, start + step)
         k = low[at, None] + np.arange(width)
         # each weight from the one before; what is left out at both ends weighs nothing
-        weight = np.where(k <= high[at, None], (n[at, None] - k + 1) / np.maximum(k, 1) * (p / (1 - p)), 0.0)
+        weight = np.where(k <= high[at, None], (trials[at, None] - k + 1) / np.maximum(k, 1) * (p / (1 - p)), 0.0)
         weight[:, 0] = 1.0
         reached = np.cumsum(np.cumprod(weight, axis=1), axis=1)
-        below = (reached < u[at, None] * reached[:, -1:]).sum(axis=1)
-        out[at] = np.minimum(low[at] + below, high[at])
+        for i, own in enumerate(reached, start):
+            rows = order[ends[i]:ends[i + 1]]
+            out[rows] = np.minimum(low[i] + np.searchsorted(own, u[rows] * own[-1], "left"), high[i])
     return out
 
 
@@ -141,7 +145,8 @@ def _adder(n: int, blocks: int, draws: int, seed: object) -> Callable[[pa.Table]
 
 def resampled_sums(placed: DataFrame, n: int, blocks: int, width: int, draws: int, seed: object) -> DataFrame:
     """(draw, total): sums of the array column ``values`` (``width`` doubles without nulls) of ``placed`` clusters over what each draw takes."""
-    sums = placed.select("_block", "_idx", "values").groupBy("_block").applyInArrow(_adder(n, blocks, draws, seed), "draw long, total array<double>")
+    # the rows are few and the work is not: one task a block
+    sums = placed.select("_block", "_idx", "values").repartition(blocks, "_block").groupBy("_block").applyInArrow(_adder(n, blocks, draws, seed), "draw long, total array<double>")
     return sums.groupBy("draw").agg(F.array(*[F.sum(F.col("total")[i]) for i in range(width)]).alias("total"))
 
 
@@ -170,5 +175,5 @@ def resampled_values(rows: DataFrame, n: int, blocks: int, draws: int, seed: obj
 
     ``rows`` (``_block``, ``_idx``, ``cell``, ``v``, ``c``, ``part``) are values of placed clusters with their counts; a block's rows may be dealt to several parts.
     """
-    return rows.select("_block", "_idx", "cell", "v", "c", "part").groupBy("_block", "part").applyInArrow(
+    return rows.select("_block", "_idx", "cell", "v", "c", "part").repartition(2 * blocks, "_block", "part").groupBy("_block", "part").applyInArrow(
         _expander(n, blocks, draws, seed, held), "draw long, cell int, v double, m long")
