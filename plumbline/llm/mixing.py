@@ -12,11 +12,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import stored
 from plumbline.llm.words import mix
+from plumbline.operators.ordering import row_index, running_total
 
 GROUP_ROWS = 2_000
 WEIGHTS = (5, 2, 1)
@@ -36,17 +37,18 @@ def source_targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, top: int
     cut off while its share of what is left is above that.
     """
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("long")
-    limit = (F.col("source_size") * top).alias("limit")
-    level = Window.orderBy(F.col("limit") / F.col("weight"), "rank")
-    before, all_rows = level.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    left = F.sum("source_size").over(all_rows) - F.coalesce(F.sum("limit").over(before), F.lit(0))
-    share = F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    cut = sizes.withColumns({"rank": rank, "weight": weight}).withColumn("limit", limit).withColumn("cut", F.col("weight") * left > F.col("limit") * share)
-    free = F.sum("source_size").over(all_rows) - F.sum(F.when(F.col("cut"), F.col("limit")).otherwise(0)).over(all_rows)
-    heavy = F.sum(F.when(F.col("cut"), 0).otherwise(F.col("weight"))).over(all_rows)
-    return cut.withColumn("target", F.when(F.col("cut"), F.col("limit").cast("double")).otherwise(F.col("weight") * free / heavy)).select(
+    # sources may be as many as rows: ranks and running totals are range-partitioned
+    ranked = row_index(sizes.withColumn("last", F.col("source").isNull()), ["last", "source"], name="rank").drop("last")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("long")
+    limit = F.col("source_size") * top
+    level = ranked.withColumns({"weight": weight, "limit": limit}).withColumn("level", F.col("limit") / F.col("weight"))
+    level = running_total(level, ["level", "rank"], F.col("limit"), before="limits", total="all_limits")
+    level = stored(running_total(level, ["level", "rank"], F.col("weight"), before="weights", total="heavy"))
+    left, share = F.col("all_limits") / top - F.col("limits"), F.col("heavy") - F.col("weights")
+    cut = level.withColumn("cut", F.col("weight") * left > F.col("limit") * share)
+    rest = cut.agg((F.sum("source_size") - F.sum(F.when(F.col("cut"), F.col("limit")).otherwise(0))).alias("free"),
+                   F.sum(F.when(F.col("cut"), 0).otherwise(F.col("weight"))).alias("heavy")).select(F.col("free") / F.nullif("heavy", F.lit(0))).scalar()
+    return cut.withColumn("target", F.when(F.col("cut"), F.col("limit").cast("double")).otherwise(F.col("weight") * rest)).select(
         "source", "source_size", "source_rows", "target")
 
 
@@ -84,7 +86,7 @@ def _draws(n: int, *key: object) -> np.ndarray:
 
 def _group_rounder(seed: int, level: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["size", "tie"], ascending=[False, True], ignore_index=True)
+        p = p.sort_values(["size", "tie", "more_tie"], ascending=[False, True, True], ignore_index=True)
         draws = _draws(len(p), seed, level, p["place"][0], int(p["group"][0]))
         done = pivot(p["fraction"].to_numpy(), p["size"].to_numpy(), draws)
         return p.assign(fraction=np.round(done) if last else done)  # at last one document of the source is left: the nearer
@@ -92,14 +94,14 @@ def _group_rounder(seed: int, level: int, last: bool) -> Callable[[pd.DataFrame]
 
 
 def round_fractions(units: DataFrame, parts: int, seed: int, group_rows: int) -> DataFrame:
-    """``units`` (place, part, tie, size, fraction) with every fraction rounded to 0 or 1, the words of each place kept up to one document."""
-    schema = "place string, part long, group long, tie long, size long, fraction double"
+    """``units`` (place, part, tie, more_tie, size, fraction) with every fraction rounded to 0 or 1, the words of each place kept up to one document."""
+    schema = "place string, part long, group long, tie long, more_tie long, size long, fraction double"
     done, level, width = [], 0, parts
     rest = units
     while True:
         reach = 1 if level == 0 else group_rows ** level
         width, last = -(-parts // reach), -(-parts // reach) <= 1
-        out = stored(rest.select("place", "part", F.floor(F.col("part") / reach).alias("group"), "tie", "size", "fraction").groupBy("place", "group").applyInPandas(
+        out = stored(rest.select("place", "part", F.floor(F.col("part") / reach).alias("group"), "tie", "more_tie", "size", "fraction").groupBy("place", "group").applyInPandas(
             _group_rounder(seed, level, last), schema)).drop("group")
         open_ = (F.col("fraction") > 0) & (F.col("fraction") < 1)
         done.append(out.where(~open_))
@@ -115,23 +117,33 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, top: int =
                 id_col: str = "doc_id", keep: list[str] | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Rows of ``docs`` (columns ``keep``, default all) with ``size``, ``source_size``, ``target`` and ``copies``.
 
-    ``copies`` is how often the mix takes the row, 0 to ``top``.  Null texts have size 0, a null source is a source of its own, rows equal in
-    id, text and source are rounded together, an empty table gives an empty table.  The same rows give the same copies in any order and
-    partitioning.  Columns of ``docs`` named like the new ones are replaced.
+    ``copies`` is how often the mix takes the row, 0 to ``top``.  Null texts have size 0, a null source is a source of its own, an empty table gives an empty
+    table.  Rows equal in id, text and source are one unit: of the copies that all of them are wanted, the whole part is taken exactly and the rest is rounded.  The same
+    rows give the same copies in any order and partitioning (equal ones in the order they are stored).  Columns of ``docs`` named like the new ones are replaced.
     """
     made = ("size", "source_size", "target", "copies")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     place = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
-    rows = docs.select(F.struct(*keep).alias("kept"), word_count(F.col(text).cast("string")).alias("size"), place.alias("place"),
-                       F.xxhash64(F.col(id_col), F.col(text), F.col(source)).alias("tie"))
-    units = stored(rows.groupBy("place", "tie", "size").agg(F.count("*").alias("n")))
-    by_source = units.select(F.when(F.col("place") != "null", F.substr("place", F.lit(2))).alias("source"), "place", (F.col("size") * F.col("n")).alias("size"), "n")
+    own = [F.col(id_col), F.col(text), F.col(source)]
+    flags = [c.isNull() for c in own]  # a hash passes over nulls
+    key = {"place": place, "tie": F.xxhash64(*own, *flags), "more_tie": F.xxhash64(F.lit("more"), *flags, *own)}
+    unit = list(key)
+    units = stored(docs.select(*[v.alias(k) for k, v in key.items()], word_count(F.col(text).cast("string")).alias("size")).groupBy(*unit).agg(
+        F.max("size").alias("size"), F.count("*").alias("n")))
+    by_source = units.select(F.when(F.col("place") != "null", F.substr("place", F.lit(2))).alias("source"), (F.col("size") * F.col("n")).alias("size"), "n")
     sources = stored(source_targets(by_source, weights, top).withColumn("place", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))).drop("source"))
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    whole = F.floor(wanted + _EDGE)
     largest = sources.agg(F.max("source_rows")).first()[0] or 0
     parts = max(1, -(-largest // group_rows))  # of the largest source; smaller ones have fewer
-    own = F.greatest(F.ceil(F.col("source_rows") / group_rows), F.lit(1))
-    placed = units.join(sources, "place").select("place", F.pmod("tie", own).alias("part"), "tie", "size", (wanted - F.floor(wanted + _EDGE)).alias("fraction"))
-    chosen = round_fractions(placed, parts, seed, group_rows).select("tie", "size", F.col("fraction").cast("int").alias("__more"))
-    return rows.join(chosen, ["tie", "size"]).join(sources, "place").select(
-        "kept.*", "size", "source_size", "target", (F.floor(wanted + _EDGE).cast("int") + F.col("__more")).alias("copies"))
+    deal = F.greatest(F.ceil(F.col("source_rows") / group_rows), F.lit(1))
+    placed = units.join(sources, "place").withColumn("extra", F.greatest((wanted - whole) * F.col("n"), F.lit(0.0)))
+    chosen = round_fractions(placed.select("place", F.pmod("tie", deal).alias("part"), "tie", "more_tie", "size", (F.col("extra") - F.floor(F.col("extra") + _EDGE)).alias("fraction")),
+                             parts, seed, group_rows).select(*unit, F.col("fraction").cast("int").alias("one_more"))
+    taken = stored(placed.join(chosen, unit).select(*unit, "size", "n", "source_size", "target", whole.cast("int").alias("whole"),
+                                                    (F.floor(F.col("extra") + _EDGE) + F.col("one_more")).alias("more")))
+    rows = docs.select(F.struct(*keep).alias("kept"), *[v.alias(k) for k, v in key.items()]).join(taken, unit)
+    single = rows.where("n = 1").withColumn("before", F.lit(0).cast("long"))
+    repeated = stored(rows.where("n > 1").withColumn("at", F.monotonically_increasing_id()))
+    numbered = running_total(repeated, ["at"], F.lit(1).cast("long"), unit, before="before").drop("at")
+    return single.unionByName(numbered).select("kept.*", "size", "source_size", "target", (F.col("whole") + (F.col("before") < F.col("more")).cast("int")).alias("copies"))

@@ -252,6 +252,24 @@ def test_mixing(spark, docs, empty):
     assert out[order].sort_values(order, ignore_index=True).equals(again[order].sort_values(order, ignore_index=True))
 
 
+def test_mixing_of_equal_rows_and_nulls(spark):
+    """No row more or less than given; equal rows meet the target within one document."""
+    rows = [(1, None, "", 5), (1, "", None, 6), (1, None, None, 7), (1, "", "", 8)]
+    assert sorted(r.n_chars for r in mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")).collect()) == [5, 6, 7, 8]
+    many = [(7, "w " * 50, "a")] * 400 + [(i, "v " * 30, "b") for i in range(100)] + [(None, "x y", "b")] * 33
+    out = mixing.mix_sources(spark.createDataFrame(many, "doc_id long, text string, source string").repartition(6), group_rows=20).toPandas()
+    assert len(out) == len(many) and out.copies.between(0, 3).all()
+    for _, own in out.groupby("source"):
+        assert abs((own.copies * own["size"]).sum() - own.target.iloc[0]) <= own["size"].max()
+
+
+def test_many_sources(spark):
+    rows = [(i, "w " * (i % 17), f"s{i:04d}") for i in range(400)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    each = out.drop_duplicates("source")
+    assert np.isclose(each.target.sum(), out["size"].sum()) and (each.target <= 3 * each.source_size + 1e-9).all()
+
+
 def test_pivotal_rounding_keeps_words_and_expectation():
     rng = np.random.default_rng(4)
     p, size = rng.uniform(0, 1, 12), rng.integers(1, 50, 12)
