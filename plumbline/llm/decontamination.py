@@ -1,7 +1,8 @@
 """Benchmark decontamination: rare seeds find where a text may hold a test item, alignment scores how much of it.
 
-Test items are few beside the corpus; they are taken in blocks of bounded size, each against all texts.  Of every ``SPREAD`` neighbouring
-word n-grams of an item the one rarest in the corpus is a seed, so any run of ``GRAM + SPREAD - 1`` unchanged words holds one.  Around a seed the item is aligned
+Test items are few beside the corpus; they are taken in blocks of bounded size, each against all texts.  Seeds are word n-grams of an item that some text holds: of ``GRAM`` words
+those that are rare in the corpus, and of common ones the rarest of ``SPREAD`` neighbours; of ``PAIR`` words the rare ones, which count only where ``PAIRS`` of them lie
+on one stretch of a text, as in a copy with every third word changed.  Around a seed the item is aligned
 to the text by Smith-Waterman over words; the score is the share of what a verbatim copy reaches, so changed, lost and added words lower it gradually.
 Characters of scripts without spaces are words of their own, two of them as long as one word.  Shorter items are found where a text holds them whole.
 """
@@ -22,6 +23,9 @@ from plumbline.llm.common import blocks, with_columns
 from plumbline.llm.words import Words, find_words, span_hashes, windows
 
 GRAM, SPREAD = 3, 2
+PAIR, PAIRS = 2, 3
+#: an n-gram is rare up to this many occurrences, or this share of all words of the corpus
+RARE, RARE_SHARE = 100, 1e-6
 #: items of fewer words are too short to align: only a whole copy tells from chance
 LEAST_WORDS = 8
 MATCH, MISS, GAP = 2, -1, 1
@@ -59,6 +63,7 @@ class Items:
     gram: np.ndarray  # sorted hashes of n-grams, with the item and the word each starts at
     item: np.ndarray
     place: np.ndarray
+    pair: np.ndarray  # whether the n-gram has PAIR words
     short: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # by length: sorted hashes of whole items, and the items
 
     def __post_init__(self) -> None:
@@ -71,11 +76,12 @@ class Items:
         data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)]).astype(np.int64)
         w, _, single = find_units(data, offsets)
         hashes = span_hashes(data, w.start, w.end, fold_case=True)
-        gram, first = windows(hashes, w.at, GRAM)
+        grams, firsts = zip(*(windows(hashes, w.at, n) for n in (GRAM, PAIR)))
+        gram, first, pair = np.concatenate(grams), np.concatenate(firsts), np.repeat([False, True], [len(g) for g in grams])
         item = w.owner()[first] if len(first) else first
         large = 2 * w.counts() - np.bincount(w.owner(), single, len(texts)) >= 2 * LEAST_WORDS
         enough = large[item]
-        gram, first, item = gram[enough], first[enough], item[enough]
+        gram, first, item, pair = gram[enough], first[enough], item[enough], pair[enough]
         order = np.argsort(gram, kind="stable")
         whole = {}
         for n in np.unique(w.counts()[~large]).tolist() if short else []:
@@ -85,22 +91,24 @@ class Items:
                 fits = (w.counts()[own] == n) & ~large[own]
                 by = np.argsort(value[fits], kind="stable")
                 whole[n] = value[fits][by], own[fits][by]
-        return Items(names, hashes, w.at, gram[order], item[order], (first - w.at[item])[order], whole)
-
-    def seeds(self, seen: np.ndarray) -> "Items":
-        """Only the n-gram seen least of each ``SPREAD`` neighbours (the first of equals); ``seen`` counts each of ``gram``."""
-        order = np.lexsort([self.place, self.item])
-        item, count = self.item[order], seen[order]
-        stay = np.zeros(len(order), bool)
-        for start in range(len(order)):
-            end = start + 1
-            while end < min(len(order), start + SPREAD) and item[end] == item[start]:
-                end += 1
-            if end - start == SPREAD or start == 0 or item[start - 1] != item[start]:
-                stay[start + int(np.argmin(count[start:end]))] = True
-        kept = np.zeros(len(order), bool)
-        kept[order[stay]] = True
-        return Items(self.names, self.words, self.at, self.gram[kept], self.item[kept], self.place[kept], self.short)
+        return Items(names, hashes, w.at, gram[order], item[order], (first - w.at[item])[order], pair[order], whole)
+
+    def seeds(self, seen: np.ndarray, words: int) -> "Items":
+        """The n-grams worth looking for, where ``seen`` counts each of ``gram`` in a corpus of ``words`` words; what no text holds finds nothing and is left out."""
+        rare = (seen > 0) & (seen <= max(RARE, RARE_SHARE * words))
+        # common ones compete with their common neighbours alone: a rarer neighbour may be one that edits left behind elsewhere
+        common = np.flatnonzero((seen > 0) & ~rare & ~self.pair)
+        common = common[np.lexsort([self.place[common], self.item[common]])]
+        stay = np.zeros(len(common), bool)
+        if len(common):
+            window = np.arange(SPREAD)
+            run = np.minimum(np.arange(len(common))[:, None] + window, len(common) - 1)
+            near = (self.item[common[run]] == self.item[common][:, None]) & (self.place[common[run]] - self.place[common][:, None] == window)
+            count = np.where(near, seen[common[run]], np.iinfo(np.int64).max)
+            stay[run[np.arange(len(common)), count.argmin(axis=1)]] = True
+        kept = rare
+        kept[common[stay]] = True
+        return Items(self.names, self.words, self.at, self.gram[kept], self.item[kept], self.place[kept], self.pair[kept], self.short)
 
     def hits(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (position in ``gram``, entry of the index) of equal n-grams."""
@@ -164,7 +172,7 @@ def find(data: np.ndarray, offsets: np.ndarray, items: Items, threshold: float)
     w, word, _ = find_units(data, offsets)
     words = span_hashes(data, w.start, w.end, fold_case=True)
     best: dict[tuple[int, int], tuple[float, int, int]] = {(t, i): (1.0, b, e) for t, i, b, e in items.whole(words, w)}
-    gram, first = windows(words, w.at, GRAM)
+    gram, first = _grams(words, w)
     at, entry = items.hits(gram)
     if len(at):
         best |= _aligned(w, words, first, at, entry, items, threshold)
@@ -172,19 +180,39 @@ def find(data: np.ndarray, offsets: np.ndarray, items: Items, threshold: float)
         yield t, i, s, int(word[b] - word[w.at[t]]), int(word[e] - word[w.at[t]])
 
 
+def _grams(words: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all n-grams of both lengths, and the number of the first word of each."""
+    grams, firsts = zip(*(windows(words, w.at, n) for n in (GRAM, PAIR)))
+    return np.concatenate(grams), np.concatenate(firsts)
+
+
 def _aligned(w: Words, words: np.ndarray, first: np.ndarray, at: np.ndarray, entry: np.ndarray, items: Items, threshold: float) -> dict[tuple[int, int], tuple[float, int, int]]:
     """Score and place of the best alignment of each item that has a seed in a text, by (text, item)."""
     text, item = w.owner()[first[at]], items.item[entry]
     size = np.diff(items.at)[item]
     begin = first[at] - items.place[entry]  # where the item would begin
+    place, pair = items.place[entry], items.pair[entry]
     order = np.lexsort([begin, item, text])
-    text, item, size, begin = text[order], item[order], size[order], begin[order]
+    text, item, size, begin, place, pair = text[order], item[order], size[order], begin[order], place[order], pair[order]
     # seeds of one text and item whose beginnings lie within the item's length share a place, counted on a fixed grid
     cell = np.floor_divide(begin, size)
     new = np.ones(len(text), bool)
     new[1:] = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(cell) != 0)
     group = np.flatnonzero(new)
     last = np.append(group[1:], len(text)) - 1
+    # pairs of words alone count where PAIRS different ones lie within a quarter of the item's length of each other's diagonal, here or across the edge of the grid
+    number = np.repeat(np.arange(len(group)), last + 1 - group)
+    longer = np.bincount(number, ~pair, len(group)) > 0
+    several = np.zeros(len(text), bool)
+    if len(text) >= PAIRS:
+        a, b = np.arange(len(text) - PAIRS + 1), np.arange(PAIRS - 1, len(text))
+        near = (text[a] == text[b]) & (item[a] == item[b]) & (begin[b] - begin[a] <= size[a] // 4) & (place[a] != place[b])
+        for k in range(PAIRS):
+            several[a[near] + k] = True
+    worth = longer | (np.bincount(number, several, len(group)) > 0)
+    group, last = group[worth], last[worth]
+    if not len(group):
+        return {}
     text, item, size = text[group], item[group], size[group]
     low = np.maximum(begin[group] - size // 2, w.at[text])
     high = np.minimum(begin[last] + size + size // 2, w.at[text + 1])
@@ -208,23 +236,25 @@ def _aligned(w: Words, words: np.ndarray, first: np.ndarray, at: np.ndarray, ent
     return best
 
 
-def _count_seen(docs: DataFrame, items: Items) -> np.ndarray:
-    """How often each of the index's n-grams occurs in all texts."""
+def _count_seen(texts: DataFrame, items: Items) -> tuple[np.ndarray, int]:
+    """How often each of the index's n-grams occurs in all ``texts`` (one column), and how many words they have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.gram), np.int64)
+        total, words = np.zeros(len(items.gram), np.int64), 0
         for batch in batches:
             for _, data, at in blocks(batch.column(0)):
                 w = find_units(data, at)[0]
-                _, entry = items.hits(windows(span_hashes(data, w.start, w.end, fold_case=True), w.at, GRAM)[0])
+                _, entry = items.hits(_grams(span_hashes(data, w.start, w.end, fold_case=True), w)[0])
                 total += np.bincount(entry, minlength=len(total))
+                words += len(w)
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["entry", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(total[seen], words))], names=["entry", "n"])
 
-    out = np.zeros(len(items.gram), np.int64)
-    rows = docs.select("__text").mapInArrow(run, "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n")).toPandas()
-    out[rows["entry"].to_numpy(np.int64)] = rows["n"]
-    return out
+    out, words = np.zeros(len(items.gram), np.int64), 0
+    rows = texts.mapInArrow(run, "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n")).toPandas()
+    found = rows["entry"].to_numpy(np.int64) >= 0
+    out[rows["entry"].to_numpy(np.int64)[found]] = rows["n"][found]
+    return out, int(rows["n"][~found].sum())
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None,
@@ -236,6 +266,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != "leaks"]
     out = docs.select(F.struct(*keep).alias("kept"), F.col(text).cast("string").alias("__text"))
+    texts = docs.select(F.col(text).cast("string"))
     kind = benchmark.schema[item_id].dataType
     found = T.ArrayType(T.StructType([T.StructField("item_id", kind), T.StructField("score", T.DoubleType()), T.StructField("first_word", T.IntegerType()),
                                       T.StructField("last_word", T.IntegerType())]))
@@ -245,7 +276,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
     for part in range(parts):
         mine = tests.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part).orderBy("id", "text").collect()
         items = Items.index([r[0] for r in mine], [r[1] for r in mine], short)
-        items = items.seeds(_count_seen(out, items))
+        items = items.seeds(*_count_seen(texts, items))
         names.append(f"__leaks{part}")
         out = with_columns(out, {names[-1]: found}, _searcher(items, threshold, found, names[-1]), out.columns, ["__text"])
     return out.select("kept.*", F.flatten(F.array(*names)).alias("leaks"))

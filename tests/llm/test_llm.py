@@ -381,6 +381,28 @@ def test_leaks(spark, docs, empty):
     assert decontamination.leaks(empty, bench).count() == 0 and decontamination.leaks(docs, bench.limit(0), keep=["doc_id"]).where("size(leaks) > 0").count() == 0
 
 
+@pytest.mark.parametrize("step", [2, 3, 4, 5, 8])
+def test_edited_copies_are_found(spark, step):
+    """Copies with every step-th word changed, against a full alignment of every item with its own copy."""
+    rng = random.Random(step)
+    items = [prose(rng, rng.randint(18, 60)) for _ in range(40)]
+    texts = []
+    for k, item in enumerate(items):
+        for again in range(5):
+            w = item.split()
+            for i in range(rng.randrange(step), len(w), step):
+                w[i] = f"edit{k}x{again}x{i}" if again % 2 else f"other{i}"
+            texts.append(f"{prose(rng, 30)} {' '.join(w)} {prose(rng, 25)}")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r.doc_id: {x.item_id for x in r.leaks} for r in decontamination.leaks(docs, bench, keep=["doc_id"]).collect()}
+    fold = lambda t: t.lower().split()
+    accepted = [i for i, t in enumerate(texts) if brute_alignment(fold(items[i // 5]), fold(t)) >= decontamination.THRESHOLD * 2 * len(fold(items[i // 5]))]
+    assert len(accepted) > (150 if step > 3 else 50 if step == 3 else -1)
+    assert sum(i // 5 in found[i] for i in accepted) >= 0.9 * len(accepted)
+    assert all(found[i] <= {i // 5} for i in range(len(texts)))
+
+
 def test_short_and_unspaced_leaks(spark, sf):
     items = ["Alpha beta gamma", "omega", "the quick brown fox jumps over it", "日本の首都は東京です", "春はあけぼのやうやう白くなりゆく山ぎはすこしあかりて", "กรุงเทพเป็นเมืองหลวง", "a b c d e f g h i j"]
     bench = spark.createDataFrame([*enumerate(items), (90, ""), (91, " \n")], "item_id long, text string")
