@@ -16,12 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import blocks, free, with_columns
+from plumbline.llm.common import blocks, free, stored, with_columns
 
 BUCKETS = 1 << 14
 ORDERS = (2, 3, 4)
 #: languages a model may have; more are refused, as the model's size is their number times BUCKETS
 MAX_LANGUAGES = 512
+#: rows of each language that a model learns from, about
+SAMPLE_ROWS = 4_000
 ROWS = 64
 BLOCK = 1 << 20
 _FACTORS = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint32)
@@ -85,12 +87,22 @@ def margins(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.nd
     return out
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Learn from all rows of ``docs`` with a text and a language: one pass for the n-gram counts, one for the trust in each bit."""
-    known = docs.select(F.col(lang).cast("string").alias("lang"), letters(F.col(text).cast("string")).alias("text")).where("lang is not null and text is not null")
-    languages = sorted(r[0] for r in docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string")).distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Learn from about ``sample_rows`` rows of each language, drawn by a hash of the row: n-gram counts, then the trust in each bit.
+
+    Rows without a text or a language teach nothing; repeated rows are drawn together; an empty table gives a model that knows no language.
+    """
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    languages = sorted(sizes)
+    if not languages:
+        return Model([], np.zeros((0, 0), np.int8), np.zeros((BUCKETS, 0), np.float32), 1.0, np.zeros((0, 0)))
+    share = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, sample_rows / sizes[name]))])
+    row = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
+    drawn = F.pmod(row, F.lit(1 << 30)) < F.element_at(share, F.col(lang).cast("string")) * (1 << 30)
+    known = stored(labelled.where(drawn).select(F.col(lang).cast("string").alias("lang"), letters(F.col(text).cast("string")).alias("text")).where("text is not null"))
     number, n = {name: i for i, name in enumerate(languages)}, len(languages)
     code = codewords(n)
     if not code.size:
