@@ -177,11 +177,12 @@ def learn_from(counts: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
 
     An id labelled more than once counts as its lowest label; null ids and labels teach nothing; without labels the list is empty.
     """
-    marked = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg(F.min(label).alias("__label"))
+    bad, own = free(counts, "label_"), free(counts, "id_")
+    marked = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg(F.min(label).alias(bad))
     share = min(1.0, sample_rows / max(1, labels.count()))
     marked = marked.where(F.crc32(F.concat(F.lit("rules-"), F.col(id_col).cast("string")).cast("binary")) < share * (1 << 32))
-    rows = counts.join(marked, id_col).select(F.col(id_col).alias("__id"), (F.col("__label") == 0).alias("bad"), *[c.alias(n) for n, c in features().items()])
-    sample = rows.where(~base_failed_features()).toPandas().sort_values(["__id", *features()], ignore_index=True)
+    rows = counts.join(marked, id_col).select(F.col(id_col).alias(own), (F.col(bad) == 0).alias("bad"), *[c.alias(n) for n, c in features().items()])
+    sample = rows.where(~base_failed_features()).toPandas().sort_values([own, *features()], ignore_index=True)
     return learn(sample[list(features())], sample["bad"].to_numpy(bool))
 
 
@@ -193,7 +194,8 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
           sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``text_counts`` of ``docs`` with ``base_failed`` and ``kept``: false if the base rules fail, else the verdict of a list learned from ``labels``.
 
-    Null and empty texts fail the base rules.  The table of counts is stored once, so texts are read once.
+    Null and empty texts fail the base rules, very long ones are counted whole, repeated rows are judged alike, an empty table gives an empty table.  Columns of ``docs`` named like
+    the new ones are replaced.  The table of counts is stored once, so texts are read once.
     """
     counts = stored(text_counts(docs, text, keep))
     rules = learn_from(counts, labels, id_col, sample_rows=sample_rows)

@@ -74,7 +74,10 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold_case:
     first = np.cumsum(length) - length
     within = np.arange(int(length.sum())) - np.repeat(first, length)
     taken = data[within + np.repeat(start, length)]
-    values = (_FOLDED if fold_case else _BYTE)[taken] * _POWER[within % _PERIOD]
+    power = _POWER[within % _PERIOD]
+    if length.max() > _PERIOD:  # every round of the table has its own powers
+        power = power + (within // _PERIOD).astype(np.uint64) * (_STEP << np.uint64(1))
+    values = (_FOLDED if fold_case else _BYTE)[taken] * power
     return mix(np.add.reduceat(values, first) + length.astype(np.uint64) * _STEP)
 
 

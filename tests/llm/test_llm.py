@@ -21,7 +21,7 @@ from plumbline.llm.queries import ORACLES, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: names that the operators use inside or return
-CLASHES = ["kept", "key", "id", "hash", "size", "score", "shard", "copies", "part", "group", "block", "bucket", "__text", "__train", "leaks", "sig", "n", "gone", "lines", "root", "own_text", "own_key", "own_part", "letters"]
+CLASHES = ["kept", "key", "id", "hash", "size", "score", "shard", "copies", "part", "group", "block", "bucket", "__text", "__train", "leaks", "sig", "n", "gone", "lines", "root", "own_text", "own_key", "own_part", "letters", "label_", "id_", "__label", "__id", "__more", "__row"]
 
 
 def prose(rng, n, language="en"):
@@ -73,6 +73,15 @@ def test_words_and_windows():
     assert [(i, i + 1) for i in first] == [(0, 1), (1, 2), (4, 5), (5, 6)] and len(set(value)) == 4
 
 
+def test_hashes_tell_bytes_far_apart():
+    a = "a" * 5000
+    texts = [a[:100] + "x" + a[101:4196] + "y" + a[4197:], a[:100] + "y" + a[101:4196] + "x" + a[4197:]]
+    raw = " ".join(texts).encode()
+    data, at = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+    w = words.find_words(data, at)
+    assert len(set(words.span_hashes(data, w.start, w.end).tolist())) == 2
+
+
 def test_language(spark, docs, empty):
     model = language.fit(docs.where("lang is not null"))
     out = language.predict(docs, model, keep=["doc_id", "text"]).toPandas()
