@@ -77,14 +77,19 @@ def physics_features(runs: DataFrame) -> DataFrame:
     missing = F.array_compact(F.array(
         *[F.when(F.col(n).isNull(), F.lit(n)) for n in REQUIRED],
         *[F.when((F.col("moe_layers") > 0) & F.col(n).isNull(), F.lit(n)) for n in MOE_REQUIRED]))
+    def bad(name: str) -> Column:
+        return (F.col(name).cast("double") < 0) | (finite(F.col(name)).isNull() & F.col(name).isNotNull())
+    wrong = F.array_compact(F.array(*[F.when(bad(n), F.lit(n)) for n in (*REQUIRED, "output_cap") if n != "gated"],
+                                    *[F.when((F.col("moe_layers") > 0) & bad(n), F.lit(n)) for n in MOE_REQUIRED]))
     unsupported = F.coalesce(F.col("attention_variant").isin(*UNSUPPORTED), F.lit(False))
     no_lengths = F.coalesce(F.col("n_requests"), F.lit(0)) == 0
     status = (F.when(no_lengths, "missing").when(unsupported, "unsupported")
-              .when(F.size(missing) > 0, "missing").otherwise("available"))
+              .when((F.size(missing) > 0) | (F.size(wrong) > 0), "missing").otherwise("available"))
     reason = (F.when(no_lengths, F.lit("workload lengths unavailable"))
               .when(unsupported, F.concat(F.lit("unsupported_attention_variant: "), F.col("attention_variant")))
               .when(F.size(missing) > 0, F.concat(F.lit("missing canonical fields: "),
-                                                  F.array_join(F.array_sort(missing), ", "))))
+                                                  F.array_join(F.array_sort(missing), ", ")))
+              .when(F.size(wrong) > 0, F.concat(F.lit("must be finite and nonnegative: "), F.array_join(F.array_sort(wrong), ", "))))
     ok = status == "available"
     n, s1, s2, top = c("n_requests"), c("sum_len"), c("sum_len_sq"), c("max_len")
     rep, cap, layers = c("repeats"), c("output_cap"), c("layers")

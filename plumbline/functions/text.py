@@ -80,10 +80,12 @@ def fim_prompt(prefix: Column, suffix: Column) -> Column:
 
 
 def choice_prompt(question: Column, wrong: Sequence[Column], right: Column, seed: object, key: Column) -> tuple[Column, Column]:
-    """Multiple-choice text with choices in md5 order, and the lettered answer."""
+    """Multiple-choice text with choices in md5 order, and the lettered answer; there are letters for four choices, more are refused."""
     order = lambda c: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), c)).alias("h"), c.alias("c"))
     # Letters and wording of the template.
     letters, opening = "ABCD", "What is the correct answer to the following question: "
+    if len(wrong) + 1 > len(letters):
+        raise ValueError(f"at most {len(letters)} choices")
     shuffled = F.array_sort(F.array(*[order(F.trim(c)) for c in (*wrong, right)]))
     lines = F.transform(shuffled, lambda x, i: F.concat(
         F.lit("\n("), F.substring(F.lit(letters), i + 1, F.lit(1)), F.lit(") "), x["c"]))

@@ -180,14 +180,19 @@ def expand_pairs(runs: DataFrame, stats: DataFrame, on: Sequence[str], repeats:
 
 
 def frames_differ(a: DataFrame, b: DataFrame, key: str | Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Per column: number of keys whose value differs, plus rows only on one side (null-safe)."""
+    """Per column: number of keys whose value differs, plus rows only on one side; null keys and values are equal to themselves.
+
+    Both tables go through one aggregation by key, in which copies combine map-side.
+    """
     keys = _keys(key)
-    left = a.select(*keys, F.struct(*cols).alias("_a"), F.lit(True).alias("_ina"))
-    right = b.select(*keys, F.struct(*cols).alias("_b"), F.lit(True).alias("_inb"))
-    both = left.join(right, keys, "full_outer")
-    matched = F.col("_ina").isNotNull() & F.col("_inb").isNotNull()
+    left = a.select(*keys, F.struct(*cols).alias("_a"), F.lit(None).cast(b.select(F.struct(*cols).alias("_b")).schema["_b"].dataType).alias("_b"))
+    right = b.select(*keys, F.lit(None).cast(a.select(F.struct(*cols).alias("_a")).schema["_a"].dataType).alias("_a"), F.struct(*cols).alias("_b"))
+    both = left.unionByName(right).groupBy(*keys).agg(
+        F.count("_a").alias("_na"), F.count("_b").alias("_nb"), F.any_value("_a", F.lit(True)).alias("_a"), F.any_value("_b", F.lit(True)).alias("_b"))
+    matched = (F.col("_na") > 0) & (F.col("_nb") > 0)
     counts = both.agg(
-        F.count_if(F.col("_inb").isNull()).alias("_only_a"), F.count_if(F.col("_ina").isNull()).alias("_only_b"),
+        F.coalesce(F.sum(F.greatest(F.col("_na") - F.col("_nb"), F.lit(0))), F.lit(0)).alias("_only_a"),
+        F.coalesce(F.sum(F.greatest(F.col("_nb") - F.col("_na"), F.lit(0))), F.lit(0)).alias("_only_b"),
         *[F.count_if(matched & ~F.col(f"_a.{x}").eqNullSafe(F.col(f"_b.{x}"))).alias(f"d_{x}") for x in cols])
     rows = [F.struct(F.lit("rows only in first").alias("what"), F.col("_only_a").alias("n")),
             F.struct(F.lit("rows only in second").alias("what"), F.col("_only_b").alias("n"))]

@@ -187,7 +187,7 @@ def cell_coverage(df: DataFrame, dims: Sequence[str], flag: str | None = None) -
 
 
 def coverage(df: DataFrame, dims: Sequence[str], flags: Sequence[str], population: str | None = None) -> DataFrame:
-    """(population, dimension, value, n, flag counts and rates) with grouping sets in one pass.
+    """(population, dimension, value, n, flag counts and rates) with grouping sets in one pass; nulls are called null, and a text of that name is quoted.
 
     With ``population`` (a boolean column) the same slices are given for all rows
     and for the flagged rows, counted side by side rather than by a second scan.
@@ -204,7 +204,8 @@ def coverage(df: DataFrame, dims: Sequence[str], flags: Sequence[str], populatio
     for i, d in enumerate(dims):
         mine = F.col("_gid") == (full ^ (1 << (len(dims) - 1 - i)))
         dimension = F.when(mine, d).otherwise(dimension)
-        value = F.when(mine, F.coalesce(F.col(d), F.lit("null"))).otherwise(value)
+        spelled = F.when(F.col(d).rlike('^"*null"*$'), F.concat(F.lit('"'), F.col(d), F.lit('"'))).otherwise(F.col(d))
+        value = F.when(mine, F.coalesce(spelled, F.lit("null"))).otherwise(value)
     blocks = [("all", "n_all", "all_")] + ([(population, "n_pop", "pop_")] if population else [])
     packed = F.array(*[F.struct(
         F.lit(name).alias("population"), F.col(n).alias("n"),

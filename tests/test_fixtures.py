@@ -255,6 +255,20 @@ def test_physics_equals_per_request_sums(spark):
     bad = one(X.physics_features(runs.withColumn("moe_width", F.lit(None).cast("int"))))
     assert bad["physics_status"] == "missing" and bad["physics_missing_reason"] == "missing canonical fields: moe_width" and bad["prefill_total"] is None
     assert one(X.physics_features(runs.withColumn("attention_variant", F.lit("mla"))))["physics_status"] == "unsupported"
+    bad = one(X.physics_features(runs.withColumns({"hidden": F.lit(-8), "params": F.lit(float("nan"))})))
+    assert (bad["physics_status"], bad["physics_missing_reason"], bad["weight_bytes_total"]) == ("missing", "must be finite and nonnegative: hidden, params", None)
+
+
+def test_no_letters_beyond_four_choices():
+    from plumbline.functions import text
+    with pytest.raises(ValueError, match="four|4"):
+        text.choice_prompt(F.lit("q"), [F.lit(x) for x in "abcd"], F.lit("e"), 1, F.lit("k"))
+
+
+def test_coverage_tells_null_from_its_name(spark):
+    df = spark.createDataFrame([(None, True), ("null", False), ("null", True)], "d string, f boolean")
+    got = {r["value"]: (r["n"], r["n_f"]) for r in P.coverage(df, ["d"], ["f"]).where("dimension = 'd'").collect()}
+    assert got == {"null": (1, 1), '"null"': (2, 1)}
 
 
 def test_hardware_row(spark):

@@ -124,3 +124,10 @@ def test_cross_plans(spark):
     assert plan.distinct().count() == 6
     df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 2), (None, 1)], "p string, q int")
     assert J.data_plan(df, ["p", "q"]).count() == 4
+
+
+def test_frames_with_null_keys_equal_themselves(spark):
+    a = spark.createDataFrame([(None, 1.0, "x"), (1, None, "y"), (2, 3.0, None)], "k int, v double, s string")
+    assert all(r["n"] == 0 for r in J.frames_differ(a, a, "k", ["v", "s"]).collect())
+    b = spark.createDataFrame([(None, 2.0, "x"), (1, None, "y"), (5, 3.0, None), (5, 3.0, None)], "k int, v double, s string")
+    assert {r["what"]: r["n"] for r in J.frames_differ(a, b, "k", ["v", "s"]).collect()} == {"rows only in first": 1, "rows only in second": 2, "v": 1, "s": 0}
