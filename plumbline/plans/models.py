@@ -25,6 +25,7 @@ from plumbline.operators.joins import attach_folds, join_many_to_one
 from plumbline.operators.ordering import hash_index, quantile_table
 from plumbline.operators.profile import value_counts
 from plumbline.operators.splits import group_folds, random_splits
+from plumbline.plans import gram
 from plumbline.session import cut_lineage
 
 INDICATOR = "__missing"
@@ -214,13 +215,22 @@ def fit(train: DataFrame, spec: Spec, params: Mapping[str, object]) -> FittedMod
         ready.unpersist()
 
 
+def by_products(spec: Spec) -> bool:
+    """Whether sums of products are enough to fit: linear, and the same weight for all rows."""
+    return spec.algorithm in ("ridge", "elastic_net") and not spec.weighted
+
+
 def fold_values(df: DataFrame, fold: str) -> list[int]:
     """Fold numbers; each is fitted on its own, so there are few of them."""
     return sorted(r[0] for r in df.select(fold).distinct().collect())
 
 
 def oof_fixed(df: DataFrame, fold: str, spec: Spec, params: Mapping[str, object]) -> DataFrame:
-    """Out-of-fold predictions with one fixed parameter set."""
+    """Out-of-fold predictions with one fixed parameter set; linear fits come from sums of products, all folds at once."""
+    if by_products(spec):
+        found = gram.out_of_fold(df, fold, spec, params)
+        if found is not None:
+            return _labelled(found, spec)
     parts = []
     for k in fold_values(df, fold):
         model = fit(df.where(F.col(fold) != k), spec, params)
@@ -287,6 +297,9 @@ def select_by_group_cv(train: DataFrame, group: str, spec: Spec, candidates: Seq
     return Selection(min(ranked)[1], scores, failures)
 
 
+NESTED = "fold int, selected int, scores array<double>, train_rows long, test_rows long, train_groups long, failures array<string>"
+
+
 def nested_cv(df: DataFrame, fold: str, group: str, spec: Spec, candidates: Sequence[Mapping[str, object]],
               inner_k: int = 3) -> tuple[DataFrame, DataFrame]:
     """(predictions, metadata): candidate search inside each outer training part, refit, predict the held-out fold.
@@ -296,6 +309,14 @@ def nested_cv(df: DataFrame, fold: str, group: str, spec: Spec, candidates: Sequ
     parts, meta = [], []
     sizes = {r[fold]: r for r in df.groupBy(fold).agg(F.count("*").alias("n"), F.countDistinct(group).alias("g")).collect()}
     rows, groups = sum(r["n"] for r in sizes.values()), sum(r["g"] for r in sizes.values())  # groups never cross folds
+    if by_products(spec):
+        inner = cut_lineage(reduce(DataFrame.unionByName, [
+            group_folds(df.where(F.col(fold) != k), group, inner_k, seed=spec.seed, name="_inner").select(F.lit(k).alias("_set"), group, "_inner") for k in sorted(sizes)]))
+        found = gram.nested(df, fold, inner, group, spec, candidates)
+        if found is not None:
+            out, scores, choice = found
+            meta = [(k, choice[k], scores[k], rows - sizes[k]["n"], sizes[k]["n"], groups - sizes[k]["g"], [None] * len(candidates)) for k in sorted(choice)]
+            return _labelled(out.withColumnRenamed("_candidate", "selected_candidate"), spec), df.sparkSession.createDataFrame(meta, NESTED)
     for k in sorted(sizes):
         train, test = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
         choice = select_by_group_cv(train, group, spec, candidates, inner_k)
@@ -303,8 +324,7 @@ def nested_cv(df: DataFrame, fold: str, group: str, spec: Spec, candidates: Sequ
         parts.append(model.predict(test).withColumn("selected_candidate", F.lit(choice.selected)))
         size = sizes[k]
         meta.append((k, choice.selected, choice.scores, rows - size["n"], size["n"], groups - size["g"], choice.failures))
-    schema = "fold int, selected int, scores array<double>, train_rows long, test_rows long, train_groups long, failures array<string>"
-    return _labelled(reduce(DataFrame.unionByName, parts), spec), df.sparkSession.createDataFrame(meta, schema)
+    return _labelled(reduce(DataFrame.unionByName, parts), spec), df.sparkSession.createDataFrame(meta, NESTED)
 
 
 def oof_full(df: DataFrame, group: str, spec: Spec, candidates: Sequence[Mapping[str, object]], k: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -364,13 +384,17 @@ def stress(df: DataFrame, manifest: DataFrame, on: Sequence[str], spec: Spec, pa
            slice_col: str | None = None) -> DataFrame:
     """Fixed parameters refitted per held-out group (inside each slice when given); rows carry a post-hoc flag."""
     rows = cut_lineage(join_many_to_one(df, manifest.select(*on, "fold"), list(on), "inner"))
+    flags = {"scheme": F.lit(scheme), "post_hoc": F.lit(True)}
+    if by_products(spec):
+        found = gram.out_of_fold(rows, "fold", spec, params, [slice_col] if slice_col else [])
+        if found is not None:
+            return _labelled(found, spec).withColumns(flags)
     parts = []
     slices = sorted(r[0] for r in rows.select(slice_col).distinct().collect()) if slice_col else [None]
     for s in slices:
         part = rows.where(F.col(slice_col) == s) if slice_col else rows
         parts.append(oof_fixed(part, "fold", spec, params))
-    out = reduce(DataFrame.unionByName, parts)
-    return out.withColumns({"scheme": F.lit(scheme), "post_hoc": F.lit(True)})
+    return reduce(DataFrame.unionByName, parts).withColumns(flags)
 
 
 def stress_metrics(predictions: DataFrame, y: str, units: str, by: Sequence[str]) -> DataFrame:

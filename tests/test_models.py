@@ -141,3 +141,48 @@ def test_saved_model_predicts_the_same(spark, data, tmp_path, algorithm, params)
     assert again.spec == replace(model.spec, numeric=list(SPEC.numeric), categorical=list(SPEC.categorical))
     want = {r["run_key"]: r["prediction"] for r in model.predict(data).collect()}
     assert {r["run_key"]: r["prediction"] for r in again.predict(data).collect()} == want
+
+
+def test_products_equal_fits_one_by_one(spark, data):
+    """Folds, inner folds, candidates and slices from sums of products against MLlib fits of each training part."""
+    from plumbline.plans import gram
+    odd = data.withColumns({"c": F.when(F.col("run_key") % 23 == 0, None).when((F.col("fold") == 1) & (F.col("run_key") % 5 == 0), "only here").otherwise(F.col("c")),
+                            "s": F.col("run_key") % 2, "y": F.col("y") + 1e6})
+    for spec, params in ((SPEC, {"alpha": 0.7}), (replace(SPEC, unit="n", transform="log1p"), {"alpha": 3.0}), (replace(SPEC, algorithm="elastic_net"), {"alpha": 0.2, "l1_ratio": 0.6})):
+        got = gram.out_of_fold(odd, "fold", spec, params, ["s"]).toPandas().set_index("run_key").prediction
+        for s in (0, 1):
+            model = P.fit(odd.where((F.col("fold") != 1) & (F.col("s") == s)), spec, params)
+            want = model.predict(odd.where((F.col("fold") == 1) & (F.col("s") == s))).toPandas().set_index("run_key").prediction
+            assert np.allclose(got[want.index], want, rtol=1e-6 if spec.algorithm == "ridge" else 1e-5)
+
+
+def test_nested_scores_equal_a_search_by_fits(data, monkeypatch):
+    grid = [{"alpha": 50.0}, {"alpha": 0.5}, {"alpha": 5.0}]
+    quick, meta = P.nested_cv(data, "fold", "g", SPEC, grid, inner_k=2)
+    monkeypatch.setattr(P, "by_products", lambda spec: False)
+    slow, want = P.nested_cv(data, "fold", "g", SPEC, grid, inner_k=2)
+    for a, b in zip(meta.orderBy("fold").collect(), want.orderBy("fold").collect()):
+        assert a["selected"] == b["selected"] and np.allclose(a["scores"], b["scores"]) and a["train_rows"] == b["train_rows"] and a["train_groups"] == b["train_groups"]
+    both = quick.select("run_key", "selected_candidate", F.col("prediction").alias("p")).join(slow.select("run_key", "prediction"), "run_key")
+    assert both.count() == 240 and both.where(F.abs(F.col("p") - F.col("prediction")) > 1e-6).count() == 0
+
+
+def test_coordinate_descent_meets_its_conditions():
+    from plumbline.plans.gram import descend
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 9)) @ rng.normal(size=(9, 9))
+    g, t = x.T @ x / 60, x.T @ rng.normal(size=60) / 60
+    for l1, l2 in ((0.05, 0.0), (0.02, 0.3), (0.0, 1.0), (10.0, 0.1)):
+        w = descend(g, t, l1, l2)
+        slope = g @ w - t + l2 * w
+        assert np.abs(np.where(w != 0, slope + l1 * np.sign(w), np.maximum(np.abs(slope) - l1, 0))).max() < 1e-9
+    assert not descend(g, t, 1e6, 0.0).any() and descend(np.array([[2.0]]), np.array([3.0]), 1.0, 0.0)[0] == 1.0
+
+
+def test_too_many_categories_are_fitted_without_products(spark, data, monkeypatch):
+    from plumbline.plans import gram
+    want = P.oof_linear(data, "fold", SPEC, alpha=2.0).select("run_key", F.col("prediction").alias("p"))
+    monkeypatch.setattr(gram, "MOST_COLUMNS", 4)
+    assert gram.out_of_fold(data, "fold", SPEC, {"alpha": 2.0}) is None
+    both = P.oof_linear(data, "fold", SPEC, alpha=2.0).join(want, "run_key")
+    assert both.count() == 240 and both.where(F.abs(F.col("p") - F.col("prediction")) > 1e-5).count() == 0

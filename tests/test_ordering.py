@@ -38,6 +38,15 @@ def test_quantiles_equal_numpy(skewed, by):
             assert row["q"] is None or row["q"] == []
 
 
+@pytest.mark.parametrize("by", [[], ["h"]])
+def test_quantiles_without_each_group(skewed, by):
+    pdf, df = skewed
+    pdf, df = pdf.assign(h=pdf.k % 2), df.withColumn("h", F.col("k") % 2)
+    for r in O.quantile_table(df, ["v"], [0.1, 0.5], by, leave_out="g").collect():
+        own = pdf[(pdf.g != r["g"]) & ((pdf.h == r["h"]) if by else True)].v.dropna()
+        assert r["n"] == len(own) and np.allclose(r["q"], np.quantile(own, [0.1, 0.5]))
+
+
 def test_weighted_median(spark):
     df = spark.createDataFrame([(1.0, 5), (2.0, 1), (10.0, 4), (3.0, 0)], "v double, w long")
     got = O.quantile_table(df, ["v"], [0.5], weight="w").first()
