@@ -171,9 +171,9 @@ def within_logo(spark, d):
     return T.leave_group_within(table(spark, d, "orders"), "o_orderpriority", "o_custkey")
 
 
-@query("random_splits", "SELECT c_custkey, repeat::INT AS repeat, row_number() OVER (PARTITION BY repeat ORDER BY md5('9|' || repeat || '|' || c_custkey), c_custkey) <= ceil(0.2::DOUBLE * count(*) OVER (PARTITION BY repeat)) AS is_test FROM customer, range(5) r(repeat)")
+@query("random_splits", "SELECT c_custkey, repeat::INT AS repeat, row_number() OVER (PARTITION BY repeat ORDER BY md5('9|' || repeat || '|' || c_custkey), c_custkey) <= ceil(0.2::DOUBLE * count(*) OVER (PARTITION BY repeat)) AS is_test FROM customer, range(10) r(repeat)")
 def random_splits(spark, d):
-    return T.random_splits(table(spark, d, "customer"), "c_custkey", 0.2, 5, 9)
+    return T.random_splits(table(spark, d, "customer"), "c_custkey", 0.2, 10, 9)
 
 
 @query("holdout", "WITH p AS (SELECT arg_min(c_custkey, sha256('7|' || c_nationkey || '|' || c_custkey)) AS c_custkey FROM customer GROUP BY c_nationkey HAVING count(*) >= 2) SELECT c_custkey, c_custkey IN (SELECT c_custkey FROM p) AS is_holdout FROM customer")

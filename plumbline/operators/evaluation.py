@@ -110,14 +110,14 @@ def slice_rows(df: DataFrame, y: str, dims: Mapping[str, str], quantiles: Mappin
 def error_slices(df: DataFrame, y: str, p: str, units: str, cluster: str, dims: Mapping[str, str],
                  quantiles: Mapping[str, float], n_bins: int | None = 4, by: Sequence[str] = (), eps: float = EPS,
                  **kw: object) -> DataFrame:
-    """M1–M3 with median residual per slice; rows are exploded once and grouped once, not scanned per slice."""
+    """M1–M3 with median residual per slice; rows are exploded once, stored without their other columns, and read from there by the moments, medians and cluster counts."""
     keep = list(dict.fromkeys([*by, y, p, units, cluster, *dims.values()]))
-    rows = slice_rows(df.select(*keep), y, dims, quantiles, n_bins, by, **kw)
     keys = [*by, "slice_type", "slice_value"]
+    rows = cut_lineage(slice_rows(df.select(*keep), y, dims, quantiles, n_bins, by, **kw).select(*dict.fromkeys([*keys, y, p, units, cluster])))
     metrics = {**mean_metrics(y, p, eps), **per_unit_metrics(y, p, units), **calibration_line(y, p)}
     out = agg_with_medians(rows, metrics, keys, {"mdape": absolute_percentage_error(y, p, eps), "residual_median": residual(y, p)}, **kw)
-    sizes = rows.groupBy(*keys).agg(F.countDistinct(cluster).alias("n_clusters"))
-    return _null_safe_join(out, sizes, keys)
+    sizes = rows.where(F.col(cluster).isNotNull()).groupBy(*keys, cluster).agg(F.lit(1).alias("_1")).groupBy(*keys).agg(F.count("*").alias("n_clusters"))
+    return _null_safe_join(out, sizes, keys, "left").withColumn("n_clusters", F.coalesce("n_clusters", F.lit(0)))
 
 
 def holdout_metrics(df: DataFrame, y: str, p: str, dims: Mapping[str, str], **kw: object) -> DataFrame:

@@ -212,6 +212,26 @@ def check_nested_metadata(meta: DataFrame) -> DataFrame:
                         for n in ("outer_leak", "inner_leak", "inner_outside", "inner_partial", "argmin")})
 
 
+def check_nested_rows(outer: DataFrame, inner: DataFrame, meta: DataFrame, group: str, fold: str = "fold") -> DataFrame:
+    """The same gates from rows, as ``nested_cv`` leaves them: no array of groups is built.
+
+    ``outer`` (group, fold) and ``inner`` (``_set``: the held-out fold, group, ``_inner``) are fold manifests, ``meta`` (fold, ``scores``, ``selected``) the outcome of each search.
+    One grouped count per held-out fold and group tells held-out groups among the inner ones, groups in two inner folds, unknown ones and missing ones.
+    """
+    sets = meta.select(F.col(fold).alias("_set")).distinct()  # one row a fold
+    held = F.col(fold) == F.col("_set")
+    want = outer.select(group, fold).crossJoin(F.broadcast(sets)).select("_set", group, (~held).cast("int").alias("_t"), held.cast("int").alias("_h"), F.lit(None).cast("int").alias("_inner"))
+    have = inner.select("_set", group, F.lit(0).alias("_t"), F.lit(0).alias("_h"), F.col("_inner").cast("int").alias("_inner"))
+    cells = want.unionByName(have).groupBy("_set", group).agg(
+        F.max("_t").alias("_t"), F.max("_h").alias("_h"), F.min("_inner").alias("_low"), F.max("_inner").alias("_high"))
+    train, test, inside = F.col("_t") == 1, F.col("_h") == 1, F.col("_low").isNotNull()
+    row = cells.agg(*[F.count_if(x).alias(n) for n, x in {
+        "outer_leak": test & (train | inside), "inner_leak": F.col("_low") < F.col("_high"), "inner_outside": inside & ~train & ~test, "inner_partial": train & ~inside}.items()])
+    scored = F.transform(F.col("scores"), lambda s: F.coalesce(s, F.lit(float("inf"))))
+    wrong = meta.agg(F.count_if(F.coalesce(F.col("selected") != F.array_position(scored, F.array_min(scored)) - 1, F.lit(True)))).scalar()
+    return checks(row.withColumn("argmin", wrong), {f"nested:{n}": (F.col(n) == 0, F.col(n), 0) for n in ("outer_leak", "inner_leak", "inner_outside", "inner_partial", "argmin")})
+
+
 def check_interpretation(rows: DataFrame, scope: str, fold: str, feature: str, folds: int, features: int) -> DataFrame:
     """Every scope covers all folds and all features."""
     per_scope = rows.groupBy(scope).agg(F.countDistinct(fold).alias("k"), F.countDistinct(feature).alias("f"))

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from plumbline.session import cut_lineage
 
+#: rounds of a keyed permutation, and how often a position that fell outside is sent on: a third does at most
+ROUNDS, WALK = 3, 40
 #: bits of a value's 64 that the first count leaves out: 2^10 buckets per power of two
 LEADING = 42
 #: cells into which a bucket with too many values is cut
@@ -96,6 +98,34 @@ def hash_index(df: DataFrame, keys: Sequence[str], seed: object, by: Sequence[st
     return ranked.select(*df.columns, F.col(name).cast("bigint").alias(name))
 
 
+def permuted(position: Column, n: int, seed: object, repeat: Column) -> Column:
+    """Where a keyed permutation of 0 .. n - 1 sends ``position``; another one for every ``repeat``.
+
+    Positions are written as two digits, and each digit in turn is moved by a hash of the other; what leaves the range goes on until it is back.  Every row finds its place
+    by itself: no shuffle, no table of the permutation.
+    """
+    rows = 1
+    while rows * rows < n:
+        rows += 1
+    width = max(1, -(-n // rows))
+
+    def shift(half: str, k: Column, digit: Column, size: int) -> Column:
+        h = F.md5(F.concat_ws("|", F.lit(str(seed)), repeat.cast("string"), F.lit(half), k.cast("string"), digit.cast("string")))
+        return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(size))
+
+    def turn(a: Column, k: Column) -> Column:
+        return F.struct(F.pmod(a["l"] + shift("l", k, a["r"], rows), F.lit(rows)).alias("l"), a["r"].alias("r"))
+
+    def other(a: Column, k: Column) -> Column:
+        return F.struct(a["l"].alias("l"), F.pmod(a["r"] + shift("r", k, a["l"], width), F.lit(width)).alias("r"))
+
+    def once(x: Column) -> Column:
+        start = F.struct(F.floor(x / width).cast("bigint").alias("l"), F.pmod(x, F.lit(width)).cast("bigint").alias("r"))
+        steps = F.array(*[F.lit(k) for k in range(2 * ROUNDS)])
+        return F.aggregate(steps, start, lambda a, k: F.when(k % 2 == 0, turn(a, k)).otherwise(other(a, k)), lambda a: a["l"] * width + a["r"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(position.cast("bigint")), lambda x, _: F.when(x < n, x).otherwise(once(x)))
+
+
 def sort_key(v: Column) -> Column:
     """A double as the 64-bit integer that orders it: the bits of its size, negated below zero; both zeros give 0."""
     size = F.abs(v)

@@ -22,7 +22,7 @@ from plumbline.functions.numeric import high_value_weights, restore_target, tran
 from plumbline.functions.predicates import complete_cases
 from plumbline.operators.evaluation import per_unit_metrics, regression_metrics, summarise_cells
 from plumbline.operators.joins import attach_folds, join_many_to_one
-from plumbline.operators.ordering import hash_index, quantile_table
+from plumbline.operators.ordering import hash_index, permuted, quantile_table
 from plumbline.operators.profile import value_counts
 from plumbline.operators.splits import group_folds, random_splits
 from plumbline.plans import gram
@@ -297,6 +297,12 @@ def select_by_group_cv(train: DataFrame, group: str, spec: Spec, candidates: Seq
     return Selection(min(ranked)[1], scores, failures)
 
 
+def inner_manifest(df: DataFrame, fold: str, group: str, folds: Sequence[int], inner_k: int = 3, seed: int = 42) -> DataFrame:
+    """(``_set``, group, ``_inner``): for every held-out fold the inner folds of the groups outside it; what ``nested_cv`` searches on and ``check_nested_rows`` audits."""
+    return cut_lineage(reduce(DataFrame.unionByName, [
+        group_folds(df.where(F.col(fold) != k), group, inner_k, seed=seed, name="_inner").select(F.lit(k).cast("int").alias("_set"), group, "_inner") for k in folds]))
+
+
 NESTED = "fold int, selected int, scores array<double>, train_rows long, test_rows long, train_groups long, failures array<string>"
 
 
@@ -310,8 +316,7 @@ def nested_cv(df: DataFrame, fold: str, group: str, spec: Spec, candidates: Sequ
     sizes = {r[fold]: r for r in df.groupBy(fold).agg(F.count("*").alias("n"), F.countDistinct(group).alias("g")).collect()}
     rows, groups = sum(r["n"] for r in sizes.values()), sum(r["g"] for r in sizes.values())  # groups never cross folds
     if by_products(spec):
-        inner = cut_lineage(reduce(DataFrame.unionByName, [
-            group_folds(df.where(F.col(fold) != k), group, inner_k, seed=spec.seed, name="_inner").select(F.lit(k).alias("_set"), group, "_inner") for k in sorted(sizes)]))
+        inner = inner_manifest(df, fold, group, sorted(sizes), inner_k, spec.seed)
         found = gram.nested(df, fold, inner, group, spec, candidates)
         if found is not None:
             out, scores, choice = found
@@ -435,23 +440,21 @@ def permutation_importance(model: FittedModel, df: DataFrame, key: Sequence[str]
                            repeats: int = 10, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
     """MAE increase per feature: mean and sample std over seeded permutations.
 
-    A permutation pairs the rows of two hash orders by position, so values move
-    between executors once per repeat and no task holds a whole column.
+    Rows stand in hash order; a keyed permutation tells each row, for every repeat, whose values it borrows.  All repeats share one indexed table, one join and one
+    prediction, and no task holds a whole column.
     """
     spec = model.spec
     features = list(features or spec.columns)
     fixed = [c for c in dict.fromkeys([spec.target, spec.unit, *by]) if c and c not in spec.columns]
-    base = hash_index(df.select(*key, *fixed, *spec.columns), key, seed, name="_i")
+    base = cut_lineage(hash_index(df.select(*key, *fixed, *[c for c in spec.columns if c not in key]), key, seed, name="_i"))
+    n = base.count()
     error = F.abs(F.col("prediction") - F.col(spec.target))
     reference = model.predict(df).groupBy(*by).agg(F.avg(error).alias("_ref"))
-    parts = []
-    for r in range(repeats):
-        donors = hash_index(df.select(*key, *features), key, f"{seed}|{r}", name="_i").select(
-            "_i", *[F.col(c).alias(f"_p_{c}") for c in features])
-        mixed = base.join(donors, "_i")
-        rows = _spread(mixed, spec.columns, {c: F.col(f"_p_{c}") for c in features}, fixed)
-        parts.append(model.predict(rows).groupBy(*by, "feature").agg(F.avg(error).alias("_mae")).withColumn("repeat", F.lit(r)))
-    runs = reduce(DataFrame.unionByName, parts)
+    donors = base.select(F.col("_i").alias("_d"), *[F.col(c).alias(f"_p_{c}") for c in features])
+    each = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    mixed = each.withColumn("_d", permuted(F.col("_i"), n, seed, F.col("repeat"))).join(donors, "_d")
+    rows = _spread(mixed, spec.columns, {c: F.col(f"_p_{c}") for c in features}, [*fixed, "repeat"])
+    runs = model.predict(rows).groupBy(*by, "feature", "repeat").agg(F.avg(error).alias("_mae"))
     runs = (join_many_to_one(runs, reference, list(by)) if by else runs.withColumn("_ref", reference.select("_ref").scalar()))
     runs = runs.withColumn("increase", F.col("_mae") - F.col("_ref"))
     return runs.groupBy(*by, "feature").agg(F.avg("increase").alias("importance_mean"),

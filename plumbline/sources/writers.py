@@ -30,7 +30,10 @@ def _options(fmt: str) -> dict[str, str]:
 
 
 def write_atomic(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write beside the target, then swap by rename: a failed job leaves the old table untouched."""
+    """Write beside the target, then swap by rename: a failed job leaves the old table untouched, a failed swap puts it back.
+
+    Between the two renames the path is missing; readers that may come then should read a versioned path instead.
+    """
     spark = df.sparkSession
     staged, retired = f"{path}.staged-{uuid4().hex}", f"{path}.retired-{uuid4().hex}"
     df.write.format(fmt).save(staged)
@@ -39,6 +42,8 @@ def write_atomic(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     if fs.exists(to_path(path)):
         fs.rename(to_path(path), to_path(retired))
     if not fs.rename(to_path(staged), to_path(path)):
+        if fs.exists(to_path(retired)):
+            fs.rename(to_path(retired), to_path(path))
         raise OSError(f"could not move {staged} to {path}")
     if fs.exists(to_path(retired)):
         fs.delete(to_path(retired), True)

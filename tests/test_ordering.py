@@ -47,6 +47,15 @@ def test_quantiles_without_each_group(skewed, by):
         assert r["n"] == len(own) and np.allclose(r["q"], np.quantile(own, [0.1, 0.5]))
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 12, 97, 1000])
+def test_keyed_permutations(spark, n):
+    rows = spark.range(n).crossJoin(spark.range(3).withColumnRenamed("id", "r")).select("id", "r", O.permuted(F.col("id"), n, 7, F.col("r")).alias("p")).toPandas()
+    assert all(sorted(own.p) == list(range(n)) for _, own in rows.groupby("r"))
+    if n == 1000:
+        wide = rows.pivot(index="id", columns="r", values="p").to_numpy()
+        assert max(abs(np.corrcoef(np.c_[np.arange(n), wide].T)[np.triu_indices(4, 1)])) < 0.12 and (wide[:, 0] == np.arange(n)).sum() < 10
+
+
 def test_weighted_median(spark):
     df = spark.createDataFrame([(1.0, 5), (2.0, 1), (10.0, 4), (3.0, 0)], "v double, w long")
     got = O.quantile_table(df, ["v"], [0.5], weight="w").first()
