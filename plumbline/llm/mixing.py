@@ -142,8 +142,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, top: int =
                              parts, seed, group_rows).select(*unit, F.col("fraction").cast("int").alias("one_more"))
     taken = stored(placed.join(chosen, unit).select(*unit, "size", "n", "source_size", "target", whole.cast("int").alias("whole"),
                                                     (F.floor(F.col("extra") + _EDGE) + F.col("one_more")).alias("more")))
-    rows = docs.select(F.struct(*keep).alias("kept"), *[v.alias(k) for k, v in key.items()]).join(taken, unit)
-    single = rows.where("n = 1").withColumn("before", F.lit(0).cast("long"))
-    repeated = stored(rows.where("n > 1").withColumn("at", F.monotonically_increasing_id()))
+    rows = docs.select(F.struct(*keep).alias("kept"), *[v.alias(k) for k, v in key.items()])
+    single = rows.join(taken.where("n = 1"), unit).withColumn("before", F.lit(0).cast("long"))
+    # a table of its own, so the planner knows how small it is and need not shuffle the rows again
+    repeated = stored(rows.join(stored(taken.where("n > 1")), unit).withColumn("at", F.monotonically_increasing_id()))
     numbered = running_total(repeated, ["at"], F.lit(1).cast("long"), unit, before="before").drop("at")
     return single.unionByName(numbered).select("kept.*", "size", "source_size", "target", (F.col("whole") + (F.col("before") < F.col("more")).cast("int")).alias("copies"))
