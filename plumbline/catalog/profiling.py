@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.catalog.registry import each, query, rounded, rsql, table
 from plumbline.functions.documents import flatten_json
+from plumbline.functions.predicates import cols_with_prefix
 from plumbline.operators import profile as P
 from plumbline.operators.joins import join_many_to_one, join_validated, paired_key_counts
 from plumbline.operators.ordering import quantile_columns
@@ -427,3 +428,19 @@ def role_manifest(spark, d):
     part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("x_size"))
     lines = table(spark, d, "lineitem").select("l_partkey", F.col("l_quantity").alias("x_quantity"), F.col("l_discount").alias("x_discount"), F.col("l_extendedprice").alias("y_price"))
     return P.role_manifest(join_many_to_one(lines, part, "l_partkey").drop("l_partkey"), CONTRACT, allowed_roles=list(CONTRACT.values()))
+
+
+@query("prefix_columns", "SELECT o_orderstatus, count(DISTINCT o_orderpriority) AS n_priorities FROM (SELECT o_orderstatus, o_orderpriority FROM orders) GROUP BY 1")
+def prefix_columns(spark, d):
+    orders = table(spark, d, "orders")
+    return orders.select(*cols_with_prefix(orders, "o_orders", "o_orderp")).groupBy("o_orderstatus").agg(F.countDistinct("o_orderpriority").alias("n_priorities"))
+
+
+@query("candidate_keys", "SELECT 'order' AS name, count(*) AS n_keys, max(n) AS largest FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderkey) "
+       "UNION ALL SELECT 'customer_status', count(*), max(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey, o_orderstatus)")
+def candidate_keys(spark, d):
+    """How well each candidate key, less the columns the table lacks, tells rows apart."""
+    orders = table(spark, d, "orders")
+    keys = P.candidate_keys(orders, {"order": ["o_orderkey", "o_linenumber"], "customer_status": ["o_custkey", "o_orderstatus"]})
+    parts = [orders.groupBy(*cols).agg(F.count("*").alias("n")).agg(F.count("*").alias("n_keys"), F.max("n").alias("largest")).select(F.lit(name).alias("name"), "n_keys", "largest") for name, cols in keys.items()]
+    return parts[0].unionByName(parts[1])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -67,7 +66,3 @@ def experiment_id(*cols: str) -> Column:
 def slug(col: Column) -> Column:
     """Lower-case text with every other run of characters turned into one dash."""
     return F.regexp_replace(F.regexp_replace(F.lower(col), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-
-
-def safe_name(text: str) -> str:
-    return re.sub(r"[^A-Za-z0-9_.-]+", "_", text)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import os
 import sys
+import tempfile
 import time
 import traceback
 
@@ -55,7 +56,7 @@ def main() -> None:
     import __spark_entry__ as entry
     from plumbline.session import build_session
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": 8, "spark.driver.memory": "16g"})
+    spark = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": 8, "spark.driver.memory": "16g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="compare-")})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     queries, oracle = entry.queries(), entry.oracle_sql()
