@@ -1,16 +1,16 @@
-"""Katz backoff over words and word pairs: discounted counts, exactly normalised backoff weights, in tables partitioned by hash.
+"""Katz backoff of any order (three by default): discounted counts, exactly normalised backoff weights, in tables partitioned by hash.
 
-Texts are cut into blocks.  A block sends the distinct words it holds, packed, to the buckets of the word table, and gets back one code per word that
-carries its training count.  In the same way it sends its distinct word pairs to the buckets of the pair table, where their counts are added up, and gets back each pair's
-count and the sums that its first word's backoff weight is made of.  Pairs with a word seen once occur once and are not counted again; pairs seen once are not in the model, as in
-Katz' own, and their mass is what backing off shares out.  A token's probability is the pair's discounted share if the model has the pair,
-else the first word's backoff weight times the word's own probability, and so on to words never seen.
+Texts are cut into blocks.  A block sends the distinct words it holds, packed, to the buckets of the word table, and gets back one code per word that carries its training
+count.  Then, order by order, it sends its distinct n-grams whose context and whose tail (the n-gram without its first word) training holds to the buckets of that
+order's table, chosen by the context, and gets back each count, those seen once too.  For the contexts of held-out texts it also gets the sums that the backoff weight is made of.
+A token's probability is the longest n-gram's discounted share if training has it, else its context's backoff weight times the probability in the
+next shorter context, and so on down to words never seen.  The first word of a text follows the end of another; longer contexts do not reach beyond that end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from plumbline.llm.common import blocks, free, stored
 from plumbline.llm.words import find_words, mix, span_hashes
 
+ORDER = 3
 #: counts above this are not discounted
 TRUSTED = 5
 BLOCK_BYTES = 24 << 20
@@ -58,9 +59,9 @@ def steps(x: np.ndarray) -> np.ndarray:
 
 
 def word_codes(count: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
-    """Distinct codes that carry the counts: bit length, count, and a number within bucket and count.  0: never seen, 1: seen once."""
-    code = np.minimum(count, 1).astype(np.uint64)
-    many = np.flatnonzero(count > 1)
+    """Distinct codes that carry the counts: bit length, count, and a number within bucket and count.  0: never seen."""
+    code = np.zeros(len(count), np.uint64)
+    many = np.flatnonzero(count > 0)
     order = many[np.argsort(count[many], kind="stable")]
     c = count[order].astype(np.uint64)
     first = np.flatnonzero(np.concatenate([[True], np.diff(c.astype(np.int64)) != 0])) if len(c) else np.zeros(0, np.int64)
@@ -73,7 +74,7 @@ def word_codes(count: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
 def code_counts(code: np.ndarray) -> np.ndarray:
     length = code >> np.uint64(_BITS)
     body = code & np.uint64((1 << _BITS) - 1)
-    return np.where(length > 0, body >> (np.uint64(_BITS) - np.maximum(length, 1)), code).astype(np.int64)
+    return np.where(length > 0, body >> (np.uint64(_BITS) - np.maximum(length, 1)), 0).astype(np.int64)
 
 
 @dataclass
@@ -126,22 +127,6 @@ class Block:
     train: np.ndarray
     token: np.ndarray
 
-    def pairs(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-        """Of each token: place of the word before it and its own place among the codes in order; whether it is held out; the codes in order; how many
-        training pairs occur once because one of their words does."""
-        order = np.argsort(code, kind="stable")
-        place = np.empty(len(code), np.int64)
-        place[order] = np.arange(len(code))
-        own = place[self.token]
-        before = np.empty_like(own)
-        before[1:] = own[:-1]
-        ends = np.cumsum(self.length)
-        before[ends - self.length] = own[ends - 1]  # a text begins after an end
-        ranked = code[order]
-        held = np.repeat(~self.train, self.length)
-        rare = (ranked[before] < 2) | (ranked[own] < 2)
-        return before, own, held, ranked, int((rare & ~held).sum())
-
 
 def make_block(data: np.ndarray, at: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
     """Distinct word hashes, their training counts, and the packed ``Block``."""
@@ -221,167 +206,220 @@ def _count_words(buckets: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _shares(first: np.ndarray, buckets: int, hot: float) -> np.ndarray:
-    """In how many buckets the pairs of a first word lie."""
-    return np.clip(np.ceil(code_counts(first) / max(hot, 1.0)), 1, buckets).astype(np.int64)
+def _shares(count: np.ndarray, buckets: int, hot: float) -> np.ndarray:
+    """In how many buckets the n-grams of a context lie."""
+    return np.clip(np.ceil(count / max(hot, 1.0)), 1, buckets).astype(np.int64)
 
 
-def _pair_bucket(first: np.ndarray, share: np.ndarray, buckets: int) -> np.ndarray:
-    return ((mix(first) >> np.uint64(33)).astype(np.int64) + share) % buckets
+def _hash(columns: list[np.ndarray]) -> np.ndarray:
+    h = mix(columns[0])
+    for c in columns[1:]:
+        h = mix(h * np.uint64(3) + c)
+    return h
 
 
 @dataclass
 class Sent:
-    """A block's distinct pairs by bucket, first and second word.  A second word 0 only asks for the sums of the first."""
-
-    key: np.ndarray
-    first: np.ndarray
-    second: np.ndarray
-    bucket: np.ndarray
-    count: np.ndarray  # in training
-
-    @staticmethod
-    def of(before: np.ndarray, own: np.ndarray, held: np.ndarray, ranked: np.ndarray, buckets: int, hot: float) -> "Sent":
-        known = ranked[before] > 1
-        key = np.sort(Sent.keys(before, own, ranked)[known] << 1 | held[known])
-        new = np.flatnonzero(np.diff(key >> 1, prepend=-1))
-        count = np.add.reduceat(1 - (key & 1), new) if len(new) else np.zeros(0, np.int64)
-        key = key[new] >> 1
-        word = key >> 32
-        shares = _shares(ranked[word], buckets, hot)
-        # the pairs of a frequent word are dealt by the second word; its sums are asked for in every bucket that has some
-        plain = (key & 0xFFFFFFFF > 0) | (shares == 1)
-        wide = np.unique(word[shares > 1])
-        n = _shares(ranked[wide], buckets, hot)
-        asked, each = np.repeat(wide, n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        second = np.where(key & 0xFFFFFFFF, ranked[(key & 0xFFFFFFFF) - 1], np.uint64(0))
-        share = ((mix(second) >> np.uint64(33)).astype(np.int64) % shares)[plain]
-        key, second = np.concatenate([key[plain], asked << 32]), np.concatenate([second[plain], np.zeros(len(asked), np.uint64)])
-        count = np.where(second > 0, np.concatenate([count[plain], np.zeros(len(asked), np.int64)]), 0)
-        first = ranked[key >> 32]
-        bucket = _pair_bucket(first, np.concatenate([share, each]), buckets)
-        order = np.lexsort([key, bucket])
-        return Sent(*(x[order] for x in (key, first, second, bucket, count)))
-
-    @staticmethod
-    def keys(before: np.ndarray, own: np.ndarray, ranked: np.ndarray) -> np.ndarray:
-        return before << 32 | np.where(ranked[own] > 1, own + 1, 0)
-
+    """What a block sends for one order: distinct n-grams (``of`` gives each token's, -1 for none) and contexts whose sums it asks for, both by bucket."""
+
+    context: np.ndarray  # of each token, -1 for none
+    context_count: np.ndarray
+    of: np.ndarray
+    owner: np.ndarray  # context of each n-gram
+    grams: list[np.ndarray]  # codes of the words, training count, count and total of the tail
+    gram_bucket: np.ndarray
+    gram_order: np.ndarray
+    asked: np.ndarray
+    asks: list[np.ndarray]  # codes of the words
+    ask_bucket: np.ndarray
+
+    def messages(self) -> Iterator[tuple[int, bytes]]:
+        for bucket in np.union1d(self.gram_bucket, self.ask_bucket).tolist():
+            a, b = np.searchsorted(self.gram_bucket, [bucket, bucket + 1])
+            c, d = np.searchsorted(self.ask_bucket, [bucket, bucket + 1])
+            first, *rest = (x[a:b] for x in self.grams)
+            ask, *more = (x[c:d] for x in self.asks)
+            yield bucket, pack(steps(first), *rest, steps(ask), *more)
 
-def _codes(answers: pa.Table) -> np.ndarray:
-    """Codes of a block's words, in the order of their hashes."""
-    rows = sorted(zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist()))
-    return np.concatenate([unpack(p)[0] for _, p in rows])
 
-
-def _send_pairs(buckets: int, hot: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+@dataclass
+class Walk:
+    """The tokens of a block, order by order: number and training count of each one's n-gram, what that count is divided by, log10 of its probability."""
+
+    block: Block
+    code: np.ndarray  # of the block's words, in the order of their hashes
+    unigrams: Unigrams
+    buckets: int
+    hot: float
+    order: int = 1
+    word: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        by_code = np.argsort(self.code, kind="stable")
+        place = np.empty(len(self.code), np.int64)
+        place[by_code] = np.arange(len(self.code))
+        self.codes, self.word = self.code[by_code], place[self.block.token]
+        self.counts = code_counts(self.codes)
+        length = self.block.length
+        self.starts = np.cumsum(length) - length
+        self.end = self.word[self.starts[0] + length[0] - 1]
+        self.within = np.arange(len(self.word)) - np.repeat(self.starts, length)
+        self.held = np.repeat(~self.block.train, length)
+        self.gram, self.count, self.total = self.word, self.counts[self.word], np.full(len(self.word), self.unigrams.total)
+        self.value = np.log10(self.unigrams.probability(self.counts))[self.word] if self.unigrams.tokens else np.zeros(len(self.word))
+
+    def back(self, token: np.ndarray, n: int) -> np.ndarray:
+        """Code of the word ``n`` before each of the tokens; before a text stands an end."""
+        return self.codes[np.where(self.within[token] >= n, self.word[np.maximum(token - n, 0)], self.end)]
+
+    def sent(self) -> Sent:
+        """For n-grams of one word more than now."""
+        n = self.order
+        context, context_count = np.full(len(self.word), -1), np.zeros(len(self.word), np.int64)
+        context[1:], context_count[1:] = self.gram[:-1], self.count[:-1]
+        if n == 1:
+            context[self.starts], context_count[self.starts] = self.end, self.counts[self.end]
+        else:
+            context_count[self.within < n - 1] = 0
+        context[context_count == 0] = -1
+        used = np.flatnonzero((context >= 0) & (self.count > 0))
+        _, first, number = np.unique(context[used] * len(self.codes) + self.word[used], return_index=True, return_inverse=True)
+        of = np.full(len(self.word), -1)
+        of[used] = number
+        token = used[first]
+        shares = _shares(context_count, self.buckets, self.hot)
+        grams = [self.back(token, i) for i in range(n, -1, -1)]
+        bucket = self._bucket(grams[:-1], (mix(grams[-1]) >> np.uint64(33)).astype(np.int64) % shares[token])
+        counts = [np.bincount(number, ~self.held[used], len(first)).astype(np.uint32)]
+        tails = [self.count[token].astype(np.uint64), self.total[token].astype(np.uint64)] if n > 1 else []
+        order = np.argsort(bucket, kind="stable")
+        # sums are needed where a token may be unseen, and to know what is left where several buckets hold a context
+        wanted = np.flatnonzero((context >= 0) & (self.held | (shares > 1)))
+        asked, one = np.unique(context[wanted], return_index=True)
+        times = shares[wanted[one]]
+        ask, asked = np.repeat(wanted[one], times), np.repeat(asked, times)
+        asks = [self.back(ask, i) for i in range(n, 0, -1)]
+        where = self._bucket(asks, np.arange(len(ask)) - np.repeat(np.cumsum(times) - times, times))
+        place = np.argsort(where, kind="stable")
+        return Sent(context, context_count, of, context[token], [x[order] for x in [*grams, *counts, *tails]], bucket[order], order,
+                    asked[place], [x[place] for x in asks], where[place])
+
+    def _bucket(self, context: list[np.ndarray], share: np.ndarray) -> np.ndarray:
+        return ((_hash(context) >> np.uint64(33)).astype(np.int64) + share) % self.buckets
+
+    def take(self, sent: Sent, answers: list[bytes], discounts: Discounts) -> None:
+        """One order more, by the answers of the buckets in their order."""
+        parts = [unpack(p) for p in answers]
+        columns = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint64) for i in range(TRUSTED + 3)]
+        count = np.zeros(len(sent.owner), np.int64)
+        count[sent.gram_order] = columns[0] >> np.uint64(TRUSTED)
+        contexts = int(sent.context.max(initial=-1)) + 1
+        seen = np.zeros(contexts, np.int64)  # which small counts a context has, as bits
+        seen[sent.owner[sent.gram_order]] = columns[0] & np.uint64((1 << TRUSTED) - 1)
+        sums = [np.bincount(sent.asked, c.astype(float), contexts) for c in columns[1:-1]]
+        shared = np.bincount(sent.asked, columns[-1].view(np.float64), contexts)
+        seen[sent.asked] = sum((sums[r] > 0)[sent.asked].astype(np.int64) << r for r in range(TRUSTED))
+        left = sum(1 << (r - 1) for r in range(1, TRUSTED + 1) if discounts.share[r] < 1)
+        have = np.flatnonzero(sent.context >= 0)
+        total = sent.context_count.astype(float)
+        total[have] += (seen[sent.context[have]] & left) == 0  # with nothing left, one n-gram more is taken as seen
+        self.count = np.where(sent.of >= 0, count[sent.of], 0) if len(count) else np.zeros(len(self.word), np.int64)
+        self.gram, self.total = sent.of, total
+        known = np.flatnonzero(self.count)
+        lost = have[self.count[have] == 0]
+        used = sum(discounts.share[r] * r * sums[r - 1] for r in range(1, TRUSTED + 1)) + sums[TRUSTED]
+        c = sent.context[lost]
+        self.value[lost] += np.log10((total[lost] - used[c]) / total[lost] / np.maximum(1 - shared[c], 1e-12))
+        self.value[known] = np.log10(discounts(self.count[known]) / total[known])
+        self.order += 1
+
+
+def _walk(block: pa.Table, answers: pa.Table, unigrams: Unigrams, discounts: list[Discounts], buckets: int, hot: float) -> Walk:
+    """A block's tokens after the orders whose discounts are known; ``about`` is the order that an answer is of."""
+    rows = sorted(zip(answers.column("about").to_pylist(), answers.column("bucket").to_pylist(), answers.column("payload").to_pylist()))
+    walk = Walk(read_block(block.column("payload")[0].as_py()), np.concatenate([unpack(p)[0] for n, _, p in rows if n == 1]), unigrams, buckets, hot)
+    for n, d in enumerate(discounts, 2):
+        walk.take(walk.sent(), [p for m, _, p in rows if m == n], d)
+    return walk
+
+
+def _send(unigrams: Unigrams, discounts: list[Discounts], buckets: int, hot: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        name, own = block.column("block")[0].as_py(), read_block(block.column("payload")[0].as_py())
-        *parts, rare = own.pairs(_codes(answers))
-        sent = Sent.of(*parts, buckets, hot)
-        edges = np.flatnonzero(np.diff(sent.bucket, prepend=-1, append=-1)) if len(sent.key) else np.zeros(1, np.int64)
-        rows = [("pairs", name, int(sent.bucket[a]), _pack_pairs(sent.first[a:b], sent.second[a:b], sent.count[a:b])) for a, b in zip(edges[:-1], edges[1:])]
-        return _message([*rows, ("pairs", name, -1, pack(np.array([rare], np.uint64)))])
+        name = block.column("block")[0].as_py()
+        return _message([("grams", name, bucket, p) for bucket, p in _walk(block, answers, unigrams, discounts, buckets, hot).sent().messages()])
 
     return run
 
 
-def _pack_pairs(first: np.ndarray, second: np.ndarray, count: np.ndarray) -> bytes:
-    new = np.diff(first, prepend=np.uint64(0)) != 0
-    return pack(steps(first), np.where(new, second, steps(second)), count.astype(np.uint32))
-
-
-def _unpack_pairs(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    first, second, count = unpack(payload)
-    start = np.flatnonzero(first)
-    running = np.cumsum(second)
-    return np.cumsum(first), running - np.repeat(running[start] - second[start], np.diff(np.append(start, len(first)))), count
-
-
-def _by_first(first: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.diff(first, prepend=np.uint64(0)))
+def _edges(columns: list[np.ndarray]) -> np.ndarray:
+    """Where rows begin that differ from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
 
 
-def _count_pairs(unigrams: Unigrams) -> Callable[[pa.Table], pa.Table]:
-    """One bucket of the pair table: ``answer`` to each block (counts of its pairs, 0 if not in the model; sums of its first words), ``totals`` and ``model``."""
+def _count_grams(n: int, unigrams: Unigrams, tail: Discounts | None) -> Callable[[pa.Table], pa.Table]:
+    """One bucket of the table of n-grams: ``answer`` to each block (counts with the small counts of the context as bits; sums of the contexts asked for), ``totals``, ``model``."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        payloads, names = table.column("payload").to_pylist(), table.column("block").to_pylist()
-        if bucket < 0:
-            n = np.zeros(TRUSTED + 2, np.uint64)
-            n[1] = sum(int(unpack(p)[0][0]) for p in payloads)
-            return _message([("totals", -1, bucket, pack(n))])
-        sent = [_unpack_pairs(p) for p in payloads]
-        first, second, count = (np.concatenate(x) for x in zip(*sent))
-        order = np.lexsort([second, first])
-        a, b = first[order], second[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        start = np.flatnonzero(new)
-        a, b, c = a[start], b[start], np.add.reduceat(count[order].astype(np.int64), start)
+        bucket, names = table.column("bucket")[0].as_py(), table.column("block").to_pylist()
+        width = n + 1 + (2 if n > 2 else 0)
+        sent = [unpack(p) for p in table.column("payload").to_pylist()]
+        for s in sent:
+            s[0], s[width] = np.cumsum(s[0]), np.cumsum(s[width])
+        columns = [np.concatenate([s[i] for s in sent]) for i in range(width)]
+        order = np.lexsort(columns[n - 1::-1])
+        words = [c[order] for c in columns[:n]]
+        start = _edges(words)
         place = np.empty(len(order), np.int64)
-        place[order] = np.cumsum(new) - 1
-        kept = np.where(c > 1, c, 0)
-        words = _by_first(a)
-        sums = [np.add.reduceat((kept == r).astype(np.uint32), words) for r in range(2, TRUSTED + 1)]
-        sums.append(np.add.reduceat(np.where(kept > TRUSTED, kept, 0), words).astype(np.uint64))
-        sums.append(np.add.reduceat(np.where(kept > 0, unigrams.probability(code_counts(b)), 0.0), words).view(np.uint64))
-        word_of = np.repeat(np.arange(len(words)), np.diff(np.append(words, len(a))))
+        place[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order))))
+        c = np.add.reduceat(columns[n][order].astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
+        words = [x[start] for x in words]
+        if n > 2:
+            low = tail(columns[n + 1][order][start].astype(np.int64)) / columns[n + 2][order][start].astype(float)
+        else:
+            low = unigrams.probability(code_counts(words[1]))
+        runs = _edges(words[:-1])
+        add = lambda x: np.append(np.add.reduceat(x, runs) if len(runs) else x[:0], x.dtype.type(0))  # noqa: E731  # the last place is for contexts without n-grams here
+        sums = [add((c == r).astype(np.uint32)) for r in range(1, TRUSTED + 1)]
+        seen = sum((x > 0).astype(np.uint64) << np.uint64(r) for r, x in enumerate(sums))
+        sums += [add(np.where(c > TRUSTED, c, 0).astype(np.uint64)), add(np.where(c > 0, low, 0.0)).view(np.uint64)]
+        answer = c.astype(np.uint64) << np.uint64(TRUSTED) | np.repeat(seen[:-1], np.diff(np.append(runs, len(c))))
+        hashes = _hash([x[runs] for x in words[:-1]])
+        by_hash = np.append(np.argsort(hashes), len(runs))
+        hashes = hashes[by_hash[:-1]]
         rows, at = [], 0
-        for name, (own, _, _) in zip(names, sent):
-            mine = place[at:at + len(own)]
-            at += len(own)
-            w = word_of[mine[_by_first(own)]]
-            rows.append(("answer", name, bucket, pack(kept[mine].astype(np.uint32), *(s[w] for s in sums))))
-        n = np.array([(c == r).sum() for r in range(TRUSTED + 2)], np.uint64)
-        n[0] = 0
-        model = np.flatnonzero(kept)
-        return _message([*rows, ("totals", -1, bucket, pack(n)), ("model", -1, bucket, _pack_pairs(a[model], b[model], kept[model]))])
+        for name, s in zip(names, sent):
+            mine = place[at:at + len(s[0])]
+            at += len(s[0])
+            asked = _hash([x.astype(np.uint64) for x in s[width:]])
+            found = np.searchsorted(hashes, asked)
+            found[found < len(hashes)] = np.where(hashes[found[found < len(hashes)]] == asked[found < len(hashes)], found[found < len(hashes)], len(hashes))
+            rows.append(("answer", name, bucket, pack(answer[mine], *(x[by_hash[found]] for x in sums))))
+        number = np.array([0, *((c == r).sum() for r in range(1, TRUSTED + 2))], np.uint64)
+        kept = np.flatnonzero(c)
+        model = pack(steps(words[0][kept]), *(x[kept] for x in words[1:]), c[kept].astype(np.uint64))
+        return _message([*rows, ("totals", -1, bucket, pack(number)), ("model", -1, bucket, model)])
 
     return run
 
 
-def _score(buckets: int, hot: float, unigrams: Unigrams, discounts: Discounts, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _score(unigrams: Unigrams, discounts: list[Discounts], buckets: int, hot: float, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        own = read_block(block.column("payload")[0].as_py())
-        about = answers.column("about").to_pylist()
-        before, word, held, ranked, _ = own.pairs(_codes(answers.filter(pa.array([x == "words" for x in about]))))
-        sent = Sent.of(before, word, held, ranked, buckets, hot)
-        got = answers.filter(pa.array([x == "pairs" for x in about]))
-        parts = [unpack(p) for _, p in sorted(zip(got.column("bucket").to_pylist(), got.column("payload").to_pylist()))]
-        count = np.concatenate([p[0] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
-        # sums of each first word, from every bucket that has some of its pairs
-        runs = np.flatnonzero((np.diff(sent.first, prepend=np.uint64(0)) != 0) | (np.diff(sent.bucket, prepend=-1) != 0))
-        words = np.searchsorted(ranked, sent.first[runs])
-        seen = [np.bincount(words, np.concatenate([p[i] for p in parts]).astype(float) if parts else None, len(ranked)) for i in range(1, TRUSTED + 1)]
-        shared = np.bincount(words, np.concatenate([p[TRUSTED + 1] for p in parts]).view(np.float64) if parts else None, len(ranked))
-        own_count = code_counts(ranked)
-        used = sum(r * discounts.share[r] * seen[r - 2] for r in range(2, TRUSTED + 1)) + seen[TRUSTED - 1]
-        left = own_count - used
-        total = np.where(left > 1e-9 * own_count, own_count, own_count + 1.0)  # with nothing left, one pair more is taken as seen
-        backoff = np.where(used > 0, (total - used) / np.maximum(total, 1) / np.maximum(1 - shared, 1e-12), 1.0)
-        single = np.log10(unigrams.probability(own_count)) if unigrams.tokens else np.zeros(len(ranked))
-        value = np.log10(backoff)[before] + single[word]
-        model = np.flatnonzero(count)
-        model = model[np.argsort(sent.key[model])]
-        key = Sent.keys(before, word, ranked)
-        at = np.searchsorted(sent.key[model], key)
-        have = np.flatnonzero(sent.key[model][np.minimum(at, len(model) - 1)] == key) if len(model) else at[:0]
-        value[have] = np.log10(discounts(count[model[at[have]]]) / total[before[have]])
-        base = np.log10((own_count + 1) / (unigrams.tokens + unigrams.words + 1))[word]
-        starts = np.cumsum(own.length) - own.length
+        walk = _walk(block, answers, unigrams, discounts, buckets, hot)
+        base = np.log10((walk.counts + 1) / (unigrams.tokens + unigrams.words + 1))[walk.word]
+        known = (walk.counts > 0)[walk.word].astype(np.int64)
         kept = block.column("kept").combine_chunks().flatten()
-        return pa.table([*kept.flatten(), pa.array(own.length), pa.array(np.add.reduceat((own_count > 0)[word].astype(np.int64), starts)),
-                         pa.array(np.full(len(starts), unigrams.tokens)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(value, starts))], schema=schema)
+        return pa.table([*kept.flatten(), pa.array(walk.block.length), *(pa.array(x) for x in (
+            np.add.reduceat(known, walk.starts), np.full(len(walk.starts), unigrams.tokens), np.add.reduceat(base, walk.starts), np.add.reduceat(walk.value, walk.starts)))], schema=schema)
 
     return run
 
 
-def score(docs: DataFrame, train: Column, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, train: Column, text: str = "text", keep: list[str] | None = None, order: int = ORDER) -> DataFrame:
     """Rows of ``docs`` (columns ``keep``, default all) with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
-    The model learns from the rows where ``train`` holds.  Tokens are words with A-Z in lower case, then one end.  Null and empty texts are an end alone.  Nothing learned: all scores are 0.
+    The model, of n-grams up to ``order`` words, learns from the rows where ``train`` holds.  Tokens are words with A-Z in lower case, then one end.  Null and empty texts are an end alone.  Nothing learned: all scores are 0.
     Repeated rows count as often as they occur.  Columns of ``docs`` named like the new ones are replaced.  Memory follows the longest text.
     """
     made = {"n_tokens": T.LongType(), "n_known": T.LongType(), "train_tokens": T.LongType(), "base_score": T.DoubleType(), "score": T.DoubleType()}
@@ -396,12 +434,15 @@ def score(docs: DataFrame, train: Column, text: str = "text", keep: list[str] |
     totals = [unpack(r[0]) for r in words.where("kind = 'totals'").select("payload").collect()]
     counts, number = (np.concatenate([t[i] for t in totals]).astype(np.int64) if totals else np.zeros(0, np.int64) for i in (0, 1))
     unigrams = Unigrams.of(counts, number)
-    hot = unigrams.tokens / (64 * buckets ** 0.5)  # so many pairs of one first word share a bucket
-    codes = words.where("kind = 'answer'").select("block", "bucket", "payload")
-    sent = texts.select("block", "payload").groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(_send_pairs(buckets, hot), schema)
-    pairs = stored(sent.select("block", "bucket", "payload").groupBy("bucket").applyInArrow(_count_pairs(unigrams), schema), "kind")
-    n = sum((unpack(r[0])[0].astype(np.int64) for r in pairs.where("kind = 'totals'").select("payload").collect()), np.zeros(TRUSTED + 2, np.int64))
-    answers = codes.withColumn("about", F.lit("words")).unionByName(pairs.where("kind = 'answer'").select("block", "bucket", "payload").withColumn("about", F.lit("pairs")))
+    hot = unigrams.tokens / (64 * buckets ** 0.5)  # so many n-grams of one context share a bucket
+    answers = words.where("kind = 'answer'").select("block", "bucket", "payload", F.lit(1).alias("about"))
+    discounts: list[Discounts] = []
+    for n in range(2, order + 1):
+        sent = texts.select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send(unigrams, list(discounts), buckets, hot), schema)
+        grams = stored(sent.select("block", "bucket", "payload").groupBy("bucket").applyInArrow(_count_grams(n, unigrams, discounts[-1] if discounts else None), schema), "kind")
+        number = sum((unpack(r[0])[0].astype(np.int64) for r in grams.where("kind = 'totals'").select("payload").toLocalIterator()), np.zeros(TRUSTED + 2, np.int64))
+        discounts.append(Discounts.of(number))
+        answers = answers.unionByName(grams.where("kind = 'answer'").select("block", "bucket", "payload", F.lit(n).alias("about")))
     out = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, t) for c, t in made.items())])
     return texts.select("block", "payload", "kept").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _score(buckets, hot, unigrams, Discounts.of(n), to_arrow_schema(out)), out)
+        _score(unigrams, discounts, buckets, hot, to_arrow_schema(out)), out)

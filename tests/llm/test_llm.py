@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import duckdb
 import numpy as np
@@ -287,14 +288,16 @@ def test_pivotal_rounding_keeps_words_and_expectation():
     assert np.abs(runs.mean(axis=0) - p).max() < 0.04
 
 
-def brute_katz(texts, train):
+def brute_katz(texts, train, order):
     fold = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
     seqs = [fold(t) for t in texts]
-    uni, bi = Counter(), Counter()
+    contexts = lambda s: [(w, tuple([None, *s][max(0, i + 2 - order):i + 1])) for i, w in enumerate(s)]  # noqa: E731  # the longest context of each token
+    counts = [None, *(Counter() for _ in range(order))]
     for s, t in zip(seqs, train):
-        if t:
-            uni.update(s)
-            bi.update(zip([None, *s], s))
+        for w, context in contexts(s) if t else []:
+            for n in range(len(context) + 1):
+                counts[n + 1][(*context[len(context) - n:], w)] += 1
+
     def discounts(c):
         n = Counter(c.values())
         top, d = (6 * n[6] / n[1] if n[1] else 1.0), {}
@@ -302,43 +305,49 @@ def brute_katz(texts, train):
             d[r] = ((r + 1) * n[r + 1] / (r * n[r]) - top) / (1 - top) if n[r] and n[r + 1] and top < 1 else 1.0
             d[r] = d[r] if 0 < d[r] < 1 else 1.0
         return lambda c: c * d.get(c, 1.0)
-    one, two = discounts(uni), discounts(bi)
+    uni = {w: c for (w,), c in counts[1].items()}
+    given = [None, *(discounts(c) for c in counts[1:])]
     total, once = sum(uni.values()), sum(c == 1 for c in uni.values())
-    left = total - sum(one(c) for c in uni.values())
+    left = total - sum(given[1](c) for c in uni.values())
     total_, left = (total, left) if left > 1e-9 else (total + 1, 1.0)
-    p1 = lambda w: one(uni[w]) / total_ if w in uni else left / total_ / max(1, once)
     follow = defaultdict(dict)
-    for (a, b), c in bi.items():
-        if c > 1:
-            follow[a][b] = c
-    def p2(a, b):
-        own = follow.get(a)
-        if not own:
-            return p1(b)
-        used = sum(two(c) for c in own.values())
-        whole = uni[a] if uni[a] - used > 1e-9 * uni[a] else uni[a] + 1
-        if b in own:
-            return two(own[b]) / whole
-        return (whole - used) / whole / (1 - sum(p1(w) for w in own)) * p1(b)
-    base = lambda w: math.log10((uni[w] + 1) / (total + len(uni) + 1))
-    rows = [(len(s), sum(w in uni for w in s), total, sum(map(base, s)), sum(math.log10(p2(a, b)) for a, b in zip([None, *s], s))) for s in seqs]
-    return rows, uni, p1, p2, once
-
-
-@pytest.mark.parametrize("small", [False, True])
-def test_katz(spark, docs, empty, monkeypatch, small):
-    if small:  # several blocks and buckets, and words that are dealt to all of them
+    for c in counts[2:]:
+        for gram, number in c.items():
+            follow[gram[:-1]][gram[-1]] = number
+
+    @cache
+    def weight(context):
+        own, d = follow[context], given[len(context) + 1]
+        used, whole = sum(map(d, own.values())), sum(own.values())
+        whole += all(d(c) == c for c in own.values())
+        return whole, (whole - used) / whole / (1 - sum(p(w, context[1:]) for w in own))
+
+    def p(w, context):
+        if not context:
+            return given[1](uni[w]) / total_ if w in uni else left / total_ / max(1, once)
+        if context not in follow:
+            return p(w, context[1:])
+        whole, back = weight(context)
+        return given[len(context) + 1](follow[context][w]) / whole if w in follow[context] else back * p(w, context[1:])
+    base = lambda w: math.log10((uni.get(w, 0) + 1) / (total + len(uni) + 1))
+    rows = [(len(s), sum(w in uni for w in s), total, sum(map(base, s)), sum(math.log10(p(*x)) for x in contexts(s))) for s in seqs]
+    return rows, uni, follow, p, once
+
+
+@pytest.mark.parametrize("small, order", [(False, 3), (True, 3), (True, 2), (True, 4), (False, 1)])
+def test_katz(spark, docs, empty, monkeypatch, small, order):
+    if small:  # several blocks and buckets, and contexts that are dealt to all of them
         monkeypatch.setattr(katz, "BLOCK_BYTES", 30_000)
         monkeypatch.setattr(katz, "BUCKET_BYTES", 30_000)
-    out = katz.score(docs, F.col("lang") == "en", keep=["doc_id", "text", "lang"]).toPandas()
+    out = katz.score(docs, F.col("lang") == "en", keep=["doc_id", "text", "lang"], order=order).toPandas()
     assert len(out) == docs.count()
-    want, uni, p1, p2, once = brute_katz(out.text, out.lang == "en")
+    want, uni, follow, p, once = brute_katz(out.text, out.lang == "en", order)
     got = out[["n_tokens", "n_known", "train_tokens", "base_score", "score"]]
     assert np.allclose(got.to_numpy(float), np.array(want, float), rtol=1e-9)
-    for a in [None, *list(uni)[:20]]:
-        assert abs(sum(p2(a, w) for w in uni) + once * p2(a, "never seen") - 1) < 1e-9
-    assert katz.score(empty, F.lit(True)).count() == 0
-    nothing = katz.score(docs, F.lit(False), keep=["doc_id"]).toPandas()
+    for context in [(), *list(follow)[:10], *list(follow)[-10:]]:
+        assert abs(sum(p(w, context) for w in uni) + once * p("never seen", context) - 1) < 1e-9
+    assert katz.score(empty, F.lit(True), order=order).count() == 0
+    nothing = katz.score(docs, F.lit(False), keep=["doc_id"], order=order).toPandas()
     assert (nothing.score == 0).all() and (nothing.base_score == 0).all() and (nothing.train_tokens == 0).all()
 
 
@@ -347,7 +356,7 @@ def test_packing():
     assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(katz.unpack(katz.pack(*x)), x))
     count = np.array([0, 1, 2, 2, 3, 10**12, 1, 3, 2])
     code = katz.word_codes(count, 3, 7)
-    assert (katz.code_counts(code) == count).all() and len(set(code[count > 1])) == (count > 1).sum()
+    assert (katz.code_counts(code) == count).all() and len(set(code[count > 0])) == (count > 0).sum()
 
 
 def test_sharding(spark, docs, empty):
