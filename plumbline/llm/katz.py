@@ -27,8 +27,8 @@ from plumbline.llm.words import find_words, mix, span_hashes
 ORDER = 3
 #: counts above this are not discounted
 TRUSTED = 5
-BLOCK_BYTES = 24 << 20
-BUCKET_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+BUCKET_BYTES = 8 << 20
 END = np.uint64(0x0123456789ABCDEF)
 _BITS = 57
 MESSAGE = "block long, bucket int, payload binary"
@@ -58,6 +58,38 @@ def steps(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
 
 
+def pack_grams(words: list[np.ndarray], *others: np.ndarray) -> bytes:
+    """Rows sorted by their last word, then by the one before it: differences of both, then the rest."""
+    *rest, second, last = words
+    new = np.diff(last, prepend=np.uint64(0)) != 0  # no code is 0
+    return pack(steps(last), np.where(new, second, steps(second)), *rest, *others)
+
+
+def unpack_grams(payload: bytes, n: int) -> list[np.ndarray]:
+    """The words in their order, then the other columns."""
+    last, second, *others = unpack(payload)
+    start = np.flatnonzero(last)
+    running = np.cumsum(second)
+    second = running - np.repeat(running[start] - second[start], np.diff(np.append(start, len(last))))
+    return [*others[:n - 2], second, np.cumsum(last), *others[n - 2:]]
+
+
+def number_rows(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of one row of each distinct key, in the order of the keys, and the number of each row's key."""
+    bits = len(key).bit_length()
+    if int(key.max(initial=0)).bit_length() + bits < 64:  # sorting numbers that carry their place is faster
+        both = np.sort(key << bits | np.arange(len(key)))
+        order, ranked = both & ((1 << bits) - 1), both >> bits
+    else:
+        order = np.argsort(key)
+        ranked = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
 def word_codes(count: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
     """Distinct codes that carry the counts: bit length, count, and a number within bucket and count.  0: never seen."""
     code = np.zeros(len(count), np.uint64)
@@ -237,9 +269,8 @@ class Sent:
         for bucket in np.union1d(self.gram_bucket, self.ask_bucket).tolist():
             a, b = np.searchsorted(self.gram_bucket, [bucket, bucket + 1])
             c, d = np.searchsorted(self.ask_bucket, [bucket, bucket + 1])
-            first, *rest = (x[a:b] for x in self.grams)
-            ask, *more = (x[c:d] for x in self.asks)
-            yield bucket, pack(steps(first), *rest, steps(ask), *more)
+            grams, n = [x[a:b] for x in self.grams], len(self.asks) + 1
+            yield bucket, pack_grams(grams[:n], *grams[n:], *(x[c:d] for x in self.asks))
 
 
 @dataclass
@@ -268,9 +299,12 @@ class Walk:
         self.gram, self.count, self.total = self.word, self.counts[self.word], np.full(len(self.word), self.unigrams.total)
         self.value = np.log10(self.unigrams.probability(self.counts))[self.word] if self.unigrams.tokens else np.zeros(len(self.word))
 
+    def _place(self, token: np.ndarray, n: int) -> np.ndarray:
+        """Number of the word ``n`` before each of the tokens; before a text stands an end."""
+        return np.where(self.within[token] >= n, self.word[np.maximum(token - n, 0)], self.end)
+
     def back(self, token: np.ndarray, n: int) -> np.ndarray:
-        """Code of the word ``n`` before each of the tokens; before a text stands an end."""
-        return self.codes[np.where(self.within[token] >= n, self.word[np.maximum(token - n, 0)], self.end)]
+        return self.codes[self._place(token, n)]
 
     def sent(self) -> Sent:
         """For n-grams of one word more than now."""
@@ -283,7 +317,7 @@ class Walk:
             context_count[self.within < n - 1] = 0
         context[context_count == 0] = -1
         used = np.flatnonzero((context >= 0) & (self.count > 0))
-        _, first, number = np.unique(context[used] * len(self.codes) + self.word[used], return_index=True, return_inverse=True)
+        first, number = number_rows(self.gram[used] * len(self.codes) + self._place(used, n))
         of = np.full(len(self.word), -1)
         of[used] = number
         token = used[first]
@@ -295,7 +329,8 @@ class Walk:
         order = np.argsort(bucket, kind="stable")
         # sums are needed where a token may be unseen, and to know what is left where several buckets hold a context
         wanted = np.flatnonzero((context >= 0) & (self.held | (shares > 1)))
-        asked, one = np.unique(context[wanted], return_index=True)
+        one, _ = number_rows(context[wanted])
+        asked = context[wanted[one]]
         times = shares[wanted[one]]
         ask, asked = np.repeat(wanted[one], times), np.repeat(asked, times)
         asks = [self.back(ask, i) for i in range(n, 0, -1)]
@@ -364,9 +399,7 @@ def _count_grams(n: int, unigrams: Unigrams, tail: Discounts | None) -> Callable
     def run(table: pa.Table) -> pa.Table:
         bucket, names = table.column("bucket")[0].as_py(), table.column("block").to_pylist()
         width = n + 1 + (2 if n > 2 else 0)
-        sent = [unpack(p) for p in table.column("payload").to_pylist()]
-        for s in sent:
-            s[0], s[width] = np.cumsum(s[0]), np.cumsum(s[width])
+        sent = [unpack_grams(p, n) for p in table.column("payload").to_pylist()]
         columns = [np.concatenate([s[i] for s in sent]) for i in range(width)]
         order = np.lexsort(columns[n - 1::-1])
         words = [c[order] for c in columns[:n]]
@@ -398,7 +431,7 @@ def _count_grams(n: int, unigrams: Unigrams, tail: Discounts | None) -> Callable
             rows.append(("answer", name, bucket, pack(answer[mine], *(x[by_hash[found]] for x in sums))))
         number = np.array([0, *((c == r).sum() for r in range(1, TRUSTED + 2))], np.uint64)
         kept = np.flatnonzero(c)
-        model = pack(steps(words[0][kept]), *(x[kept] for x in words[1:]), c[kept].astype(np.uint64))
+        model = pack_grams([*(x[kept] for x in words[:0:-1]), words[0][kept]], c[kept].astype(np.uint64))
         return _message([*rows, ("totals", -1, bucket, pack(number)), ("model", -1, bucket, model)])
 
     return run
