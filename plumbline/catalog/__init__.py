@@ -4,7 +4,7 @@ import importlib
 
 from plumbline.catalog.registry import ORACLES, QUERIES
 
-for _module in ("profiling", "joining", "scalars", "ranking", "evaluation", "modeling"):
+for _module in ("profiling", "joining", "scalars", "ranking", "evaluation", "modeling", "files"):
     importlib.import_module(f"plumbline.catalog.{_module}")
 
 __all__ = ["ORACLES", "QUERIES"]
