@@ -2,7 +2,7 @@
 
 Every fit is an MLlib job over the whole training partition.  The driver iterates
 over (fold, candidate) only; what it holds is a handful of medians, category
-names and scores.
+names (beyond ``max_categories`` they stay in a stored table) and scores.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ from plumbline.functions.numeric import high_value_weights, restore_target, tran
 from plumbline.functions.predicates import complete_cases
 from plumbline.operators.evaluation import per_unit_metrics, regression_metrics, summarise_cells
 from plumbline.operators.joins import attach_folds, join_many_to_one
-from plumbline.operators.ordering import hash_index, permuted, quantile_table
+from plumbline.operators.ordering import hash_index, permuted, quantile_table, row_index
 from plumbline.operators.profile import value_counts
 from plumbline.operators.splits import group_folds, random_splits
 from plumbline.plans import gram
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, table_path
 
 INDICATOR = "__missing"
 
@@ -54,7 +54,8 @@ class Spec:
 class Preprocessor:
     """Median impute with missing indicators, mode impute, one-hot (unknown -> zeros), optional scaling.
 
-    All statistics come from the training rows alone.
+    All statistics come from the training rows alone.  More than ``max_categories`` names in all are numbered by range partitions,
+    stay in a stored table and are joined to the rows; the features are the same either way.
     """
 
     def __init__(self, numeric: Sequence[str], categorical: Sequence[str], scale: bool = False,
@@ -77,10 +78,11 @@ class Preprocessor:
             row = filled.agg(*[x for c in inputs for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
             self.moments = {c: (row[f"m_{c}"], row[f"s_{c}"] or 1.0) for c in inputs}
         self.stages = []
-        if self.categorical:
-            index, hot = [f"{c}__i" for c in self.categorical], [f"{c}__h" for c in self.categorical]
-            indexers = [StringIndexerModel.from_labels(self.labels[c], c, i, "keep") for c, i in zip(self.categorical, index)]
-            indexed = reduce(lambda rows, stage: stage.transform(rows), indexers, filled)
+        named = [c for c in self.categorical if self.labels.get(c) or self.sizes.get(c)]  # a column without any name has no positions
+        if named:
+            index, hot = [f"{c}__i" for c in named], [f"{c}__h" for c in named]
+            indexers = [] if self.sizes else [StringIndexerModel.from_labels(self.labels[c], c, i, "keep") for c, i in zip(named, index)]
+            indexed = reduce(lambda rows, stage: stage.transform(rows), indexers, self._number(filled))
             # sizes come from the labels, so this reads no rows; the last slot is "unknown" and is dropped
             encoder = OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True).fit(indexed)
             self.stages = [*indexers, encoder]
@@ -89,20 +91,37 @@ class Preprocessor:
         return self
 
     def _categories(self, train: DataFrame) -> dict[str, list[str]]:
-        """Sorted category names per column (and the modes); more than ``max_categories`` names in all is refused."""
+        """Sorted category names per column (and the modes); none where there are more than ``max_categories`` in all: those are stored."""
         self.modes: dict[str, str] = {}
+        self.sizes: dict[str, int] = {}
         if not self.categorical:
             return {}
         counts = value_counts(train, self.categorical).where(F.col("value").isNotNull())
         rows = counts.limit(self.max_categories + 1).collect()
         if len(rows) > self.max_categories:
-            raise ValueError(f"too many categories to encode in {self.categorical}")
+            self._store_names(cut_lineage(counts))
+            return {}
         labels: dict[str, list[str]] = {c: [] for c in self.categorical}
         for r in sorted(rows, key=lambda r: (-r["n"], r["value"])):  # most frequent, then first by name
             self.modes.setdefault(r["column"], r["value"])
             labels[r["column"]].append(r["value"])
         return {c: sorted(v) for c, v in labels.items()}
 
+    def _store_names(self, counts: DataFrame) -> None:
+        best = F.min_by("value", F.struct(-F.col("n"), "value"))
+        for r in counts.groupBy("column").agg(best.alias("mode"), F.count("*").alias("n")).collect():
+            self.modes[r["column"]], self.sizes[r["column"]] = r["mode"], r["n"]
+        self.names = table_path(counts.sparkSession)
+        row_index(counts.select("column", "value"), ["value"], ["column"], "place").write.parquet(self.names)
+
+    def _number(self, filled: DataFrame) -> DataFrame:
+        """Joins the place of each stored name; names that training did not have come last."""
+        for c, n in self.sizes.items():
+            known = filled.sparkSession.read.parquet(self.names).where(F.col("column") == c).select(F.col("value").alias(c), F.col("place").alias("__place"))
+            place = F.coalesce(F.col("__place"), F.lit(n)).cast("double")
+            filled = join_many_to_one(filled, known, c).withColumn(f"{c}__i", place.alias(f"{c}__i", metadata={"ml_attr": {"type": "nominal", "num_vals": n + 1}})).drop("__place")
+        return filled
+
     def _fill(self, df: DataFrame) -> DataFrame:
         cols = {c + INDICATOR: F.col(c).isNull().cast("double") for c in self.flagged}
         cols.update({c: F.coalesce(F.col(c).cast("double"), F.lit(float(self.medians[c]))) for c in self.numeric})
@@ -115,6 +134,7 @@ class Preprocessor:
         filled = self._fill(held)
         if self.moments:
             filled = filled.withColumns({c: (F.col(c) - m) / s for c, (m, s) in self.moments.items()})
+        filled = self._number(filled)
         for stage in self.stages:
             filled = stage.transform(filled)
         out = self.assembler.transform(filled)
@@ -134,7 +154,7 @@ def linear_penalty(alpha: float, l1_ratio: float, sigma: float, n: int, ridge: b
 
 
 _SETTINGS = ("numeric", "categorical", "scale", "indicators", "max_categories")
-_LEARNED = ("medians", "flagged", "labels", "modes", "moments")
+_LEARNED = ("medians", "flagged", "labels", "modes", "moments", "sizes")
 
 
 class FittedModel:
@@ -160,6 +180,8 @@ class FittedModel:
         SparkSession.active().createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.text(f"{path}/state")
         if prep:
             PipelineModel([*prep.stages, prep.assembler, self.model]).write().save(f"{path}/stages")
+            if prep.sizes:
+                SparkSession.active().read.parquet(prep.names).write.parquet(f"{path}/names")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> FittedModel:
@@ -167,9 +189,10 @@ class FittedModel:
         spec, kept = Spec(**state["spec"]), state["prep"]
         if kept is None:
             return FittedModel(spec, None, state["mean"])
-        prep = Preprocessor(*[kept[k] for k in _SETTINGS])
+        prep = Preprocessor(**{k: kept[k] for k in _SETTINGS})
         for name in _LEARNED:
             setattr(prep, name, kept[name])
+        prep.names = f"{path}/names"
         *prep.stages, prep.assembler, model = PipelineModel.load(f"{path}/stages").stages
         return FittedModel(spec, prep, model)
 

@@ -186,3 +186,35 @@ def test_too_many_categories_are_fitted_without_products(spark, data, monkeypatc
     assert gram.out_of_fold(data, "fold", SPEC, {"alpha": 2.0}) is None
     both = P.oof_linear(data, "fold", SPEC, alpha=2.0).join(want, "run_key")
     assert both.count() == 240 and both.where(F.abs(F.col("p") - F.col("prediction")) > 1e-5).count() == 0
+
+
+def test_stored_category_names(spark, monkeypatch, tmp_path):
+    """The same features and fits whether names are held or stored; far more names than are held; nulls, unknown names, ties of the mode, a column without a name."""
+    from functools import partial
+
+    from plumbline.plans import models as P
+    rows = spark.createDataFrame([(float(i % 7), None if i % 9 == 4 else f"c{i % 5}", "xyz"[i % 3], None, float(i % 5 * 3 + i % 7)) for i in range(90)], "a double, b string, c string, d string, y double")
+    odd = spark.createDataFrame([(1.0, "new", "x", "d", 0.0), (None, None, None, None, 0.0), (2.0, "", "z", None, 0.0)], rows.schema)
+    both = rows.unionByName(odd)
+    held = P.Preprocessor(["a"], ["b", "c", "d"], scale=True).fit(rows)
+    stored = P.Preprocessor(["a"], ["b", "c", "d"], scale=True, max_categories=2).fit(rows)
+    assert stored.sizes == {"b": 5, "c": 3} and stored.modes == held.modes and not stored.labels
+
+    def features(prep):
+        return sorted((str(r["_k"]), r["features"].toArray().tolist()) for r in prep.transform(both.withColumn("_k", F.to_json(F.struct("*"))), ["_k"]).collect())
+    assert features(held) == features(stored)
+    spec = P.Spec(["a"], ["b", "c"], "y", "ridge")
+    plain = P.fit(rows, spec, {"alpha": 1.0}).predict(both)
+    monkeypatch.setattr(P, "Preprocessor", partial(P.Preprocessor, max_categories=2))
+    model = P.fit(rows, spec, {"alpha": 1.0})
+    model.save(str(tmp_path / "model"))
+    again = P.FittedModel.load(spark, str(tmp_path / "model"))
+    want = sorted(r["prediction"] for r in plain.collect())
+    for m in (model, again):
+        assert np.allclose(sorted(r["prediction"] for r in m.predict(both).collect()), want)
+    monkeypatch.undo()
+    many = spark.range(30_000).select(F.concat(F.lit("n"), F.col("id") % 15_000).alias("b"), (F.col("id") % 3).cast("double").alias("a"))
+    wide = P.Preprocessor(["a"], ["b"]).fit(many)
+    assert wide.sizes == {"b": 15_000}
+    row = wide.transform(many).where("b = 'n77'").select("features").first()["features"]
+    assert row.size == 15_001 and row.numNonzeros() == 2
