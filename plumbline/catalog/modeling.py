@@ -50,7 +50,7 @@ def oof_elastic_net(spark, d):
 
 @query("oof_forest")
 def oof_forest(spark, d):
-    return scored(P.oof_forest(model_rows(spark, d), "fold", SPEC, numTrees=5, maxDepth=4))
+    return scored(P.oof_forest(model_rows(spark, d), "fold", SPEC, numTrees=200, maxDepth=4))
 
 
 @query("oof_gbt")
@@ -161,7 +161,8 @@ def compare_representations(spark, d):
 
 @query("run_strategies")
 def run_strategies(spark, d):
-    plan = [{"objective": "squared", "weighted": False, "strategy_id": "squared"}, {"objective": "absolute", "weighted": True, "strategy_id": "absolute_weighted"}]
+    plan = [{"objective": "squared", "weighted": False, "strategy_id": "squared"}, {"objective": "absolute", "weighted": False, "strategy_id": "absolute"},
+            {"objective": "absolute", "weighted": True, "strategy_id": "absolute_weighted"}]
     spec = replace(SPEC, algorithm="boosted", unit=None)
     return scored(P.run_strategies(model_rows(spark, d), "fold", spec, plan, {"maxIter": 2, "maxDepth": 3}), "strategy_id")
 
