@@ -420,6 +420,18 @@ def test_draws_take_clusters_as_often_as_they_should():
     assert abs(np.corrcoef(counts[:, 0], counts[:, 1])[0, 1]) < 0.2 and abs(np.corrcoef(counts[0], counts[1])[0, 1]) < 0.1
 
 
+def test_a_group_of_blocks_divides_every_node_once(monkeypatch):
+    from plumbline.operators import resample
+    n, blocks, draws, calls = 40_000, 256, np.arange(50), []
+    real = resample.binomial
+    monkeypatch.setattr(resample, "binomial", lambda u, k, p: calls.append(p) or real(u, k, p))
+    leaves = dict(resample.taken_by_blocks(range(128, 192), n, blocks, draws, 5))
+    assert sorted(leaves) == list(range(128, 192)) and len(calls) == 2 + 63  # the way down to the subtree, and each of its nodes
+    assert all((leaves[b] == next(resample.taken_by_blocks([b], n, blocks, draws, 5))[1]).all() for b in (128, 150, 191))
+    assert (sum(t for _, t in resample.taken_by_blocks(range(blocks), n, blocks, draws, 5)) == n).all()
+    assert resample.group_count(n, blocks) == 64 and resample.group_count(10, 8) == 8 and resample.group_count(1 << 24, 4096) == 128
+
+
 def test_binomials_reach_their_distribution():
     import math
     from plumbline.operators import resample
