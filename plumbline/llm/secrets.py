@@ -1,25 +1,28 @@
 """Secret scans: fixed patterns find what surely is a secret, a character network finds what looks like one.
 
 Every text is read once.  It gives the spans of the fixed patterns and its candidates: runs of at least ``LEAST`` token characters with a digit,
-with ``CONTEXT`` characters on either side.  A convolutional network over one-hot characters is trained on a bounded sample of candidates, labelled by
-whether a pattern found them, with the context of half of them hidden, so that it learns what the secrets themselves look like.  Its scores are calibrated on held-out candidates
+with ``CONTEXT`` characters on either side.  A convolutional network over one-hot characters is trained on all distinct candidates, labelled by
+whether a pattern found them, with the context of half of them hidden, so that it learns what the secrets themselves look like: every block of candidates
+goes on from the common parameters for an epoch, and their means are the next ones.  Its scores are calibrated on held-out candidates
 and cut, per kind of alphabet, at the highest threshold that still keeps ``RECALL`` of the held-out secrets.  It then scores every candidate.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from plumbline.llm.common import free, stored, with_columns
+from plumbline.operators.ordering import row_index
 
 # fixed values: the patterns of the contract, with the fewest characters of the counted group
 KINDS = ("assign", "access", "hex")
@@ -33,8 +36,8 @@ LEAST, CONTEXT = 12, 24
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.-]{%d,}={0,2}" % LEAST)
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 DIGIT = re.compile(r"[0-9]")
-#: distinct candidates of each label that the network learns from, at most
-SAMPLE_ROWS = 4_000
+#: distinct candidates that one task learns from between two averages, about
+BLOCK_ROWS = 4_096
 RECALL = 0.99
 #: labelled secrets of one alphabet below which its threshold is the common one
 FEW = 20
@@ -200,26 +203,81 @@ def gradients(codes: np.ndarray, owner: np.ndarray, target: np.ndarray, weight:
     return loss, {"conv": conv, "shift": dh.sum(axis=0), "mix": features.T @ dhidden, "mix_shift": dhidden.sum(axis=0), "out": active.T @ dz, "out_shift": np.array([dz.sum()])}
 
 
+def new_state(seed: int) -> dict[str, dict[str, np.ndarray]]:
+    """Parameters with Adam's two moments."""
+    p = new_parameters(seed)
+    return {"p": p, "first": {k: np.zeros_like(v) for k, v in p.items()}, "second": {k: np.zeros_like(v) for k, v in p.items()}}
+
+
+def one_epoch(state: dict[str, dict[str, np.ndarray]], step: int, rows: list[tuple[str, str, str]], target: np.ndarray, weight: np.ndarray, bare: np.ndarray, order: np.ndarray) -> int:
+    """Adam over batches of ``order``, changing ``state``; ``bare`` windows are shown without their context."""
+    p, first, second = state["p"], state["first"], state["second"]
+    for start in range(0, len(order), BATCH):
+        mine = order[start:start + BATCH]
+        none = bare[mine]
+        codes, owner = encode(["" if b else rows[i][0] for i, b in zip(mine, none)], [rows[i][1] for i in mine], ["" if b else rows[i][2] for i, b in zip(mine, none)])
+        _, g = gradients(codes, owner, target[mine], weight[mine], p)
+        step += 1
+        for k in p:
+            first[k] = 0.9 * first[k] + 0.1 * g[k]
+            second[k] = 0.999 * second[k] + 0.001 * g[k] ** 2
+            p[k] -= RATE * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-8)
+    return step
+
+
+def label_weights(target: np.ndarray, good: int, bad: int) -> np.ndarray:
+    """Both labels weigh the same among ``good`` and ``bad`` rows in all."""
+    return np.where(target, 0.5 / max(1, good), 0.5 / max(1, bad)) * (good + bad)
+
+
 def train(rows: list[tuple[str, str, str]], target: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
-    """Adam over shuffled batches; both labels weigh the same, and every window is shown with its context in one epoch and without it in the next, or the other way round."""
-    rng, p = np.random.default_rng(seed), new_parameters(seed)
-    weight = np.where(target, 0.5 / max(1, target.sum()), 0.5 / max(1, (~target).sum())) * len(target)
+    """Adam over shuffled batches of one block; every window is shown with its context in one epoch and without it in the next, or the other way round."""
+    rng, state, step = np.random.default_rng(seed), new_state(seed), 0
+    weight = label_weights(target, int(target.sum()), int((~target).sum()))
     hidden = rng.random(len(rows)) < 0.5
-    first, second = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
-    step = 0
     for epoch in range(EPOCHS):
-        order = rng.permutation(len(rows))
-        for start in range(0, len(order), BATCH):
-            mine = order[start:start + BATCH]
-            bare = hidden[mine] ^ bool(epoch % 2)
-            codes, owner = encode(["" if b else rows[i][0] for i, b in zip(mine, bare)], [rows[i][1] for i in mine], ["" if b else rows[i][2] for i, b in zip(mine, bare)])
-            _, g = gradients(codes, owner, target[mine], weight[mine], p)
-            step += 1
-            for k in p:
-                first[k] = 0.9 * first[k] + 0.1 * g[k]
-                second[k] = 0.999 * second[k] + 0.001 * g[k] ** 2
-                p[k] -= RATE * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-8)
-    return p
+        step = one_epoch(state, step, rows, target, weight, hidden ^ bool(epoch % 2), rng.permutation(len(rows)))
+    return state["p"]
+
+
+def flat(state: dict[str, dict[str, np.ndarray]]) -> np.ndarray:
+    return np.concatenate([v.ravel() for part in state.values() for v in part.values()])
+
+
+def unflat(values: np.ndarray, like: dict[str, dict[str, np.ndarray]]) -> dict[str, dict[str, np.ndarray]]:
+    out, at = {}, 0
+    for name, part in like.items():
+        out[name] = {}
+        for k, v in part.items():
+            out[name][k] = values[at:at + v.size].reshape(v.shape)
+            at += v.size
+    return out
+
+
+def _learner(now: np.ndarray, step: int, epoch: int, good: int, bad: int, seed: int) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("rank", "value", "before", "after", "found")])
+        rows = list(zip(*[table[c].to_pylist() for c in ("before", "value", "after")]))
+        target, rank = table["found"].to_numpy().astype(bool), table["rank"].to_numpy()
+        own = unflat(now.copy(), new_state(seed))
+        order = np.random.default_rng([seed, epoch, table["block"][0].as_py()]).permutation(len(rows))
+        bare = ((rank >> 40) & 1 == 1) ^ bool(epoch % 2)  # the lowest bits deal the rows to blocks
+        one_epoch(own, step, rows, target, label_weights(target, good, bad), bare, order)
+        return pa.table({"at": np.arange(len(now)), "v": flat(own) * (len(rows) / (good + bad))})
+    return run
+
+
+def train_blocks(learn: DataFrame, good: int, bad: int, block_rows: int = BLOCK_ROWS, seed: int = 3) -> dict[str, np.ndarray]:
+    """``train`` over all rows of ``learn`` (before, value, after, found, rank): in each epoch every block goes on from the common state, whose next value is the mean of theirs by rows."""
+    blocks = max(1, (good + bad) // block_rows)
+    dealt = learn.withColumn("block", F.pmod("rank", F.lit(blocks)).cast("int")).repartition(blocks, "block").groupBy("block")
+    state, step = new_state(seed), 0
+    for epoch in range(EPOCHS):
+        sums = dealt.applyInArrow(_learner(flat(state), step, epoch, good, bad, seed), "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+        values = np.empty(len(sums))
+        values[sums["at"].to_numpy()] = sums["v"].to_numpy()
+        state, step = unflat(values, state), step + -(-((good + bad) // blocks) // BATCH)
+    return state["p"]
 
 
 def calibrate(z: np.ndarray, target: np.ndarray) -> tuple[float, float]:
@@ -245,6 +303,32 @@ def calibrate(z: np.ndarray, target: np.ndarray) -> tuple[float, float]:
     return slope, float(line[1]) - slope * middle
 
 
+def calibrate_rows(rows: DataFrame) -> tuple[float, float]:
+    """``calibrate`` over the rows (z, found) of a table, each step an aggregation."""
+    stats = rows.agg(F.count_if("found").alias("good"), F.count_if(~F.col("found")).alias("bad"), F.avg("z").alias("m"), F.stddev_pop("z").alias("s")).first()
+    middle, scale = stats["m"], stats["s"] or 1.0
+    u = (F.col("z") - middle) / scale
+    goal = F.when(F.col("found"), (stats["good"] + 1) / (stats["good"] + 2)).otherwise(1 / (stats["bad"] + 2))
+
+    def loss(line: np.ndarray) -> Column:
+        t = u * float(line[0]) + float(line[1])
+        return F.sum(F.greatest(t, F.lit(0.0)) + F.log1p(F.exp(-F.abs(t))) - goal * t)
+    line = np.array([1.0, 0.0])
+    for _ in range(100):
+        q = 1 / (1 + F.exp(-F.greatest(F.least(u * float(line[0]) + float(line[1]), F.lit(30.0)), F.lit(-30.0))))
+        w, miss = q * (1 - q), q - goal
+        r = rows.agg(*[F.sum(x) for x in (u * u * w, u * w, w, u * miss, miss)]).first()
+        move = np.linalg.solve(np.array([[r[0], r[1]], [r[1], r[2]]]) + 1e-6 * np.eye(2), np.array([r[3], r[4]]))
+        halves = [move / 2 ** i for i in range(40) if i == 0 or np.abs(move).max() / 2 ** (i - 1) > 1e-9]
+        losses = rows.agg(loss(line), *[loss(line - m) for m in halves]).first()
+        move = next((m for m, x in zip(halves, losses[1:]) if x <= losses[0]), halves[-1])
+        line = line - move
+        if np.abs(move).max() < 1e-9:
+            break
+    slope = max(float(line[0]), 1e-3) / scale
+    return slope, float(line[1]) - slope * middle
+
+
 def alphabet(value: str) -> str:
     """Which characters a candidate is made of: ``digits``, ``hex``, ``upper`` (A-Z, 0-9), ``word`` (letters, digits) or ``any``."""
     for name, pattern in (("digits", r"[0-9]+"), ("hex", r"[0-9a-f]+|[0-9A-F]+"), ("upper", r"[A-Z0-9]+"), ("word", r"[A-Za-z0-9]+")):
@@ -273,7 +357,7 @@ def least_score(scores: np.ndarray, recall: float) -> float:
 
 
 def fit_sample(rows: list[tuple[str, str, str]], target: np.ndarray, part: np.ndarray, recall: float = RECALL) -> Model:
-    """Network from the rows of ``part`` 0 to 2, calibration from 3, thresholds from 4; equal values belong in one part."""
+    """``fit`` for rows in memory: network from those of ``part`` 0 to 2, calibration from 3, thresholds from 4; equal values belong in one part."""
     def usable(mask: np.ndarray) -> bool:
         return bool(target[mask].any() and (~target[mask]).any())
     learn, curve, cut = part < 3, part == 3, part == 4
@@ -298,18 +382,53 @@ def fit_sample(rows: list[tuple[str, str, str]], target: np.ndarray, part: np.nd
     return model
 
 
-def fit(scanned: DataFrame, column: str, sample_rows: int = SAMPLE_ROWS, recall: float = RECALL) -> Model:
-    """Learn from at most ``sample_rows`` distinct candidates of each label, those of lowest hash."""
-    found = scanned.select(F.inline(column)).groupBy("before", "value", "after", "found").agg(F.lit(1).alias("one"))
-    ranked = found.withColumn("rank", F.xxhash64("value", "before", "after"))
-    rows = []
-    for label in (True, False):
-        rows += ranked.where(F.col("found") == label).orderBy("rank", "value", "before", "after").limit(sample_rows).select(
-            "before", "value", "after", "found", F.pmod(F.crc32("value"), F.lit(5)).alias("part")).collect()
-    return fit_sample([(r["before"], r["value"], r["after"]) for r in rows], np.array([r["found"] for r in rows], bool), np.array([r["part"] for r in rows], np.int64), recall)
+def _heights(scored: DataFrame, recall: float, by: list[str]) -> dict[object, float]:
+    """Per group of ``by`` (all rows under None) the highest score that at least ``recall`` of its rows reach, exact for groups of any size."""
+    sizes = scored.groupBy(*by).agg(F.count("*").alias("n")).collect()
+    wanted = {r[by[0]] if by else None: r["n"] - int(np.ceil(recall * r["n"])) for r in sizes}
+    placed = row_index(scored, ["z", "rank", "value", "before", "after", "bare"], by, "place")
+    key = F.col(by[0]) if by else F.lit(None).cast("string")
+    mine = reduce(lambda a, b: a | b, [(key.eqNullSafe(F.lit(k))) & (F.col("place") == at) for k, at in wanted.items()])
+    return {r[0]: r[1] for r in placed.where(mine).select(key, "z").collect()}
+
+
+def fit(scanned: DataFrame, column: str, block_rows: int = BLOCK_ROWS, recall: float = RECALL) -> Model:
+    """Learn from all distinct candidates: the network from three fifths of their values, calibration and thresholds from a fifth each."""
+    found = scanned.select(F.inline(column)).groupBy("before", "value", "after", "found").agg(F.lit(1).alias("one")).drop("one")
+    kept = stored(found.withColumns({"rank": F.xxhash64("value", "before", "after"), "part": F.pmod(F.crc32("value"), F.lit(5))}))
+    n = {(r["part"], r["found"]): r["n"] for r in kept.groupBy("part", "found").agg(F.count("*").alias("n")).collect()}
+    good, bad = (sum(n.get((k, label), 0) for k in range(3)) for label in (True, False))
+    if not (good and bad and (3, True) in n and (3, False) in n and (4, True) in n):
+        return Model()
+    p = train_blocks(kept.where("part < 3").drop("part"), good, bad, block_rows)
+
+    # context is what the patterns go by: held-out secrets count without it too
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2048):
+                rows = batch.slice(start, 2048)
+                before, value, after = (rows.column(i).to_pylist() for i in range(3))
+                none = [""] * len(value)
+                kinds = pa.array([alphabet(v) for v in value], pa.string())
+                for bare, z in ((False, logits(before, value, after, p)), (True, logits(none, value, none, p))):
+                    yield pa.RecordBatch.from_arrays([*rows.columns, kinds, pa.array([bare] * len(value)), pa.array(z)], names=[*rows.schema.names, "kind", "bare", "z"])
+    held = kept.where("part >= 3").select("before", "value", "after", "found", "rank", "part")
+    schema = T.StructType([*held.schema.fields, T.StructField("kind", T.StringType()), T.StructField("bare", T.BooleanType()), T.StructField("z", T.DoubleType())])
+    scored = stored(held.mapInArrow(run, schema))
+    slope, shift = calibrate_rows(scored.where("part = 3"))
+    model = Model(p, slope, shift)
+
+    def score(z: float) -> float:
+        return float(1 / (1 + np.exp(-np.clip(slope * z + shift, -30, 30))))
+    labelled = scored.where("part = 4 AND found")
+    many = [r["kind"] for r in labelled.groupBy("kind").agg(F.count("*").alias("n")).where(F.col("n") >= FEW).collect()]
+    model.common = score(_heights(labelled, recall, [])[None])
+    if many:
+        model.thresholds = {str(k): score(z) for k, z in _heights(labelled.where(F.col("kind").isin(many)), recall, ["kind"]).items()}
+    return model
 
 
-def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = None, sample_rows: int = SAMPLE_ROWS, recall: float = RECALL) -> DataFrame:
+def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = None, block_rows: int = BLOCK_ROWS, recall: float = RECALL) -> DataFrame:
     """Rows of ``docs`` (columns ``keep``, default all) with ``secrets``: an array of (kind, start, end, score), and ``n_candidates``.
 
     Kinds are the patterns ``KINDS`` and ``model``, for candidates that no pattern found and whose score reaches its threshold; ``score`` of a pattern's span is the best of the
@@ -321,7 +440,7 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     spans, found = free(docs, "spans"), free(docs, "found")
     scanned = stored(scan(docs, text, keep, (spans, found)))
-    model = fit(scanned, found, sample_rows, recall)
+    model = fit(scanned, found, block_rows, recall)
     kind = to_arrow_type(SCORED)
 
     def run(batch: pa.RecordBatch) -> dict[str, object]:

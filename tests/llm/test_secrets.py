@@ -139,3 +139,35 @@ def test_calibration():
     assert abs(slope - 2) < 0.25 and abs(shift + 0.5) < 0.15
     slope, shift = secrets.calibrate(np.array([-50.0, -40, 30, 60]), np.array([False, False, True, True]))
     assert 0 < slope < 10 and np.isfinite(shift)
+
+
+def test_all_candidates_take_part(spark):
+    """Blocks of candidates learn together; a kind of secret that a sample of a few would miss gets a threshold and is found."""
+    rng = random.Random(11)
+    rows, label = sample(rng, 3000)
+    texts = list(enumerate(a + b + c for a, b, c in rows))
+    scanned = secrets.scan(spark.createDataFrame(texts, "doc_id long, text string"), "text", ["doc_id"], ("s", "f")).localCheckpoint()
+    distinct = scanned.select(F.inline("f")).select("before", "value", "after", "found").distinct()
+    learn = distinct.withColumns({"rank": F.xxhash64("value", "before", "after")})
+    good, bad = learn.where("found").count(), learn.where("NOT found").count()
+    assert good + bad == learn.count() > 2 * 512
+    one, many = (secrets.train_blocks(learn, good, bad, size) for size in (10**6, 512))
+    fresh, truth = sample(random.Random(8), 400)
+    value, none = [r[1] for r in fresh], [""] * 400
+    for p in (one, many):
+        z = secrets.logits(none, value, none, p)
+        assert ((z > np.median(z)) == truth).mean() > 0.95
+    model = secrets.fit(scanned, "f", 512)
+    score = model.scores(none, value, none)
+    cut = np.array([model.thresholds.get(secrets.alphabet(v), model.common) for v in value])
+    assert (score >= cut)[truth].mean() >= 0.95 and (score >= cut)[~truth].mean() <= 0.02
+
+
+def test_thresholds_and_calibration_of_tables_equal_those_in_memory(spark):
+    rng = np.random.default_rng(3)
+    z, found = rng.normal(size=500), rng.random(500) < 0.4
+    kinds = [["hex", "word"][i % 2] for i in range(500)]
+    rows = spark.createDataFrame([(float(a), bool(f), k, i, str(i), "", "", False) for i, (a, f, k) in enumerate(zip(z, found, kinds))], "z double, found boolean, kind string, rank long, value string, before string, after string, bare boolean")
+    assert secrets.calibrate_rows(rows) == pytest.approx(secrets.calibrate(z, found), rel=1e-6, abs=1e-9)
+    assert secrets._heights(rows, 0.9, []) == {None: secrets.least_score(z, 0.9)}
+    assert secrets._heights(rows, 0.9, ["kind"]) == {k: secrets.least_score(z[np.array(kinds) == k], 0.9) for k in ("hex", "word")}
