@@ -218,3 +218,15 @@ def test_stored_category_names(spark, monkeypatch, tmp_path):
     assert wide.sizes == {"b": 15_000}
     row = wide.transform(many).where("b = 'n77'").select("features").first()["features"]
     assert row.size == 15_001 and row.numNonzeros() == 2
+
+
+def test_a_linear_model_as_an_expression(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, float(rng.normal()) if i % 7 else None, float(i % 5 + 1), ["a", "b", None, "c"][i % 4], float(rng.normal() + 3 * (i % 4)), ["a", "new", None][i % 3]) for i in range(200)]
+    df = spark.createDataFrame(rows, "run_key long, x double, units double, k string, y double, other string")
+    for spec in (P.Spec(["x", "units"], ["k"], "y", unit="units"), P.Spec(["x"], ["k"], "y", "elastic_net"), P.Spec(["units"], [], "y")):
+        model = P.fit(df, spec, {"alpha": 0.5, "l1_ratio": 0.5})
+        want = {r["run_key"]: r["prediction"] for r in model.predict(df.withColumn("k", F.col("other"))).collect()}
+        got = {r["run_key"]: r["p"] for r in df.select("run_key", model.linear({"k": F.col("other")}).alias("p")).collect()}
+        assert got == pytest.approx(want, rel=1e-9)
+    assert P.fit(df, P.Spec(["x"], [], "y", "forest"), {"numTrees": 2}).linear({}) is None

@@ -162,3 +162,24 @@ def test_quantiles_of_one_exploded_group(spark):
     df = spark.range(300).select((F.col("id") / 7).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(2000))).alias("i"))
     got = O.quantile_table(df.withColumn("g", F.lit("all")), ["v"], [0.1, 0.5], ["g"]).first()
     assert got["n"] == 600_000 and np.allclose(got["q"], np.quantile(np.repeat(np.arange(300) / 7, 2000), [0.1, 0.5]))
+
+
+def test_a_permutation_hashes_each_digit_once(spark, monkeypatch):
+    from hashlib import md5
+    n, rows, width, calls = 1000, 32, 32, []
+    monkeypatch.setattr(O, "md5", lambda b: calls.append(b) or md5(b))
+    tables = O.permutation_tables(7, 2, rows, width)
+    assert len(calls) == 2 * O.ROUNDS * 32  # not one for every row and turn
+
+    def send(x):
+        left, right = divmod(x, width)
+        for k in range(2 * O.ROUNDS):
+            h = lambda half, digit: int(md5(f"7|2|{half}|{k}|{digit}".encode()).hexdigest()[:8], 16)  # noqa: E731, B023
+            if k % 2 == 0:
+                left = (left + h("l", right) % rows) % rows
+            else:
+                right = (right + h("r", left) % width) % width
+        x = left * width + right
+        return x if x < n else send(x)
+    got = [r[0] for r in spark.range(n).select("id", O.permuted(F.col("id"), n, 7, F.lit(2)).alias("p")).orderBy("id").select("p").collect()]
+    assert got == [send(x) for x in range(n)] and len(tables) == 2 * O.ROUNDS
