@@ -22,13 +22,15 @@ def normalise_nan(df: DataFrame) -> DataFrame:
 
 
 def read_nested(spark: SparkSession, paths: Sequence[str], array_col: str = "configurations", tag_col: str = "task",
-                expected: Mapping[str, str] | None = None, schema: T.StructType | str | None = None) -> DataFrame:
+                expected: Mapping[str, str] | None = None, schema: T.StructType | str | None = None, lines: bool = False) -> DataFrame:
     """One JSON document per file with a list of objects: explode the list, stamp the document's tag.
 
+    With ``lines`` a file holds any number of documents, one a line: the form for many of them, since files can be split and need not be as many.
+
     A document without the list, or whose tag differs from ``expected`` (file
     name without suffix -> tag), fails the query.
     """
-    reader = spark.read.option("multiLine", True)
+    reader = spark.read.option("multiLine", not lines)
     if schema is not None:
         reader = reader.schema(schema)
     docs = reader.json(list(paths)).withColumn("_file", F.input_file_name())

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.catalog import QUERIES
 from plumbline.operators.gates import check_population
 from plumbline.plans import matrix as M
 from plumbline.sources import readers as R
@@ -26,6 +27,19 @@ def test_nested_documents(spark, tmp_path):
         R.read_nested(spark, [str(tmp_path / "bad.json")], schema="task string, configurations array<struct<a:int>>").collect()
 
 
+def test_nested_documents_share_files(spark, sf, tmp_path):
+    docs = [{"task": t, "configurations": [{"a": i} for i in range(n)]} for t, n in (("gpqa", 2), ("chat", 1), ("none", 0))]
+    (tmp_path / "docs.json").write_text("".join(json.dumps(x) + "\n" for x in docs))
+    rows = R.read_nested(spark, [str(tmp_path / "docs.json")], lines=True).collect()
+    assert sorted((r["task"], r["a"]) for r in rows) == [("chat", 0), ("gpqa", 0), ("gpqa", 1)]
+    (tmp_path / "bad.json").write_text(json.dumps(docs[0]) + '\n{"task": "bad"}\n')
+    with pytest.raises(Exception, match="no configurations list"):
+        R.read_nested(spark, [str(tmp_path / "bad.json")], schema="task string, configurations array<struct<a:int>>", lines=True).collect()
+    found = QUERIES["nested_scan"](spark, sf)
+    suppliers = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey").distinct().count()
+    assert found.count() == suppliers > len(found.inputFiles())
+
+
 def test_headers_join_their_manifest(spark, tmp_path):
     for i in (1, 2):
         (tmp_path / f"run_{i}.json").write_text(json.dumps({"n": i, "steady": {"gpu_energy": {"0": i}}}, indent=2))
