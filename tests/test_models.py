@@ -230,3 +230,23 @@ def test_a_linear_model_as_an_expression(spark):
         got = {r["run_key"]: r["p"] for r in df.select("run_key", model.linear({"k": F.col("other")}).alias("p")).collect()}
         assert got == pytest.approx(want, rel=1e-9)
     assert P.fit(df, P.Spec(["x"], [], "y", "forest"), {"numTrees": 2}).linear({}) is None
+
+
+def test_inner_search_reads_each_row_once(data, monkeypatch):
+    from plumbline.plans import gram
+    seen, sums = [], gram.part_sums
+    monkeypatch.setattr(gram, "part_sums", lambda rows, parts, basis: seen.append(rows.count()) or sums(rows, parts, basis))
+    _, meta = P.nested_cv(data, "fold", "g", SPEC, [{"alpha": 1e6}, {"alpha": 0.1}])
+    assert seen == [data.count()] and all(r["selected"] == 1 for r in meta.collect())
+
+
+def test_one_candidate_needs_no_inner_folds(data, monkeypatch):
+    monkeypatch.setattr(P, "inner_manifest", lambda *a: pytest.fail("inner folds dealt"))
+    _, meta = P.nested_cv(data, "fold", "g", SPEC, [{"alpha": 0.1}])
+    assert all(r["selected"] == 0 and r["scores"] == [None] for r in meta.collect())
+
+
+def test_inner_folds_are_those_of_each_training_part(data):
+    got = {(r["_set"], r["g"], r["_inner"]) for r in P.inner_manifest(data, "fold", "g", P.fold_values(data, "fold"), 3, 5).collect()}
+    want = {(k, r["g"], r["_inner"]) for k in P.fold_values(data, "fold") for r in group_folds(data.where(F.col("fold") != k), "g", 3, 5, "_inner").collect()}
+    assert got == want

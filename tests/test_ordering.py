@@ -183,3 +183,16 @@ def test_a_permutation_hashes_each_digit_once(spark, monkeypatch):
         return x if x < n else send(x)
     got = [r[0] for r in spark.range(n).select("id", O.permuted(F.col("id"), n, 7, F.lit(2)).alias("p")).orderBy("id").select("p").collect()]
     assert got == [send(x) for x in range(n)] and len(tables) == 2 * O.ROUNDS
+
+
+def test_quantiles_of_overlapping_sets(spark):
+    rows = [(i % 4, float((i * 37) % 101) if i % 5 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "c int, x double")
+    members = {0: {0, 1}, 1: {1, 2, 3}, 2: set()}
+    def sets(own):
+        return F.array(*[F.struct(F.lit(s).alias("_set"), (own[0].isin(*m) if m else F.lit(False)).alias("_in")) for s, m in members.items()])
+    got = {r["_set"]: (r["n"], r["q"]) for r in O.quantile_table(df, ["x"], [0.25, 0.5], sets=(["c"], sets)).collect()}
+    for s, m in members.items():
+        values = [x for c, x in rows if c in m and x is not None]
+        assert got[s][0] == len(values)
+        assert (got[s][1] is None) if not values else np.allclose(got[s][1], np.quantile(values, [0.25, 0.5]))
