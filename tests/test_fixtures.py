@@ -516,3 +516,20 @@ def test_stale_fingerprints_are_missing(spark):
     assert sorted(r[0] for r in M.pending(stored, plan).select("experiment_id").collect()) == ["e2", "e3"]
     with pytest.raises(ValueError, match="incomplete"):
         M.require_complete(M.matrix_progress(plan, stored))
+
+
+def test_slices_store_each_row_once(spark, monkeypatch):
+    from plumbline.session import cut_lineage
+    df = spark.createDataFrame([("s", f"c{i % 3}", "ab"[i % 2] if i % 5 else None, float(i + 1), float(i * i % 7), 1 + i % 2) for i in range(20)], "g string, c string, d string, y double, p double, u int")
+    stored = []
+    def spied(rows):
+        stored.append(rows.count())
+        return cut_lineage(rows)
+    monkeypatch.setattr(E, "cut_lineage", spied)
+    got = {(r["slice_type"], r["slice_value"]): r for r in E.error_slices(df, "y", "p", "u", "c", {"d": "d"}, {"top": 0.5}, 2, ["g"]).collect()}
+    assert stored == [20]
+    pdf = df.toPandas()
+    for key, mine in ((("overall", "all"), pdf), (("d", "a"), pdf[pdf.d == "a"]), (("top", "tail"), pdf[pdf.y >= 10.5]), (("target_quartile", "Q1"), pdf[pdf.y <= 10.5])):
+        assert got[key]["n_rows"] == len(mine) and got[key]["n_clusters"] == mine.c.nunique()
+        assert got[key]["residual_median"] == (mine.p - mine.y).median()
+    assert ("d", None) not in got and len(got) == 6
