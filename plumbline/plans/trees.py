@@ -366,40 +366,66 @@ def _grow(rows: DataFrame, bins: Bins, trees: int, depth: int, per_node: float |
     return grown
 
 
-def out_of_fold(df: DataFrame, fold: str, spec: object, params: Mapping[str, object]) -> DataFrame | None:
-    """Every row predicted by the ensemble of the other folds' rows; None where this is not done here."""
+@dataclass
+class Stored:
+    """Rows ordered by their bins, in a stored table that several ensembles can share."""
+
+    rows: DataFrame
+    codes: list[str]
+    bins: Bins
+    weighted: bool  # whether every part's rows can be weighted
+
+
+def _settings(spec: object, params: Mapping[str, object]) -> dict[str, object] | None:
+    """All parameters; None where the ensemble is not grown here."""
     forest = spec.algorithm == "forest"
     known = _FOREST if forest else _BOOSTED
     p = {**known, **params}
     if (set(params) - set(known) or not spec.columns or p["maxDepth"] > MOST_DEPTH or min(p["maxDepth"], p.get("numTrees", 1), p.get("maxIter", 1)) < 1
             or (forest and (spec.weighted or not p["bootstrap"] or p["featureSubsetStrategy"] not in ("auto", "all", "onethird"))) or spec.objective not in ("squared", "absolute")):
         return None
+    return p
+
+
+def store(df: DataFrame, fold: str, spec: object, params: Mapping[str, object]) -> Stored | None:
+    """What the ensembles of all specs that differ in objective, weighting and algorithm alone share; None where there is none."""
+    p = _settings(spec, params)
+    if p is None:
+        return None
     whole = df.where(F.col(fold).isNotNull()).withColumn("_all", F.struct(*df.columns))
     rows = prepared(whole.withColumn("_t", F.col(spec.target).cast("double")), spec)
     seen = rows.where(F.col("_y").isNotNull())
     bins = find_bins(seen, fold, spec, p["maxBins"])
-    if bins is None or (spec.weighted and (not (bins.medians > 0).all() or seen.where(F.col("_t") < 0).limit(1).count())):
+    if bins is None:
         return None
+    weighted = spec.weighted and bool((bins.medians > 0).all()) and not seen.where(F.col("_t") < 0).limit(1).count()
     coded, codes = _coded(rows.select(fold, *spec.columns, "_y", "_t", "_all"), bins, spec)
     coded = coded.select(*codes, F.col(fold).cast("long").alias("_of"), "_y", "_t", F.monotonically_increasing_id().alias("_id"), "_all")
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stored = cut_lineage(coded.repartitionByRange(tasks, *codes, "_id").sortWithinPartitions(*codes, "_of"))
-    train = stored.where(F.col("_y").isNotNull()).select(*codes, "_of", "_y", "_t", "_id")
+    return Stored(cut_lineage(coded.repartitionByRange(tasks, *codes, "_id").sortWithinPartitions(*codes, "_of")), codes, bins, weighted)
+
+
+def out_of_fold(df: DataFrame, fold: str, spec: object, params: Mapping[str, object], stored: Stored | None = None) -> DataFrame | None:
+    """Every row predicted by the ensemble of the other folds' rows; None where this is not done here."""
+    p, stored = _settings(spec, params), stored or store(df, fold, spec, params)
+    if p is None or stored is None or (spec.weighted and not stored.weighted):
+        return None
+    train = stored.rows.where(F.col("_y").isNotNull()).select(*stored.codes, "_of", "_y", "_t", "_id")
     how = {"objective": spec.objective, "weighted": spec.weighted, "seed": spec.seed}
-    if forest:
+    if spec.algorithm == "forest":
         strategy = p["featureSubsetStrategy"]
         share = None if strategy == "all" or (strategy == "auto" and p["numTrees"] == 1) else 1 / 3
-        ensemble = [(1.0 / p["numTrees"], _grow(train, bins, p["numTrees"], p["maxDepth"], share, before=[], bootstrap=True, **how))]
+        ensemble = [(1.0 / p["numTrees"], _grow(train, stored.bins, p["numTrees"], p["maxDepth"], share, before=[], bootstrap=True, **how))]
     else:
         ensemble = []
         for i in range(p["maxIter"]):
-            tree = _grow(train, bins, 1, p["maxDepth"], None, before=list(ensemble), bootstrap=False, **how)
+            tree = _grow(train, stored.bins, 1, p["maxDepth"], None, before=list(ensemble), bootstrap=False, **how)
             ensemble.append((float(p["stepSize"]) if i else 1.0, tree))
-    return _predicted(stored, df, codes, bins, ensemble, spec)
+    return _predicted(stored, ensemble, spec)
 
 
-def _predicted(stored: DataFrame, df: DataFrame, codes: Sequence[str], bins: Bins, ensemble: list[tuple[float, Trees]], spec: object) -> DataFrame:
-    m = len(codes)
+def _predicted(stored: Stored, ensemble: list[tuple[float, Trees]], spec: object) -> DataFrame:
+    codes, bins, m = stored.codes, stored.bins, len(stored.codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -413,7 +439,7 @@ def _predicted(stored: DataFrame, df: DataFrame, codes: Sequence[str], bins: Bin
             every = np.repeat(raw, np.diff(np.append(start, batch.num_rows)))
             yield pa.RecordBatch.from_arrays([batch.column(m + 1), pa.array(every)], names=["_all", "_raw_prediction"])
 
-    out = T.StructType([stored.schema["_all"], T.StructField("_raw_prediction", T.DoubleType())])
+    out = T.StructType([stored.rows.schema["_all"], T.StructField("_raw_prediction", T.DoubleType())])
     unit = F.col(spec.unit) if spec.unit else None
-    scored = stored.select(*codes, "_of", "_all").mapInArrow(run, out).select("_all.*", "_raw_prediction")
+    scored = stored.rows.select(*codes, "_of", "_all").mapInArrow(run, out).select("_all.*", "_raw_prediction")
     return scored.withColumn("prediction", restore_target(F.col("_raw_prediction"), spec.transform, unit)).drop("_raw_prediction")

@@ -64,3 +64,11 @@ def test_draws_are_poisson_of_mean_one():
     assert np.allclose(share, np.exp(-1.0) / np.array([1, 1, 2, 6]), atol=0.004)
     assert np.abs(np.corrcoef(w.T.astype(float)) - np.eye(10)).max() < 0.03
     assert (trees.draws(np.arange(40_000), np.arange(0, 14), 5)[:, 4:] == w).all()
+
+
+def test_strategies_share_the_stored_rows(data, monkeypatch):
+    plan = [{"objective": "squared", "weighted": False, "strategy_id": "s"}, {"objective": "absolute", "weighted": True, "strategy_id": "w"}]
+    bins, calls = trees.find_bins, []
+    monkeypatch.setattr(trees, "find_bins", lambda *a: calls.append(1) or bins(*a))
+    out = P.run_strategies(data, "fold", SPEC, plan, {"maxIter": 2, "maxDepth": 2}).groupBy("strategy_id").agg(F.count("prediction").alias("n"))
+    assert {r["strategy_id"]: r["n"] for r in out.collect()} == {"s": 400, "w": 400} and len(calls) == 1
