@@ -223,7 +223,7 @@ def _message(rows: list[tuple[str, int, int, bytes]]) -> pa.Table:
 
 
 def _count_words(buckets: int) -> Callable[[pa.Table], pa.Table]:
-    """One bucket of the word table: ``answer`` to each block, ``totals`` (how many words have which count), ``model`` (hash and code)."""
+    """One bucket of the word table: ``answer`` to each block, ``totals`` (how many words have which count)."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket, sent = table.column("bucket")[0].as_py(), [unpack(p) for p in table.column("payload").to_pylist()]
@@ -233,7 +233,7 @@ def _count_words(buckets: int) -> Callable[[pa.Table], pa.Table]:
         ends = np.cumsum([len(h) for h, _ in sent])
         rows = [("answer", block, bucket, pack(code[place[e - len(h):e]])) for block, e, (h, _) in zip(table.column("block").to_pylist(), ends, sent)]
         value, number = np.unique(count, return_counts=True)
-        return _message([*rows, ("totals", -1, bucket, pack(value.astype(np.uint64), number.astype(np.uint64))), ("model", -1, bucket, pack(steps(words), code))])
+        return _message([*rows, ("totals", -1, bucket, pack(value.astype(np.uint64), number.astype(np.uint64)))])
 
     return run
 
@@ -394,7 +394,7 @@ def _edges(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def _count_grams(n: int, unigrams: Unigrams, tail: Discounts | None) -> Callable[[pa.Table], pa.Table]:
-    """One bucket of the table of n-grams: ``answer`` to each block (counts with the small counts of the context as bits; sums of the contexts asked for), ``totals``, ``model``."""
+    """One bucket of the table of n-grams: ``answer`` to each block (counts with the small counts of the context as bits; sums of the contexts asked for) and ``totals``."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket, names = table.column("bucket")[0].as_py(), table.column("block").to_pylist()
@@ -430,9 +430,7 @@ def _count_grams(n: int, unigrams: Unigrams, tail: Discounts | None) -> Callable
             found[found < len(hashes)] = np.where(hashes[found[found < len(hashes)]] == asked[found < len(hashes)], found[found < len(hashes)], len(hashes))
             rows.append(("answer", name, bucket, pack(answer[mine], *(x[by_hash[found]] for x in sums))))
         number = np.array([0, *((c == r).sum() for r in range(1, TRUSTED + 2))], np.uint64)
-        kept = np.flatnonzero(c)
-        model = pack_grams([*(x[kept] for x in words[:0:-1]), words[0][kept]], c[kept].astype(np.uint64))
-        return _message([*rows, ("totals", -1, bucket, pack(number)), ("model", -1, bucket, model)])
+        return _message([*rows, ("totals", -1, bucket, pack(number))])
 
     return run
 

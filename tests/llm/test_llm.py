@@ -492,3 +492,15 @@ def test_queries_equal_sql(spark, sf, name):
     want = con.sql(ORACLES[name]).df()
     got = QUERIES[name](spark, sf).toPandas()[list(want.columns)]
     assert sorted(map(tuple, got.astype(object).itertuples(index=False))) == sorted(map(tuple, want.astype(object).itertuples(index=False)))
+
+
+def test_katz_stores_only_what_is_read():
+    """A bucket's table of words and of n-grams gives answers and totals; nothing else is written."""
+    import pyarrow as pa
+    sent = katz.pack(katz.steps(np.array([3, 9], np.uint64)), np.array([2, 0], np.uint32))
+    words = katz._count_words(1)(pa.table({"block": [5], "bucket": pa.array([0], pa.int32()), "payload": pa.array([sent], pa.binary())}))
+    assert sorted(words.column("kind").to_pylist()) == ["answer", "totals"]
+    code = katz.unpack(words.column("payload")[0].as_py())[0].view(np.uint64)
+    grams = katz.pack_grams([code[:1], code[:1]], np.array([1], np.uint32), code[:1])
+    counted = katz._count_grams(2, katz.Unigrams.of(np.array([2]), np.array([1])), None)(pa.table({"block": [5], "bucket": pa.array([0], pa.int32()), "payload": pa.array([grams], pa.binary())}))
+    assert sorted(counted.column("kind").to_pylist()) == ["answer", "totals"]
