@@ -23,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.llm.common import blocks, free, stored
 from plumbline.llm.words import find_words, mix, span_hashes
+from plumbline.session import brief_shuffles, drop, table_path
 
 ORDER = 3
 #: counts above this are not discounted
@@ -61,7 +62,7 @@ def steps(x: np.ndarray) -> np.ndarray:
 def pack_grams(words: list[np.ndarray], *others: np.ndarray) -> bytes:
     """Rows sorted by their last word, then by the one before it: differences of both, then the rest."""
     *rest, second, last = words
-    new = np.diff(last, prepend=np.uint64(0)) != 0  # no code is 0
+    new = np.diff(last, prepend=np.uint64(0)) != 0  # no code or number is 0
     return pack(steps(last), np.where(new, second, steps(second)), *rest, *others)
 
 
@@ -91,15 +92,17 @@ def number_rows(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_codes(count: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
-    """Distinct codes that carry the counts: bit length, count, and a number within bucket and count.  0: never seen."""
+    """Distinct codes that carry the counts: bit length, count, and a number.  0: never seen.
+
+    Numbers differ between all words and are small for frequent ones, as a word is numbered by its rank in its bucket: of r words seen c times or more, c * r is at most the
+    number of tokens, so count and number fit.
+    """
     code = np.zeros(len(count), np.uint64)
     many = np.flatnonzero(count > 0)
-    order = many[np.argsort(count[many], kind="stable")]
+    order = many[np.argsort(-count[many], kind="stable")]
     c = count[order].astype(np.uint64)
-    first = np.flatnonzero(np.concatenate([[True], np.diff(c.astype(np.int64)) != 0])) if len(c) else np.zeros(0, np.int64)
-    rank = np.arange(len(c)) - np.repeat(first, np.diff(np.append(first, len(c))))
     length = np.frexp(c.astype(float))[1].astype(np.uint64)
-    code[order] = length << np.uint64(_BITS) | c << (np.uint64(_BITS) - length) | (rank * buckets + bucket).astype(np.uint64)
+    code[order] = length << np.uint64(_BITS) | c << (np.uint64(_BITS) - length) | (np.arange(len(c)) * buckets + bucket).astype(np.uint64)
     return code
 
 
@@ -109,6 +112,13 @@ def code_counts(code: np.ndarray) -> np.ndarray:
     return np.where(length > 0, body >> (np.uint64(_BITS) - np.maximum(length, 1)), 0).astype(np.int64)
 
 
+def code_numbers(code: np.ndarray) -> np.ndarray:
+    """The words' numbers, from 1.  0: never seen."""
+    length = code >> np.uint64(_BITS)
+    below = (np.uint64(1) << (np.uint64(_BITS) - np.maximum(length, np.uint64(1)))) - np.uint64(1)
+    return np.where(length > 0, (code & below) + np.uint64(1), np.uint64(0))
+
+
 @dataclass
 class Discounts:
     """Good-Turing discounts of the counts 1 to TRUSTED (index 0 unused); a ratio that the data do not support is 1."""
@@ -258,11 +268,11 @@ class Sent:
     context_count: np.ndarray
     of: np.ndarray
     owner: np.ndarray  # context of each n-gram
-    grams: list[np.ndarray]  # codes of the words, training count, count and total of the tail
+    grams: list[np.ndarray]  # numbers of the words (code of a pair's second), training count, count of the tail
     gram_bucket: np.ndarray
     gram_order: np.ndarray
     asked: np.ndarray
-    asks: list[np.ndarray]  # codes of the words
+    asks: list[np.ndarray]  # numbers of the words
     ask_bucket: np.ndarray
 
     def messages(self) -> Iterator[tuple[int, bytes]]:
@@ -286,10 +296,11 @@ class Walk:
     word: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        by_code = np.argsort(self.code, kind="stable")
+        numbers = code_numbers(self.code)
+        by_number = np.argsort(numbers, kind="stable")
         place = np.empty(len(self.code), np.int64)
-        place[by_code] = np.arange(len(self.code))
-        self.codes, self.word = self.code[by_code], place[self.block.token]
+        place[by_number] = np.arange(len(self.code))
+        self.codes, self.numbers, self.word = self.code[by_number], numbers[by_number], place[self.block.token]
         self.counts = code_counts(self.codes)
         length = self.block.length
         self.starts = np.cumsum(length) - length
@@ -304,7 +315,7 @@ class Walk:
         return np.where(self.within[token] >= n, self.word[np.maximum(token - n, 0)], self.end)
 
     def back(self, token: np.ndarray, n: int) -> np.ndarray:
-        return self.codes[self._place(token, n)]
+        return self.numbers[self._place(token, n)]
 
     def sent(self) -> Sent:
         """For n-grams of one word more than now."""
@@ -323,9 +334,11 @@ class Walk:
         token = used[first]
         shares = _shares(context_count, self.buckets, self.hot)
         grams = [self.back(token, i) for i in range(n, -1, -1)]
+        if n == 1:  # the bucket needs the count of the second word
+            grams[1] = self.codes[self.word[token]]
         bucket = self._bucket(grams[:-1], (mix(grams[-1]) >> np.uint64(33)).astype(np.int64) % shares[token])
         counts = [np.bincount(number, ~self.held[used], len(first)).astype(np.uint32)]
-        tails = [self.count[token].astype(np.uint64), self.total[token].astype(np.uint64)] if n > 1 else []
+        tails = [self.count[token].astype(np.uint64)] if n > 1 else []
         order = np.argsort(bucket, kind="stable")
         # sums are needed where a token may be unseen, and to know what is left where several buckets hold a context
         wanted = np.flatnonzero((context >= 0) & (self.held | (shares > 1)))
@@ -356,6 +369,7 @@ class Walk:
         seen[sent.asked] = sum((sums[r] > 0)[sent.asked].astype(np.int64) << r for r in range(TRUSTED))
         left = sum(1 << (r - 1) for r in range(1, TRUSTED + 1) if discounts.share[r] < 1)
         have = np.flatnonzero(sent.context >= 0)
+        shorter = self.total if self.order > 1 else np.ones(len(self.word))  # all tails of a context have the same total; words come as probabilities
         total = sent.context_count.astype(float)
         total[have] += (seen[sent.context[have]] & left) == 0  # with nothing left, one n-gram more is taken as seen
         self.count = np.where(sent.of >= 0, count[sent.of], 0) if len(count) else np.zeros(len(self.word), np.int64)
@@ -364,7 +378,7 @@ class Walk:
         lost = have[self.count[have] == 0]
         used = sum(discounts.share[r] * r * sums[r - 1] for r in range(1, TRUSTED + 1)) + sums[TRUSTED]
         c = sent.context[lost]
-        self.value[lost] += np.log10((total[lost] - used[c]) / total[lost] / np.maximum(1 - shared[c], 1e-12))
+        self.value[lost] += np.log10((total[lost] - used[c]) / total[lost] / np.maximum(1 - shared[c] / shorter[lost], 1e-12))
         self.value[known] = np.log10(discounts(self.count[known]) / total[known])
         self.order += 1
 
@@ -393,15 +407,26 @@ def _edges(columns: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _by_columns(columns: list[np.ndarray]) -> np.ndarray:
+    """Places of the rows in order, the first column first."""
+    bits = [int(c.max(initial=0)).bit_length() for c in columns]
+    if sum(bits) > 64:
+        return np.lexsort(columns[::-1])
+    key = columns[0]
+    for c, b in zip(columns[1:], bits[1:]):
+        key = key << np.uint64(b) | c
+    return np.argsort(key)
+
+
 def _count_grams(n: int, unigrams: Unigrams, tail: Discounts | None) -> Callable[[pa.Table], pa.Table]:
     """One bucket of the table of n-grams: ``answer`` to each block (counts with the small counts of the context as bits; sums of the contexts asked for) and ``totals``."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket, names = table.column("bucket")[0].as_py(), table.column("block").to_pylist()
-        width = n + 1 + (2 if n > 2 else 0)
+        width = n + 1 + (n > 2)
         sent = [unpack_grams(p, n) for p in table.column("payload").to_pylist()]
         columns = [np.concatenate([s[i] for s in sent]) for i in range(width)]
-        order = np.lexsort(columns[n - 1::-1])
+        order = _by_columns([*columns[:n - 1], columns[n - 1] if n > 2 else code_numbers(columns[1])])
         words = [c[order] for c in columns[:n]]
         start = _edges(words)
         place = np.empty(len(order), np.int64)
@@ -409,7 +434,7 @@ def _count_grams(n: int, unigrams: Unigrams, tail: Discounts | None) -> Callable
         c = np.add.reduceat(columns[n][order].astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
         words = [x[start] for x in words]
         if n > 2:
-            low = tail(columns[n + 1][order][start].astype(np.int64)) / columns[n + 2][order][start].astype(float)
+            low = tail(columns[n + 1][order][start].astype(np.int64))
         else:
             low = unigrams.probability(code_counts(words[1]))
         runs = _edges(words[:-1])
@@ -459,9 +484,12 @@ def score(docs: DataFrame, train: Column, text: str = "text", keep: list[str] |
     rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(own), F.coalesce(train, F.lit(False)).alias(free(docs, "own_train")))
     size = rows.agg(F.sum(F.octet_length(own))).first()[0] or 0
     buckets = max(1, -(-int(size) // BUCKET_BYTES))
-    cut = stored(_cut(rows, buckets, keep), "kind")
+    spark, path = docs.sparkSession, table_path(docs.sparkSession)
+    cut = stored(_cut(rows, buckets, keep), "kind", path=path)
     texts, schema = cut.where("kind = 'block'"), "kind string, " + MESSAGE
-    words = stored(cut.where("kind = 'words'").select("block", "bucket", "payload").groupBy("bucket").applyInArrow(_count_words(buckets), schema), "kind")
+    with brief_shuffles(spark):
+        words = stored(cut.where("kind = 'words'").select("block", "bucket", "payload").groupBy("bucket").applyInArrow(_count_words(buckets), schema), "kind")
+    drop(spark, f"{path}/kind=words")
     totals = [unpack(r[0]) for r in words.where("kind = 'totals'").select("payload").collect()]
     counts, number = (np.concatenate([t[i] for t in totals]).astype(np.int64) if totals else np.zeros(0, np.int64) for i in (0, 1))
     unigrams = Unigrams.of(counts, number)
@@ -470,7 +498,8 @@ def score(docs: DataFrame, train: Column, text: str = "text", keep: list[str] |
     discounts: list[Discounts] = []
     for n in range(2, order + 1):
         sent = texts.select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send(unigrams, list(discounts), buckets, hot), schema)
-        grams = stored(sent.select("block", "bucket", "payload").groupBy("bucket").applyInArrow(_count_grams(n, unigrams, discounts[-1] if discounts else None), schema), "kind")
+        with brief_shuffles(spark):
+            grams = stored(sent.select("block", "bucket", "payload").groupBy("bucket").applyInArrow(_count_grams(n, unigrams, discounts[-1] if discounts else None), schema), "kind")
         number = sum((unpack(r[0])[0].astype(np.int64) for r in grams.where("kind = 'totals'").select("payload").toLocalIterator()), np.zeros(TRUSTED + 2, np.int64))
         discounts.append(Discounts.of(number))
         answers = answers.unionByName(grams.where("kind = 'answer'").select("block", "bucket", "payload", F.lit(n).alias("about")))

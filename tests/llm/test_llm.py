@@ -504,3 +504,54 @@ def test_katz_stores_only_what_is_read():
     grams = katz.pack_grams([code[:1], code[:1]], np.array([1], np.uint32), code[:1])
     counted = katz._count_grams(2, katz.Unigrams.of(np.array([2]), np.array([1])), None)(pa.table({"block": [5], "bucket": pa.array([0], pa.int32()), "payload": pa.array([grams], pa.binary())}))
     assert sorted(counted.column("kind").to_pylist()) == ["answer", "totals"]
+
+
+def test_katz_sends_small_numbers():
+    """What an exchange costs: words are sent by numbers that are small for frequent ones, and a tail's total, the same for a whole context, is not sent."""
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    drawn = np.minimum(rng.zipf(1.3, 60_000), 20_000).astype(np.uint64)
+    hashes, token = np.unique(words.mix(drawn), return_inverse=True)
+    count = np.bincount(token)
+    code = np.zeros(len(hashes), np.uint64)
+    for b in range(64):
+        mine = (hashes % np.uint64(64)).astype(int) == b
+        code[mine] = katz.word_codes(count[mine], b, 64)
+    number = katz.code_numbers(code)
+    assert (katz.code_counts(code) == count).all() and len(set(number.tolist())) == len(hashes) and number.min() > 0
+    assert number[np.argsort(-count)[:20]].max() <= 64 * 20
+    assert katz.code_numbers(np.zeros(1, np.uint64))[0] == 0
+    block = katz.Block(np.full(60, 1000), np.ones(60, bool), token)
+    unigrams = katz.Unigrams.of(*np.unique(count, return_counts=True))
+    walk = katz.Walk(block, code, unigrams, 1, float(unigrams.tokens))
+    table = lambda sent: pa.table({"block": [0], "bucket": pa.array([0], pa.int32()), "payload": pa.array([p for _, p in sent.messages()], pa.binary())})
+    pairs = walk.sent()
+    counted = katz._count_grams(2, unigrams, None)(table(pairs)).column("payload").to_pylist()
+    walk.take(pairs, counted[:1], katz.Discounts.of(katz.unpack(counted[1])[0].astype(np.int64)))
+    triples = walk.sent()
+    assert len(triples.grams) == 5
+    [(_, payload)] = triples.messages()
+    assert len(payload) < 6 * len(triples.owner)
+
+
+def test_katz_leaves_no_files_that_nothing_reads(spark, docs):
+    """The sent words are dropped once counted; shuffle files go with the query that made them."""
+    import os
+    import time
+    from plumbline import session
+
+    def files():
+        found = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in map(found.apply, range(found.length())) if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+    rows = docs.count()
+    before, written = files(), len(session._written)
+    out = katz.score(docs, F.col("lang") == "en", keep=["doc_id"])
+    tables = session._written[written:]
+    until = time.time() + 10  # files are deleted in the background
+    while len(shuffles := {f.split("_")[1] for f in files() - before}) > 1 and time.time() < until:
+        time.sleep(0.2)
+    assert len(shuffles) <= 1  # that of the first sum, which sends one number a partition
+    paths = [t.removeprefix("file:") for t in tables]
+    assert [os.path.isdir(f"{t}/kind=words") for t in paths] == [False] * 4 and os.path.isdir(f"{paths[0]}/kind=block")
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+    assert out.count() == rows
