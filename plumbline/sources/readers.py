@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+import sys
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +18,9 @@ from plumbline.functions.predicates import path_allowed
 from plumbline.operators.joins import join_many_to_one, unique_guard
 from plumbline.session import local_frame
 
+# task code travels with the job, so executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def normalise_nan(df: DataFrame) -> DataFrame:
     """NaN -> NULL in every floating column, so missing has one spelling."""
@@ -109,9 +117,75 @@ def dim(spark: SparkSession, config: Mapping[str, Mapping[str, object]], key: st
     return local_frame(spark, rows, [key, *names], [pa.string(), *kinds])
 
 
+#: a file up to this size is hashed as one value
+WHOLE_BYTES = 128 << 20
+PIECE_BYTES = 1 << 20
+#: names whose content Spark's line reader would unpack
+_PACKED = r"(?i)\.(gz|bz2|deflate|lz4|snappy|zst|zstd|lzo|xz|br)$"
+_MARK = b"\xef\xbb\xbf"
+
+
 def file_inventory(spark: SparkSession, path: str, glob: str = "*", deny_suffix: Sequence[str] = (),
                    allow_basename: Sequence[str] | None = None) -> DataFrame:
-    """(path, bytes, sha256, allowed) per file below ``path``; files are hashed where they are read."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path))
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"),
-                        path_allowed(F.col("path"), basename=allow_basename, deny_suffix=deny_suffix).alias("allowed"))
+    """(path, bytes, sha256, allowed) per file below ``path``.
+
+    Files up to ``WHOLE_BYTES`` are hashed where they are read.  Larger ones are read in parts, whose pieces one task per file takes in order, as a sha256 depends on all
+    bytes in order: its memory does not follow the file's size, and there is no largest size.  Larger ones with a compressed file's suffix stay one value (2 GB at most).
+    """
+    def read(kind: str, parts: bool) -> DataFrame:
+        files = spark.read.format(kind).options(pathGlobFilter=glob, recursiveFileLookup=True, lineSep="\n").load(path)
+        large = (F.col("_metadata.file_size") > WHOLE_BYTES) & ~F.rlike("_metadata.file_path", F.lit(_PACKED))  # listing leaves out the other files
+        return files.where(large if parts else ~large)
+    whole = read("binaryFile", False).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = read("binaryFile", True).select("path", F.col("length").alias("bytes"), F.col("_metadata.file_path").alias("_name"))
+    lines = read("text", True).select(F.col("_metadata.file_path").alias("_name"), F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("piece"))
+    pieces = lines.mapInArrow(_pieces, "_name string, bytes long, start long, no long, piece binary")
+    hashed = pieces.repartition("_name").sortWithinPartitions("_name", "start", "no").mapInArrow(_digests, "_name string, sha256 string")
+    files = whole.unionByName(large.join(hashed, "_name", "left").select("path", "bytes", "sha256"))
+    return files.withColumn("allowed", path_allowed(F.col("path"), basename=allow_basename, deny_suffix=deny_suffix))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of the same part of a file, joined up to about ``PIECE_BYTES``; ``no`` is their order within a task."""
+    no = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        name, size, start, line = batch.columns
+        ends = np.cumsum(pc.binary_length(line).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        new = np.diff(ends // PIECE_BYTES, prepend=-1) != 0
+        for column in (name, start):
+            new[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        first, lines = np.flatnonzero(new), line.to_pylist()
+        joined = [b"\n".join(lines[a:b]) for a, b in zip(first, [*first[1:], len(lines)])]
+        yield pa.RecordBatch.from_arrays([name.take(first), size.take(first), start.take(first), pa.array(np.arange(no, no + len(first))), pa.array(joined, pa.binary())],
+                                         names=["_name", "bytes", "start", "no", "piece"])
+        no += len(first)
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """sha256 of each file from its pieces in order; Spark's line reader leaves out a byte order mark and the last line's end, which the size gives away."""
+    name, size, seen, plain, marked = None, 0, 0, None, None
+
+    def done() -> pa.RecordBatch:
+        rest = size - seen
+        if rest not in (0, 1, len(_MARK), len(_MARK) + 1):
+            raise ValueError(f"{name} has {size} bytes, but {seen} were read")
+        digest = marked if rest >= len(_MARK) else plain
+        digest.update(b"\n" * (rest % len(_MARK)))
+        return pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([digest.hexdigest()], pa.string())], names=["_name", "sha256"])
+
+    for batch in batches:
+        for row in range(batch.num_rows):
+            of, piece = batch.column(0)[row].as_py(), batch.column(4)[row].as_py()
+            if of != name:
+                if name is not None:
+                    yield done()
+                name, size, seen, plain, marked = of, batch.column(1)[row].as_py(), len(piece), hashlib.sha256(), hashlib.sha256(_MARK)
+            else:
+                piece = b"\n" + piece
+                seen += len(piece)
+            plain.update(piece)
+            marked.update(piece)
+    if name is not None:
+        yield done()

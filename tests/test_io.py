@@ -111,6 +111,30 @@ def test_dimension_and_inventory(spark, tmp_path):
     assert got == {"config.json": (2, True), "model.bin": (1, False)}
 
 
+def test_inventory_of_files_larger_than_a_value(spark, tmp_path, monkeypatch):
+    """Spark's binary reader refuses files above a size (2 GB; 4 KB here); they are hashed from parts, byte for byte."""
+    import hashlib
+    import random
+    monkeypatch.setattr(R, "WHOLE_BYTES", 4000, raising=False)
+    monkeypatch.setattr(R, "PIECE_BYTES", 700, raising=False)
+    some = random.Random(3).randbytes(60_000)
+    (tmp_path / "sub").mkdir()
+    contents = {"noise.bin": some, "noise_end.bin": some + b"\n", "mark.csv": b"\xef\xbb\xbf" + b"a,b\r\n" * 2000, "mark_open.csv": b"\xef\xbb\xbf" + b"a,b\r\n" * 2000 + b"x", "blank.txt": b"\n" * 9000, "one_line.txt": b"y" * 9000,
+                "marks.txt": b"\xef\xbb\xbf\n" * 3000, "zero.bin": bytes(8000), "sub/a b%20\u00fc#+.bin": some[::-1], "small.txt": b"x\n", "small.gz": b"no gzip"}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    limits = {"spark.sql.sources.binaryFile.maxLength": "4096", "spark.sql.files.maxPartitionBytes": "5000", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        got = {r["path"].split(tmp_path.name + "/")[1]: (r["bytes"], r["sha256"], r["allowed"]) for r in R.file_inventory(spark, str(tmp_path), deny_suffix=[".csv"]).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {k: (len(v), hashlib.sha256(v).hexdigest(), not k.endswith(".csv")) for k, v in contents.items()}
+
+
 def test_nan_becomes_null(spark):
     df = spark.createDataFrame([(1.0, "a"), (float("nan"), "b")], "v double, s string")
     assert R.normalise_nan(df).where("v is null").count() == 1
