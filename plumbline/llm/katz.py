@@ -312,6 +312,8 @@ class Walk:
 
     def _place(self, token: np.ndarray, n: int) -> np.ndarray:
         """Number of the word ``n`` before each of the tokens; before a text stands an end."""
+        if n == 0:
+            return self.word[token]
         return np.where(self.within[token] >= n, self.word[np.maximum(token - n, 0)], self.end)
 
     def back(self, token: np.ndarray, n: int) -> np.ndarray:
@@ -339,7 +341,7 @@ class Walk:
         bucket = self._bucket(grams[:-1], (mix(grams[-1]) >> np.uint64(33)).astype(np.int64) % shares[token])
         counts = [np.bincount(number, ~self.held[used], len(first)).astype(np.uint32)]
         tails = [self.count[token].astype(np.uint64)] if n > 1 else []
-        order = np.argsort(bucket, kind="stable")
+        order = self._by_bucket(bucket)
         # sums are needed where a token may be unseen, and to know what is left where several buckets hold a context
         wanted = np.flatnonzero((context >= 0) & (self.held | (shares > 1)))
         one, _ = number_rows(context[wanted])
@@ -348,13 +350,16 @@ class Walk:
         ask, asked = np.repeat(wanted[one], times), np.repeat(asked, times)
         asks = [self.back(ask, i) for i in range(n, 0, -1)]
         where = self._bucket(asks, np.arange(len(ask)) - np.repeat(np.cumsum(times) - times, times))
-        place = np.argsort(where, kind="stable")
+        place = self._by_bucket(where)
         return Sent(context, context_count, of, context[token], [x[order] for x in [*grams, *counts, *tails]], bucket[order], order,
                     asked[place], [x[place] for x in asks], where[place])
 
     def _bucket(self, context: list[np.ndarray], share: np.ndarray) -> np.ndarray:
         return ((_hash(context) >> np.uint64(33)).astype(np.int64) + share) % self.buckets
 
+    def _by_bucket(self, bucket: np.ndarray) -> np.ndarray:
+        return np.argsort(bucket.astype(np.uint16) if self.buckets <= 1 << 16 else bucket, kind="stable")  # numbers of 16 bits need no comparisons
+
     def take(self, sent: Sent, answers: list[bytes], discounts: Discounts) -> None:
         """One order more, by the answers of the buckets in their order."""
         parts = [unpack(p) for p in answers]
