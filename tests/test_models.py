@@ -250,3 +250,11 @@ def test_inner_folds_are_those_of_each_training_part(data):
     got = {(r["_set"], r["g"], r["_inner"]) for r in P.inner_manifest(data, "fold", "g", P.fold_values(data, "fold"), 3, 5).collect()}
     want = {(k, r["g"], r["_inner"]) for k in P.fold_values(data, "fold") for r in group_folds(data.where(F.col("fold") != k), "g", 3, 5, "_inner").collect()}
     assert got == want
+
+
+def test_permuted_rows_are_not_sent_to_every_executor(data):
+    """Rows of all repeats have the estimated size of one, so a join that may broadcast them takes many times the limit through the driver."""
+    found = P.permutation_importance(P.fit(data, SPEC, {"alpha": 1.0}), data, ["run_key"], repeats=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [_d#" in plan and "BroadcastHashJoin [_d#" not in plan
+    assert {r["feature"]: r["repeats"] for r in found.collect()} == {"a": 3, "b": 3, "c": 3}
