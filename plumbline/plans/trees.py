@@ -3,13 +3,14 @@
 As in MLlib a feature has at most ``maxBins`` bins, and a split of a node needs no more than the sums of weights and targets in each of them.  The bins of a part come
 from its training rows alone.  Rows are stored once, ordered by bins, so that rows of equal bins lie together: a level of all trees of all parts is one pass that adds up such rows first and sends them
 down the trees as one.  The splits are chosen per part and tree on the executors; the driver holds the trees.  A forest's bootstrap draws are a hash of row and tree, equal in every pass.
+Where few combinations of bins occur, a boosting round is one pass: it ships the sums of each combination, and all levels of the next tree grow from them, for all losses and parts at once.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: category names, levels and sums held per pass up to which trees are grown here; beyond, MLlib fits part by part
 MOST_LABELS, MOST_DEPTH, HELD = 256, 10, 1 << 24
+#: combinations of bins up to which whole trees grow from their sums; rows that are added up together, and places in trees looked at together
+MOST_CELLS, BLOCK, WALKED = 1 << 18, 1 << 18, 1 << 20
 _FOREST = {"numTrees": 20, "maxDepth": 5, "maxBins": 32, "featureSubsetStrategy": "auto", "bootstrap": True}
 _BOOSTED = {"maxIter": 20, "maxDepth": 5, "maxBins": 32, "stepSize": 0.1}
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -203,11 +206,55 @@ class Trees:
             node = np.where(f >= 0, 2 * node + right, node)
         return node
 
-    def predict(self, part: int, x: np.ndarray) -> np.ndarray:
-        """Value of each tree for each row of features."""
-        trees = np.arange(self.feature.shape[1])
-        node = self.nodes(part, trees, x, self.feature.shape[2].bit_length() - 2)
-        return self.value[part].ravel()[trees * self.feature.shape[2] + node]
+    def predict(self, part: int, x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Weighted sum of the trees' values for each row of features."""
+        trees, value, size = np.arange(self.feature.shape[1]), (self.value[part] * weights[:, None]).ravel(), self.feature.shape[2]
+        out, step = np.empty(len(x)), max(1, WALKED // max(1, len(trees)))
+        if size <= 16 and len(x):
+            kept, reached = self._leaves(part, x.max(0) + 1)
+            value, trees = value.reshape(-1, size)[trees[:, None], reached].ravel(), trees * 256
+        for i in range(0, len(x), step):
+            if size <= 16:  # a tree leaves one bit of its byte, whatever the order of its splits
+                some = x[i:i + step]
+                node = np.full((len(some), len(trees)), 255, np.uint8)
+                for f, table in kept.items():
+                    node &= table[some[:, f]]
+                out[i:i + step] = value[trees + node].sum(1)
+            else:
+                node = self.nodes(part, trees, x[i:i + step], size.bit_length() - 2)
+                out[i:i + step] = value[trees * size + node].sum(1)
+        return out
+
+    def _leaves(self, part: int, sizes: np.ndarray) -> tuple[dict[int, np.ndarray], np.ndarray]:
+        """Trees of up to eight leaves: per feature which leaves (bits) of each tree a bin leaves open, and the node reached for every set of open leaves."""
+        feature, at, size = self.feature[part], self.at[part], self.feature.shape[2]
+        kept = {f: np.full((sizes[f], len(feature)), 255, np.uint8) for f in np.unique(feature[feature >= 0]).tolist()}
+        half = size // 2
+        ends = np.arange(half, size) + np.zeros((len(feature), 1), np.int64)  # where each leaf of a full tree stands
+        for node in range(half - 1, 0, -1):
+            leaves = [v for v in range(half) if (half + v) >> (half.bit_length() - node.bit_length()) == node]
+            lower, upper = (sum(1 << v for v in side) for side in (leaves[:len(leaves) // 2], leaves[len(leaves) // 2:]))
+            ends[np.ix_(feature[:, node] < 0, leaves)] = node
+            for f, table in kept.items():
+                own = np.flatnonzero(feature[:, node] == f)
+                bins = np.arange(len(table))[:, None]
+                right = bins == at[own, node] if f >= self.categorical else bins > at[own, node]
+                table[:, own] &= np.where(right, 255 - lower, 255 - upper).astype(np.uint8)
+        first = np.array([0, *((m & -m).bit_length() - 1 for m in range(1, 256))])
+        return kept, ends[:, np.minimum(first, half - 1)]
+
+    def with_next(self, tree: Trees) -> Trees:
+        return Trees(*(np.concatenate([getattr(self, c), getattr(tree, c)], 1) for c in ("feature", "at", "value")), self.categorical)
+
+    def learn(self, splits: Sequence[Mapping[str, object]], shift: np.ndarray) -> None:
+        """Takes up the splits found for open nodes."""
+        for r in splits:
+            p, t, node = r["part"], r["tree"], r["node"]
+            if node == 1:
+                self.value[p, t, 1] = r["mean"] + shift[p]
+            if r["feature"] >= 0:
+                self.feature[p, t, node], self.at[p, t, node] = r["feature"], r["at"]
+                self.value[p, t, 2 * node], self.value[p, t, 2 * node + 1] = r["low"] + shift[p], r["high"] + shift[p]
 
 
 def _starts(columns: Sequence[np.ndarray], n: int) -> np.ndarray:
@@ -219,8 +266,28 @@ def _starts(columns: Sequence[np.ndarray], n: int) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _numbers(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+def _cells(codes: Sequence[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where neighbouring rows of equal codes begin, each row's place among these cells, and the codes of each."""
+    start = _starts(codes, n)
+    code = np.stack([c[start] for c in codes], 1) if codes else np.zeros((len(start), 0), np.int64)
+    return start, np.repeat(np.arange(len(start)), np.diff(np.append(start, n))), code
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.ndarray]]:
+    """The columns of so many rows together."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield _numbers(pa.Table.from_batches(held))
+            held, n = [], 0
+    if n:
+        yield _numbers(pa.Table.from_batches(held))
+
+
+def _numbers(batch: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False) if isinstance(c, pa.Array) else c.to_numpy() for c in batch.columns]
 
 
 @dataclass
@@ -229,7 +296,7 @@ class Growth:
 
     bins: Bins
     trees: Trees
-    before: list[tuple[float, Trees]]  # boosting: the ensemble so far
+    before: tuple[np.ndarray, Trees] | None  # boosting: weights and trees so far
     objective: str
     weighted: bool
     bootstrap: bool
@@ -240,9 +307,7 @@ class Growth:
     def sums(self, columns: list[np.ndarray], total: list[list[np.ndarray]]) -> None:
         """Adds rows (codes, fold, target, untransformed target, id) to ``total``: per part and feature weights and targets by tree, node and bin."""
         *codes, fold, y, raw, row = columns
-        start = _starts(codes, len(y))
-        cell = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(y))))
-        code = np.stack([c[start] for c in codes], 1) if codes else np.zeros((len(start), 0), np.int64)
+        start, cell, code = _cells(codes, len(y))
         if not self.before and self.bootstrap:
             piece = _starts([cell, fold], len(y))
             drawn = draws(row, self.members, self.seed).astype(float)
@@ -260,18 +325,22 @@ class Growth:
                 s -= w * self.bins.shift[p]
                 s[w == 0] = 0.0
             else:
-                one = (fold != k).astype(float)
-                if self.weighted:
-                    one *= np.clip(np.sqrt(raw / self.bins.medians[p]), 0.5, 2.0)
-                w = np.repeat(np.bincount(cell, one, len(start))[:, None], len(self.members), 1)
-                s = np.repeat(np.bincount(cell, one * self._target(p, x, y, cell), len(start))[:, None], len(self.members), 1)
+                w, s = (np.repeat(v[:, None], len(self.members), 1) for v in self.by_cell(p, x, fold, y, raw, cell))
             self._add(p, x, w, s, total[p])
 
+    def by_cell(self, part: int, x: np.ndarray, fold: np.ndarray, y: np.ndarray, raw: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and weighted targets of a part's training rows in each cell."""
+        one = (fold != self.bins.parts[part]).astype(float)
+        if self.weighted:
+            one *= np.clip(np.sqrt(raw / self.bins.medians[part]), 0.5, 2.0)
+        return np.bincount(cell, one, len(x)), np.bincount(cell, one * self._target(part, x, y, cell), len(x))
+
     def _target(self, part: int, x: np.ndarray, y: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """The target, or its pseudo-residual as MLlib's losses have it."""
         if not self.before:
             return y - self.bins.shift[part]
-        left = y - sum(weight * t.predict(part, x)[:, 0] for weight, t in self.before)[cell]
+        weights, trees = self.before
+        left = y - trees.predict(part, x, weights)[cell]
         return 2 * left if self.objective == "squared" else np.where(left < 0, -1.0, 1.0)
 
     def _add(self, part: int, x: np.ndarray, w: np.ndarray, s: np.ndarray, total: list[np.ndarray]) -> None:
@@ -301,50 +370,53 @@ class Growth:
 
     def split(self, per_node: float | None) -> Callable[[pa.Table], pa.Table]:
         """Chooses the splits of one tree's open nodes; ``per_node`` is the share of features each one looks at."""
-        sizes, width, numeric, level, seed = self.bins.sizes, 1 << self.level, len(self.bins.thresholds), self.level, self.seed
+        bins, width, seed = self.bins, 1 << self.level, self.seed
 
         def run(table: pa.Table) -> pa.Table:
             part, tree = table.column("part")[0].as_py(), table.column("tree")[0].as_py()
             total = sum(np.frombuffer(b.as_buffer(), float) for b in table.column("sums").combine_chunks()).reshape(2, -1)
-            edges = np.cumsum([0, *(width * size for size in sizes)])
+            edges = np.cumsum([0, *(width * size for size in bins.sizes)])
             by_feature = [total[:, a:b].reshape(2, width, -1) for a, b in zip(edges[:-1], edges[1:])]
-            slots, out = self.bins.slots[part], []
-            for node in range(width):
-                w, s = by_feature[0][:, node].sum(1)
-                if not w > 0:
-                    continue
-                looked = range(len(slots))
-                if per_node is not None:
-                    looked = sorted(np.random.default_rng([seed % (1 << 32), part, tree, width + node]).choice(len(slots), int(np.ceil(per_node * len(slots))), replace=False).tolist())
-                best, least = (0.0, -1, 0, 0.0, 0.0), 1e-9 * min(w, 1.0)
-                for f, label in (slots[i] for i in looked):
-                    here = by_feature[f][:, node]
-                    if label < 0:
-                        left = np.cumsum(here, 1)[:, :-1]
-                    else:
-                        left = np.array([[w - here[0, label]], [s - here[1, label]]])
-                    right = np.array([[w], [s]]) - left
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        gain = left[1] ** 2 / left[0] + right[1] ** 2 / right[0] - s * s / w
-                    gain[(left[0] <= least) | (right[0] <= least)] = -1.0
-                    at = int(np.argmax(gain)) if len(gain) else -1
-                    if at >= 0 and gain[at] > max(best[0], 1e-13 * s * s / w):
-                        best = (float(gain[at]), f, at if label < 0 else label, float(left[1, at] / left[0, at]), float(right[1, at] / right[0, at]))
-                out.append((part, tree, width + node, float(s / w), *best[1:]))
-            columns = list(zip(*out)) if out else [()] * 7
-            kinds = [pa.int32()] * 3 + [pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
-            names = ["part", "tree", "node", "mean", "feature", "at", "low", "high"]
-            return pa.table([pa.array(list(c), k) for c, k in zip(columns if out else [()] * 8, kinds)], names=names)
+            return pa.Table.from_pylist(_choose(bins, part, tree, width, by_feature, per_node, seed), _SPLIT)
 
         return run
 
 
+def _choose(bins: Bins, part: int, tree: int, width: int, by_feature: Sequence[np.ndarray], per_node: float | None, seed: int) -> list[dict[str, object]]:
+    """Best split of every open node of a level, from weights and targets by node and bin of each feature."""
+    slots, out = bins.slots[part], []
+    for node in range(width):
+        w, s = by_feature[0][:, node].sum(1)
+        if not w > 0:
+            continue
+        looked = range(len(slots))
+        if per_node is not None:
+            looked = sorted(np.random.default_rng([seed % (1 << 32), part, tree, width + node]).choice(len(slots), int(np.ceil(per_node * len(slots))), replace=False).tolist())
+        best, least = (0.0, -1, 0, 0.0, 0.0), 1e-9 * min(w, 1.0)
+        for f, label in (slots[i] for i in looked):
+            here = by_feature[f][:, node]
+            if label < 0:
+                left = np.cumsum(here, 1)[:, :-1]
+            else:
+                left = np.array([[w - here[0, label]], [s - here[1, label]]])
+            right = np.array([[w], [s]]) - left
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = left[1] ** 2 / left[0] + right[1] ** 2 / right[0] - s * s / w
+            gain[(left[0] <= least) | (right[0] <= least)] = -1.0
+            at = int(np.argmax(gain)) if len(gain) else -1
+            if at >= 0 and gain[at] > max(best[0], 1e-13 * s * s / w):
+                best = (float(gain[at]), f, at if label < 0 else label, float(left[1, at] / left[0, at]), float(right[1, at] / right[0, at]))
+        out.append(dict(zip(_SPLIT.names, (part, tree, width + node, float(s / w), *best[1:]))))
+    return out
+
+
 _SPLITS = "part int, tree int, node int, mean double, feature int, at int, low double, high double"
+_SPLIT = pa.schema([*((c, pa.int32()) for c in ("part", "tree", "node")), ("mean", pa.float64()), ("feature", pa.int32()), ("at", pa.int32()), ("low", pa.float64()), ("high", pa.float64())])
 
 
 def _grow(rows: DataFrame, bins: Bins, trees: int, depth: int, per_node: float | None, **how: object) -> Trees:
     """Trees of all parts, a pass a level (and per group of trees whose sums fit); ``rows`` are codes, fold, target, untransformed target, id."""
-    numeric, shift = len(bins.thresholds), (np.zeros(len(bins.parts)) if how["before"] else bins.shift)
+    numeric, shift = len(bins.thresholds), _shift(bins, how["before"])
     grown = Trees.empty(len(bins.parts), trees, depth, 2 * numeric)
     grown.value[:, :, 1] = shift[:, None]
     for level in range(depth):
@@ -354,18 +426,90 @@ def _grow(rows: DataFrame, bins: Bins, trees: int, depth: int, per_node: float |
             growth = Growth(bins, grown, level=level, members=np.arange(start, min(trees, start + each)), **how)
             sums = rows.mapInArrow(growth.run, "part int, tree int, sums binary")
             found += sums.groupBy("part", "tree").applyInArrow(growth.split(per_node), _SPLITS).collect()
-        for r in found:
-            p, t, node = r["part"], r["tree"], r["node"]
-            if level == 0:
-                grown.value[p, t, 1] = r["mean"] + shift[p]
-            if r["feature"] >= 0:
-                grown.feature[p, t, node], grown.at[p, t, node] = r["feature"], r["at"]
-                grown.value[p, t, 2 * node], grown.value[p, t, 2 * node + 1] = r["low"] + shift[p], r["high"] + shift[p]
+        grown.learn(found, shift)
         if not any(r["feature"] >= 0 for r in found):
             break
     return grown
 
 
+def _shift(bins: Bins, before: tuple[np.ndarray, Trees] | None) -> np.ndarray:
+    """What is added to values learned: the first tree learns from targets less their mean."""
+    return bins.shift if before is None else np.zeros(len(bins.parts))
+
+
+def _joined(before: tuple[np.ndarray, Trees] | None, tree: Trees, step: float) -> tuple[np.ndarray, Trees]:
+    return (np.ones(1), tree) if before is None else (np.append(before[0], step), before[1].with_next(tree))
+
+
+@dataclass
+class Round:
+    """A round of boosting for several runs: a pass adds up rows of equal bins, then the next tree of each run and part grows from these sums."""
+
+    bins: Bins
+    runs: list[Growth]
+    depth: int
+
+    def sums(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *codes, fold, y, raw, _ in _blocks(batches, BLOCK):
+            _, cell, code = _cells(codes, len(y))
+            out = []
+            for p in range(len(self.bins.parts)):
+                x = self.bins.features(p, code)
+                for r, growth in enumerate(self.runs):
+                    w, s = growth.by_cell(p, x, fold, y, raw, cell)
+                    some = w > 0
+                    out.append((r, p, code[some].astype(np.int16).tobytes(), np.stack([w[some], s[some]]).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["run", "part", "codes", "sums"])
+
+    def grow(self) -> Callable[[pa.Table], pa.Table]:
+        """Grows all levels of a run's next tree of a part; ``tree`` is the run's number."""
+        return lambda table: self._grown(table)
+
+    def _grown(self, table: pa.Table) -> pa.Table:
+        run, part = table.column("run")[0].as_py(), table.column("part")[0].as_py()
+        code = np.concatenate([np.frombuffer(b.as_buffer(), np.int16) for b in table.column("codes").combine_chunks()]).reshape(-1, len(self.bins.maps[part]))
+        w, s = np.concatenate([np.frombuffer(b.as_buffer(), float).reshape(2, -1) for b in table.column("sums").combine_chunks()], 1)
+        x, sizes, out = self.bins.features(part, code), self.bins.sizes, []
+        tree = Trees.empty(1, 1, self.depth, 2 * len(self.bins.thresholds))
+        for level in range(self.depth):
+            width = 1 << level
+            node = tree.nodes(0, np.zeros(1, np.int64), x, level)[:, 0] - width
+            here = node >= 0
+            at, weight, pull = node[here], w[here], s[here]
+            by_feature = [np.stack([np.bincount(at * size + x[here, f], v, width * size) for v in (weight, pull)]).reshape(2, width, size) for f, size in enumerate(sizes)]
+            found = _choose(self.bins, part, run, width, by_feature, None, 0)
+            tree.learn([{**r, "part": 0, "tree": 0} for r in found], np.zeros(1))
+            out += found
+            if not any(r["feature"] >= 0 for r in found):
+                break
+        return pa.Table.from_pylist(out, _SPLIT)
+
+
+def _boost(rows: DataFrame, bins: Bins, objectives: Sequence[tuple[str, bool]], rounds: int, depth: int, step: float) -> list[tuple[np.ndarray, Trees]]:
+    """The ensembles of all (objective, weighted), a pass a round; ``rows`` as for ``_grow``."""
+    ensembles: list[tuple[np.ndarray, Trees] | None] = [None] * len(objectives)
+    for _ in range(rounds):
+        growths = [Growth(bins, None, before, objective, weighted, False, 0, 0, np.zeros(1, np.int64)) for before, (objective, weighted) in zip(ensembles, objectives)]
+        turn = Round(bins, growths, depth)
+        sums = rows.mapInArrow(turn.sums, "run int, part int, codes binary, sums binary")
+        found = sums.repartition(len(growths) * len(bins.parts), "run", "part").groupBy("run", "part").applyInArrow(turn.grow(), _SPLITS).collect()
+        for r, before in enumerate(ensembles):
+            tree = Trees.empty(len(bins.parts), 1, depth, 2 * len(bins.thresholds))
+            shift = _shift(bins, before)
+            tree.value[:, :, 1] = shift[:, None]
+            tree.learn([{**x.asDict(), "tree": 0} for x in found if x["tree"] == r], shift)
+            ensembles[r] = _joined(before, tree, step)
+    return ensembles
+
+
+def _few_cells(rows: DataFrame, codes: Sequence[str]) -> bool:
+    """Whether the bins of ``rows``, which lie together, have few combinations."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _blocks(batches, BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.array([len(_starts(columns, len(columns[0])))])], names=["n"])
+    return (rows.select(*codes).mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0) <= MOST_CELLS
+
+
 @dataclass
 class Stored:
     """Rows ordered by their bins, in a stored table that several ensembles can share."""
@@ -405,27 +549,44 @@ def store(df: DataFrame, fold: str, spec: object, params: Mapping[str, object])
     return Stored(cut_lineage(coded.repartitionByRange(tasks, *codes, "_id").sortWithinPartitions(*codes, "_of")), codes, bins, weighted)
 
 
-def out_of_fold(df: DataFrame, fold: str, spec: object, params: Mapping[str, object], stored: Stored | None = None) -> DataFrame | None:
+def out_of_fold(df: DataFrame, fold: str, spec: object, params: Mapping[str, object]) -> DataFrame | None:
     """Every row predicted by the ensemble of the other folds' rows; None where this is not done here."""
-    p, stored = _settings(spec, params), stored or store(df, fold, spec, params)
-    if p is None or stored is None or (spec.weighted and not stored.weighted):
+    found = out_of_fold_runs(df, fold, [spec], params)
+    return found and found[0]
+
+
+def out_of_fold_runs(df: DataFrame, fold: str, specs: Sequence[object], params: Mapping[str, object]) -> list[DataFrame] | None:
+    """``out_of_fold`` of specs that differ in objective and weighting alone, all from the same stored rows; None where this is not done here."""
+    spec = specs[0]
+    settings = [_settings(s, params) for s in specs]
+    if any(p is None for p in settings):
+        return None
+    stored = store(df, fold, replace(spec, weighted=any(s.weighted for s in specs)), params)
+    if stored is None or any(s.weighted and not stored.weighted for s in specs):
         return None
+    p, bins = settings[0], stored.bins
     train = stored.rows.where(F.col("_y").isNotNull()).select(*stored.codes, "_of", "_y", "_t", "_id")
-    how = {"objective": spec.objective, "weighted": spec.weighted, "seed": spec.seed}
     if spec.algorithm == "forest":
         strategy = p["featureSubsetStrategy"]
         share = None if strategy == "all" or (strategy == "auto" and p["numTrees"] == 1) else 1 / 3
-        ensemble = [(1.0 / p["numTrees"], _grow(train, stored.bins, p["numTrees"], p["maxDepth"], share, before=[], bootstrap=True, **how))]
+        trees = [_grow(train, bins, p["numTrees"], p["maxDepth"], share, before=None, bootstrap=True, objective=s.objective, weighted=s.weighted, seed=s.seed) for s in specs]
+        ensembles = [(np.full(p["numTrees"], 1.0 / p["numTrees"]), t) for t in trees]
+    elif _few_cells(train, stored.codes):
+        ensembles = _boost(train, bins, [(s.objective, s.weighted) for s in specs], p["maxIter"], p["maxDepth"], float(p["stepSize"]))
     else:
-        ensemble = []
-        for i in range(p["maxIter"]):
-            tree = _grow(train, stored.bins, 1, p["maxDepth"], None, before=list(ensemble), bootstrap=False, **how)
-            ensemble.append((float(p["stepSize"]) if i else 1.0, tree))
-    return _predicted(stored, ensemble, spec)
+        ensembles = []
+        for s in specs:
+            before = None
+            for _ in range(p["maxIter"]):
+                tree = _grow(train, bins, 1, p["maxDepth"], None, before=before, bootstrap=False, objective=s.objective, weighted=s.weighted, seed=s.seed)
+                before = _joined(before, tree, float(p["stepSize"]))
+            ensembles.append(before)
+    return [_predicted(stored, ensemble, s) for ensemble, s in zip(ensembles, specs)]
 
 
-def _predicted(stored: Stored, ensemble: list[tuple[float, Trees]], spec: object) -> DataFrame:
+def _predicted(stored: Stored, ensemble: tuple[np.ndarray, Trees], spec: object) -> DataFrame:
     codes, bins, m = stored.codes, stored.bins, len(stored.codes)
+    weights, trees = ensemble
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -435,7 +596,7 @@ def _predicted(stored: Stored, ensemble: list[tuple[float, Trees]], spec: object
             for p, k in enumerate(bins.parts):
                 mine = np.flatnonzero(of == k)
                 x = bins.features(p, code[mine])
-                raw[mine] = sum(weight * trees.predict(p, x).sum(1) for weight, trees in ensemble)
+                raw[mine] = trees.predict(p, x, weights)
             every = np.repeat(raw, np.diff(np.append(start, batch.num_rows)))
             yield pa.RecordBatch.from_arrays([batch.column(m + 1), pa.array(every)], names=["_all", "_raw_prediction"])
 

@@ -72,3 +72,38 @@ def test_strategies_share_the_stored_rows(data, monkeypatch):
     monkeypatch.setattr(trees, "find_bins", lambda *a: calls.append(1) or bins(*a))
     out = P.run_strategies(data, "fold", SPEC, plan, {"maxIter": 2, "maxDepth": 2}).groupBy("strategy_id").agg(F.count("prediction").alias("n"))
     assert {r["strategy_id"]: r["n"] for r in out.collect()} == {"s": 400, "w": 400} and len(calls) == 1
+
+
+def test_rounds_in_one_pass_equal_passes_a_level(data, monkeypatch):
+    spec, params = replace(SPEC, objective="absolute"), {"maxIter": 4, "maxDepth": 2}
+    grow, calls = trees._grow, []
+    monkeypatch.setattr(trees, "_grow", lambda *a, **k: calls.append(1) or grow(*a, **k))
+    quick = P.oof_fixed(data, "fold", spec, params).toPandas().set_index("run_key").prediction.sort_index()
+    assert not calls
+    monkeypatch.setattr(trees, "MOST_CELLS", 0)
+    slow = P.oof_fixed(data, "fold", spec, params).toPandas().set_index("run_key").prediction.sort_index()
+    assert len(calls) == 4 and len(quick) == 400 and np.allclose(quick, slow, rtol=1e-9)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 4])
+def test_open_leaves_equal_a_walk(depth):
+    rng = np.random.default_rng(depth)
+    grown = trees.Trees.empty(2, 30, depth, 3)
+    grown.value[:] = rng.normal(size=grown.value.shape)
+    for n in range(1, 1 << depth):
+        split = (rng.random((2, 30)) < 0.8) & ((n == 1) | (grown.feature[:, :, n // 2] >= 0))
+        grown.feature[:, :, n] = np.where(split, rng.integers(0, 5, (2, 30)), -1)
+        grown.at[:, :, n] = rng.integers(0, 6, (2, 30))
+    x, weights = rng.integers(0, 7, (500, 5)).astype(np.int32), rng.random(30)
+    node = grown.nodes(1, np.arange(30), x, depth)
+    assert np.allclose(grown.predict(1, x, weights), grown.value[1][np.arange(30), node] @ weights, rtol=1e-12)
+
+
+def test_boosted_predictions_use_all_rounds(monkeypatch):
+    from plumbline.catalog import modeling
+    seen = []
+    monkeypatch.setattr(modeling, "model_rows", lambda *a: None)
+    monkeypatch.setattr(modeling, "scored", lambda *a: None)
+    monkeypatch.setattr(modeling.P, "oof_gbt", lambda *a, **params: seen.append(params))
+    modeling.oof_gbt(None, None)
+    assert seen[0]["maxIter"] >= 200
