@@ -107,3 +107,13 @@ def test_boosted_predictions_use_all_rounds(monkeypatch):
     monkeypatch.setattr(modeling.P, "oof_gbt", lambda *a, **params: seen.append(params))
     modeling.oof_gbt(None, None)
     assert seen[0]["maxIter"] >= 200
+
+
+def test_strategies_use_all_rounds(monkeypatch):
+    from plumbline.catalog import modeling
+    seen = []
+    monkeypatch.setattr(modeling, "model_rows", lambda *a: None)
+    monkeypatch.setattr(modeling, "scored", lambda *a: None)
+    monkeypatch.setattr(modeling.P, "run_strategies", lambda df, fold, spec, plan, params: seen.append((len(plan), params)))
+    modeling.run_strategies(None, None)
+    assert seen[0][0] == 3 and seen[0][1]["maxIter"] >= 200
