@@ -533,3 +533,19 @@ def test_slices_store_each_row_once(spark, monkeypatch):
         assert got[key]["n_rows"] == len(mine) and got[key]["n_clusters"] == mine.c.nunique()
         assert got[key]["residual_median"] == (mine.p - mine.y).median()
     assert ("d", None) not in got and len(got) == 6
+
+
+def test_slices_of_few_cells_equal_those_dealt_to_slices(spark, monkeypatch):
+    """Null groups, clusters and dimensions; medians come from counts, without rows dealt to slices."""
+    rows = [(None if i % 4 == 3 else "s", None if i % 11 == 0 else i % 6, "ab"[i % 2] if i % 5 else None, float(i * 37 % 101), float(i * i % 17), 1 + i % 3) for i in range(150)]
+    df = spark.createDataFrame(rows, "g string, c long, d string, y double, p double, u int")
+    def found():
+        out = E.error_slices(df, "y", "p", "u", "c", {"d": "d", "u": "u"}, {"top": 0.9}, 3, ["g"]).collect()
+        return sorted(str([round(x, 8) if isinstance(x, float) else x for x in r]) for r in out)
+    monkeypatch.setattr(E, "BITS", 5)  # several numbers
+    calls, dealt = [], E.quantile_table
+    monkeypatch.setattr(E, "quantile_table", lambda *a, **k: calls.append(k.get("sets")) or dealt(*a, **k))
+    quick = found()
+    assert calls == [None]
+    monkeypatch.setattr(E, "MOST_SLICES", 3)
+    assert found() == quick and len(calls) == 3 and calls[2] and len(quick) > 16

@@ -196,3 +196,26 @@ def test_quantiles_of_overlapping_sets(spark):
         values = [x for c, x in rows if c in m and x is not None]
         assert got[s][0] == len(values)
         assert (got[s][1] is None) if not values else np.allclose(got[s][1], np.quantile(values, [0.25, 0.5]))
+
+
+def test_quantiles_of_overlapping_sets(spark, monkeypatch):
+    """Ties, signs, infinities, nulls, values close together, and sets that share cells; by few and by many passes."""
+    rng = np.random.default_rng(4)
+    values = [*rng.normal(size=400).tolist(), *[0.0, -0.0, 3.0, 3.0, 3.0, float("inf"), float("-inf"), float("nan"), None, 5e-324], *(1 + np.arange(200) * 2.0 ** -52).tolist()]
+    rows = [(i % 5 - 2, v, None if i % 5 == 4 else i / 7) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "cell long, v double, w double").repartition(3)
+    members = {-2: [0], -1: [0, 1], 0: [0, 2], 1: [0, 1, 2], 2: [3]}
+    probs = [0.0, 0.37, 0.5, 1.0]
+    for near in (O.NEAR, 0):
+        monkeypatch.setattr(O, "NEAR", near)
+        got = O.quantiles_of_sets(df, "cell", members, ["v", "w"], probs)
+        for s in range(4):
+            for c in (0, 1):
+                mine = sorted(r[1 + c] for r in rows if s in members[r[0]] and r[1 + c] is not None and r[1 + c] == r[1 + c])
+                if not mine:
+                    assert (s, c) not in got
+                    continue
+                n, q = got[s, c]
+                at = [(len(mine) - 1) * p for p in probs]
+                sides = [(mine[int(np.floor(x))], mine[int(np.ceil(x))], x - np.floor(x)) for x in at]
+                assert n == len(mine) and q == [a if a == b else a + (b - a) * f for a, b, f in sides]
